@@ -73,7 +73,7 @@ def merge_max(candidates: DataFrame, *key: str) -> DataFrame:
     )
 
 
-def _candidates(vector: DataFrame, text: DataFrame) -> DataFrame:
+def candidates(vector: DataFrame, text: DataFrame) -> DataFrame:
     return vector.withColumn("text_score", F.lit(0.0)).unionByName(
         text.withColumn("vector_score", F.lit(0.0))
     )
@@ -100,10 +100,17 @@ def attach(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
     return chunks.join(F.broadcast(ranked), "chunk_id")
 
 
+def _vectors_of(mine: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """Vectors of the filtered chunks: a column of theirs, or a table of its own by chunk_id."""
+    if vectors is None:
+        return mine.select("chunk_id", "embedding")
+    return vectors.join(mine.select("chunk_id"), "chunk_id", "left_semi")
+
+
 def hybrid_search(chunks: DataFrame, query: str, query_vector: list[float] | None, domain: str = "docs",
                   filters: Filters = Filters(), top_k: int | None = None, pool: int | None = None,
-                  weight: tuple[float, float] | None = None) -> DataFrame:
-    """Top-k chunks for one query. Without a vector only the text score counts."""
+                  weight: tuple[float, float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Top-k chunks for one query. Without a query vector only the text score counts."""
     k = clamp_top_k(top_k)
     size = pool_size(k, pool)
     wv, wt = weight or weights(domain)
@@ -116,17 +123,20 @@ def hybrid_search(chunks: DataFrame, query: str, query_vector: list[float] | Non
             "chunk_id", F.lit(0.0).alias("vector_score"), "text_score", F.col("text_score").alias("score")
         ).orderBy(*_ranking()).limit(k)
     else:
-        ranked = rank_one(_candidates(vector_topk(mine, query_vector, size), text), k, wv, wt)
+        ranked = rank_one(
+            candidates(vector_topk(_vectors_of(mine, vectors), query_vector, size), text), k, wv, wt
+        )
     payload = mine.drop("embedding")
     return attach(payload, ranked).orderBy(*_ranking())
 
 
 def hybrid_search_batch(chunks: DataFrame, queries: DataFrame, dim: int, domain: str = "docs",
                         filters: Filters = Filters(), top_k: int | None = None, pool: int | None = None,
-                        weight: tuple[float, float] | None = None) -> DataFrame:
+                        weight: tuple[float, float] | None = None,
+                        vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, scores) for a table of queries (query_id, text, embedding).
 
-    ``chunks`` needs chunk_id, text and embedding. Texts and payloads are joined by the caller
+    ``chunks`` needs chunk_id and text, and embedding unless ``vectors`` are given. Texts and payloads are joined by the caller
     once the ranking is down to top_k rows per query.
     """
     k = clamp_top_k(top_k)
@@ -134,8 +144,8 @@ def hybrid_search_batch(chunks: DataFrame, queries: DataFrame, dim: int, domain:
     wv, wt = weight or weights(domain)
     mine = chunks.filter(filters.predicate(domain))
     asked = queries.filter(F.trim("text") != "")
-    both = _candidates(
-        vector_topk_batch(mine, asked, size, dim), text_topk_batch(mine, asked, size)
+    both = candidates(
+        vector_topk_batch(_vectors_of(mine, vectors), asked, size, dim), text_topk_batch(mine, asked, size)
     )
     scored = merge_max(both, "query_id", "chunk_id").withColumn("score", _weighted(wv, wt))
     w = Window.partitionBy("query_id").orderBy(*_ranking())

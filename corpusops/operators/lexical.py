@@ -174,6 +174,13 @@ def query_score(tokens: Column, query_clauses: Column) -> Column:
     )
 
 
+def _holds_all(text: Column, items: Column) -> Column:
+    return bind(
+        F.lower(text),
+        lambda low: F.forall(items, lambda it: F.forall(it, lambda w: F.contains(low, w))),
+    )
+
+
 def may_match(text: Column, query_clauses: Column) -> Column:
     """Cheap necessary condition on the raw text, so most rows are never cut into tokens."""
     return bind(
@@ -204,9 +211,8 @@ def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, text_score) of every chunk that scores above zero, for many queries.
 
     Each clause is looked up by its rarest word only (by document count), so a clause meets the
-    chunks that hold that word and no others; the score is then computed inside the row. What is
-    shuffled are (word, chunk) counts and, where the clause table outgrows a broadcast, the
-    candidate rows.
+    chunks that hold that word and no others. Texts are joined to the (chunk, clause) candidates
+    by their unique id and scored inside the row; words and counts travel, not texts.
     """
     wanted = queries.select(
         F.col("query_id").cast("string").alias("query_id"), F.explode(clauses(F.col("text"))).alias("c")
@@ -214,10 +220,9 @@ def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     vocabulary = wanted.select(
         F.explode(F.array_distinct(F.flatten("c.items"))).alias("word")
     ).distinct()
-    tokens = chunks.select("chunk_id", words(F.col("text")).alias("tokens"))
-    holds = tokens.select(F.explode(F.array_distinct("tokens")).alias("word")).join(
-        vocabulary, "word", "left_semi"
-    )
+    holds = chunks.select(
+        "chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")
+    ).join(vocabulary, "word", "left_semi")
     frequency = holds.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     anchored = (
         wanted.select(
@@ -232,15 +237,18 @@ def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         )
         .filter(F.col("n") > 0)
     )
-    candidates = tokens.select(
-        "chunk_id", "tokens", F.explode(F.array_distinct("tokens")).alias("word")
-    ).join(anchored, "word")
-    complete = candidates.filter(
-        F.size(F.array_except(F.flatten("c.items"), F.col("tokens"))) == 0
-    )
-    scored = complete.select(
-        "query_id", "chunk_id",
-        clause_score(F.col("tokens"), F.col("c.items"), F.col("c.forbidden")).alias("s"),
+    candidates = holds.join(anchored, "word").select("chunk_id", "query_id", "c")
+    scored = (
+        chunks.select("chunk_id", "text")
+        .join(candidates, "chunk_id")
+        .filter(_holds_all(F.col("text"), F.col("c.items")))
+        .select(
+            "query_id", "chunk_id",
+            bind(
+                words(F.col("text")),
+                lambda toks: clause_score(toks, F.col("c.items"), F.col("c.forbidden")),
+            ).alias("s"),
+        )
     )
     return (
         scored.groupBy("query_id", "chunk_id")

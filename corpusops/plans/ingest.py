@@ -14,7 +14,7 @@ from corpusops.plans.registry import query
 from corpusops.plans.sqltext import clean_sql, trim_sql
 from corpusops.session import scratch_dir
 from corpusops.streaming.incremental import run_available
-from corpusops.tables import table
+from corpusops.tables import documents, table
 
 CLEAN = clean_sql("text")
 
@@ -23,7 +23,7 @@ CLEAN = clean_sql("text")
 SELECT doc_id, sha1({CLEAN}) AS text_sha1, CAST(length({CLEAN}) AS BIGINT) AS n FROM documents""")
 def ing_collapse_ws(spark: SparkSession, sf: str) -> DataFrame:
     t = collapse_whitespace(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", t.alias("t")).select(
+    return documents(spark, sf).select("doc_id", t.alias("t")).select(
         "doc_id", F.sha1("t").alias("text_sha1"), F.length("t").cast("long").alias("n")
     )
 
@@ -32,7 +32,7 @@ def ing_collapse_ws(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, CAST(length({CLEAN}) AS BIGINT) AS n FROM documents WHERE length({CLEAN}) >= 50""")
 def ing_min_chars(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length(collapse_whitespace(F.col("text"))).cast("long")
-    docs = table(spark, sf, "documents").select("doc_id", n.alias("n"))
+    docs = documents(spark, sf).select("doc_id", n.alias("n"))
     return docs.filter(F.col("n") >= ingest.min_chars())
 
 
@@ -42,7 +42,7 @@ SELECT doc_id, coalesce(nullif(CASE WHEN source = 'src0' THEN 'given-' || doc_id
 FROM documents""")
 def ing_content_hash(spark: SparkSession, sf: str) -> DataFrame:
     given = F.when(F.col("source") == "src0", F.concat(F.lit("given-"), F.col("doc_id"))).otherwise("")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", ingest.content_hash(given, collapse_whitespace(F.col("text"))).alias("content_hash")
     )
 
@@ -91,7 +91,7 @@ SELECT CAST(doc_id AS VARCHAR) AS id, to_json({
   'heading_path': '', 'last_modified': CAST(NULL AS VARCHAR), 'crawl_strategy': CAST(NULL AS VARCHAR)
 }) AS metadata FROM documents""")
 def ing_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    lines = doc_lines(table(spark, sf, "documents"))
+    lines = doc_lines(documents(spark, sf))
     return lines.select(
         F.col("input_pos").cast("string").alias("id"),
         F.to_json(ingest.doc_metadata(lines), {"ignoreNullFields": "false"}).alias("metadata"),
@@ -122,7 +122,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT
        sha1(piece) AS piece_sha1, CAST(length(piece) AS BIGINT) AS n
 FROM pieces WHERE piece <> ''""")
 def ing_split_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         "doc_id", F.posexplode(chunking.split_overlap(F.col("text"))).alias("i", "piece")
     )
     return docs.select(
@@ -147,7 +147,7 @@ SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, CAST(min(no) AS BIGINT) AS
        sha1(string_agg(line, chr(10) ORDER BY no)) AS block_sha1
 FROM b WHERE block_no > 0 GROUP BY doc_id, block_no""")
 def ing_routine_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = chunking.routine_blocks(table(spark, sf, "documents"), ["doc_id"], LINE_START)
+    blocks = chunking.routine_blocks(documents(spark, sf), ["doc_id"], LINE_START)
     return blocks.select(
         "doc_id", F.col("block_no").cast("long").alias("block_no"),
         F.col("start_line").cast("long").alias("start_line"),
@@ -180,7 +180,7 @@ def ing_signature_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ing_line_spans")
 def ing_line_spans(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         "doc_id", chunking.split_overlap(F.col("text")).alias("pieces"),
         F.size(split_lines(F.col("text"))).alias("n"),
     )
@@ -200,7 +200,7 @@ SELECT doc_id, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT
        sha1(block) AS block_sha1
 FROM b WHERE block <> ''""")
 def ing_fixed_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(chunking.fixed_blocks(F.col("text"))).alias("b"))
+    rows = documents(spark, sf).select("doc_id", F.explode(chunking.fixed_blocks(F.col("text"))).alias("b"))
     return rows.select(
         "doc_id", F.col("b.line_start").cast("long").alias("line_start"),
         F.col("b.line_end").cast("long").alias("line_end"), F.sha1("b.block").alias("block_sha1"),
@@ -215,7 +215,7 @@ _DROP = " AND ".join(f"NOT contains(upper(x), '{t.upper()}')" for t in DROP_TERM
 SELECT doc_id, sha1({trim_sql(f"array_to_string(list_filter(string_split(text, chr(10)), lambda x: {_DROP}), chr(10))")}) AS text_sha1
 FROM documents""")
 def ing_drop_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.sha1(chunking.drop_lines(F.col("text"), DROP_TERMS)).alias("text_sha1")
     )
 
@@ -324,7 +324,7 @@ SELECT doc_id, sha1(
   'content:' || chr(10) || {CLEAN}) AS input_sha1
 FROM documents WHERE length({CLEAN}) >= 50""")
 def ing_embed_input(spark: SparkSession, sf: str) -> DataFrame:
-    status = ingest.doc_status(doc_lines(table(spark, sf, "documents")))
+    status = ingest.doc_status(doc_lines(documents(spark, sf)))
     chunks = ingest.doc_chunks(status)
     title = F.get_json_object("metadata", "$.title")
     return chunks.select(
@@ -338,7 +338,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id DES
 SELECT 'docs' AS domain, content_hash, doc_id, lang AS context, source FROM r WHERE rn = 1""")
 def ing_dedupe_last(spark: SparkSession, sf: str) -> DataFrame:
     t = collapse_whitespace(F.col("text"))
-    rows = table(spark, sf, "documents").withColumn("t", t).filter(F.length("t") >= 50).select(
+    rows = documents(spark, sf).withColumn("t", t).filter(F.length("t") >= 50).select(
         F.lit("docs").alias("domain"), F.sha1("t").alias("content_hash"), "doc_id",
         F.col("lang").alias("context"), "source",
     )
@@ -346,7 +346,7 @@ def ing_dedupe_last(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.lit("docs").alias("domain"), F.sha1("text").alias("content_hash"), "doc_id", "lang", "source"
     )
 
@@ -396,7 +396,7 @@ _STATUS = f"""SELECT CASE WHEN l.toxic = 1 THEN 'error' WHEN length({clean_sql('
 
 def _doc_status(spark: SparkSession, sf: str) -> DataFrame:
     """Documents labelled toxic stand for lines that do not parse."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     bad = F.when(F.col("toxic") == 1, F.lit("{"))
     return ingest.doc_status(docs.select("text", bad.alias("_corrupt_record")), 400)
 
