@@ -6,15 +6,20 @@ one row, so windows per file are as bounded as that row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusops.functions.text import bind
 from corpusops.operators import rules_text as rt
 
 TOKEN = "array<struct<type:string,value:string,line:int,start:int,end:int>>"
 FAULT = "array<struct<severity:string,message:string,line:int,start:int,end:int>>"
-OUT = ["file", "severity", "message", "line", "start", "end"]
+
+# tokens looked at after a loop word
+LOOKAHEAD = 9
 
 # Least and most arguments of each function.
 ARITY = {
@@ -47,13 +52,17 @@ FREE_WORDS = ["retorna", "erro", "alerta", "gravarnl", "lernl", "i", "p", "prime
 UNCHECKED_CALLS = ["abrircursor", "fecharcursor", "proximo"]
 
 
-def tokenize(sources: DataFrame) -> DataFrame:
-    """file, n, type, value, line, start, end."""
+def _scan(source: str) -> Column:
     @F.pandas_udf(TOKEN)
     def scan(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [dict(zip(("type", "value", "line", "start", "end"), x)) for x in rt.tokens(t)])
 
-    return sources.select("file", F.posexplode(scan("source")).alias("n", "t")).select("file", "n", "t.*")
+    return scan(source)
+
+
+def tokenize(sources: DataFrame) -> DataFrame:
+    """file, n, type, value, line, start, end."""
+    return sources.select("file", F.posexplode(_scan("source")).alias("n", "t")).select("file", "n", "t.*")
 
 
 def structure(sources: DataFrame) -> DataFrame:
@@ -64,60 +73,89 @@ def structure(sources: DataFrame) -> DataFrame:
     return sources.select("file", F.explode(scan("source")).alias("f")).select("file", "f.*")
 
 
-def _order(*keys: str) -> Window:
-    return Window.partitionBy(*keys).orderBy("n")
+def _is(t: Column, kind: str, *values: str) -> Column:
+    return (t["type"] == kind) & F.lower(t["value"]).isin(list(values))
+
+
+def _mark(t: Column, *values: str) -> Column:
+    return (t["type"] == "punctuation") & t["value"].isin(list(values))
 
 
-def neighbours(tokens: DataFrame) -> DataFrame:
-    """Tokens with the two before and the two after them; one window for all checks."""
-    w = _order("file")
-    cell = F.struct("type", "value", "line")
+def _defines_variable(t: Column) -> Column:
+    return _is(t, "keyword", "definir") & F.lower(t["n1"]["value"]).isin(rt.DECLARED_TYPES)
+
+
+def _on_line(t: Column) -> Column:
+    """Both following tokens stand on the token's own line."""
+    return (t["n1"]["line"] == t["line"]) & (t["n2"]["line"] == t["line"])
+
+
+def parse(sources: DataFrame) -> DataFrame:
+    """One row per file: its tokens, each with its neighbours, and the names it declares.
+
+    Neighbours and names are taken inside the row the tokens came from, so the checks below
+    filter the tokens they look at before any of them is shuffled.
+    """
+    def near(ts: Column) -> Column:
+        def cell(t: Column, i: Column) -> Column:
+            return F.struct(
+                i.alias("n"), t["type"].alias("type"), t["value"].alias("value"), t["line"].alias("line"),
+                t["start"].alias("start"), t["end"].alias("end"),
+                F.get(ts, i - 1).alias("p1"), F.get(ts, i - 2).alias("p2"),
+                F.get(ts, i + 1).alias("n1"), F.get(ts, i + 2).alias("n2"),
+                F.when(_is(t, "keyword", "enquanto"), F.slice(ts, i + 2, LOOKAHEAD)).alias("ahead"),
+            )
+
+        return F.transform(ts, cell)
+
+    tokens = sources.select("file", _scan("source").alias("ts")).select("file", bind(F.col("ts"), near).alias("near"))
+
+    def names(keep, name) -> Column:
+        return F.array_distinct(F.transform(F.filter("near", keep), lambda t: F.lower(name(t))))
+
     return tokens.withColumns(
         {
-            "p2": F.lag(cell, 2).over(w), "p1": F.lag(cell, 1).over(w),
-            "n1": F.lead(cell, 1).over(w), "n2": F.lead(cell, 2).over(w),
-            "n1_start": F.lead("start", 1).over(w), "n2_start": F.lead("start", 2).over(w),
-            "n2_end": F.lead("end", 2).over(w),
+            "variables": names(lambda t: _defines_variable(t) & _on_line(t), lambda t: t["n2"]["value"]),
+            "cursors": names(
+                lambda t: _is(t, "keyword", "definir") & _on_line(t) & (F.lower(t["n1"]["value"]) == "cursor"),
+                lambda t: t["n2"]["value"],
+            ),
+            "functions": names(
+                lambda t: _on_line(t) & (_is(t, "keyword", "funcao") | (_is(t, "keyword", "definir") & (F.lower(t["n1"]["value"]) == "funcao"))),
+                lambda t: F.regexp_replace(
+                    F.when(_is(t, "keyword", "funcao"), t["n1"]["value"]).otherwise(t["n2"]["value"]), r"\(.*\)", ""
+                ),
+            ),
         }
     )
 
 
-def _keyword(value: str) -> Column:
-    return (F.col("type") == "keyword") & (F.lower("value") == value)
+def _picked(parsed: DataFrame, keep, *more: str) -> DataFrame:
+    return parsed.select("file", *more, F.explode(F.filter("near", keep)).alias("t")).select("file", *more, "t.*")
 
 
-def _on_line() -> Column:
-    """Both following tokens stand on the token's own line."""
-    return (F.col("n2.line") == F.col("line")) & (F.col("n1.line") == F.col("line"))
+def _order(*keys: str) -> Window:
+    return Window.partitionBy(*keys).orderBy("n")
 
 
-def declarations(near: DataFrame) -> DataFrame:
+def declarations(parsed: DataFrame) -> DataFrame:
     """file, kind (variable, cursor, function), name, declared type, line; last type wins."""
-    is_define = _keyword("definir") & _on_line()
-    kind = F.lower("n1.value")
-    variables = near.filter(is_define & kind.isin(rt.DECLARED_TYPES)).select(
-        "file", "n", F.col("n2.value").alias("name"), kind.alias("declared"), "line"
+    defined = _picked(parsed, lambda t: _defines_variable(t) & _on_line(t)).select(
+        "file", "n", F.col("n2.value").alias("name"), F.lower("n1.value").alias("declared"), "line"
     )
-    latest = variables.groupBy("file", "name").agg(
-        F.max_by(F.struct("declared", "line"), "n").alias("v"), F.max((F.col("declared") == "cursor")).alias("cursor")
+    latest = defined.groupBy("file", "name").agg(
+        F.max_by(F.struct("declared", "line"), "n").alias("v"), F.max(F.col("declared") == "cursor").alias("cursor")
     )
-    rows = latest.select(
-        "file",
-        F.explode(
-            F.when(F.col("cursor"), F.array(F.lit("variable"), F.lit("cursor"))).otherwise(F.array(F.lit("variable")))
-        ).alias("kind"),
-        "name", "v.declared", "v.line",
+    kinds = F.when(F.col("cursor"), F.array(F.lit("variable"), F.lit("cursor"))).otherwise(F.array(F.lit("variable")))
+    rows = latest.select("file", F.explode(kinds).alias("kind"), "name", "v.declared", "v.line")
+    named = _picked(
+        parsed,
+        lambda t: _on_line(t)
+        & (_is(t, "keyword", "funcao") | (_is(t, "keyword", "definir") & (F.lower(t["n1"]["value"]) == "funcao"))),
     )
-    bare = F.regexp_replace(F.col("f"), r"\(.*\)", "")
+    said = F.when(F.lower("value") == "funcao", F.col("n1.value")).otherwise(F.col("n2.value"))
     functions = (
-        near.filter(_on_line())
-        .select(
-            "file", "line",
-            F.when(_keyword("definir") & (kind == "funcao"), F.col("n2.value"))
-            .when(_keyword("funcao"), F.col("n1.value")).alias("f"),
-        )
-        .filter(F.col("f").isNotNull())
-        .groupBy("file", bare.alias("name")).agg(F.min("line").alias("line"))
+        named.groupBy("file", F.regexp_replace(said, r"\(.*\)", "").alias("name")).agg(F.min("line").alias("line"))
         .select("file", F.lit("function").alias("kind"), "name", F.lit(None).cast("string").alias("declared"), "line")
     )
     return rows.unionByName(functions)
@@ -127,13 +165,11 @@ def _report(df: DataFrame, message: Column, severity: str = "warning") -> DataFr
     return df.select("file", F.lit(severity).alias("severity"), message.alias("message"), "line", "start", "end")
 
 
-def duplicate_declarations(near: DataFrame) -> DataFrame:
+def duplicate_declarations(parsed: DataFrame) -> DataFrame:
     """Second and later declaration of a name, whatever its case."""
-    declared = near.filter(_keyword("definir") & F.lower("n1.value").isin(rt.DECLARED_TYPES) & F.col("n2").isNotNull())
-    named = declared.select(
-        "file", "n", F.col("n2.value").alias("name"), F.col("n2.line").alias("line"),
-        F.col("n2_start").alias("start"), F.col("n2_end").alias("end"),
-    ).withColumn("k", F.lower("name"))
+    named = _picked(parsed, lambda t: _defines_variable(t) & t["n2"].isNotNull()).select(
+        "file", "n", F.col("n2.value").alias("name"), F.lower("n2.value").alias("k"), "n2.line", "n2.start", "n2.end"
+    )
     later = named.withColumn("nth", F.row_number().over(_order("file", "k"))).filter("nth > 1")
     return _report(
         later,
@@ -141,52 +177,54 @@ def duplicate_declarations(near: DataFrame) -> DataFrame:
     )
 
 
-def undeclared(near: DataFrame, declared: DataFrame) -> DataFrame:
+def undeclared(parsed: DataFrame) -> DataFrame:
     """Identifiers that nothing declares: not a variable, function or known word, not a member."""
-    low = F.lower("value")
-    after_dot = (F.col("p1.type") == "punctuation") & (F.col("p1.value") == ".")
-
-    def defines(c: str) -> Column:
-        return (F.col(f"{c}.type") == "keyword") & (F.lower(f"{c}.value") == "definir")
-
-    open_ = near.filter(
-        (F.col("type") == "identifier")
-        & ~F.coalesce(after_dot | defines("p1") | defines("p2"), F.lit(False))
-        & ~low.isin(FREE_WORDS)
-        & ~low.rlike("^(" + "|".join(rt.SYSTEM_PREFIXES) + ")")
-        & ~F.col("value").rlike(rf"(?i)^({rt.CURSOR_METHODS})\b")
+    def unknown(t: Column) -> Column:
+        low = F.lower(t["value"])
+        known_place = _mark(t["p1"], ".") | _is(t["p1"], "keyword", "definir") | _is(t["p2"], "keyword", "definir")
+        return (
+            (t["type"] == "identifier")
+            & ~F.coalesce(known_place, F.lit(False))
+            & ~low.isin(FREE_WORDS)
+            & ~low.rlike("^(" + "|".join(rt.SYSTEM_PREFIXES) + ")")
+            & ~t["value"].rlike(rf"(?i)^({rt.CURSOR_METHODS})\b")
+            & ~F.array_contains("variables", low)
+            & ~F.array_contains("functions", low)
+        )
+
+    return _report(
+        _picked(parsed, unknown),
+        F.format_string("Variável '%s' não declarada (Undeclared variable '%s')", "value", "value"),
     )
-    names = declared.select("file", F.lower("name").alias("k")).distinct()
-    left = open_.withColumn("k", low).join(names, ["file", "k"], "left_anti")
-    return _report(left, F.format_string("Variável '%s' não declarada (Undeclared variable '%s')", "value", "value"))
 
 
-def calls(near: DataFrame) -> DataFrame:
+def calls(parsed: DataFrame) -> DataFrame:
     """Calls with their number of arguments.
 
-    A token inside L open parentheses belongs to the latest '(' that raised the depth to L, so
-    one window per depth finds the call each comma and each argument belongs to.
+    Only parentheses and commas take part, each knowing whether anything else follows it. A mark
+    inside L open parentheses belongs to the latest '(' that raised the depth to L.
     """
-    is_open = (F.col("type") == "punctuation") & (F.col("value") == "(")
-    is_close = (F.col("type") == "punctuation") & (F.col("value") == ")")
-    step = F.when(is_open, 1).when(is_close, -1).otherwise(0)
-    deep = near.withColumn("depth", F.sum(step).over(_order("file").rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = deep.withColumn(
-        "opened",
-        F.last(F.when(is_open, F.col("n")), ignorenulls=True).over(
-            _order("file", "depth").rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    ).filter(F.col("opened").isNotNull() & ~is_open & ~is_close)
-    comma = (F.col("type") == "punctuation") & (F.col("value") == ",")
-    inside = grouped.groupBy("file", F.col("opened").alias("paren")).agg(
-        F.count_if(comma).alias("commas"), F.count_if(~comma).alias("content")
+    marks = _picked(parsed, lambda t: _mark(t, "(", ")", ",")).select(
+        "file", "n", "value",
+        (F.col("n1").isNotNull() & ~_mark(F.col("n1"), "(", ")", ",")).alias("content"),
+    )
+    is_open = F.col("value") == "("
+    step = F.when(is_open, 1).when(F.col("value") == ")", -1).otherwise(0)
+    upto = Window.unboundedPreceding
+    deep = marks.withColumn("depth", F.sum(step).over(_order("file").rowsBetween(upto, 0)))
+    owned = deep.withColumn(
+        "paren",
+        F.last(F.when(is_open, F.col("n")), ignorenulls=True).over(_order("file", "depth").rowsBetween(upto, 0)),
+    ).filter(F.col("paren").isNotNull())
+    inside = owned.groupBy("file", "paren").agg(
+        F.count_if(F.col("value") == ",").alias("commas"), F.max("content").alias("content")
     )
-    called = near.filter(
-        F.col("type").isin("identifier", "builtinFunction") & (F.col("n1.type") == "punctuation") & (F.col("n1.value") == "(")
-    ).select("file", "value", "line", "start", "end", (F.col("n") + 1).alias("paren"))
+    called = _picked(
+        parsed, lambda t: t["type"].isin("identifier", "builtinFunction") & _mark(t["n1"], "("), "functions"
+    ).withColumn("paren", F.col("n") + 1)
     return called.join(inside, ["file", "paren"], "left").select(
-        "file", "value", "line", "start", "end",
-        F.when(F.coalesce("content", F.lit(0)) > 0, F.col("commas") + 1).otherwise(0).alias("args"),
+        "file", "value", "line", "start", "end", "functions",
+        F.when(F.col("content"), F.col("commas") + 1).otherwise(0).alias("args"),
     )
 
 
@@ -195,124 +233,125 @@ def _arity_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "k string, lo int, hi int")
 
 
-def arity(near: DataFrame, declared: DataFrame) -> DataFrame:
+def arity(parsed: DataFrame) -> DataFrame:
     """Calls with too few or too many arguments, and calls of unknown functions."""
-    made = calls(near).withColumn("k", F.lower("value"))
-    known = made.join(F.broadcast(_arity_table(near)), "k", "left")
-    own = declared.filter("kind = 'function'").select("file", F.lower("name").alias("k")).distinct()
-    wrong = known.filter(F.col("lo").isNotNull() & ~F.col("args").between(F.col("lo"), F.col("hi")))
+    known = calls(parsed).withColumn("k", F.lower("value")).join(F.broadcast(_arity_table(parsed)), "k", "left")
     expected = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
-    unknown = known.filter(F.col("lo").isNull() & ~F.col("k").isin(UNCHECKED_CALLS)).join(own, ["file", "k"], "left_anti")
-    return _report(
-        wrong,
+    got = F.col("args").cast("string")
+    message = F.when(
+        ~F.col("args").between(F.col("lo"), F.col("hi")),
         F.format_string(
             "Função '%s': esperados %s argumento(s), recebidos %s (Function '%s': expected %s args, got %s)",
-            "value", expected, F.col("args").cast("string"), "value", expected, F.col("args").cast("string"),
+            "value", expected, got, "value", expected, got,
         ),
-    ).unionByName(
-        _report(unknown, F.format_string("Função '%s' desconhecida (Unknown function '%s')", "value", "value"))
+    ).when(
+        F.col("lo").isNull() & ~F.col("k").isin(UNCHECKED_CALLS) & ~F.array_contains("functions", F.col("k")),
+        F.format_string("Função '%s' desconhecida (Unknown function '%s')", "value", "value"),
     )
+    return _report(known.withColumn("m", message).filter(F.col("m").isNotNull()), F.col("m"))
 
 
-def _cursors(declared: DataFrame) -> DataFrame:
-    return (
-        declared.filter("kind = 'cursor'")
-        .groupBy("file", F.lower("name").alias("k")).agg(F.max_by("name", "line").alias("cursor"))
-    )
+def _cursor_names(parsed: DataFrame) -> DataFrame:
+    """The spelling a cursor is reported under: that of its last declaration."""
+    defined = _picked(parsed, lambda t: _is(t, "keyword", "definir") & _on_line(t) & (F.lower(t["n1"]["value"]) == "cursor"))
+    return defined.groupBy("file", F.lower("n2.value").alias("k")).agg(F.max_by("n2.value", "n").alias("cursor"))
 
 
-def cursor_events(near: DataFrame, declared: DataFrame) -> DataFrame:
+def cursor_events(parsed: DataFrame) -> DataFrame:
     """Method calls on declared cursors, with the state each one meets."""
-    method = F.lower("n2.value")
-    used = near.filter(
-        F.col("type").isin("identifier", "tableReference")
-        & (F.col("n1.type") == "punctuation") & (F.col("n1.value") == ".") & (F.col("n2.type") == "cursorMethod")
+    used = _picked(
+        parsed,
+        lambda t: t["type"].isin("identifier", "tableReference") & _mark(t["n1"], ".")
+        & (t["n2"]["type"] == "cursorMethod") & F.array_contains("cursors", F.lower(t["value"])),
     ).select(
-        "file", "n", F.lower("value").alias("k"), method.alias("method"), F.col("n2.line").alias("line"),
-        F.col("n2_start").alias("start"), F.col("n2_end").alias("end"),
+        "file", "n", F.lower("value").alias("k"), F.lower("n2.value").alias("method"), "n2.line", "n2.start", "n2.end"
     )
-    mine = used.join(_cursors(declared), ["file", "k"])
     leads_to = (
         F.when(F.col("method") == "sql", "SQL_SET").when(F.col("method") == "abrircursor", "OPENED")
         .when(F.col("method") == "fecharcursor", "CLOSED")
     )
     before = _order("file", "k").rowsBetween(Window.unboundedPreceding, -1)
-    return mine.withColumn("leads_to", leads_to).withColumn(
+    return used.withColumn("leads_to", leads_to).withColumn(
         "state", F.coalesce(F.last("leads_to", ignorenulls=True).over(before), F.lit("DECLARED"))
     )
 
 
-def cursor_lifecycle(near: DataFrame, declared: DataFrame) -> DataFrame:
-    events = cursor_events(near, declared)
+def cursor_lifecycle(parsed: DataFrame) -> DataFrame:
+    """Methods met in the wrong state, and cursors left open."""
+    events = cursor_events(parsed)
     opened = F.col("state") == "OPENED"
-    text = (
-        F.when(
-            (F.col("method") == "abrircursor") & (F.col("state") != "SQL_SET"),
-            F.format_string("Cursor '%s' aberto sem SQL definida (Cursor '%s' opened without SQL set)", "cursor", "cursor"),
-        )
-        .when(
-            (F.col("method") == "fecharcursor") & ~opened,
-            F.format_string("Cursor '%s' fechado sem estar aberto (Cursor '%s' closed without being open)", "cursor", "cursor"),
-        )
-        .when(
-            F.col("method").isin("achou", "naoachou") & ~opened,
-            F.format_string("Cursor '%s' testado sem estar aberto (Cursor '%s' tested without being open)", "cursor", "cursor"),
-        )
-        .when(
-            (F.col("method") == "proximo") & ~opened,
-            F.format_string("Cursor '%s': Proximo() sem cursor aberto (Cursor '%s': Proximo() without open cursor)", "cursor", "cursor"),
-        )
+    wrong = (
+        F.when((F.col("method") == "abrircursor") & (F.col("state") != "SQL_SET"), "open")
+        .when((F.col("method") == "fecharcursor") & ~opened, "close")
+        .when(F.col("method").isin("achou", "naoachou") & ~opened, "test")
+        .when((F.col("method") == "proximo") & ~opened, "next")
     )
-    misuse = _report(events.withColumn("m", text).filter(F.col("m").isNotNull()), F.col("m"))
-    last = events.groupBy("file", "k", "cursor").agg(
+    misuse = events.withColumn("wrong", wrong).filter(F.col("wrong").isNotNull()).select("file", "k", "wrong", "line", "start", "end")
+    final = events.groupBy("file", "k").agg(
         F.max_by("leads_to", F.when(F.col("leads_to").isNotNull(), F.col("n"))).alias("final")
+    ).filter("final = 'OPENED'").select(
+        "file", "k", F.lit("left").alias("wrong"), *[F.lit(0).alias(c) for c in ("line", "start", "end")]
     )
-    left_open = last.filter("final = 'OPENED'").select(
-        "file", "cursor", *[F.lit(0).alias(c) for c in ("line", "start", "end")]
-    )
-    return misuse.unionByName(
-        _report(left_open, F.format_string("Cursor '%s' não foi fechado (Cursor '%s' was never closed)", "cursor", "cursor"))
-    )
-
-
-def loops_without_next(near: DataFrame, declared: DataFrame) -> DataFrame:
+    texts = {
+        "open": "Cursor '%s' aberto sem SQL definida (Cursor '%s' opened without SQL set)",
+        "close": "Cursor '%s' fechado sem estar aberto (Cursor '%s' closed without being open)",
+        "test": "Cursor '%s' testado sem estar aberto (Cursor '%s' tested without being open)",
+        "next": "Cursor '%s': Proximo() sem cursor aberto (Cursor '%s': Proximo() without open cursor)",
+        "left": "Cursor '%s' não foi fechado (Cursor '%s' was never closed)",
+    }
+    message = F
+    for key, text in texts.items():
+        message = message.when(F.col("wrong") == key, F.format_string(text, "cursor", "cursor"))
+    return _report(misuse.unionByName(final).join(_cursor_names(parsed), ["file", "k"]), message)
+
+
+def loops_without_next(parsed: DataFrame) -> DataFrame:
     """While-loops that test a cursor but never move it on inside their block."""
-    step = F.when(_keyword("inicio"), 1).when(_keyword("fim"), -1).otherwise(0)
-    order = _order("file")
-    lookahead = order.rowsBetween(1, 9)
-    stop = (F.col("type") == "keyword") & F.lower("value").isin("inicio", "fim", "se", "senao")
-    is_test = (F.col("type") == "cursorMethod") & (F.lower("value") == "achou")
-    first_mark = F.first(F.when(stop | is_test, F.struct("n", is_test.alias("test"), F.col("p1"), F.col("p2"))), ignorenulls=True)
-    deep = near.withColumns(
-        {
-            "after": F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "mark": first_mark.over(lookahead),
-        }
-    ).withColumn("before", F.col("after") - step)
-    # a loop at depth d ends with the next 'fim' back to d; its block starts with the next 'inicio' from d
-    level = F.when(_keyword("fim"), F.col("after")).otherwise(F.col("before"))
+    def tested(ahead: Column) -> Column:
+        """Name of the cursor tested right after the loop word, before any block or branch word."""
+        marked = F.filter(
+            F.transform(
+                ahead,
+                lambda t, i: F.struct(
+                    _is(t, "cursorMethod", "achou").alias("test"),
+                    _is(t, "keyword", "inicio", "fim", "se", "senao").alias("stop"),
+                    F.when((i >= 2) & (F.get(ahead, i - 1)["value"] == "."), F.get(ahead, i - 2)["value"]).alias("name"),
+                ),
+            ),
+            lambda m: m["test"] | m["stop"],
+        )
+        first = F.get(marked, F.lit(0))
+        return F.when(first["test"], first["name"])
+
+    marks = _picked(parsed, lambda t: _is(t, "keyword", "inicio", "fim", "enquanto"), "cursors").select(
+        "file", "n", F.lower("value").alias("word"), "line", "start", "end", "cursors", tested(F.col("ahead")).alias("name")
+    )
+    step = F.when(F.col("word") == "inicio", 1).when(F.col("word") == "fim", -1).otherwise(0)
+    deep = marks.withColumn("after", F.sum(step).over(_order("file").rowsBetween(Window.unboundedPreceding, 0)))
+    # a loop met at depth d has its block from the next 'inicio' at d to the next 'fim' back to d
+    level = F.when(F.col("word") == "fim", F.col("after")).otherwise(F.col("after") - step)
     ahead = _order("file", "level").rowsBetween(1, Window.unboundedFollowing)
-    marks = deep.withColumn("level", level).filter(
-        _keyword("enquanto") | _keyword("inicio") | _keyword("fim")
-    ).withColumns(
-        {
-            "block_start": F.first(F.when(_keyword("inicio"), F.col("n")), ignorenulls=True).over(ahead),
-            "block_end": F.first(F.when(_keyword("fim"), F.col("n")), ignorenulls=True).over(ahead),
-        }
+    loops = (
+        deep.withColumn("level", level)
+        .withColumns(
+            {
+                f"block_{w}": F.first(F.when(F.col("word") == w, F.col("n")), ignorenulls=True).over(ahead)
+                for w in ("inicio", "fim")
+            }
+        )
+        .filter(
+            (F.col("word") == "enquanto") & F.array_contains("cursors", F.lower("name"))
+            & (F.col("block_inicio") < F.col("block_fim"))
+        )
+        .withColumn("k", F.lower("name"))
+    )
+    moves = _picked(parsed, lambda t: _is(t, "cursorMethod", "proximo") & (t["p1"]["value"] == ".")).select(
+        F.col("file").alias("m_file"), F.lower("p2.value").alias("m_k"), F.col("n").alias("m")
     )
-    loops = marks.filter(
-        _keyword("enquanto") & F.col("mark.test") & (F.col("mark.p1.value") == ".")
-        & (F.col("block_start") < F.col("block_end"))
-    ).select(
-        "file", "n", "line", "start", "end", "block_start", "block_end",
-        F.col("mark.p2.value").alias("name"), F.lower("mark.p2.value").alias("k"),
-    ).join(_cursors(declared).select("file", "k"), ["file", "k"], "left_semi")
-    moves = near.filter(
-        (F.col("type") == "cursorMethod") & (F.lower("value") == "proximo") & (F.col("p1.value") == ".")
-    ).select("file", F.lower("p2.value").alias("k"), F.col("n").alias("m"))
     stuck = loops.join(
         moves,
-        (loops["file"] == moves["file"]) & (loops["k"] == moves["k"]) & moves["m"].between(loops["block_start"], loops["block_end"]),
+        (F.col("file") == F.col("m_file")) & (F.col("k") == F.col("m_k"))
+        & F.col("m").between(F.col("block_inicio"), F.col("block_fim")),
         "left_anti",
     )
     return _report(
@@ -324,17 +363,12 @@ def loops_without_next(near: DataFrame, declared: DataFrame) -> DataFrame:
     )
 
 
-def semantic(tokens: DataFrame) -> DataFrame:
-    near = neighbours(tokens)
-    declared = declarations(near)
-    parts = [
-        duplicate_declarations(near), undeclared(near, declared), arity(near, declared),
-        cursor_lifecycle(near, declared), loops_without_next(near, declared),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+CHECKS = (duplicate_declarations, undeclared, arity, cursor_lifecycle, loops_without_next)
+
+
+def semantic(parsed: DataFrame) -> DataFrame:
+    """All checks. Each reads ``parsed``, so a large corpus is best parsed into a table first."""
+    return reduce(lambda a, b: a.unionByName(b), [check(parsed) for check in CHECKS])
 
 
 def summary(sources: DataFrame, issues: DataFrame) -> DataFrame:
@@ -369,14 +403,11 @@ def _upper_prefix(c: Column) -> Column:
 
 
 def table_refs(source: Column, pattern: str = TABLE_REF) -> Column:
-    found = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), _upper_prefix_of)
+    """Distinct references, first four characters upper-cased, sorted."""
+    found = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(0)), lambda t: _upper_prefix(t))
     return F.array_sort(F.array_distinct(found))
 
 
-def _upper_prefix_of(c: Column) -> Column:
-    return _upper_prefix(c)
-
-
 def field_refs(sources: DataFrame) -> DataFrame:
     """file, table, field: distinct qualified references."""
     pairs = F.arrays_zip(

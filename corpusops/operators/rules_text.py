@@ -69,7 +69,7 @@ _TOKEN = re.compile(
     |\.(?P<method>(?:%s)\b)
     |(?P<punctuation>[(){};,.:\\])
     |(?P<newline>\n)
-    |(?P<space>[^\S\n]+)
+    |(?P<space>(?:[^\S\n]|[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff])+)
     |(?P<unknown>.)"""
     % CURSOR_METHODS,
     re.X | re.A | re.I | re.S,
@@ -113,7 +113,7 @@ def tokens(source: str) -> list[tuple]:
             out.append([_word_type(m["method"]), m["method"], line, at + 1, at + len(value)])
         elif kind == "word":
             held = out[-2] if len(out) > 1 and out[-1][1:3] == [".", line] else None
-            if held and held[2] == line and held[0] == "tableReference" and out[-1][4] == at and "." not in held[1]:
+            if held and held[2] == line and held[0] == "tableReference" and out[-1][4] == at:
                 out.pop()
                 held[1], held[4] = f"{held[1]}.{value}", at + len(value)
             else:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "corpusops", cores: int | None = None, memory: str = "16g") -> SparkSession:
@@ -36,3 +37,13 @@ def scratch_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="corpusops-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for results several steps need.
+
+    A lost executor costs a re-read of files, not a re-run of what made them.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
