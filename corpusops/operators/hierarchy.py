@@ -20,28 +20,16 @@ def tree_paths(nodes: DataFrame, links: DataFrame, node: str, name: str, child:
     same in each step. Nodes that have arrived get a join key of their own, so they stay spread
     over the partitions instead of meeting on a null key.
     """
-    own = nodes.select(F.col(node).cast("string").alias("node"), F.col(name).alias("name"))
+    own = nodes.select(F.col(node).cast("string").alias("c"), F.col(name).alias("c_name"))
     up = (
         links.filter(F.col(child).isNotNull())
         .select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p"))
         .distinct()
+        .withColumn("linked", F.lit(True))
     )
-    step = (
-        own.select(F.col("node").alias("c"), F.col("name").alias("c_name"))
-        .join(up, "c", "left")
-        .select(
-            "c", "c_name",
-            F.struct(F.col("p").isNotNull().alias("more"), F.col("p").alias("p")).alias("next"),
-        )
-    )
-    has_link = up.select(F.col("c")).distinct().withColumn("linked", F.lit(True))
-    step = (
-        step.join(has_link, "c", "left")
-        .withColumn(
-            "state",
-            F.when(F.col("next.p").isNotNull(), "climb").when(F.col("linked"), "lost").otherwise("root"),
-        )
-        .select("c", "c_name", F.col("next.p").alias("p"), "state")
+    step = own.join(up, "c", "left").select(
+        "c", "c_name", "p",
+        F.when(F.col("p").isNotNull(), "climb").when(F.col("linked"), "lost").otherwise("root").alias("state"),
     )
     walk = step.select(
         F.col("c").alias("node"), F.col("c_name").alias("name"), F.col("p").alias("parent"),
