@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusops.session import stored
+
 MAX_LEVEL = 10
 
 
@@ -16,51 +20,40 @@ def tree_paths(nodes: DataFrame, links: DataFrame, node: str, name: str, child:
     A node below several parents appears once per path; nodes on a cycle, below a missing
     parent or deeper than ``max_level`` do not appear.
 
-    Every node climbs to its root, one join per level: one linear plan whose link side is the
-    same in each step. Nodes that have arrived get a join key of their own, so they stay spread
-    over the partitions instead of meeting on a null key.
+    Level by level: each level is written once and joined to the links for the next one, so the
+    plan does not grow with depth and the work ends at the deepest level there is. Parents with
+    very many children make the link side of a join skewed, never the level side, which is what
+    adaptive execution splits.
     """
-    own = nodes.select(F.col(node).cast("string").alias("c"), F.col(name).alias("c_name"))
-    up = (
-        links.filter(F.col(child).isNotNull())
-        .select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p"))
-        .distinct()
-        .withColumn("linked", F.lit(True))
+    named = nodes.select(F.col(node).alias("node"), F.col(name).alias("name"))
+    up = links.filter(F.col(child).isNotNull()).select(
+        F.col(child).alias("node"), F.col(parent).alias("parent")
     )
-    step = own.join(up, "c", "left").select(
-        "c", "c_name", "p",
-        F.when(F.col("p").isNotNull(), "climb").when(F.col("linked"), "lost").otherwise("root").alias("state"),
+    edges = stored(up.filter(F.col("parent").isNotNull()).join(named, "node"), "edges")
+    roots = named.join(up.select("node"), "node", "left_anti")
+    level = stored(
+        roots.select(
+            "node", "name", F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"),
+            F.lit(0).alias("level"), F.col("name").alias("path"),
+            F.array(F.col("node").cast("string")).alias("chain"),
+        ),
+        "level",
     )
-    walk = step.select(
-        F.col("c").alias("node"), F.col("c_name").alias("name"), F.col("p").alias("parent"),
-        F.array("c").alias("chain"), F.array("c_name").alias("names"), F.col("p").alias("top"), "state",
-    ).filter(F.col("state") != "lost")
-    for _ in range(max_level):
-        key = F.when(F.col("state") == "climb", F.concat(F.lit("n"), "top")).otherwise(
-            F.concat(F.lit("done:"), "node")
-        )
-        side = step.select(
-            F.concat(F.lit("n"), "c").alias("k"), F.col("c").alias("s_c"), F.col("c_name").alias("s_name"),
-            F.col("p").alias("s_p"), F.col("state").alias("s_state"),
+    levels = [level]
+    for depth in range(1, max_level + 1):
+        above = level.select(F.col("node").alias("parent"), F.col("path").alias("up_path"), F.col("chain").alias("up_chain"))
+        level = stored(
+            edges.join(above, "parent").select(
+                "node", "name", "parent", F.lit(depth).alias("level"),
+                F.concat_ws(" > ", "up_path", "name").alias("path"),
+                F.concat("up_chain", F.array(F.col("node").cast("string"))).alias("chain"),
+            ),
+            "level",
         )
-        climbing = F.col("state") == "climb"
-        walk = (
-            walk.withColumn("k", key)
-            .join(side, "k", "left")
-            .filter(~climbing | (F.col("s_c").isNotNull() & (F.col("s_state") != "lost")))
-            .select(
-                "node", "name", "parent",
-                F.when(climbing, F.concat(F.array("s_c"), "chain")).otherwise(F.col("chain")).alias("chain"),
-                F.when(climbing, F.concat(F.array("s_name"), "names")).otherwise(F.col("names")).alias("names"),
-                F.when(climbing, F.col("s_p")).alias("top"),
-                F.when(climbing, F.col("s_state")).otherwise(F.col("state")).alias("state"),
-            )
-        )
-    kind = nodes.schema[node].dataType
-    return walk.filter(F.col("state") == "root").select(
-        F.col("node").cast(kind).alias("node"), "name", F.col("parent").cast(kind).alias("parent"),
-        (F.size("chain") - 1).alias("level"), F.array_join("names", " > ").alias("path"), "chain",
-    )
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(lambda a, b: a.unionByName(b), levels)
 
 
 def ancestor_at(chain: Column, level: Column | int) -> Column:
