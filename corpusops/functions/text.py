@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space a JavaScript trim() removes.
-JS_SPACE = r"\t\n\x0B\f\r    -     　﻿"
+JS_SPACE = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+)
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -18,6 +21,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A filter on a column added by select() is moved below it with the whole expression in it,
+    which is then computed twice. A generator that yields one row keeps it in one place.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -28,7 +40,7 @@ def first_given(*cs: Column) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    return F.trim(c, F.lit(JS_SPACE))
 
 
 def collapse_whitespace(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.functions.text import blank_to_null, collapse_whitespace, labelled_lines
+from corpusops.functions.text import blank_to_null, collapse_whitespace, labelled_lines, once
 
 MIN_CHARS = 50
 MIN_CHARS_FLOOR = 20
@@ -46,7 +46,7 @@ def doc_metadata(row: DataFrame) -> Column:
 
 def doc_status(lines: DataFrame, limit: int = MIN_CHARS) -> DataFrame:
     """Cleaned text and what becomes of each line: error, skipped or ready."""
-    cleaned = lines.withColumn("text", collapse_whitespace(F.col("text")))
+    cleaned = once(lines.withColumnRenamed("text", "_raw"), text=collapse_whitespace(F.col("_raw"))).drop("_raw")
     return cleaned.withColumn(
         "status",
         F.when(F.col("_corrupt_record").isNotNull(), "error")

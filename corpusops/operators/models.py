@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,13 +96,27 @@ def get_model(files: DataFrame, name: str) -> DataFrame:
     return files.filter(F.col("name") == name).limit(1)
 
 
-def _hits(words: list[str], names: list[str], contents: list[str]) -> np.ndarray:
-    """hits[i, j] = 1 where file i holds word j in its name or content."""
-    out = np.zeros((len(names), len(words)))
-    for i, (n, c) in enumerate(zip(names, contents)):
-        low = n.lower() + "\x00" + (c or "").lower()
-        out[i] = [w in low for w in words]
-    return out
+SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _word_finder(at: dict[str, int]):
+    """Words (by number) inside a text. A word holds no white space, so it stands inside one of
+    the text's tokens; the words inside a token are looked up by the token's own pieces."""
+    longest = max(map(len, at), default=0)
+
+    @lru_cache(maxsize=200_000)
+    def inside(token: str) -> tuple[int, ...]:
+        n = len(token)
+        pieces = {token[i : i + k] for i in range(n) for k in range(1, min(longest, n - i) + 1)}
+        return tuple(at[p] for p in pieces & at.keys())
+
+    def find(text: str) -> list[int]:
+        found = {w for token in set(SPACES.split(text)) for w in inside(token)}
+        if "" in at:
+            found.add(at[""])
+        return sorted(found)
+
+    return find
 
 
 def keyword_topk(files: DataFrame, requests: DataFrame, limit: int = MAX_KEYWORD_EXAMPLES) -> DataFrame:
@@ -143,9 +159,11 @@ def _keyword_share(files: DataFrame, requests: DataFrame, limit: int) -> DataFra
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, words, weight = shared.value
         tops = _Tops(len(ids), limit)
+        find = _word_finder({w: i for i, w in enumerate(words)})
         for frame in frames:
             names = frame["name"].tolist()
-            scores = _hits(words, names, frame["content"].tolist()) @ weight
+            texts = [f"{n}\n{c or ''}".lower() for n, c in zip(names, frame["content"])]
+            scores = np.array([weight[find(t)].sum(axis=0) for t in texts])
             tops.add(np.asarray(names, dtype=object), scores)
         if ids:
             yield tops.frame(ids).set_axis(["request_id", "name", "score"], axis=1)
@@ -230,6 +248,8 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     pair = a.join(b, "filename")
     ca, cb = F.col("a"), F.col("b")
 
+    nothing = F.lit(None).cast("struct<path:string,before:string,after:string>")
+
     def size(x: Column) -> Column:
         return F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0))
 
@@ -269,11 +289,13 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
         def child_entries(j: Column) -> Column:
             p, q = F.get(x["children"], j), F.get(y["children"], j)
             where = F.concat(at, F.lit("children["), j, F.lit("]."))
-            return F.array(
+            entries = F.array(
                 *[_entry(_unequal(p[k], q[k]), F.concat(where, F.lit(k)), p[k], q[k]) for k in DIFF_CHILD]
             )
+            return F.when(_unequal(p, q), entries).otherwise(F.array(nothing))
 
-        return F.concat(F.array(*own), F.flatten(F.transform(positions(F.least(mx, my)), child_entries)))
+        every = F.concat(F.array(*own), F.flatten(F.transform(positions(F.least(mx, my)), child_entries)))
+        return F.when(_unequal(x, y), every).otherwise(F.array(nothing))
 
     parts.append(F.flatten(F.transform(positions(F.least(na, nb)), band_entries)))
     found = F.filter(F.concat(*parts), lambda e: e.isNotNull())

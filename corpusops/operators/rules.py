@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.functions.text import bind
 from corpusops.operators import rules_text as rt
 
 TOKEN = "array<struct<type:string,value:string,line:int,start:int,end:int>>"
@@ -52,86 +52,129 @@ FREE_WORDS = ["retorna", "erro", "alerta", "gravarnl", "lernl", "i", "p", "prime
 UNCHECKED_CALLS = ["abrircursor", "fecharcursor", "proximo"]
 
 
+def _arrays(found: list[list[tuple]], fields: dict[str, pa.DataType]) -> pa.ListArray:
+    """Rows of tuples as one Arrow list column, built column by column."""
+    offsets = np.zeros(len(found) + 1, dtype=np.int32)
+    np.cumsum([len(f) for f in found], out=offsets[1:])
+    columns = list(zip(*(x for f in found for x in f))) or [()] * len(fields)
+    parts = [pa.array(c, type=t) for c, t in zip(columns, fields.values())]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, names=list(fields)))
+
+
+_PLACE = {"line": pa.int32(), "start": pa.int32(), "end": pa.int32()}
+
+
 def _scan(source: str) -> Column:
-    @F.pandas_udf(TOKEN)
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("type", "value", "line", "start", "end"), x)) for x in rt.tokens(t)])
+    @F.arrow_udf(TOKEN)
+    def scan(texts: pa.Array) -> pa.Array:
+        return _arrays([rt.tokens(t or "") for t in texts.to_pylist()], {"type": pa.string(), "value": pa.string(), **_PLACE})
 
     return scan(source)
 
 
-def tokenize(sources: DataFrame) -> DataFrame:
+def scan(sources: DataFrame) -> DataFrame:
+    """One row per file with its tokens as a list; the table the checks start from."""
+    return sources.select("file", _scan("source").alias("ts"))
+
+
+def tokenize(scanned: DataFrame) -> DataFrame:
     """file, n, type, value, line, start, end."""
-    return sources.select("file", F.posexplode(_scan("source")).alias("n", "t")).select("file", "n", "t.*")
+    return scanned.select("file", F.posexplode("ts").alias("n", "t")).select("file", "n", "t.*")
 
 
 def structure(sources: DataFrame) -> DataFrame:
-    @F.pandas_udf(FAULT)
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("severity", "message", "line", "start", "end"), x)) for x in rt.faults(t)])
+    @F.arrow_udf(FAULT)
+    def find(texts: pa.Array) -> pa.Array:
+        return _arrays([rt.faults(t or "") for t in texts.to_pylist()], {"severity": pa.string(), "message": pa.string(), **_PLACE})
+
+    return sources.select("file", F.explode(find("source")).alias("f")).select("file", "f.*")
 
-    return sources.select("file", F.explode(scan("source")).alias("f")).select("file", "f.*")
 
+class Tok:
+    """The token at position ``i`` of a list, with its neighbours p1, p2, n1, n2 by name."""
 
-def _is(t: Column, kind: str, *values: str) -> Column:
+    near = {"p1": -1, "p2": -2, "n1": 1, "n2": 2}
+
+    def __init__(self, ts: Column, i: Column):
+        self.ts, self.i = ts, i
+
+    def __getitem__(self, name: str) -> Column:
+        if name in self.near:
+            return F.get(self.ts, self.i + self.near[name])
+        return F.get(self.ts, self.i)[name]
+
+
+def _is(t, kind: str, *values: str) -> Column:
     return (t["type"] == kind) & F.lower(t["value"]).isin(list(values))
 
 
-def _mark(t: Column, *values: str) -> Column:
+def _mark(t, *values: str) -> Column:
     return (t["type"] == "punctuation") & t["value"].isin(list(values))
 
 
-def _defines_variable(t: Column) -> Column:
+def _defines_variable(t) -> Column:
     return _is(t, "keyword", "definir") & F.lower(t["n1"]["value"]).isin(rt.DECLARED_TYPES)
 
 
-def _on_line(t: Column) -> Column:
+def _on_line(t) -> Column:
     """Both following tokens stand on the token's own line."""
     return (t["n1"]["line"] == t["line"]) & (t["n2"]["line"] == t["line"])
 
 
-def parse(sources: DataFrame) -> DataFrame:
-    """One row per file: its tokens, each with its neighbours, and the names it declares.
-
-    Neighbours and names are taken inside the row the tokens came from, so the checks below
-    filter the tokens they look at before any of them is shuffled.
-    """
-    def near(ts: Column) -> Column:
-        def cell(t: Column, i: Column) -> Column:
-            return F.struct(
-                i.alias("n"), t["type"].alias("type"), t["value"].alias("value"), t["line"].alias("line"),
-                t["start"].alias("start"), t["end"].alias("end"),
-                F.get(ts, i - 1).alias("p1"), F.get(ts, i - 2).alias("p2"),
-                F.get(ts, i + 1).alias("n1"), F.get(ts, i + 2).alias("n2"),
-                F.when(_is(t, "keyword", "enquanto"), F.slice(ts, i + 2, LOOKAHEAD)).alias("ahead"),
-            )
+def _positions(ts: Column, keep) -> Column:
+    """Positions of the tokens that ``keep`` wants."""
+    return F.filter(
+        F.transform(ts, lambda t, i: F.when(keep(Tok(ts, i)), i)), lambda i: i.isNotNull()
+    )
 
-        return F.transform(ts, cell)
 
-    tokens = sources.select("file", _scan("source").alias("ts")).select("file", bind(F.col("ts"), near).alias("near"))
+def parse(scanned: DataFrame) -> DataFrame:
+    """The scanned files with the lower-cased names each one declares.
 
+    Names, and below the tokens a check looks at, are taken inside the row the tokens are in;
+    only what a check keeps is ever shuffled.
+    """
     def names(keep, name) -> Column:
-        return F.array_distinct(F.transform(F.filter("near", keep), lambda t: F.lower(name(t))))
+        ts = F.col("ts")
+        return F.array_distinct(F.transform(_positions(ts, keep), lambda i: F.lower(name(Tok(ts, i)))))
 
-    return tokens.withColumns(
+    return scanned.withColumns(
         {
             "variables": names(lambda t: _defines_variable(t) & _on_line(t), lambda t: t["n2"]["value"]),
-            "cursors": names(
-                lambda t: _is(t, "keyword", "definir") & _on_line(t) & (F.lower(t["n1"]["value"]) == "cursor"),
-                lambda t: t["n2"]["value"],
-            ),
-            "functions": names(
-                lambda t: _on_line(t) & (_is(t, "keyword", "funcao") | (_is(t, "keyword", "definir") & (F.lower(t["n1"]["value"]) == "funcao"))),
-                lambda t: F.regexp_replace(
-                    F.when(_is(t, "keyword", "funcao"), t["n1"]["value"]).otherwise(t["n2"]["value"]), r"\(.*\)", ""
-                ),
-            ),
+            "cursors": names(_defines_cursor, lambda t: t["n2"]["value"]),
+            "functions": names(_names_function, lambda t: _function_name(t)),
         }
     )
 
 
+def _defines_cursor(t) -> Column:
+    return _is(t, "keyword", "definir") & _on_line(t) & (F.lower(t["n1"]["value"]) == "cursor")
+
+
+def _names_function(t) -> Column:
+    defined = _is(t, "keyword", "definir") & (F.lower(t["n1"]["value"]) == "funcao")
+    return _on_line(t) & (_is(t, "keyword", "funcao") | defined)
+
+
+def _function_name(t) -> Column:
+    said = F.when(_is(t, "keyword", "funcao"), t["n1"]["value"]).otherwise(t["n2"]["value"])
+    return F.regexp_replace(said, r"\(.*\)", "")
+
+
 def _picked(parsed: DataFrame, keep, *more: str) -> DataFrame:
-    return parsed.select("file", *more, F.explode(F.filter("near", keep)).alias("t")).select("file", *more, "t.*")
+    """Rows of the kept tokens with their neighbours; these are built for kept tokens only."""
+    ts = F.col("ts")
+
+    def cell(i: Column) -> Column:
+        t = Tok(ts, i)
+        return F.struct(
+            i.alias("n"),
+            *[t[c].alias(c) for c in ("type", "value", "line", "start", "end", "p1", "p2", "n1", "n2")],
+            F.when(_is(t, "keyword", "enquanto"), F.slice(ts, i + 2, LOOKAHEAD)).alias("ahead"),
+        )
+
+    kept = F.transform(_positions(ts, keep), cell)
+    return parsed.select("file", *more, F.explode(kept).alias("t")).select("file", *more, "t.*")
 
 
 def _order(*keys: str) -> Window:
@@ -148,11 +191,7 @@ def declarations(parsed: DataFrame) -> DataFrame:
     )
     kinds = F.when(F.col("cursor"), F.array(F.lit("variable"), F.lit("cursor"))).otherwise(F.array(F.lit("variable")))
     rows = latest.select("file", F.explode(kinds).alias("kind"), "name", "v.declared", "v.line")
-    named = _picked(
-        parsed,
-        lambda t: _on_line(t)
-        & (_is(t, "keyword", "funcao") | (_is(t, "keyword", "definir") & (F.lower(t["n1"]["value"]) == "funcao"))),
-    )
+    named = _picked(parsed, _names_function)
     said = F.when(F.lower("value") == "funcao", F.col("n1.value")).otherwise(F.col("n2.value"))
     functions = (
         named.groupBy("file", F.regexp_replace(said, r"\(.*\)", "").alias("name")).agg(F.min("line").alias("line"))
@@ -179,7 +218,7 @@ def duplicate_declarations(parsed: DataFrame) -> DataFrame:
 
 def undeclared(parsed: DataFrame) -> DataFrame:
     """Identifiers that nothing declares: not a variable, function or known word, not a member."""
-    def unknown(t: Column) -> Column:
+    def unknown(t) -> Column:
         low = F.lower(t["value"])
         known_place = _mark(t["p1"], ".") | _is(t["p1"], "keyword", "definir") | _is(t["p2"], "keyword", "definir")
         return (
@@ -253,7 +292,7 @@ def arity(parsed: DataFrame) -> DataFrame:
 
 def _cursor_names(parsed: DataFrame) -> DataFrame:
     """The spelling a cursor is reported under: that of its last declaration."""
-    defined = _picked(parsed, lambda t: _is(t, "keyword", "definir") & _on_line(t) & (F.lower(t["n1"]["value"]) == "cursor"))
+    defined = _picked(parsed, _defines_cursor)
     return defined.groupBy("file", F.lower("n2.value").alias("k")).agg(F.max_by("n2.value", "n").alias("cursor"))
 
 
@@ -367,7 +406,7 @@ CHECKS = (duplicate_declarations, undeclared, arity, cursor_lifecycle, loops_wit
 
 
 def semantic(parsed: DataFrame) -> DataFrame:
-    """All checks. Each reads ``parsed``, so a large corpus is best parsed into a table first."""
+    """All checks. Each reads ``parsed``, so a large corpus is best scanned into a table first."""
     return reduce(lambda a, b: a.unionByName(b), [check(parsed) for check in CHECKS])
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.functions.text import collapse_whitespace, split_lines
+from corpusops.functions.text import collapse_whitespace, once, split_lines
 from corpusops.operators import chunking, ingest, merge, tagging
 from corpusops.operators.tagging import TagRule
 from corpusops.plans.registry import query
@@ -32,7 +32,7 @@ def ing_collapse_ws(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, CAST(length({CLEAN}) AS BIGINT) AS n FROM documents WHERE length({CLEAN}) >= 50""")
 def ing_min_chars(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length(collapse_whitespace(F.col("text"))).cast("long")
-    docs = documents(spark, sf).select("doc_id", n.alias("n"))
+    docs = once(documents(spark, sf), n=n).select("doc_id", "n")
     return docs.filter(F.col("n") >= ingest.min_chars())
 
 
@@ -337,8 +337,7 @@ WITH k AS (SELECT sha1({CLEAN}) AS content_hash, doc_id, lang, source FROM docum
 r AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id DESC) AS rn FROM k)
 SELECT 'docs' AS domain, content_hash, doc_id, lang AS context, source FROM r WHERE rn = 1""")
 def ing_dedupe_last(spark: SparkSession, sf: str) -> DataFrame:
-    t = collapse_whitespace(F.col("text"))
-    rows = documents(spark, sf).withColumn("t", t).filter(F.length("t") >= 50).select(
+    rows = once(documents(spark, sf), t=collapse_whitespace(F.col("text"))).filter(F.length("t") >= 50).select(
         F.lit("docs").alias("domain"), F.sha1("t").alias("content_hash"), "doc_id",
         F.col("lang").alias("context"), "source",
     )

@@ -44,11 +44,11 @@ _F = """o AS (SELECT 'RULE' || o_orderkey || '.rule' AS file, o_orderkey AS k, o
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.tokenize(sources(spark, sf))
+    return rules.tokenize(rules.scan(sources(spark, sf)))
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.parse(sources(spark, sf))
+    return rules.parse(rules.scan(sources(spark, sf)))
 
 
 @query("rul_tokens", f"""WITH {_F},
@@ -167,7 +167,7 @@ SELECT count(*) AS files, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(warnin
   count(*) FILTER (WHERE errors = 0) AS ok, count(*) FILTER (WHERE errors > 0) AS fail FROM p""")
 def rul_summary(spark: SparkSession, sf: str) -> DataFrame:
     src = sources(spark, sf)
-    issues = rules.structure(src).unionByName(rules.semantic(stored(rules.parse(src), "parsed")))
+    issues = rules.structure(src).unionByName(rules.semantic(rules.parse(stored(rules.scan(src), "tokens"))))
     return rules.batch_summary(rules.summary(src, issues))
 
 
