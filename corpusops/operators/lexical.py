@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusops.functions.text import TOKEN_BREAK, bind, words
+from corpusops.session import stored
 
 CHUNK = r'-?"[^"]*"?|\S+'
-EMPTY_ITEMS = "array<array<string>>"
+
+# three short strings a row: a few megabytes at most
+BROADCAST_ROWS = 100_000
 
 
 def _parts(query: Column) -> Column:
@@ -211,42 +214,39 @@ def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, text_score) of every chunk that scores above zero, for many queries.
 
     Each clause is looked up by its rarest word only (by document count), so a clause meets the
-    chunks that hold that word and no others. Texts are joined to the (chunk, clause) candidates
-    by their unique id and scored inside the row; words and counts travel, not texts.
+    chunks that hold that word and no others. The candidates are written down and counted: while
+    they are few enough to be broadcast, texts are scored inside their rows and not shuffled.
     """
     wanted = queries.select(
         F.col("query_id").cast("string").alias("query_id"), F.explode(clauses(F.col("text"))).alias("c")
+    ).select("query_id", "c.clause", "c.items", "c.forbidden")
+    asked = wanted.select(
+        "query_id", "clause", F.explode(F.array_distinct(F.flatten("items"))).alias("word")
     )
-    vocabulary = wanted.select(
-        F.explode(F.array_distinct(F.flatten("c.items"))).alias("word")
-    ).distinct()
     holds = chunks.select(
         "chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")
-    ).join(vocabulary, "word", "left_semi")
+    ).join(asked.select("word").distinct(), "word", "left_semi")
     frequency = holds.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    anchored = (
-        wanted.select(
-            "query_id", "c", F.explode(F.array_distinct(F.flatten("c.items"))).alias("word")
-        )
-        .join(frequency, "word", "left")
-        .groupBy("query_id", F.col("c.clause").alias("clause"))
-        .agg(
-            F.min_by("word", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"))).alias("word"),
-            F.first("c").alias("c"),
-            F.min(F.coalesce("n", F.lit(0))).alias("n"),
-        )
-        .filter(F.col("n") > 0)
+    n = F.coalesce("n", F.lit(0))
+    anchors = (
+        asked.join(frequency, "word", "left")
+        .groupBy("query_id", "clause")
+        .agg(F.min(F.struct(n.alias("n"), F.col("word"))).alias("rarest"))
+        .filter(F.col("rarest.n") > 0)
+        .select("query_id", "clause", F.col("rarest.word").alias("word"))
     )
-    candidates = holds.join(anchored, "word").select("chunk_id", "query_id", "c")
+    candidates = stored(holds.join(anchors, "word").select("chunk_id", "query_id", "clause"), "candidates")
+    few = candidates.count() <= BROADCAST_ROWS
     scored = (
         chunks.select("chunk_id", "text")
-        .join(candidates, "chunk_id")
-        .filter(_holds_all(F.col("text"), F.col("c.items")))
+        .join(F.broadcast(candidates) if few else candidates, "chunk_id")
+        .join(wanted, ["query_id", "clause"])
+        .filter(_holds_all(F.col("text"), F.col("items")))
         .select(
             "query_id", "chunk_id",
             bind(
                 words(F.col("text")),
-                lambda toks: clause_score(toks, F.col("c.items"), F.col("c.forbidden")),
+                lambda toks: clause_score(toks, F.col("items"), F.col("forbidden")),
             ).alias("s"),
         )
     )

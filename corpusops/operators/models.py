@@ -40,11 +40,16 @@ def _found(text: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), lambda t: F.upper(t))
 
 
+def _joined(lists: Column) -> Column:
+    """One list of all that are there; a missing list counts as empty."""
+    return F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+
+
 def references(models: DataFrame, pattern: str = TABLE_NAME) -> DataFrame:
     """Per model its tables (sorted) and SQL fragments; everything stays inside the row."""
     sources = F.map_values("sections")
     from_rules = F.flatten(F.transform(sources, lambda s: _found(s, pattern)))
-    children = F.flatten(F.transform("bands", lambda b: b["children"]))
+    children = _joined(F.transform("bands", lambda b: b["children"]))
     from_children = F.flatten(
         F.transform(
             children,
@@ -54,7 +59,7 @@ def references(models: DataFrame, pattern: str = TABLE_NAME) -> DataFrame:
             ),
         )
     )
-    from_bands = F.flatten(F.transform("bands", lambda b: F.transform(b["tableList"], lambda t: F.upper(t))))
+    from_bands = _joined(F.transform("bands", lambda b: F.transform(b["tableList"], lambda t: F.upper(t))))
     empty = F.array().cast("array<string>")
     every = F.concat(*[F.coalesce(c, empty) for c in (from_rules, from_children, from_bands)])
     fragments = F.flatten(

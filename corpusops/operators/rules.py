@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusops.functions.text import once
 from corpusops.operators import rules_text as rt
 
-TOKEN = "array<struct<type:string,value:string,line:int,start:int,end:int>>"
+TOKEN = "array<struct<n:int,type:string,value:string,line:int,start:int,end:int>>"
 FAULT = "array<struct<severity:string,message:string,line:int,start:int,end:int>>"
 
+NEIGHBOURS = ("p1", "p2", "n1", "n2")
+
 # tokens looked at after a loop word
 LOOKAHEAD = 9
 
@@ -67,7 +70,8 @@ _PLACE = {"line": pa.int32(), "start": pa.int32(), "end": pa.int32()}
 def _scan(source: str) -> Column:
     @F.arrow_udf(TOKEN)
     def scan(texts: pa.Array) -> pa.Array:
-        return _arrays([rt.tokens(t or "") for t in texts.to_pylist()], {"type": pa.string(), "value": pa.string(), **_PLACE})
+        found = [[(n, *x) for n, x in enumerate(rt.tokens(t or ""))] for t in texts.to_pylist()]
+        return _arrays(found, {"n": pa.int32(), "type": pa.string(), "value": pa.string(), **_PLACE})
 
     return scan(source)
 
@@ -79,7 +83,7 @@ def scan(sources: DataFrame) -> DataFrame:
 
 def tokenize(scanned: DataFrame) -> DataFrame:
     """file, n, type, value, line, start, end."""
-    return scanned.select("file", F.posexplode("ts").alias("n", "t")).select("file", "n", "t.*")
+    return scanned.select("file", F.explode("ts").alias("t")).select("file", "t.*")
 
 
 def structure(sources: DataFrame) -> DataFrame:
@@ -91,17 +95,13 @@ def structure(sources: DataFrame) -> DataFrame:
 
 
 class Tok:
-    """The token at position ``i`` of a list, with its neighbours p1, p2, n1, n2 by name."""
-
-    near = {"p1": -1, "p2": -2, "n1": 1, "n2": 2}
+    """A token of the zipped list: its own fields, and its neighbours p1, p2, n1, n2, by name."""
 
-    def __init__(self, ts: Column, i: Column):
-        self.ts, self.i = ts, i
+    def __init__(self, element: Column):
+        self.element = element
 
     def __getitem__(self, name: str) -> Column:
-        if name in self.near:
-            return F.get(self.ts, self.i + self.near[name])
-        return F.get(self.ts, self.i)[name]
+        return self.element[name] if name in NEIGHBOURS else self.element["t"][name]
 
 
 def _is(t, kind: str, *values: str) -> Column:
@@ -121,28 +121,36 @@ def _on_line(t) -> Column:
     return (t["n1"]["line"] == t["line"]) & (t["n2"]["line"] == t["line"])
 
 
-def _positions(ts: Column, keep) -> Column:
-    """Positions of the tokens that ``keep`` wants."""
-    return F.filter(
-        F.transform(ts, lambda t, i: F.when(keep(Tok(ts, i)), i)), lambda i: i.isNotNull()
-    )
+def _zipped() -> Column:
+    """Every token next to its neighbours, by shifting the whole list."""
+    ts, n = F.col("ts"), F.size("ts")
+    gap = F.array(F.lit(None).cast(TOKEN[6:-1]))
+    shifted = {
+        "t": ts,
+        "p1": F.slice(F.concat(gap, ts), F.lit(1), n),
+        "p2": F.slice(F.concat(gap, gap, ts), F.lit(1), n),
+        "n1": F.slice(F.concat(ts, gap), F.lit(2), n),
+        "n2": F.slice(F.concat(ts, gap, gap), F.lit(3), n),
+    }
+    return F.arrays_zip(*[c.alias(name) for name, c in shifted.items()])
 
 
 def parse(scanned: DataFrame) -> DataFrame:
-    """The scanned files with the lower-cased names each one declares.
+    """The scanned files with their tokens next to their neighbours, and with the lower-cased
+    names each one declares.
 
     Names, and below the tokens a check looks at, are taken inside the row the tokens are in;
     only what a check keeps is ever shuffled.
     """
     def names(keep, name) -> Column:
-        ts = F.col("ts")
-        return F.array_distinct(F.transform(_positions(ts, keep), lambda i: F.lower(name(Tok(ts, i)))))
+        kept = F.filter("near", lambda e: keep(Tok(e)))
+        return F.array_distinct(F.transform(kept, lambda e: F.lower(name(Tok(e)))))
 
-    return scanned.withColumns(
+    return once(scanned, near=_zipped()).withColumns(
         {
             "variables": names(lambda t: _defines_variable(t) & _on_line(t), lambda t: t["n2"]["value"]),
             "cursors": names(_defines_cursor, lambda t: t["n2"]["value"]),
-            "functions": names(_names_function, lambda t: _function_name(t)),
+            "functions": names(_names_function, _function_name),
         }
     )
 
@@ -153,7 +161,7 @@ def _defines_cursor(t) -> Column:
 
 def _names_function(t) -> Column:
     defined = _is(t, "keyword", "definir") & (F.lower(t["n1"]["value"]) == "funcao")
-    return _on_line(t) & (_is(t, "keyword", "funcao") | defined)
+    return (t["type"] == "keyword") & (_is(t, "keyword", "funcao") | defined) & _on_line(t)
 
 
 def _function_name(t) -> Column:
@@ -162,19 +170,11 @@ def _function_name(t) -> Column:
 
 
 def _picked(parsed: DataFrame, keep, *more: str) -> DataFrame:
-    """Rows of the kept tokens with their neighbours; these are built for kept tokens only."""
-    ts = F.col("ts")
-
-    def cell(i: Column) -> Column:
-        t = Tok(ts, i)
-        return F.struct(
-            i.alias("n"),
-            *[t[c].alias(c) for c in ("type", "value", "line", "start", "end", "p1", "p2", "n1", "n2")],
-            F.when(_is(t, "keyword", "enquanto"), F.slice(ts, i + 2, LOOKAHEAD)).alias("ahead"),
-        )
-
-    kept = F.transform(_positions(ts, keep), cell)
-    return parsed.select("file", *more, F.explode(kept).alias("t")).select("file", *more, "t.*")
+    """Rows of the kept tokens with their neighbours."""
+    kept = F.filter("near", lambda e: keep(Tok(e)))
+    return parsed.select("file", *more, F.explode(kept).alias("e")).select(
+        "file", *more, "e.t.*", *[F.col(f"e.{p}").alias(p) for p in NEIGHBOURS]
+    )
 
 
 def _order(*keys: str) -> Window:
@@ -346,24 +346,21 @@ def cursor_lifecycle(parsed: DataFrame) -> DataFrame:
 
 def loops_without_next(parsed: DataFrame) -> DataFrame:
     """While-loops that test a cursor but never move it on inside their block."""
-    def tested(ahead: Column) -> Column:
-        """Name of the cursor tested right after the loop word, before any block or branch word."""
-        marked = F.filter(
-            F.transform(
-                ahead,
-                lambda t, i: F.struct(
-                    _is(t, "cursorMethod", "achou").alias("test"),
-                    _is(t, "keyword", "inicio", "fim", "se", "senao").alias("stop"),
-                    F.when((i >= 2) & (F.get(ahead, i - 1)["value"] == "."), F.get(ahead, i - 2)["value"]).alias("name"),
-                ),
-            ),
-            lambda m: m["test"] | m["stop"],
+    blocks = ("inicio", "fim", "enquanto", "se", "senao")
+    seen = _picked(parsed, lambda t: _is(t, "keyword", *blocks) | _is(t, "cursorMethod", "achou"), "cursors").select(
+        "file", "n", F.lower("value").alias("word"), "line", "start", "end", "cursors",
+        F.when(F.col("p1.value") == ".", F.col("p2.value")).alias("name"),
+    )
+    # the cursor tested right after the loop word, before any block or branch word
+    w = _order("file").rowsBetween(1, Window.unboundedFollowing)
+    stop = F.when(F.col("word") != "enquanto", F.struct("n", "word", "name"))
+    following = F.first(stop, ignorenulls=True).over(w)
+    marks = (
+        seen.withColumn("f", following)
+        .filter(F.col("word").isin("inicio", "fim", "enquanto"))
+        .withColumn(
+            "name", F.when((F.col("f.word") == "achou") & (F.col("f.n") <= F.col("n") + LOOKAHEAD), F.col("f.name"))
         )
-        first = F.get(marked, F.lit(0))
-        return F.when(first["test"], first["name"])
-
-    marks = _picked(parsed, lambda t: _is(t, "keyword", "inicio", "fim", "enquanto"), "cursors").select(
-        "file", "n", F.lower("value").alias("word"), "line", "start", "end", "cursors", tested(F.col("ahead")).alias("name")
     )
     step = F.when(F.col("word") == "inicio", 1).when(F.col("word") == "fim", -1).otherwise(0)
     deep = marks.withColumn("after", F.sum(step).over(_order("file").rowsBetween(Window.unboundedPreceding, 0)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusops.operators import modelkb as kb
 from corpusops.plans.registry import query
-from corpusops.tables import table
+from corpusops.session import stored
+from corpusops.tables import spread, table
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,13 +18,14 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linestatus") == "O", F.concat(F.lit(" R"), part)
     ).when((F.col("l_quantity") == 50), F.concat(F.lit("E"), part)).otherwise(F.concat(F.lit("R"), part))
     pos = F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("report"), pos.alias("pos"), ref.alias("ref")
     )
 
 
 def refs(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.clean_refs(mentions(spark, sf))
+    """The cleaned references as a table of their own: most queries below read it several times."""
+    return stored(kb.clean_refs(mentions(spark, sf)), "refs")
 
 
 REFS = """m AS (SELECT l_orderkey AS report, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos, lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS p,
@@ -40,13 +42,13 @@ DOMINANT = """dom AS (SELECT report, tab AS dominant FROM refs JOIN used USING (
 
 @query("kb_refs_clean", f'WITH {REFS} SELECT report, tab AS "table", pos FROM refs')
 def kb_refs_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return refs(spark, sf)
+    return kb.clean_refs(mentions(spark, sf))
 
 
 @query("kb_usage", f"""WITH {REFS}
 SELECT tab AS "table", reports, tab IN (SELECT tab FROM topt) AS is_top, reports >= 5 AS is_often FROM used""")
 def kb_usage(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.usage_ranked(refs(spark, sf))
+    return kb.usage_ranked(kb.clean_refs(mentions(spark, sf)))
 
 
 @query("kb_join_pairs", f"WITH {REFS}, {PAIRS} SELECT a, b, reports FROM pairs ORDER BY reports DESC, a, b LIMIT 200")
