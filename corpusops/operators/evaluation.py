@@ -101,11 +101,13 @@ def metrics(hits: DataFrame) -> DataFrame:
 
 
 def metrics_by_domain(hits: DataFrame) -> DataFrame:
-    """Every known domain, asked or not, and 'overall'; the hits are read once."""
-    spark = hits.sparkSession
-    listed = spark.createDataFrame([(d,) for d in [*DOMAINS, "overall"]], "domain string")
+    """Every known domain, asked or not, and 'overall'; the hits are read once and reduced to
+    one row per domain before they meet the list of domains."""
+    listed = hits.sparkSession.createDataFrame([(d,) for d in [*DOMAINS, "overall"]], "domain string")
     twice = hits.withColumn("domain", F.explode(F.array("domain", F.lit("overall"))))
-    return listed.join(twice, "domain", "left").groupBy("domain").agg(*_metrics())
+    per = twice.groupBy("domain").agg(*_metrics())
+    zeros = {"queries": 0, "evaluated": 0, "recall_at_3": 0.0, "recall_at_5": 0.0, "mrr_at_10": 0.0}
+    return listed.join(per, "domain", "left").fillna(zeros)
 
 
 def misses(hits: DataFrame, depth: int = 5) -> DataFrame:
@@ -122,11 +124,14 @@ def percentiles(values: DataFrame, value: str, points: list[int]) -> DataFrame:
     counted = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    bounds = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    whole = counted.agg(
+        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")).alias("b")
+    )
     bins = 1000
-    width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-300))
-    binned = counted.join(F.broadcast(bounds)).withColumn(
-        "bin", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
+    lo, hi = F.col("b.lo"), F.col("b.hi")
+    width = F.greatest((hi - lo) / bins, F.lit(1e-300))
+    binned = counted.withColumn("b", whole.scalar()).withColumns(
+        {"bin": F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)), "total": F.col("b.total")}
     )
     per_bin = binned.groupBy("bin").agg(F.sum("n").alias("bin_n"))
     before = per_bin.withColumn(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.operators.lexical import text_topk, text_topk_batch
+from corpusops.operators.lexical import BROADCAST_ROWS, text_topk, text_topk_batch
 from corpusops.operators.vector import vector_topk, vector_topk_batch
 
 DEFAULT_TOP_K = 8
@@ -100,6 +100,13 @@ def attach(chunks: DataFrame, ranked: DataFrame) -> DataFrame:
     return chunks.join(F.broadcast(ranked), "chunk_id")
 
 
+def attach_batch(chunks: DataFrame, ranked: DataFrame, n_queries: int, top_k: int) -> DataFrame:
+    """Payload for the ranked keys of a batch, at most ``n_queries * top_k`` rows: broadcast while
+    that is few, so that texts are not shuffled to meet a short list."""
+    few = n_queries * clamp_top_k(top_k) <= BROADCAST_ROWS
+    return chunks.join(F.broadcast(ranked) if few else ranked, "chunk_id")
+
+
 def _vectors_of(mine: DataFrame, vectors: DataFrame | None) -> DataFrame:
     """Vectors of the filtered chunks: a column of theirs, or a table of its own by chunk_id."""
     if vectors is None:

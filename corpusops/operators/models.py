@@ -18,6 +18,7 @@ SQL_FRAGMENT = r"(?is)(?:SELECT|INSERT|UPDATE|DELETE|FROM|JOIN|WHERE).*?;"
 MAX_KEYWORD_EXAMPLES = 5
 SHOWN_CHARS = 3000
 MAX_SHARED_BYTES = 64 << 20
+BROADCAST_ROWS = 100_000
 
 # Scalar fields and child fields compared between two versions.
 DIFF_SCALARS = ["caption", "version", "orientation", "reportType", "formatReport"]
@@ -132,8 +133,8 @@ def keyword_topk(files: DataFrame, requests: DataFrame, limit: int = MAX_KEYWORD
     (request, file) pairs travel. Beyond the bound the requests run as several shares.
     """
     limit = min(MAX_KEYWORD_EXAMPLES, limit)
-    size = requests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    shares = 1 + size // MAX_SHARED_BYTES
+    sizes = requests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    shares = 1 + sizes["b"] // MAX_SHARED_BYTES
     part = F.pmod(F.xxhash64(F.col("request_id").cast("string")), F.lit(shares))
     found = None
     for share in range(shares):
@@ -141,7 +142,9 @@ def keyword_topk(files: DataFrame, requests: DataFrame, limit: int = MAX_KEYWORD
         found = mine if found is None else found.unionByName(mine)
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "name")
     top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    return top.join(files.select("name", "content"), "name").select(
+    # known to be at most ``limit`` rows per request
+    top = F.broadcast(top) if sizes["n"] * limit <= BROADCAST_ROWS else top
+    return files.select("name", "content").join(top, "name").select(
         "request_id", "rank", "name", F.col("score").cast("long").alias("score"),
         F.when(
             F.length("content") > SHOWN_CHARS,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 MAX_SHARED_BYTES = 64 << 20
 TILE_ROWS = 50_000
 TILE_QUERIES = 2_048
+TASKS_PER_CORE = 8
 
 
 def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
@@ -124,7 +125,9 @@ def _shared_queries(chunks: DataFrame, queries: DataFrame, pool: int, dim: int)
                                          ("vector_score", pa.float64())]), preserve_index=False
             )
 
-    return chunks.select("chunk_id", "embedding").mapInArrow(run, OUT)
+    # every task hands on ``pool`` rows per query, so there should not be many more tasks than cores
+    tasks = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.select("chunk_id", "embedding").coalesce(tasks).mapInArrow(run, OUT)
 
 
 def _tiled_queries(chunks: DataFrame, queries: DataFrame, pool: int, dim: int, n_queries: int,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusops.operators import evaluation as ev
 from corpusops.operators import golden as gold
+from corpusops.operators.hybrid import attach_batch
 from corpusops.plans.registry import query
 from corpusops.plans.search import batch, batch_sql
 from corpusops.plans.sqltext import trim_sql
@@ -35,7 +36,8 @@ def golden(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return batch(spark, sf, 10, TEXT_ONLY).join(chunk_view(spark, sf), "chunk_id")
+    asked = table(spark, sf, "benchmark").count()
+    return attach_batch(chunk_view(spark, sf), batch(spark, sf, 10, TEXT_ONLY), asked, 10)
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from corpusops import schemas
 from corpusops.functions.text import trim_space
 from corpusops.operators.layout import sniff_delimiter
+from corpusops.operators.lexical import BROADCAST_ROWS
 from corpusops.operators.modelkb import parse_dump
 from corpusops.operators.tagging import EXTENSIONS, SKIPPED_DIRS, allowed_extension, forward_slashes
+from corpusops.session import stored
 
 GOLDEN_TOP_K = 10
 MAX_TOP_K = 30
@@ -60,10 +62,20 @@ def read_tree(spark: SparkSession, roots: list[str], skipped: list[str] = SKIPPE
     below = F.split(F.lower(F.substr("path", F.length("base") + 2)), "/")
     folders = F.slice(below, 1, F.size(below) - 1)
     kept = every.filter(~F.arrays_overlap(folders, F.lit([s.lower() for s in skipped])))
-    if len(roots) == 1:
+    # only paths are compared; contents stay where they were read
+    key = F.lower(forward_slashes(F.col("path")))
+    twice = (
+        kept.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("root_no", "path")).alias("first"))
+        .filter("n > 1").select("k", "first")
+    )
+    repeated = stored(twice, "repeated")
+    n = repeated.count()
+    if n == 0:
         return kept.drop("root_no")
-    first = kept.groupBy(F.lower(forward_slashes(F.col("path"))).alias("k")).agg(F.min("root_no").alias("root_no"))
-    return kept.withColumn("k", F.lower(forward_slashes(F.col("path")))).join(first, ["k", "root_no"], "left_semi").drop("k", "root_no")
+    side = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    marked = kept.withColumn("k", key).join(side, "k", "left")
+    wins = F.col("first").isNull() | ((F.col("first.root_no") == F.col("root_no")) & (F.col("first.path") == F.col("path")))
+    return marked.filter(wins).select("path", "base", "content")
 
 
 def decode(content: Column) -> Column:
