@@ -95,6 +95,9 @@ def test_source_tree(spark, tmp_path):
     assert set(rows) == {"a.PRG", "b.txt", "c.bin", "e.lsp"}
     assert {k for k, r in rows.items() if r["status"] == "ready"} == {"a.PRG", "e.lsp"}
     assert rows["e.lsp"]["text"] == "bad � byte"
+    nested = files.read_tree(spark, [str(root), str(root / "mod")]).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["base"]) for r in nested) == [
+        (n, str(root)) for n in ("a.PRG", "b.txt", "c.bin")]
     df = spark.createDataFrame([(r["path"], r["base"]) for r in rows.values()], "path string, base string")
     rel = tagging.relative_path(F.col("path"), F.col("base"), F.lit(str(root)))
     got = {tuple(r) for r in df.select(rel, tagging.module_name(rel), tagging.routine_from_file(rel)).collect()}
