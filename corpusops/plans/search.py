@@ -211,9 +211,9 @@ alltx AS (SELECT qn.query_id, c.chunk_id, coalesce(text_score, 0) AS text_score
 tp AS (SELECT query_id, chunk_id, 0.0 AS vector_score, text_score FROM alltx
        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, chunk_id) <= 80),
 qv AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {hash_sql('text', DIM)} AS embedding FROM benchmark),
-vp AS (SELECT q.query_id, CAST(e.vec_id AS VARCHAR) AS chunk_id, {_VEC} AS vector_score, 0.0 AS text_score
-       FROM embeddings e CROSS JOIN qv q
-       QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY vector_score DESC, chunk_id) <= 80),
+vp AS (SELECT q.query_id, c.chunk_id, {_VEC} AS vector_score, 0.0 AS text_score
+       FROM chunks c JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = c.chunk_id CROSS JOIN qv q
+       QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY vector_score DESC, c.chunk_id) <= 80),
 mrg AS (SELECT query_id, chunk_id, max(vector_score) AS vector_score, max(text_score) AS text_score
         FROM (SELECT * FROM vp UNION ALL SELECT * FROM tp) GROUP BY query_id, chunk_id),
 sc AS (SELECT *, {wv} * vector_score + {wt} * text_score AS score FROM mrg),

@@ -21,3 +21,11 @@ def test_query(spark, sf, duck, name):
     want = duck.execute(oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert norm(got) == norm(want)
+
+
+def test_entry(spark):
+    from __spark_entry__ import entry
+
+    out = entry(spark)
+    assert {"chunk_id", "score", "vector_score", "text_score"} <= set(out.columns)
+    assert out.count() > 0
