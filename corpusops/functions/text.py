@@ -34,11 +34,6 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def first_given(*cs: Column) -> Column:
-    """First value that is neither null nor empty."""
-    return F.coalesce(*[blank_to_null(c) for c in cs])
-
-
 def trim_space(c: Column) -> Column:
     return F.trim(c, F.lit(JS_SPACE))
 

@@ -232,3 +232,23 @@ def test_scalar_edges(spark):
         fn.list_item(F.lit("a;b"), ";", 2), fn.masked_number(F.lit(12345.678), 4, 1),
     ).first()
     assert tuple(got) == (1, 1, "x", 2.35, None, 0, 28, "b", "12,345.7")
+
+
+def test_source_side_helpers(spark, tmp_path):
+    from corpusops.operators import ingest
+
+    rows = [("lsp", f"c{i}", f"src/my_file-{i}.prg", "mod" if i % 2 else None, "Rot" if i == 1 else None, "palavra chave " * 20) for i in range(4)]
+    df = spark.createDataFrame(rows, "domain string, chunk_id string, file_path string, module string, routine_name string, text string")
+    out = {r["expected_file_paths"][0]: r["query"] for r in gold.source_questions(df, 10).collect()}
+    assert out["src/my_file-1.prg"] == "No LSP, o que faz Rot no modulo mod?"
+    assert out["src/my_file-2.prg"] == "No LSP, o que faz my file 2?" and len(out) == 4
+    one = df.filter("chunk_id = 'c1'").selectExpr(
+        "*", "3 AS line_start", "9 AS line_end", "'' AS routine_signature", "CAST(NULL AS STRING) AS context", "'p' AS product", "'' AS version")
+    text = one.select(ingest.source_embedding_input()).first()[0]
+    assert text.split("\n")[:6] == ["domain: lsp", "module: mod", "routine: Rot", "file_path: src/my_file-1.prg", "line_start: 3", "line_end: 9"]
+    assert text.split("\n")[6:8] == ["product: p", "content:"]
+    path = tmp_path / "d.txt"
+    path.write_text("a | b | c | d\n---|---|---|---\n(3 rows)\nx|y\n", encoding="utf-8")
+    assert [r["cells"] for r in files.read_dump(spark, str(path)).collect()] == [["a", "b", "c", "d"]]
+    parsed = spark.createDataFrame([((True,),), ((False,),), (None,)], "_stats struct<parseComplete:boolean>")
+    assert tuple(models.parse_outcomes(parsed).first()) == (1, 1, 1)
