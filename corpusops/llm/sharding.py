@@ -18,16 +18,19 @@ def shard_by_bytes(rows: DataFrame, size: Column, order: list[Column], shards: i
     byte falls, so a shard differs from the equal target by less than the largest row.
 
     Only what the caller selects is moved: pass keys and sizes, not texts. Ties in ``order`` are put
-    in any order, which makes no difference for equal rows. An empty input gives an empty result;
-    sizes must be positive.
+    in any order. An empty input gives an empty result. A null size counts as 1, the smallest; a
+    column named like one of the three results is replaced by it.
     """
-    clash = {"shard", "slot", "start", "_size", "_part", "_before", "_rows_before"} & set(rows.columns)
-    if clash:
-        raise ValueError(f"columns in use by the operator: {sorted(clash)}")
+    carried = [c for c in rows.columns if c not in ("shard", "slot", "start")]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [f"_by{i}" for i in range(len(order))]
     ranged = stored(
-        rows.withColumn("_size", size.cast("long"))
-        .repartitionByRange(n, *order)
+        rows.select(
+            F.struct(*carried).alias("_row_in"),
+            F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("_size"),
+            *[c.alias(f"_by{i}") for i, c in enumerate(order)],
+        )
+        .repartitionByRange(n, *by)
         .withColumn("_part", F.spark_partition_id()),
         "ranged",
     )
@@ -38,7 +41,7 @@ def shard_by_bytes(rows: DataFrame, size: Column, order: list[Column], shards: i
         F.coalesce(F.sum("_bytes").over(upto), F.lit(0)).alias("_before"),
         F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_rows_before"),
     )
-    inside = Window.partitionBy("_part").orderBy(*order)
+    inside = Window.partitionBy("_part").orderBy(*by)
     placed = (
         ranged.withColumn("_row", F.row_number().over(inside) - 1)
         .withColumn("_upto", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -50,5 +53,5 @@ def shard_by_bytes(rows: DataFrame, size: Column, order: list[Column], shards: i
     )
     firsts = placed.groupBy("shard").agg(F.min("_index").alias("_first"))  # one row per shard
     return placed.join(F.broadcast(firsts), "shard").select(
-        *rows.columns, "shard", (F.col("_index") - F.col("_first")).alias("slot"), "start"
+        "_row_in.*", "shard", (F.col("_index") - F.col("_first")).alias("slot"), "start"
     )
