@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,13 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusops.session import stored
 
 #: Pieces packed by one task, pieces that a task with a gap gives away, and tasks that pool them.
 GROUP, RELEASED, POOL = 40_000, 4_096, 8
-#: Distinct white-space separated chunks whose ids a Python worker remembers; then it starts anew.
-REMEMBERED = 800_000
+#: Distinct chunks and runs whose ids a Python worker remembers; beyond that it starts anew.
+REMEMBERED = 1_200_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -24,9 +26,14 @@ _encoders: dict[str, "ChunkEncoder"] = {}
 class ChunkEncoder:
     """Ids of whole texts for a tokenizer that drops white space and never joins across it.
 
-    Chunks between ASCII white space are encoded by the library, each distinct one once per worker.
+    A text is cut at ASCII white space, and the ids of each distinct chunk are kept. A new chunk of ASCII
+    characters without apostrophe or ``<`` is cut once more into runs of letters and of the rest, which the
+    tokenizer keeps apart too; many letter runs go to the library in one call, and the mark of the word
+    end that each last token carries tells them apart again.
     """
 
+    RUNS = re.compile(rb"[^\x80-\xff'<]*[\x80-\xff'<].*|[A-Za-z]+|[^A-Za-z]+", re.DOTALL)
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses all cores
         from tokenizers import Tokenizer
@@ -34,21 +41,46 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.chunks: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        letters = [r for r in runs if r.isalpha()]
+        rest = [r for r in runs if not r.isalpha()]
+        groups = [letters[a : a + 500] for a in range(0, len(letters), 500)]
+        for group, ids in zip(groups, self._library([b" ".join(g).decode() for g in groups])):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group):  # a tokenizer without this property
+                rest.extend(group)
+                continue
+            for run, a, b in zip(group, [0, *stops.tolist()], stops.tolist()):
+                self.runs[run] = ids[a:b].tobytes()
+        for run, ids in zip(rest, self._library([r.decode() for r in rest])):
+            self.runs[run] = ids.tobytes()
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        if len(self.chunks) + len(self.runs) > REMEMBERED:
+            self.chunks.clear()
+            self.runs.clear()
+        new = [c for c in chunks if c not in self.chunks]
+        cut = [self.RUNS.findall(c if b"<" in c else c.lower()) for c in new]
+        self._learn_runs(list(set().union(*cut) - self.runs.keys()))
+        for chunk, runs in zip(new, cut):
+            self.chunks[chunk] = b"".join(map(self.runs.__getitem__, runs))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         for a in range(0, len(texts), 256):
-            chunks = [t.split() for t in texts[a : a + 256]]
-            new = list(set().union(*chunks) - self.known.keys())
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set().union(*chunks))
-            words = [w.decode() for w in new]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-            for c in chunks:
-                yield b"".join(map(self.known.__getitem__, c))
+            cut = [t.split() for t in texts[a : a + 256]]
+            self._learn(set().union(*cut))
+            for c in cut:
+                yield b"".join(map(self.chunks.__getitem__, c))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -185,7 +217,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     carried = [c for c in pieces.columns if c not in ("group", "old_bin", "sequence_id", "offset")]
     rows = stored(pieces.select(*carried), "pieces")
     groups = max(1, -(-rows.count() // GROUP))
-    schema = rows.select("*", F.lit(0).cast("long").alias("old_bin"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    schema = StructType(rows.schema.fields)
+    for name in ("old_bin", "sequence_id", "offset"):
+        schema = schema.add(name, "long", nullable=True)
     done: list[DataFrame] = []
     left = rows.withColumn("group", F.pmod(F.xxhash64(*carried), F.lit(groups))).withColumn("old_bin", F.lit(0).cast("long"))
     round_no = 0
