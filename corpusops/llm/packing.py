@@ -17,8 +17,8 @@ from corpusops.session import stored
 
 #: Pieces packed by one task, pieces that a task with a gap gives away, and tasks that pool them.
 GROUP, RELEASED, POOL = 40_000, 4_096, 8
-#: Distinct chunks and runs whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_200_000
+#: Distinct runs of characters whose ids a Python worker remembers; beyond that it starts anew.
+REMEMBERED = 1_000_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -26,13 +26,13 @@ _encoders: dict[str, "ChunkEncoder"] = {}
 class ChunkEncoder:
     """Ids of whole texts for a tokenizer that drops white space and never joins across it.
 
-    A text is cut at ASCII white space, and the ids of each distinct chunk are kept. A new chunk of ASCII
-    characters without apostrophe or ``<`` is cut once more into runs of letters and of the rest, which the
-    tokenizer keeps apart too; many letter runs go to the library in one call, and the mark of the word
-    end that each last token carries tells them apart again.
+    A text is cut into runs that the tokenizer keeps apart too: chunks between ASCII white space and, where a
+    chunk is ASCII without apostrophe or ``<``, its runs of letters and of the rest. The ids of each distinct
+    run are kept. Many new letter runs go to the library in one call, and the mark of the word end that
+    each last token carries tells them apart again.
     """
 
-    RUNS = re.compile(rb"[^\x80-\xff'<]*[\x80-\xff'<].*|[A-Za-z]+|[^A-Za-z]+", re.DOTALL)
+    RUNS = re.compile(rb"[^\s\x80-\xff'<]*[\x80-\xff'<]\S*|[A-Za-z]+|[^A-Za-z\s]+")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses all cores
@@ -44,7 +44,6 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -64,23 +63,15 @@ class ChunkEncoder:
         for run, ids in zip(rest, self._library([r.decode() for r in rest])):
             self.runs[run] = ids.tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.chunks) + len(self.runs) > REMEMBERED:
-            self.chunks.clear()
-            self.runs.clear()
-        new = [c for c in chunks if c not in self.chunks]
-        cut = [self.RUNS.findall(c if b"<" in c else c.lower()) for c in new]
-        self._learn_runs(list(set().union(*cut) - self.runs.keys()))
-        for chunk, runs in zip(new, cut):
-            self.chunks[chunk] = b"".join(map(self.runs.__getitem__, runs))
-
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         for a in range(0, len(texts), 256):
-            cut = [t.split() for t in texts[a : a + 256]]
-            self._learn(set().union(*cut))
+            cut = [self.RUNS.findall(t if b"<" in t else t.lower()) for t in texts[a : a + 256]]
+            if len(self.runs) > REMEMBERED:
+                self.runs.clear()
+            self._learn_runs(list(set().union(*cut) - self.runs.keys()))
             for c in cut:
-                yield b"".join(map(self.chunks.__getitem__, c))
+                yield b"".join(map(self.runs.__getitem__, c))
 
 
 def encoder(path: str) -> ChunkEncoder:
