@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusops.llm.ragged import Memo, slices
 from corpusops.session import stored
 
 #: Pieces packed by one task, pieces that a task with a gap gives away, and tasks that pool them.
 GROUP, RELEASED, POOL = 40_000, 4_096, 8
-#: Distinct runs of characters whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct runs whose ids a Python worker remembers; beyond that it starts anew.
+REMEMBERED = 1_200_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -27,12 +29,16 @@ class ChunkEncoder:
     """Ids of whole texts for a tokenizer that drops white space and never joins across it.
 
     A text is cut into runs that the tokenizer keeps apart too: chunks between ASCII white space and, where a
-    chunk is ASCII without apostrophe or ``<``, its runs of letters and of the rest. The ids of each distinct
-    run are kept. Many new letter runs go to the library in one call, and the mark of the word end that
-    each last token carries tells them apart again.
+    chunk is ASCII without apostrophe or ``<``, its runs of letters and of the rest. Each run carries the blanks
+    behind it, which give no ids. Each distinct run is encoded once per worker. Many new words go to the
+    library in one call, and the mark of the word end that each last token carries tells them apart again.
     """
 
-    RUNS = re.compile(rb"[^\s\x80-\xff'<]*[\x80-\xff'<]\S*|[A-Za-z]+|[^A-Za-z\s]+")
+    BLANK, LETTER, OTHER, WHOLE = range(4)
+    KINDS = np.full(256, OTHER, np.uint8)
+    KINDS[list(b" \t\n\v\f\r")] = BLANK
+    KINDS[list(string.ascii_letters.encode())] = LETTER
+    KINDS[list(b"'<") + list(range(128, 256))] = WHOLE
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses all cores
@@ -44,34 +50,57 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.runs: dict[bytes, bytes] = {}
+        self.runs = Memo(REMEMBERED, "<u4")
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_runs(self, runs: list[bytes]) -> None:
-        letters = [r for r in runs if r.isalpha()]
-        rest = [r for r in runs if not r.isalpha()]
-        groups = [letters[a : a + 500] for a in range(0, len(letters), 500)]
-        for group, ids in zip(groups, self._library([b" ".join(g).decode() for g in groups])):
+    def _learn(self, runs: list[str]) -> None:
+        words = [r for r in runs if r[-1] == " " and r.isascii() and r[:-1].isalpha()]
+        rest = [r for r in runs if not (r[-1] == " " and r.isascii() and r[:-1].isalpha())]
+        groups = [words[a : a + 500] for a in range(0, len(words), 500)]
+        for group, ids in zip(groups, self._library(["".join(g) for g in groups])):
+            ids = np.array(ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(group):  # a tokenizer without this property
+            if len(stops) == len(group):
+                self.runs.add(group, np.diff(stops, prepend=0), ids)
+            else:  # a tokenizer without this property
                 rest.extend(group)
-                continue
-            for run, a, b in zip(group, [0, *stops.tolist()], stops.tolist()):
-                self.runs[run] = ids[a:b].tobytes()
-        for run, ids in zip(rest, self._library([r.decode() for r in rest])):
-            self.runs[run] = ids.tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        for a in range(0, len(texts), 256):
-            cut = [self.RUNS.findall(t if b"<" in t else t.lower()) for t in texts[a : a + 256]]
-            if len(self.runs) > REMEMBERED:
-                self.runs.clear()
-            self._learn_runs(list(set().union(*cut) - self.runs.keys()))
-            for c in cut:
-                yield b"".join(map(self.runs.__getitem__, c))
+        found = self._library(rest)
+        self.runs.add(rest, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], "<u4"))
+
+    def _cut(self, data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+        """Where the runs begin; every text begins one."""
+        kinds = self.KINDS[data]
+        starts = np.zeros(len(data), bool)
+        starts[1:] = (kinds[1:] != self.BLANK) & (kinds[:-1] == self.BLANK)  # chunks
+        starts[text_starts] = True
+        chunk_starts = np.flatnonzero(starts)
+        whole = np.add.reduceat(kinds == self.WHOLE, chunk_starts, dtype=np.int64) > 0
+        splits = np.zeros(len(data), bool)
+        splits[1:] = (kinds[1:] != kinds[:-1]) & (kinds[1:] != self.BLANK)
+        splits &= ~np.repeat(whole, np.diff(chunk_starts, append=len(data)))
+        return np.flatnonzero(starts | splits)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text and the ids of all texts, one after the other."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # lower case makes no other difference
+            texts = pc.ascii_lower(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].copy()
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(len(texts), np.int64), np.empty(0, "<u4")
+        data[self.KINDS[data] == self.BLANK] = ord(" ")
+        begins = self._cut(data, offsets[:-1][np.diff(offsets) > 0])
+        bounds = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
+        coded = pa.LargeStringArray.from_buffers(len(begins), bounds, pa.py_buffer(data)).dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        self.runs.make_room()
+        self._learn(self.runs.unknown(runs))
+        lengths, ids = self.runs.rows(self.runs.slots_of(runs)[coded.indices.to_numpy()])
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        return np.diff(upto[np.searchsorted(begins, offsets)]), ids
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -91,14 +120,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids = batch.column("doc_id").to_pylist()
-            out = []
-            for doc, found in zip(ids, encoder(tokenizer).encode(texts)):
-                found += end
-                for k, a in enumerate(range(0, len(found), width)):
-                    cut = found[a : a + width]
-                    out.append((doc, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
+            ids, done, out = batch.column("doc_id").to_pylist(), 0, []
+            for texts in slices(batch.column("text")):
+                lengths, found = encoder(tokenizer).encode(texts)
+                all_ids, ends = found.tobytes(), (4 * np.cumsum(lengths)).tolist()
+                for doc, a, b in zip(ids[done : done + len(texts)], [0, *ends], ends):
+                    own = all_ids[a:b] + end
+                    for k, at in enumerate(range(0, len(own), width)):
+                        piece = own[at : at + width]
+                        out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+                done += len(texts)
             columns = list(zip(*out)) or [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
