@@ -239,7 +239,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     carried = [c for c in pieces.columns if c not in ("group", "old_bin", "sequence_id", "offset")]
     rows = stored(pieces.select(*carried), "pieces")
     groups = max(1, -(-rows.count() // GROUP))
-    schema = StructType(rows.schema.fields)
+    schema = StructType(list(rows.schema.fields))
     for name in ("old_bin", "sequence_id", "offset"):
         schema = schema.add(name, "long", nullable=True)
     done: list[DataFrame] = []

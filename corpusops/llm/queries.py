@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import packing, sharding, topk
+from corpusops.llm import embed_dedup, packing, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,3 +71,9 @@ def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
     return packing.pack(pieces, 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op10_embedding_dedup")
+def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return embed_dedup.near_duplicates(vectors, 0.93).withColumnRenamed("id", "vec_id")
