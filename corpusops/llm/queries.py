@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import embed_dedup, packing, sharding, topk
+from corpusops.llm import bpe, embed_dedup, packing, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,14 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     return embed_dedup.near_duplicates(vectors, 0.93).withColumnRenamed("id", "vec_id")
+
+
+@query("op8_bpe")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
