@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bpe, embed_dedup, packing, sharding, topk
+from corpusops.llm import bpe, embed_dedup, langid, packing, quality, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,3 +88,23 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def fold(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo ``folds``; a null doc_id counts as remainder 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0))
+
+
+@query("op2_language_id")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs, fold(4) != 2))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    positives = read(spark, sf_dir, "labels").where("quality = 1")
+    found = quality.score(docs, quality.train(docs, positives, fold(5) != 0))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
