@@ -19,6 +19,9 @@ BINS, STEPS, RATE, RIDGE = 10, 600, 0.05, 1e-4
 #: Smallest share of the positives in the region that the class prior is read from.
 REGION = 0.1
 
+#: Bytes of text worked on at a time.
+SLICE = 2 << 20
+
 UPPER, LOWER, DIGIT, BLANK, LINE, SIGN, BEYOND = range(7)
 KINDS = np.full(256, SIGN, np.uint8)
 for _kind, _bytes in ((UPPER, range(65, 91)), (LOWER, range(97, 123)), (DIGIT, range(48, 58)), (BLANK, b" \t\v\f\r"), (LINE, b"\n"), (BEYOND, range(128, 256))):
@@ -47,8 +50,10 @@ def features(texts: pa.Array) -> np.ndarray:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     size = np.diff(offsets)
     kinds = KINDS[data]
-    upto = [np.concatenate([[0], np.cumsum(kinds == k, dtype=np.int64)]) for k in range(7)]
-    count = np.stack([np.diff(u[offsets - offsets[0]]) for u in upto], axis=1).astype(float)
+    filled = np.flatnonzero(size)
+    count = np.zeros((n, 7))
+    for k in range(7) if len(filled) else ():
+        count[filled, k] = np.add.reduceat(kinds == k, (offsets - offsets[0])[filled], dtype=np.int64)
     words = pc.utf8_split_whitespace(texts)
     owner = pc.list_parent_indices(words).to_numpy()
     coded = words.flatten().dictionary_encode()
@@ -176,7 +181,7 @@ def train(docs: DataFrame, positives: DataFrame, training: Column) -> Model | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in slices(batch.column("text"))]
+            x = [features(t) for t in slices(batch.column("text"), SLICE)]
             rows = pa.array(list(np.concatenate(x)) if x else [], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_positive"), rows], names=["id", "positive", "x"])
 
@@ -198,7 +203,7 @@ def score(docs: DataFrame, model: Model | None, carried: list[str] = ()) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(features(t)) if model else np.full(len(t), 0.5) for t in slices(batch.column("_text"))]
+            found = [model.score(features(t)) if model else np.full(len(t), 0.5) for t in slices(batch.column("_text"), SLICE)]
             kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(found) if found else [], pa.float64())], names=schema.names)
 
