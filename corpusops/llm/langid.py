@@ -16,7 +16,7 @@ from corpusops.llm.ragged import slices
 LENGTHS, FEATURES = (1, 2, 3, 4), 1 << 16
 #: Documents per language that the classifier is fitted on, and how many of them are landmarks.
 FITTED, LANDMARKS = 400, 40
-RIDGE = 1e-2
+RIDGE = 1e-3
 #: Texts in one matrix product.
 ROWS = 32
 UNKNOWN = "und"
@@ -52,8 +52,13 @@ PLAIN = np.arange(256, dtype=np.uint32)
 PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = ord(" ")
 
 
-def fit(bits: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and one weight column each, from 0/1 rows and their languages.
+def _rows(packed: list[bytes]) -> np.ndarray:
+    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in packed]).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+def fit(packed: list[bytes], labels: list[str]) -> tuple[list[str], np.ndarray]:
+    """Languages and one weight column each, from packed 0/1 rows and their languages.
 
     The kernel of two texts is the number of n-grams in both over the root of the product of their numbers.
     The first LANDMARKS rows of each language are the landmarks; K(x, landmarks) K(landmarks)^-1/2 are the
@@ -62,28 +67,32 @@ def fit(bits: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
     """
     langs = sorted(set(labels))
     labels_at = np.array([langs.index(x) for x in labels])
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    marks = np.concatenate([np.flatnonzero(labels_at == k)[:LANDMARKS] for k in range(len(langs))])
-    values, vectors = np.linalg.eigh((x[marks] @ x[marks].T).astype(np.float64))
+    marks = _rows([packed[i] for k in range(len(langs)) for i in np.flatnonzero(labels_at == k)[:LANDMARKS]])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ x[marks].T) @ root
-    z = np.hstack([z, np.ones((len(z), 1))])
+    kernel = np.concatenate([_rows(packed[a : a + 100]) @ marks.T for a in range(0, len(packed), 100)])
+    z = np.hstack([kernel @ root, np.ones((len(packed), 1))])
     target = np.where(labels_at[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weight = 1 / np.bincount(labels_at, minlength=len(langs))[labels_at]  # languages count alike
     left = z.T * weight
-    solved = np.linalg.solve(left @ z + RIDGE / len(langs) * np.eye(z.shape[1]) / 10, left @ target)
+    solved = np.linalg.solve(left @ z + RIDGE * np.eye(z.shape[1]), left @ target)
     weights = np.zeros((FEATURES + 1, len(langs)), np.float32)
-    weights[:FEATURES] = x[marks].T @ (root @ solved[:-1])
+    weights[:FEATURES] = marks.T @ (root @ solved[:-1])
     weights[FEATURES] = solved[-1]
     return langs, weights
 
 
 def sampled(docs: DataFrame, by: str, each: int) -> DataFrame:
-    """doc_id and ``by`` of at most ``each`` rows per value of ``by``, the lowest by a hash of doc_id."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return docs.select("doc_id", by).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).drop("_n")
+    """doc_id and ``by`` of at most ``each`` rows per value of ``by``, the lowest by a hash of doc_id.
+
+    The lowest are taken in 64 parts of each value first, so a common value is not one task's work.
+    """
+    ids = docs.select("doc_id", by, F.xxhash64("doc_id").alias("_hash")).withColumn("_part", F.col("_hash") % 64)
+    for keys in ([by, "_part"], [by]):
+        order = Window.partitionBy(*keys).orderBy("_hash", "doc_id")
+        ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
+    return ids.select("doc_id", by)
 
 
 def has_letter(text: Column) -> Column:
@@ -107,8 +116,7 @@ def train(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
     if not rows:
         return [], np.zeros((FEATURES + 1, 0), np.float32)
     rows = sorted(rows, key=lambda r: (r.lang, r.id, r.bits))
-    bits = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows])
-    return fit(bits, [r.lang for r in rows])
+    return fit([r.bits for r in rows], [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carried: list[str] = ()) -> DataFrame:
