@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bpe, embed_dedup, langid, packing, quality, sharding, topk
+from corpusops.llm import bpe, embed_dedup, langid, ngram_join, packing, quality, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,3 +108,8 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     positives = read(spark, sf_dir, "labels").where("quality = 1")
     found = quality.score(docs, quality.train(docs, positives, fold(5) != 0))
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_ngram_join")
+def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), 5, 80)
