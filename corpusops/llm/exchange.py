@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a slice, and about as many bytes of text behind the keys of one part.
-SLICE, PART = 8 << 20, 8 << 20
+#: Bytes of text in a slice, and bytes of text behind the keys of one part.
+SLICE, PART = 4 << 20, 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 ASK = "slice long, part int, keys binary, extra binary"
@@ -59,11 +59,11 @@ def unpack(data: bytes) -> np.ndarray:
 class Corpus:
     """The slices of (doc_id, text) and the number of parts that fits their size."""
 
-    def __init__(self, docs: DataFrame, parts_of: int = PART) -> None:
+    def __init__(self, docs: DataFrame, slice_bytes: int = SLICE, part_bytes: int = PART) -> None:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        slices = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // SLICE))
-        self.bits = max(3, int(-(-total // parts_of)).bit_length())
+        slices = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // slice_bytes))
+        self.bits = max(3, int(-(-total // part_bytes)).bit_length())
         self.slices = slices
         self.rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(slices)))
 

@@ -21,7 +21,7 @@ FREQUENT = 64
 #: Frequent shingles of a prefix that one of its groups holds on average; pairs are made inside a group.
 GROUP = 8
 #: Sets compared in one task, and numbers in a dense block of that comparison.
-TILE, DENSE = 4096, 1 << 23
+TILE, DENSE = 4096, 1 << 22
 
 
 def _top48(sets: np.ndarray) -> np.ndarray:
