@@ -42,30 +42,43 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, in 4 bytes each where they fit."""
+    """Sorted keys as differences, in as few bytes each as the largest needs; common low zero bits are left out."""
+    if not len(keys):
+        return b""
+    unused = 0
+    while unused < 56 and not (keys & np.uint64((256 << unused) - 1)).any():
+        unused += 8
+    keys = keys >> np.uint64(unused)
     steps = np.diff(keys, prepend=keys[:1])
-    narrow = not len(keys) or int(steps.max()) < 1 << 32
-    return (b"4" if narrow else b"8") + keys[:1].tobytes() + steps.astype("<u4" if narrow else "<u8").tobytes()
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    narrow = steps.view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width, unused]) + keys[:1].tobytes() + narrow.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    if len(data) == 1:
+    if not data:
         return np.empty(0, np.uint64)
-    first = np.frombuffer(data, np.uint64, 1, 1)[0]
-    steps = np.frombuffer(data, "<u4" if data[:1] == b"4" else "<u8", -1, 9).astype(np.uint64)
-    return np.cumsum(steps, dtype=np.uint64) + first
+    width, unused = data[:2]
+    narrow = np.frombuffer(data, np.uint8, -1, 10).reshape(-1, width)
+    steps = np.zeros((len(narrow), 8), np.uint8)
+    steps[:, :width] = narrow
+    first = np.frombuffer(data, np.uint64, 1, 2)[0]
+    return (np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) + first) << np.uint64(unused)
 
 
 class Corpus:
-    """The slices of (doc_id, text) and the number of parts that fits their size."""
+    """The slices of a table, dealt by ``key``, and the number of parts that fits the bytes of its ``content``."""
 
-    def __init__(self, docs: DataFrame, slice_bytes: int = SLICE, part_bytes: int = PART) -> None:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        slices = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // slice_bytes))
-        self.bits = max(3, int(-(-total // part_bytes)).bit_length())
-        self.slices = slices
-        self.rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(slices)))
+    def __init__(self, rows: DataFrame, key: str, content: str, slice_bytes: int = SLICE, part_bytes: int = PART) -> None:
+        self.total = rows.agg(F.sum(F.octet_length(content).cast("long"))).first()[0] or 0
+        self.slices = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-self.total // slice_bytes))
+        self.bits = max(3, int(-(-self.total // part_bytes)).bit_length())
+        self.rows = rows.withColumn("slice", F.pmod(F.xxhash64(key, F.octet_length(content)), F.lit(self.slices)))
+
+    @classmethod
+    def of_texts(cls, docs: DataFrame, **sizes: int) -> Corpus:
+        """Of doc_id and text; no other column is read."""
+        return cls(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text", **sizes)
 
     def ask(self, rows: DataFrame, keys_of: Callable, answers: DataFrame | None = None) -> DataFrame:
         """ASK rows. ``keys_of`` gets a slice's table (and the answers it has got so far) and gives sorted
@@ -81,7 +94,7 @@ class Corpus:
                 "slice": pa.array([key[0].as_py()] * len(full), pa.int64()),
                 "part": pa.array(full.astype(np.int32)),
                 "keys": pa.array([pack(keys[a:b]) for a, b in cuts], pa.binary()),
-                "extra": pa.array([extra[a:b].tobytes() for a, b in cuts], pa.binary()),
+                "extra": pa.array([_to_bytes(extra[a:b]) for a, b in cuts], pa.binary()),
             })
 
         grouped = rows.groupBy("slice")
@@ -95,19 +108,31 @@ class Corpus:
 
         def run(table: pa.Table) -> pa.Table:
             keys = [unpack(k) for k in table["keys"].to_pylist()]
-            extra = np.concatenate([np.frombuffer(e, extra_type) for e in table["extra"].to_pylist()])
+            extra = np.concatenate([_from_bytes(e, extra_type, len(k)) for e, k in zip(table["extra"].to_pylist(), keys)])
             values, place = distinct(np.concatenate(keys))
-            found = np.split(found_for(values, place, extra), np.cumsum([len(k) for k in keys])[:-1])
-            return pa.table({"slice": table["slice"], "part": table["part"], "found": pa.array([f.tobytes() for f in found], pa.binary())})
+            answers = np.split(found_for(values, place, extra), np.cumsum([len(k) for k in keys])[:-1])
+            return pa.table({
+                "slice": table["slice"], "part": table["part"],
+                "found": pa.array([len(f).to_bytes(4, "little") + _to_bytes(f) for f in answers], pa.binary()),
+            })
 
         return asks.groupBy("part").applyInArrow(run, ANSWER)
 
 
+def _to_bytes(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes() if x.dtype == bool else x.tobytes()
+
+
+def _from_bytes(data: bytes, kind: str, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool) if kind == "?" else np.frombuffer(data, kind)
+
+
 def found(answers: pa.Table, kind: str) -> np.ndarray:
     """The answers of a slice in the order of its keys."""
     order = np.argsort(answers["part"].to_numpy())
     column = answers["found"].to_pylist()
-    return np.concatenate([np.frombuffer(column[i], kind) for i in order]) if len(column) else np.empty(0, kind)
+    parts = [_from_bytes(column[i][4:], kind, int.from_bytes(column[i][:4], "little")) for i in order]
+    return np.concatenate(parts) if parts else np.empty(0, np.dtype(kind))
 
 
 def in_two(values: np.ndarray, place: np.ndarray, several: np.ndarray) -> np.ndarray:

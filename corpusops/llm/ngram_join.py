@@ -16,7 +16,7 @@ from corpusops.llm.components import components, forest
 from corpusops.llm.words import shingle_sets
 from corpusops.session import stored
 
-#: A shingle in the prefixes of more sets than this is frequent and is indexed in pairs only.
+#: A shingle in more sets than this is frequent and is indexed in pairs only.
 FREQUENT = 64
 #: Frequent shingles of a prefix that one of its groups holds on average; pairs are made inside a group.
 GROUP = 8
@@ -24,8 +24,14 @@ GROUP = 8
 TILE, DENSE = 4096, 1 << 22
 
 
-def _top48(sets: np.ndarray) -> np.ndarray:
-    return sets & ~np.uint64(0xFFFF)
+#: Bits of a shingle's fingerprint, above those of the corpus's size in bytes, that tell whether another document
+#: has it. Two that agree in them by chance only make a document a candidate; sets are compared in full.
+SPARE_BITS = 10
+
+
+def _leading(sets: np.ndarray, total: int) -> np.ndarray:
+    bits = min(64, -(-(total.bit_length() + SPARE_BITS) // 8) * 8)
+    return sets & ~np.uint64((1 << (64 - bits)) - 1)
 
 
 def _least(n: np.ndarray | int, percent: int):
@@ -40,18 +46,19 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     A shingle of one document alone is in no intersection. So a document can link only if enough of its
     shingles are in other documents; for all others digest and shared are null.
     """
-    corpus = exchange.Corpus(docs)
+    corpus = exchange.Corpus.of_texts(docs)
+    total = corpus.total
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, offsets, data = exchange.documents(table)
         sets, _ = shingle_sets(data, offsets, size)
-        keys, place = exchange.distinct(_top48(sets))
+        keys, place = exchange.distinct(_leading(sets, total))
         return keys, np.bincount(place, minlength=len(keys)) > 1
 
     def back(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, offsets, data = exchange.documents(table)
         sets, bounds = shingle_sets(data, offsets, size)
-        _, place = exchange.distinct(_top48(sets))
+        _, place = exchange.distinct(_leading(sets, total))
         shared = exchange.found(answers, "?")[place] if len(sets) else np.empty(0, bool)
         n = np.diff(bounds)
         upto = np.concatenate([[0], np.cumsum(shared)])
@@ -83,69 +90,58 @@ def _groups(level: int, percent: int) -> int:
     return max(1, math.ceil(longest * (100 - percent) / 100 / GROUP))
 
 
-def _prefix(shared: np.ndarray, n: int, percent: int, longer: int) -> np.ndarray:
-    """Shared shingles among the first n - least + 1 + ``longer`` of the set: unshared ones come first."""
-    return shared[: max(0, n - _least(n, percent) + 1 + longer - (n - len(shared)))]
-
-
-def _postings(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for n, blob in zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist()):
-                level = _level(n, percent)
-                longer = max(_groups(level, percent), _groups(level + 1, percent))
-                out.append(_prefix(np.frombuffer(blob, np.uint64), n, percent, longer))
-            sizes = [len(x) for x in out]
-            flat = np.concatenate(out) if out else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), sizes))], names=["token", "rep"]
-            )
-
-    return run
-
-
-def _combinations(percent: int):
-    """Keys of pairs of frequent shingles, per set and level."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, reps = [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "shared", "tokens")))
-            for rep, n, blob, tokens in rows:
-                frequent = np.array(tokens, np.int64).view(np.uint64)
-                own = _level(n, percent)
-                for level in (own, own + 1):
-                    groups = _groups(level, percent)
-                    prefix = _prefix(np.frombuffer(blob, np.uint64), n, percent, groups)
-                    prefix = prefix[np.isin(prefix, frequent)]
-                    group = exchange.mix(prefix) % np.uint64(groups)
-                    for g in np.unique(group):
-                        x = prefix[group == g]
-                        i, j = np.triu_indices(len(x), 1)
-                        keys.append(exchange.mix(exchange.mix(x[i] + np.uint64(level)) ^ x[j]))
-                        reps.append(np.full(len(i), rep, np.int64))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(np.concatenate(reps) if reps else np.empty(0, np.int64))], names=["key", "rep"]
-            )
-
-    return run
-
-
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """u, v: a star for every key that two sets or more share."""
-    postings = classes.mapInArrow(_postings(percent), "token long, rep long")
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    counted = stored(postings.join(counts, "token"), "postings")
-    rare = counted.where(F.col("sets") <= FREQUENT).select(F.col("token").alias("key"), "rep")
-    frequent = counted.where(F.col("sets") > FREQUENT).groupBy("rep").agg(F.collect_list("token").alias("tokens"))
-    pairs = classes.join(frequent, "rep").select("rep", "n", "shared", "tokens").mapInArrow(_combinations(percent), "key long, rep long")
-    keys = rare.unionByName(pairs)
+    corpus = exchange.Corpus(classes, "rep", "shared")
+
+    def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        blobs = table["shared"].to_pylist()
+        keys, place = exchange.distinct(np.frombuffer(b"".join(blobs), np.uint64))
+        return keys, np.minimum(np.bincount(place, minlength=len(keys)), 65535).astype("<u2")
+
+    def sets_with(values: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.minimum(exchange.summed(values, place, count), 65535).astype("<u2")
+
+    def index(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        blobs = table["shared"].to_pylist()
+        sets = np.frombuffer(b"".join(blobs), np.uint64)
+        _, place = exchange.distinct(sets)
+        often = exchange.found(answers, "<u2")[place] if len(sets) else np.empty(0, "<u2")
+        keys, reps, at = [], [], 0
+        for rep, n, blob in zip(table["rep"].to_pylist(), table["n"].to_pylist(), blobs):
+            own, sets_of = sets[at : at + len(blob) // 8], often[at : at + len(blob) // 8]
+            at += len(own)
+            order = np.lexsort((own, sets_of))
+            found = _keys(own[order], sets_of[order] > FREQUENT, n, percent)
+            keys.append(found)
+            reps.append(np.full(len(found), rep, np.int64))
+        flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        return pa.table({"key": flat.view(np.int64), "rep": np.concatenate(reps) if reps else np.empty(0, np.int64)})
+
+    answers = corpus.answer(corpus.ask(corpus.rows, keys_of), sets_with, "<u2")
+    keys = stored(corpus.rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(index, "key long, rep long"), "keys")
     centres = keys.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("high")).where("v < high").select("key", "v")
     return keys.join(centres, "key").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
 
 
+def _keys(ordered: np.ndarray, frequent: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Index keys of one set of n shingles; ``ordered`` are its shared ones, rare before frequent."""
+    usual = n - _least(n, percent) + 1 - (n - len(ordered))  # unshared ones come first of all
+    level = _level(n, percent)
+    out = []
+    for at in (level, level + 1):
+        groups = _groups(at, percent)
+        prefix, often = ordered[: usual + groups], frequent[: usual + groups]
+        out.append(exchange.mix(prefix[~often] + np.uint64(at)))
+        prefix = prefix[often]
+        group = exchange.mix(prefix) % np.uint64(groups)
+        for g in np.unique(group):
+            x = np.sort(prefix[group == g])
+            i, j = np.triu_indices(len(x), 1)
+            out.append(exchange.mix(exchange.mix(x[i] + np.uint64(at)) ^ x[j]))
+    return np.concatenate(out)
+
+
 def linked(x: np.ndarray, y: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
     return 100 * shared >= percent * (x + y - shared)
 
@@ -286,10 +282,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     links count, but only enough of them are made to connect what is connected: equal sets are one
     class from the start, and inside a task links shrink to a spanning forest.
 
-    Candidates: shingles are ordered by class (found in one document first) and then by fingerprint. By
-    overlap, two linked sets share at least g + 1 shingles of prefixes that are g longer than usual. A rare
-    shingle of a prefix is a key by itself. Frequent ones are dealt into g groups and every pair inside
-    a group is a key: of g + 1 shared ones two are in one group. Sets with a common key are verified exactly.
+    Candidates: shingles are ordered by the number of sets that hold them, the rare first. By overlap, two linked
+    sets share at least g + 1 shingles of prefixes that are g longer than usual. A rare shingle of a prefix is a
+    key by itself. Frequent ones are dealt into g groups and every pair inside a group is a key: of g + 1
+    shared ones two are in one group. Keys are kept apart by level of size, and linked sets are at most one
+    level apart. Sets with a common key are verified exactly.
 
     A null or wordless text has the empty set and links with nothing, itself as component. A null doc_id
     stands for no document that others can reach: its component is null. Rows that repeat a doc_id are one node.
