@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bpe, embed_dedup, langid, ngram_join, packing, quality, sharding, topk
+from corpusops.llm import bpe, embed_dedup, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,15 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_join")
 def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), 5, 80)
+
+
+@query("op1_suffix_dedup")
+def suffix_dedup_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), 50)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
