@@ -8,7 +8,7 @@ a slice nor a part grows with the corpus: their numbers do.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,12 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], place[coded.indices.to_numpy()]
 
 
+def leading(keys: np.ndarray, total: int, spare: int) -> np.ndarray:
+    """The leading bits of keys, ``spare`` more than it takes to number ``total`` things, in whole bytes."""
+    bits = min(64, -(-(int(total).bit_length() + spare) // 8) * 8)
+    return keys & ~np.uint64((1 << (64 - bits)) - 1)
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, in as few bytes each as the largest needs; common low zero bits are left out."""
     if not len(keys):
@@ -77,8 +83,14 @@ class Corpus:
 
     @classmethod
     def of_texts(cls, docs: DataFrame, **sizes: int) -> Corpus:
-        """Of doc_id and text; no other column is read."""
-        return cls(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text", **sizes)
+        """Of doc_id and text, packed; ``documents`` unpacks a slice. No other column is read.
+
+        Every batch of the scan sends one compressed row to each slice, so texts cross the network once at a
+        fraction of their size, and a slice of many short texts is few rows.
+        """
+        out = cls(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text", **sizes)
+        out.rows = out.rows.mapInArrow(_packed, "slice long, n int, size long, packed binary")
+        return out
 
     def ask(self, rows: DataFrame, keys_of: Callable, answers: DataFrame | None = None) -> DataFrame:
         """ASK rows. ``keys_of`` gets a slice's table (and the answers it has got so far) and gives sorted
@@ -120,11 +132,25 @@ class Corpus:
 
 
 def _to_bytes(x: np.ndarray) -> bytes:
-    return np.packbits(x).tobytes() if x.dtype == bool else x.tobytes()
+    """Booleans as bits, 64-bit numbers as differences from the smallest in as few bytes as needed."""
+    if x.dtype == bool:
+        return np.packbits(x).tobytes()
+    if x.dtype != np.int64 or not len(x):
+        return x.tobytes()
+    low = x.min()
+    above = x.view(np.uint64) - low.view(np.uint64)
+    width = max(1, (int(above.max()).bit_length() + 7) // 8)
+    return bytes([width]) + low.tobytes() + above.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _from_bytes(data: bytes, kind: str, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool) if kind == "?" else np.frombuffer(data, kind)
+    if kind == "?":
+        return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+    if kind != "<i8" or not n:
+        return np.frombuffer(data, kind)
+    above = np.zeros((n, 8), np.uint8)
+    above[:, : data[0]] = np.frombuffer(data, np.uint8, -1, 9).reshape(n, -1)
+    return (above.view(np.uint64).ravel() + np.frombuffer(data, np.uint64, 1, 1)).view(np.int64)
 
 
 def found(answers: pa.Table, kind: str) -> np.ndarray:
@@ -152,13 +178,57 @@ def summed(values: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarr
     return np.bincount(place, weights=count, minlength=len(values)).astype(np.int64)[place]
 
 
-def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, offsets and bytes of the texts of a slice; a null id counts as the largest, a null text as empty."""
-    table = table.combine_chunks()
-    ids = pc.fill_null(table["doc_id"], LAST_ID).to_numpy()
-    column = pc.fill_null(table["text"].cast(pa.large_string()), "").combine_chunks()
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.table(batch).sort_by("slice").combine_chunks()
+        ids = pc.fill_null(rows["doc_id"], LAST_ID).to_numpy()
+        offsets, data = _bytes(rows["text"])
+        slices, first = np.unique(rows["slice"].to_numpy(), return_index=True)
+        out = []
+        for a, b in zip(first, np.append(first[1:], len(ids))):
+            content = ids[a:b].tobytes() + np.diff(offsets[a : b + 1]).tobytes() + data[offsets[a] : offsets[b]].tobytes()
+            out.append((b - a, len(content), pa.compress(content, "zstd", asbytes=True)))
+        n, size, packed = zip(*out)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slices), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())],
+            names=["slice", "n", "size", "packed"],
+        )
+
+
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of texts; a null text counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_string()), "").combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.large_string())
+    if not len(column):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
     bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if len(column) else np.empty(0, np.uint8)
-    return ids, bounds - bounds[0] if len(column) else np.zeros(1, np.int64), data
+    return bounds - bounds[0], np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+
+
+def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, offsets and bytes of the texts of a slice, ordered by id and, where ids repeat, by text.
+
+    A null id counts as the largest, a null text as empty.
+    """
+    ids, lengths, texts = [], [], []
+    for n, size, packed in zip(*(table[c].to_pylist() for c in ("n", "size", "packed"))):
+        content = np.frombuffer(pa.decompress(packed, size, "zstd"), np.uint8)
+        ids.append(content[: 8 * n].view(np.int64))
+        lengths.append(content[8 * n : 16 * n].view(np.int64))
+        texts.append(content[16 * n :])
+    if not ids:
+        return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint8)
+    ids, lengths, data = (np.concatenate(x) for x in (ids, lengths, texts))
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(ids, kind="stable")
+    if (np.diff(ids[order]) == 0).any():
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], data[starts[i] : starts[i] + lengths[i]].tobytes())))
+    offsets = np.concatenate([[0], np.cumsum(lengths[order])])
+    return ids[order], offsets, np.concatenate([data[starts[i] : starts[i] + lengths[i]] for i in order.tolist()])
+
+
+def id_array(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == LAST_ID)

@@ -29,11 +29,6 @@ TILE, DENSE = 4096, 1 << 22
 SPARE_BITS = 10
 
 
-def _leading(sets: np.ndarray, total: int) -> np.ndarray:
-    bits = min(64, -(-(total.bit_length() + SPARE_BITS) // 8) * 8)
-    return sets & ~np.uint64((1 << (64 - bits)) - 1)
-
-
 def _least(n: np.ndarray | int, percent: int):
     """Shingles that a set of n must share with any set it links with."""
     return -(-n * percent // 100)
@@ -52,13 +47,13 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, offsets, data = exchange.documents(table)
         sets, _ = shingle_sets(data, offsets, size)
-        keys, place = exchange.distinct(_leading(sets, total))
+        keys, place = exchange.distinct(exchange.leading(sets, total, SPARE_BITS))
         return keys, np.bincount(place, minlength=len(keys)) > 1
 
     def back(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, offsets, data = exchange.documents(table)
         sets, bounds = shingle_sets(data, offsets, size)
-        _, place = exchange.distinct(_leading(sets, total))
+        _, place = exchange.distinct(exchange.leading(sets, total, SPARE_BITS))
         shared = exchange.found(answers, "?")[place] if len(sets) else np.empty(0, bool)
         n = np.diff(bounds)
         upto = np.concatenate([[0], np.cumsum(shared)])
@@ -70,7 +65,7 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             digests[d] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
             kept[d] = own[shared[bounds[d] : bounds[d + 1]]].tobytes()
         return pa.table({
-            "doc_id": pa.array(ids, mask=ids == exchange.LAST_ID), "n": n.astype(np.int64),
+            "doc_id": exchange.id_array(ids), "n": n.astype(np.int64),
             "digest": pa.array(digests, pa.binary()), "shared": pa.array(kept, pa.binary()),
         })
 

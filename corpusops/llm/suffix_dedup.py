@@ -3,9 +3,10 @@
 The suffixes of all texts are ordered only as deep as the threshold, most significant digit first, and after each
 digit only suffixes in a group with more than one document go on. A digit is a fingerprint of some bytes: the
 exchange deals it by its leading bits and sorts it inside a part. The first digit is taken of few suffixes:
-of every window the one with the lowest fingerprint of DIGIT bytes, so equal windows agree on it. The
-second is that suffix with all the bytes that any window around it can hold; where an earlier document has the same,
-all these windows repeat. The last one is the window itself. Groups equal in it are the repeated windows.
+of every window the one with the lowest fingerprint of DIGIT bytes, so equal windows agree on it. The second
+adds all the bytes that any window around that suffix can hold: where an earlier document has them too, all these
+windows repeat; where a digit has but one such surrounding, its first document holds no repeat there. The last
+one is the window itself, for the suffixes in between. Groups equal in it are the repeated windows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from corpusops.session import stored
 
 #: Bytes of the first digit at the usual threshold of 50, as a share of it.
 DIGIT = 0.72
+#: Bits of the first digit's fingerprint above those of the corpus's size in bytes; agreement by chance only costs time.
+SPARE_BITS = 10
 #: Bytes of a text worked on at a time.
 CHUNK = 1 << 20
 
@@ -65,7 +68,6 @@ class Windows:
         self.width = width
         self.digit = max(1, round(width * DIGIT))
         self.spread = width - self.digit + 1  # places of the digit in a window
-        self.reach = self.spread - 1 + width  # bytes of all windows around a digit
 
     def anchors(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and fingerprints of the digits that are the lowest of some window."""
@@ -85,21 +87,6 @@ class Windows:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         return np.concatenate(places), np.concatenate(prints)
 
-    def around(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last byte that windows around each place can hold, and a fingerprint of these bytes."""
-        a = np.maximum(places - self.spread + 1, 0)
-        b = np.minimum(places + self.width, len(data))
-        h = np.zeros(len(places), np.uint64)
-        for j in range(self.reach):
-            at = a + j
-            h = h * FACTORS[62] + np.where(at < b, SYMBOL[data[np.minimum(at, len(data) - 1)]], np.uint64(0))
-        return a, b, exchange.mix(h ^ exchange.mix(((places - a) * 1024 + (b - a)).astype(np.uint64)))
-
-    def starts(self, places: np.ndarray, n: int) -> np.ndarray:
-        """Windows around the places, each once."""
-        a, b = np.maximum(places - self.spread + 1, 0), np.minimum(places, n - self.width)
-        return np.unique(ranges(a, b + 1))
-
 
 def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a[0] to b[0] - 1, then the next range."""
@@ -116,12 +103,13 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], b[np.append(first[1:], len(a)) - 1] if len(a) else b
 
 
-def _split(blob_ends: np.ndarray, flat: np.ndarray) -> list[np.ndarray]:
-    return np.split(flat, blob_ends[:-1]) if len(blob_ends) else []
-
-
-def _places(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(p, np.int32).astype(np.int64) for p in table["places"].to_pylist()]
+def fingerprints(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of data[a:b], for many ranges of about one length."""
+    h = (b - a).astype(np.uint64)
+    for j in range(int((b - a).max()) if len(a) else 0):
+        at = a + j
+        h = np.where(at < b, h * FACTORS[62] + SYMBOL[data[np.minimum(at, len(data) - 1)]], h)
+    return exchange.mix(h)
 
 
 def _with_first(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,43 +120,72 @@ def _with_first(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values, place, first
 
 
-def _join(parts: list[np.ndarray], kind: type) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.empty(0, kind)
+def _second(values: np.ndarray, place: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """For a digit whether it has several surroundings, for surroundings whether an earlier document has them."""
+    lowest, highest = np.full(len(values), exchange.LAST_ID), np.full(len(values), -1)
+    np.minimum.at(lowest, place, extra)
+    np.maximum.at(highest, place, extra)
+    several = (lowest != highest) | (lowest < 0)
+    return np.where(values[place] & np.uint64(1) == 0, several[place], extra > lowest[place])
 
 
 class _Slice:
-    """One slice's documents with their places, in the rounds after the first digit."""
+    """One slice in the rounds after the first digit; ``known`` are the answers so far, the places among them."""
 
-    def __init__(self, table: pa.Table, windows: Windows) -> None:
+    def __init__(self, table: pa.Table, known: pa.Table, windows: Windows) -> None:
         self.windows = windows
-        self.ids, offsets, data = exchange.documents(table)
-        self.texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        self.places = _places(table)
-        around = [windows.around(t, p) for t, p in zip(self.texts, self.places)]
-        self.spans = [(a, b) for a, b, _ in around]
-        owner = np.repeat(self.ids, [len(p) for p in self.places])
-        self.keys, self.place, self.first = _with_first(_join([h for _, _, h in around], np.uint64), owner)
-        self.owner = owner
-
-    def settle(self, known: pa.Table) -> None:
-        """Takes the answers for the second digit; the windows of all other places remain."""
-        before = exchange.found(known, "?")[self.place] if len(self.keys) else np.empty(0, bool)
-        done = before | (self.owner > self.first[self.place])
-        ends = np.cumsum([len(p) for p in self.places])
-        self.done = _split(ends, done)
-        self.starts = [self.windows.starts(p[~d], len(t)) for p, d, t in zip(self.places, self.done, self.texts)]
-        prints = [rolling(t, self.windows.width)[0][s] if len(s) else np.empty(0, np.uint64) for t, s in zip(self.texts, self.starts)]
-        self.w_owner = np.repeat(self.ids, [len(s) for s in self.starts])
-        self.w_keys, self.w_place, self.w_first = _with_first(_join(prints, np.uint64), self.w_owner)
-
-    def removed(self, known: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-        before = exchange.found(known, "?")[self.w_place] if len(self.w_keys) else np.empty(0, bool)
-        hits = _split(np.cumsum([len(s) for s in self.starts]), before | (self.w_owner > self.w_first[self.w_place]))
-        out = []
-        for (a, b), done, starts, hit in zip(self.spans, self.done, self.starts, hits):
-            at = starts[hit]
-            out.append(merged(np.concatenate([a[done], at]), np.concatenate([b[done], at + self.windows.width])))
-        return out
+        self.ids, self.offsets, self.data = exchange.documents(table)
+        rounds = known["round"].to_numpy()
+        places = [np.frombuffer(b, "<i4") for b in known.filter(pa.array(rounds == 1))["found"].to_pylist()]
+        at = np.sort(np.concatenate(places)).astype(np.int64) if places else np.empty(0, np.int64)
+        doc = np.searchsorted(self.offsets, at, side="right") - 1
+        low, high = self.offsets[doc], self.offsets[doc + 1]
+        self.a, self.b = np.maximum(at - windows.spread + 1, low), np.minimum(at + windows.width, high)
+        self.at, self.owner, self.last = at, self.ids[doc], high - windows.width
+        digit = fingerprints(self.data, at, at + windows.digit) & ~np.uint64(1)
+        # where in its surroundings the digit stands is part of what must be equal
+        around = exchange.mix(fingerprints(self.data, self.a, self.b) + (at - self.a).astype(np.uint64)) | np.uint64(1)
+        keys, self.place, self.first = _with_first(np.concatenate([digit, around]), np.tile(self.owner, 2))
+        self.keys, self.extra = keys, self.first.copy()
+        of_digit, inside = np.split(self.place, 2)[0], (around >> np.uint64(24)).astype(np.int64)
+        low, high = np.full(len(keys), exchange.LAST_ID), np.full(len(keys), -1)
+        np.minimum.at(low, of_digit, inside)
+        np.maximum.at(high, of_digit, inside)
+        digits = keys & np.uint64(1) == 0
+        self.extra[digits] = np.where(low == high, low, -1)[digits]
+        self.rounds, self.known = rounds, known
+
+    def _earlier(self, number: int, keys: np.ndarray, place: np.ndarray, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.empty(0, bool)
+        return exchange.found(self.known.filter(pa.array(self.rounds == number)), "?")[place] | (owner > first[place])
+
+    def settle(self) -> None:
+        """Uses the answers to the second digit: which surroundings an earlier document has, and which windows remain.
+
+        They remain where a digit has several surroundings: in the first document of each of these.
+        """
+        if not len(self.at):
+            several = self.whole = np.empty(0, bool)
+        else:
+            several = exchange.found(self.known.filter(pa.array(self.rounds == 2)), "?")[np.split(self.place, 2)[0]]
+            self.whole = np.split(self._earlier(2, self.keys, self.place, self.first, np.tile(self.owner, 2)), 2)[1]
+        still = several & ~self.whole
+        self.starts = np.unique(ranges(self.a[still], np.minimum(self.at[still], self.last[still]) + 1))
+        self.w_owner = self.ids[np.searchsorted(self.offsets, self.starts, side="right") - 1]
+        prints = fingerprints(self.data, self.starts, self.starts + self.windows.width)
+        self.w_keys, self.w_place, self.w_first = _with_first(prints, self.w_owner)
+
+    def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, first and last + 1 byte of the removed runs, in the slice's bytes."""
+        starts = self.starts[self._earlier(3, self.w_keys, self.w_place, self.w_first, self.w_owner)]
+        a = np.concatenate([self.a[self.whole], starts])
+        b = np.concatenate([self.b[self.whole], starts + self.windows.width])
+        doc = np.searchsorted(self.offsets, a, side="right") - 1
+        a, b = merged(a + doc, b + doc)  # a gap after every document keeps runs apart
+        gaps = self.offsets + np.arange(len(self.offsets))
+        doc = np.searchsorted(gaps, a, side="right") - 1
+        return doc, a - doc, b - doc
 
 
 RESULT = "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>"
@@ -187,12 +204,16 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     windows = Windows(width)
     corpus = exchange.Corpus.of_texts(docs)
+    total = corpus.total
 
-    def digits(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def digits(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, offsets, data = exchange.documents(table)
         found = [windows.anchors(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        places = [p for p, _ in found]
-        return places, np.repeat(ids, [len(p) for p in places]), *exchange.distinct(_join([h for _, h in found], np.uint64))
+        sizes = [len(p) for p, _ in found]
+        places = np.concatenate([p for p, _ in found]) if found else np.empty(0, np.int64)
+        prints = np.concatenate([h for _, h in found]) if found else np.empty(0, np.uint64)
+        keys, place = exchange.distinct(exchange.leading(prints, total, SPARE_BITS))
+        return places + np.repeat(offsets[:-1], sizes), np.repeat(ids, sizes), keys, place
 
     def first_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, owner, keys, place = digits(table)
@@ -204,50 +225,39 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     def first_back(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         places, _, keys, place = digits(table)
         shared = exchange.found(answers, "?")[place] if len(keys) else np.empty(0, bool)
-        kept = [p[s].astype(np.int32).tobytes() for p, s in zip(places, _split(np.cumsum([len(p) for p in places]), shared))]
-        return pa.table({"slice": table["slice"], "doc_id": table["doc_id"], "text": table["text"], "places": pa.array(kept, pa.binary())})
-
-    answers = corpus.answer(corpus.ask(corpus.rows, first_keys), exchange.in_two, "?")
-    grown = corpus.rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
-        first_back, "slice long, doc_id long, text string, places binary"
-    )
-    rows = stored(grown, "digits")
+        return pa.table({
+            "slice": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([0], pa.int32()),
+            "found": pa.array([places[shared].astype("<i4").tobytes()], pa.binary()),
+        })
 
-    def second_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own = _Slice(table, windows)
-        return own.keys, own.first
+    def second_keys(table: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own = _Slice(table, known, windows)
+        return own.keys, own.extra
 
     def last_keys(table: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own = _Slice(table, windows)
-        own.settle(known)
+        own = _Slice(table, known, windows)
+        own.settle()
         return own.w_keys, own.w_first
 
     def cut(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
-        own = _Slice(table, windows)
-        rounds = known["round"].to_numpy()
-        own.settle(known.filter(pa.array(rounds == 2)))
-        runs = own.removed(known.filter(pa.array(rounds == 3)))
-        kept = []
-        for text, (a, b) in zip(own.texts, runs):
-            stay = np.ones(len(text), bool)
-            stay[ranges(a, b)] = False
-            kept.append(text[stay].tobytes())
+        own = _Slice(table, known, windows)
+        own.settle()
+        doc, a, b = own.removed()
+        stay = np.ones(len(own.data), bool)
+        stay[ranges(a, b)] = False
+        n = len(own.ids)
+        kept = [own.data[x:y][stay[x:y]].tobytes() for x, y in zip(own.offsets[:-1], own.offsets[1:])]
+        bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x - own.offsets[doc])) for x in (a, b)]
         return pa.table({
-            "doc_id": table["doc_id"],
-            "n_bytes": pa.array([len(t) for t in own.texts], pa.int64()),
-            "kept": pa.array(kept, pa.binary()),
-            "starts": pa.array([a for a, _ in runs], pa.list_(pa.int64())),
-            "ends": pa.array([b for _, b in runs], pa.list_(pa.int64())),
+            "doc_id": exchange.id_array(own.ids), "n_bytes": np.diff(own.offsets), "kept": pa.array(kept, pa.binary()),
+            "starts": lists[0], "ends": lists[1],
         })
 
-    touched = rows.where(F.length("places") > 0)
-    second = corpus.answer(corpus.ask(touched, second_keys), exchange.earlier, "<i8")
-    last = corpus.answer(corpus.ask(touched, last_keys, second), exchange.earlier, "<i8")
-    known = second.withColumn("round", F.lit(2)).unionByName(last.withColumn("round", F.lit(3)))
-    done = touched.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(cut, RESULT)
-    whole = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    none = F.array().cast("array<long>")
-    rest = rows.where(F.length("places") == 0).select(
-        "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("kept"), none.alias("starts"), none.alias("ends")
-    )
-    return done.unionByName(rest)
+    by_slice = corpus.rows.groupBy("slice")
+    first = corpus.answer(corpus.ask(corpus.rows, first_keys), exchange.in_two, "?")
+    places = stored(by_slice.cogroup(first.groupBy("slice")).applyInArrow(first_back, exchange.ANSWER), "places").withColumn("round", F.lit(1))
+    second = corpus.answer(corpus.ask(corpus.rows, second_keys, places), _second, "<i8").withColumn("round", F.lit(2))
+    known = places.unionByName(second)
+    last = corpus.answer(corpus.ask(corpus.rows, last_keys, known), exchange.earlier, "<i8").withColumn("round", F.lit(3))
+    return by_slice.cogroup(known.unionByName(last).groupBy("slice")).applyInArrow(cut, RESULT)
