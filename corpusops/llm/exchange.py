@@ -106,7 +106,7 @@ class Corpus:
                 "slice": pa.array([key[0].as_py()] * len(full), pa.int64()),
                 "part": pa.array(full.astype(np.int32)),
                 "keys": pa.array([pack(keys[a:b]) for a, b in cuts], pa.binary()),
-                "extra": pa.array([_to_bytes(extra[a:b]) for a, b in cuts], pa.binary()),
+                "extra": pa.array([to_bytes(extra[a:b]) for a, b in cuts], pa.binary()),
             })
 
         grouped = rows.groupBy("slice")
@@ -120,18 +120,18 @@ class Corpus:
 
         def run(table: pa.Table) -> pa.Table:
             keys = [unpack(k) for k in table["keys"].to_pylist()]
-            extra = np.concatenate([_from_bytes(e, extra_type, len(k)) for e, k in zip(table["extra"].to_pylist(), keys)])
+            extra = np.concatenate([from_bytes(e, extra_type, len(k)) for e, k in zip(table["extra"].to_pylist(), keys)])
             values, place = distinct(np.concatenate(keys))
             answers = np.split(found_for(values, place, extra), np.cumsum([len(k) for k in keys])[:-1])
             return pa.table({
                 "slice": table["slice"], "part": table["part"],
-                "found": pa.array([len(f).to_bytes(4, "little") + _to_bytes(f) for f in answers], pa.binary()),
+                "found": pa.array([framed(f) for f in answers], pa.binary()),
             })
 
         return asks.groupBy("part").applyInArrow(run, ANSWER)
 
 
-def _to_bytes(x: np.ndarray) -> bytes:
+def to_bytes(x: np.ndarray) -> bytes:
     """Booleans as bits, 64-bit numbers as differences from the smallest in as few bytes as needed."""
     if x.dtype == bool:
         return np.packbits(x).tobytes()
@@ -143,7 +143,7 @@ def _to_bytes(x: np.ndarray) -> bytes:
     return bytes([width]) + low.tobytes() + above.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _from_bytes(data: bytes, kind: str, n: int) -> np.ndarray:
+def from_bytes(data: bytes, kind: str, n: int) -> np.ndarray:
     if kind == "?":
         return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
     if kind != "<i8" or not n:
@@ -153,11 +153,15 @@ def _from_bytes(data: bytes, kind: str, n: int) -> np.ndarray:
     return (above.view(np.uint64).ravel() + np.frombuffer(data, np.uint64, 1, 1)).view(np.int64)
 
 
+def framed(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(4, "little") + to_bytes(x)
+
+
 def found(answers: pa.Table, kind: str) -> np.ndarray:
     """The answers of a slice in the order of its keys."""
     order = np.argsort(answers["part"].to_numpy())
     column = answers["found"].to_pylist()
-    parts = [_from_bytes(column[i][4:], kind, int.from_bytes(column[i][:4], "little")) for i in order]
+    parts = [from_bytes(column[i][4:], kind, int.from_bytes(column[i][:4], "little")) for i in order]
     return np.concatenate(parts) if parts else np.empty(0, np.dtype(kind))
 
 

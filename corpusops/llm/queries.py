@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bpe, embed_dedup, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk
+from corpusops.llm import bpe, embed_dedup, exchange, langid, lm_scoring, ngram_join, packing, quality, sharding, suffix_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,3 +127,14 @@ def suffix_dedup_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def learns(ids: np.ndarray) -> np.ndarray:
+    """The same fold as ``fold(7) != 2``."""
+    return np.fromiter((zlib.crc32(str(i).encode()) % 7 != 2 for i in ids.tolist()), bool, len(ids)) | (ids == exchange.LAST_ID)
+
+
+@query("op9_lm_scoring")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.score(read(spark, sf_dir, "documents"), learns)
+    return found.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
