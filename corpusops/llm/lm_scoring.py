@@ -21,7 +21,7 @@ from corpusops.llm import exchange
 from corpusops.llm.words import LOWER, word_hashes, word_spans
 
 #: Preceding bytes that a context holds at most.
-DEPTH = 5
+DEPTH = 6
 #: Slices whose questions about one part of the contexts meet in one task.
 SALT = 64
 #: Stand before a text and end it; neither is a byte of UTF-8.
