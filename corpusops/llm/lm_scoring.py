@@ -8,7 +8,6 @@ corpus, which gives the weight of every node. A text's probability is then the p
 
 from __future__ import annotations
 
-import io
 import math
 from collections.abc import Callable
 
@@ -23,7 +22,7 @@ from corpusops.llm.words import LOWER, word_hashes, word_spans
 #: Preceding bytes that a context holds at most.
 DEPTH = 6
 #: Slices whose questions about one part of the contexts meet in one task.
-SALT = 64
+SALT = 256
 #: Stand before a text and end it; neither is a byte of UTF-8.
 BEFORE, END = 0xFE, 0xFF
 #: Preceding bytes that contexts are dealt by; nodes above are weighted by the driver (at most 255 * 256 ** (TOP - 1)).
@@ -83,15 +82,19 @@ class _Slice:
 
     def __init__(self, table: pa.Table, learn: Learn) -> None:
         self.ids, offsets, data = exchange.documents(table)
-        low = LOWER[data]
-        begins, ends, self.counts = word_spans(low, offsets)
+        self.low = LOWER[data]
+        self.begins, self.ends, self.counts = word_spans(self.low, offsets)
         self.learn = learn(self.ids)
-        words = np.append(word_hashes(low, begins, ends), END_TOKEN)
+
+    def read_words(self) -> None:
+        words = np.append(word_hashes(self.low, self.begins, self.ends), END_TOKEN)
         self.words, place = exchange.distinct(words)
         self.word, self.end = place[:-1], int(place[-1])
         self.word_train = self._trained(self.word, self.counts, len(self.words))
         self.word_train[self.end] += self.learn.sum()
-        codes, self.sizes = grams(low, begins, ends, self.counts)
+
+    def read_grams(self) -> None:
+        codes, self.sizes = grams(self.low, self.begins, self.ends, self.counts)
         self.grams, self.gram = exchange.distinct(codes)
         self.gram_train = self._trained(self.gram, self.sizes, len(self.grams))
 
@@ -172,10 +175,19 @@ def _log10(code: np.ndarray, model: dict[int, tuple]) -> np.ndarray:
     return out
 
 
+def _squeezed(codes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted codes as differences, and their counts, each compressed by planes of bytes."""
+    return tuple(pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True) for x in (np.diff(codes, prepend=0), counts))
+
+
 def _entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    keys = [exchange.unpack(k).view(np.int64) for k in table["keys"].to_pylist()]
-    counts = [exchange.from_bytes(e, "<i8", len(k)) for e, k in zip(table["extra"].to_pylist(), keys)]
-    return keys, np.concatenate(counts) if counts else np.empty(0, np.int64)
+    """The codes of each row, and all counts."""
+    sizes = table["n"].to_pylist()
+    codes, counts = (
+        [np.frombuffer(pa.decompress(x, 8 * n, "zstd"), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for x, n in zip(table[c].to_pylist(), sizes)]
+        for c in ("keys", "extra")
+    )
+    return [np.cumsum(c) for c in codes], np.concatenate(counts) if counts else np.empty(0, np.int64)
 
 
 def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,20 +195,6 @@ def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values, np.bincount(place, weights=counts, minlength=len(values)).astype(np.int64)
 
 
-def _saved(model: dict[int, tuple]) -> bytes:
-    out = io.BytesIO()
-    for depth in range(DEPTH, TOP - 1, -1):
-        nodes, one, weight = model[depth]
-        for x in (nodes, one.astype(np.float32), weight.astype(np.float32)):
-            np.save(out, x)
-    return out.getvalue()
-
-
-def _loaded(data: bytes) -> dict[int, tuple]:
-    source = io.BytesIO(data)
-    return {depth: tuple(np.load(source) for _ in range(3)) for depth in range(DEPTH, TOP - 1, -1)}
-
-
 def _top(nodes: np.ndarray, below: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> dict[int, tuple]:
     """The nodes above TOP, from the block probabilities below and the counts of those of depth TOP - 1."""
     model = {}
@@ -225,62 +223,66 @@ def score(docs: DataFrame, learn: Learn) -> DataFrame:
 
     A slice asks for its distinct words and its distinct strings of DEPTH + 1 bytes once. Words are counted by
     hashed parts; strings go to parts by their TOP last bytes of context. There the counts are added up in two
-    steps, so no task reads more than SALT slices' strings or the distinct strings of one part, and each part
-    weighs its nodes. Nothing is broadcast but the nodes above TOP, at most 255 * 256 ** (TOP - 1) of them.
+    steps, so no task reads more than SALT slices' strings or the distinct strings of one part, and the strings'
+    counts of a part make its nodes and their weights. Nothing is broadcast but the nodes above TOP, at most 255 * 256 ** (TOP - 1) of them.
     """
     corpus = exchange.Corpus.of_texts(docs)
     parts, salts = min(256, 1 << corpus.bits), -(-corpus.slices // SALT)
 
     def word_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own = _Slice(table, learn)
+        own.read_words()
         return own.words, own.word_train
 
     def word_totals(table: pa.Table) -> pa.Table:
-        keys, counts = _entries(table)
-        _, total = _merged(np.concatenate(keys), counts)
+        keys = [exchange.unpack(k) for k in table["keys"].to_pylist()]
+        counts = [exchange.from_bytes(e, "<i8", len(k)) for e, k in zip(table["extra"].to_pylist(), keys)]
+        _, total = _merged(np.concatenate(keys), np.concatenate(counts))
         return pa.table({"tokens": pa.array([total.sum()], pa.int64()), "kinds": pa.array([(total > 0).sum()], pa.int64())})
 
     def gram_keys(key: tuple, table: pa.Table) -> pa.Table:
         own = _Slice(table, learn)
+        own.read_grams()
         part, order = own.parts(parts)
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         cuts = [order[bounds[p] : bounds[p + 1]] for p in range(parts)]
         full = [p for p in range(parts) if len(cuts[p])]
         number = key[0].as_py()
+        keys, extra = zip(*(_squeezed(own.grams[cuts[p]], own.gram_train[cuts[p]]) for p in full))
         return pa.table({
             "slice": pa.array([number] * len(full), pa.int64()),
             "part": pa.array(full, pa.int32()),
             "salt": pa.array([number % salts] * len(full), pa.int64()),
-            "keys": pa.array([exchange.pack(own.grams[cuts[p]].view(np.uint64)) for p in full], pa.binary()),
-            "extra": pa.array([exchange.to_bytes(own.gram_train[cuts[p]]) for p in full], pa.binary()),
+            "n": pa.array([len(cuts[p]) for p in full], pa.int32()),
+            "keys": pa.array(keys, pa.binary()),
+            "extra": pa.array(extra, pa.binary()),
         })
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = _entries(table)
         codes, counts = _merged(np.concatenate(keys), counts)
         codes, counts = codes[counts > 0], counts[counts > 0]
+        keys, extra = _squeezed(codes, counts)
         return pa.table({
-            "part": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([exchange.pack(codes.view(np.uint64))], pa.binary()),
-            "extra": pa.array([exchange.to_bytes(counts)], pa.binary()),
+            "part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(codes)], pa.int32()),
+            "keys": pa.array([keys], pa.binary()), "extra": pa.array([extra], pa.binary()),
         })
 
-    def build(key: tuple, table: pa.Table) -> pa.Table:
+    def top_nodes(table: pa.Table) -> pa.Table:
         keys, counts = _entries(table)
-        codes, counts = _merged(np.concatenate(keys), counts)
-        model, nodes, below = _weigh(codes, counts, TOP)
-        same, n0, n1 = _counted(codes, counts, TOP - 1)
-        lists = {"node": nodes, "below": below, "n0": n0, "n1": n1}
-        return pa.table({
-            "part": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([_saved(model)], pa.large_binary()).cast(pa.binary()),
-            **{k: pa.array([x.astype(np.int64 if k == "node" else np.float64)]) for k, x in lists.items()},
-        })
+        codes = np.concatenate(keys)
+        _, nodes, below = _weigh(codes, counts, TOP)
+        _, n0, n1 = _counted(codes, counts, TOP - 1)
+        return pa.table({"node": nodes, "below": below, "n0": n0, "n1": n1})
 
     def reply(key: tuple, table: pa.Table, models: pa.Table) -> pa.Table:
         keys, _ = _entries(table)
-        row = models.to_pylist()[0]
-        top = [np.array([t[k] for t in row["top"]], np.int64 if k == "node" else np.float64) for k in ("node", "below", "n0", "n1")]
+        known, counts = _entries(models)
+        lists = models["top"].to_pylist()[0]
+        top = [np.array([t[k] for t in lists], np.int64 if k == "node" else np.float64) for k in ("node", "below", "n0", "n1")]
         codes, place = exchange.distinct(np.concatenate(keys))
-        values = _log10(codes, _loaded(row["model"]) | _top(*top)).astype("<f4")[place]
+        model, _, _ = _weigh(np.concatenate(known), counts, TOP)
+        values = _log10(codes, model | _top(*top)).astype("<f4")[place]
         answers = np.split(values, np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({
             "slice": table["slice"], "part": table["part"],
@@ -289,6 +291,8 @@ def score(docs: DataFrame, learn: Learn) -> DataFrame:
 
     def back(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         own = _Slice(table, learn)
+        own.read_words()
+        own.read_grams()
         rounds = known["round"].to_numpy()
         count = exchange.found(known.filter(pa.array(rounds == 1)), "<i8")
         _, order = own.parts(parts)
@@ -310,17 +314,15 @@ def score(docs: DataFrame, learn: Learn) -> DataFrame:
     totals = word_asks.groupBy("part").applyInArrow(word_totals, "tokens long, kinds long").agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")
     )
-    asks = by_slice.applyInArrow(gram_keys, "slice long, part int, salt long, keys binary, extra binary")
-    sums = asks.groupBy("part", "salt").applyInArrow(add_up, "part int, keys binary, extra binary")
-    built = sums.groupBy("part").applyInArrow(
-        build, "part int, model binary, node array<bigint>, below array<double>, n0 array<double>, n1 array<double>"
-    )
+    asks = by_slice.applyInArrow(gram_keys, "slice long, part int, salt long, n int, keys binary, extra binary")
+    counted = "part int, n int, keys binary, extra binary"
+    sums = asks.groupBy("part", "salt").applyInArrow(add_up, counted).groupBy("part").applyInArrow(add_up, counted)
     top = (
-        built.select(F.explode(F.arrays_zip("node", "below", "n0", "n1")).alias("t")).select("t.*")
+        sums.groupBy("part").applyInArrow(top_nodes, "node long, below double, n0 double, n1 double")
         .groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "n0", "n1")])
         .agg(F.collect_list(F.struct("node", "below", "n0", "n1")).alias("top"))  # of a fixed greatest size
     )
-    models = built.select("part", "model").crossJoin(F.broadcast(top)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    models = sums.crossJoin(F.broadcast(top)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     strings = asks.groupBy("part", "salt").cogroup(models.groupBy("part", "salt")).applyInArrow(reply, exchange.ANSWER).withColumn("round", F.lit(2))
     scored = by_slice.cogroup(words.unionByName(strings).groupBy("slice")).applyInArrow(
         back, "doc_id long, n_tokens long, n_known long, sum double, score double"
