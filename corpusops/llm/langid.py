@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.llm.ragged import slices
+from corpusops.llm.ragged import result_schema, slices, with_results, with_text
 
 #: N-gram lengths in bytes of lower-cased text, and the number of hashed n-gram features.
 LENGTHS, FEATURES = (1, 2, 3, 4), 1 << 16
@@ -119,12 +119,15 @@ def train(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
     return fit([r.bits for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carried: list[str] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the columns ``carried`` for every row of ``docs`` (doc_id, text).
+def predict(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], carried: list[str] = (), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """doc_id, lang_pred, score (named by ``names``) and the columns ``carried`` for every row of ``docs`` (doc_id, text).
 
     score is the best regression value, brought from [-1, 1] to [0, 1] and cut there. A text that is null or
     has no letter, and any text where nothing was learnt, is UNKNOWN with score 0. Whole texts are scored, by
-    one matrix product per ROWS texts; repeated rows and null ids are kept.
+    one matrix product per ROWS texts; repeated rows and null ids are kept. A carried column with the name of a
+    result is left out.
     """
     langs, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # FEATURES x languages numbers
@@ -133,23 +136,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], carried: list[
         w = shared.value
         for batch in batches:
             found = []
-            for texts in slices(batch.column("_text")):
+            for texts in slices(batch.column(0)):
                 for block in presence(texts):
                     x = block.astype(np.float32)
                     norms = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
                     found.append((x @ w[:FEATURES]) / norms + w[FEATURES])
             s = np.concatenate(found) if found else np.zeros((0, len(langs)))
-            known = batch.column("_letters").to_numpy(zero_copy_only=False) & bool(langs)
+            known = batch.column(1).to_numpy(zero_copy_only=False) & bool(langs)
             best = s.argmax(axis=1) if langs else np.zeros(len(s), int)
             top = s.max(axis=1) if langs else np.zeros(len(s))
-            names = np.array([*langs, UNKNOWN], object)[np.where(known, best, len(langs))]
+            lang = np.array([*langs, UNKNOWN], object)[np.where(known, best, len(langs))]
             score = np.where(known, np.clip((top.astype(np.float64) + 1) / 2, 0, 1), 0.0)
-            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("_text", "_letters")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score)], names=[*schema.names])
-
-    wanted = ["doc_id", *[c for c in carried if c not in ("doc_id", "lang_pred", "score")]]
-    rows = docs.select(*wanted, F.col("text").alias("_text"), has_letter(F.col("text")).alias("_letters"))
-    schema = rows.select(*wanted, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    for field in schema.fields:
-        field.nullable = True
+            yield with_results(batch, schema.names, pa.array(lang, pa.string()), pa.array(score))
+
+    rows, wanted = with_text(docs, carried, names, has_letter(F.col("text")))
+    schema = result_schema(rows.select(*wanted), **dict(zip(names, ("string", "double"))))
     return rows.mapInArrow(run, schema)

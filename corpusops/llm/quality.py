@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.llm.ragged import slices
+from corpusops.llm.ragged import result_schema, slices, with_results, with_text
 
 #: Trusted positives and unlabelled documents that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -194,22 +194,19 @@ def train(docs: DataFrame, positives: DataFrame, training: Column) -> Model | No
     return fit(p, u) if len(p) > 1 and len(u) > 1 else None
 
 
-def score(docs: DataFrame, model: Model | None, carried: list[str] = ()) -> DataFrame:
-    """doc_id, score and the columns ``carried`` for every row of ``docs`` (doc_id, text).
+def score(docs: DataFrame, model: Model | None, carried: list[str] = (), name: str = "score") -> DataFrame:
+    """doc_id, score (named ``name``) and the columns ``carried`` for every row of ``docs`` (doc_id, text).
 
     A null text counts as empty, and an empty text is scored like any other; without a model the score is
-    0.5. Whole texts are read; repeated rows and null ids are kept.
+    0.5. Whole texts are read; repeated rows and null ids are kept. A carried column with the name of the
+    result is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(features(t)) if model else np.full(len(t), 0.5) for t in slices(batch.column("_text"), SLICE)]
-            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(found) if found else [], pa.float64())], names=schema.names)
-
-    wanted = ["doc_id", *[c for c in carried if c not in ("doc_id", "score")]]
-    rows = docs.select(*wanted, F.col("text").alias("_text"))
-    schema = rows.select(*wanted, F.lit(0.0).alias("score")).schema
-    for field in schema.fields:
-        field.nullable = True
+            found = [model.score(features(t)) if model else np.full(len(t), 0.5) for t in slices(batch.column(0), SLICE)]
+            yield with_results(batch, schema.names, pa.array(np.concatenate(found) if found else [], pa.float64()))
+
+    rows, wanted = with_text(docs, carried, (name,))
+    schema = result_schema(rows.select(*wanted), **{name: "double"})
     return rows.mapInArrow(run, schema)

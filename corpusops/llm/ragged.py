@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -28,6 +31,28 @@ def slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[pa.Array]:
         a = b
 
 
+def with_text(docs: DataFrame, carried: list[str], results: tuple[str, ...], *more: Column) -> tuple[DataFrame, list[str]]:
+    """The text once, then ``more``, then the columns a result carries (the text among them under its name)."""
+    wanted = ["doc_id", *[c for c in carried if c != "doc_id" and c not in results]]
+    first = [F.col("text").alias("text" if "text" in wanted else "_text"), *[c.alias(f"_more{i}") for i, c in enumerate(more)]]
+    return docs.select(*first, *[c for c in wanted if c != "text"]), wanted
+
+
+def with_results(batch: pa.RecordBatch, names: list[str], *results: pa.Array) -> pa.RecordBatch:
+    """The carried columns of a batch from ``with_text`` in the order of ``names``, then the results."""
+    by_name = dict(zip(batch.schema.names, batch.columns))
+    carried = [by_name[n] for n in names[: len(names) - len(results)]]
+    return pa.RecordBatch.from_arrays([*carried, *results], names=names)
+
+
+def result_schema(rows: DataFrame, **results: str) -> StructType:
+    """The schema of ``rows`` and the results behind it, all nullable."""
+    schema = StructType([StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    for name, kind in results.items():
+        schema = schema.add(name, kind, True)
+    return schema
+
+
 class Memo:
     """Rows of numbers by key, each distinct key worked out once per Python worker; bounded, then it starts anew."""
 

@@ -11,10 +11,9 @@ one is the window itself, for the suffixes in between. Groups equal in it are th
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,14 +187,15 @@ class _Slice:
         return doc, a - doc, b - doc
 
 
-RESULT = "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>"
+RESULT = "doc_id long, text_hash long, n_bytes long, kept binary, starts array<long>, ends array<long>"
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, n_bytes, kept, starts, ends for every row of ``docs`` (doc_id, text; no other column is read).
+    """doc_id, text_hash, n_bytes, kept, starts, ends for every row of ``docs`` (doc_id, text; no other column is read).
 
     Texts are UTF-8 bytes. A byte goes if a string of ``width`` bytes that covers it also starts in a document with
     a smaller doc_id, judged on the input; starts and ends are the maximal removed runs, kept is the rest.
+    text_hash is Spark's xxhash64 of the text (null as empty), to find a row again among rows of one doc_id.
     Strings never cross documents, and repeats inside one document stay. A null text counts as empty. A null
     doc_id counts as the largest; rows that repeat a doc_id are one document to each other.
 
@@ -249,8 +249,9 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         kept = [own.data[x:y][stay[x:y]].tobytes() for x, y in zip(own.offsets[:-1], own.offsets[1:])]
         bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(bounds, pa.array(x - own.offsets[doc])) for x in (a, b)]
+        hashes = [xxhash.xxh64_intdigest(own.data[x:y].tobytes(), seed=42) for x, y in zip(own.offsets[:-1], own.offsets[1:])]
         return pa.table({
-            "doc_id": exchange.id_array(own.ids), "n_bytes": np.diff(own.offsets), "kept": pa.array(kept, pa.binary()),
+            "doc_id": exchange.id_array(own.ids), "text_hash": np.array(hashes, np.uint64).view(np.int64), "n_bytes": np.diff(own.offsets), "kept": pa.array(kept, pa.binary()),
             "starts": lists[0], "ends": lists[1],
         })
 
