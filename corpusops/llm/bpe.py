@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusops.llm.ragged import Memo, slices
 
 #: Distinct words whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: How this kind of tokenizer cuts a text into words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beyond ASCII, and controls that some rules count as such (fixed value).
