@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.llm.ragged import Memo, slices
+from corpusops.llm.ragged import Memo, slices, small_batches
 
 #: Distinct words whose ids a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 500_000
@@ -330,7 +330,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 )
                 done += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
@@ -343,4 +343,4 @@ def decode(rows: DataFrame, tokenizer: str) -> DataFrame:
             text = codec(tokenizer).decode(lengths, column.flatten().to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text.cast(pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return small_batches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

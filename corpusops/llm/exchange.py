@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusops.llm.ragged import small_batches
+
 #: Bytes of text in a slice, and bytes of text behind the keys of one part.
 SLICE, PART = 4 << 20, 4 << 20
 LAST_ID = np.iinfo(np.int64).max
@@ -76,7 +78,7 @@ class Corpus:
     """The slices of a table, dealt by ``key``, and the number of parts that fits the bytes of its ``content``."""
 
     def __init__(self, rows: DataFrame, key: str, content: str, slice_bytes: int = SLICE, part_bytes: int = PART) -> None:
-        self.total = rows.agg(F.sum(F.octet_length(content).cast("long"))).first()[0] or 0
+        self.total = small_batches(rows).agg(F.sum(F.octet_length(content).cast("long"))).first()[0] or 0
         self.slices = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-self.total // slice_bytes))
         self.bits = max(3, int(-(-self.total // part_bytes)).bit_length())
         self.rows = rows.withColumn("slice", F.pmod(F.xxhash64(key, F.octet_length(content)), F.lit(self.slices)))

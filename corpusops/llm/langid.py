@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.llm.ragged import result_schema, slices, with_results, with_text
+from corpusops.llm.ragged import result_schema, slices, small_batches, with_results, with_text
 
 #: N-gram lengths in bytes of lower-cased text, and the number of hashed n-gram features.
 LENGTHS, FEATURES = (1, 2, 3, 4), 1 << 16
@@ -101,7 +101,7 @@ def has_letter(text: Column) -> Column:
 
 def train(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
     """Languages and weights, from at most FITTED documents per language for which ``training`` holds."""
-    usable = docs.where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
+    usable = small_batches(docs).where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
     chosen = sampled(usable, "lang", FITTED).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusops.llm.ragged import Memo, slices
+from corpusops.llm.ragged import Memo, slices, small_batches
 from corpusops.session import stored
 
 #: Pieces packed by one task, pieces that a task with a gap gives away, and tasks that pool them.
@@ -136,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
                 [pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 

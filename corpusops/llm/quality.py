@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.llm.ragged import result_schema, slices, with_results, with_text
+from corpusops.llm.ragged import result_schema, slices, small_batches, with_results, with_text
 
 #: Trusted positives and unlabelled documents that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -186,7 +186,7 @@ def train(docs: DataFrame, positives: DataFrame, training: Column) -> Model | No
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_positive"), rows], names=["id", "positive", "x"])
 
     rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # of a fixed size
+        small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # of a fixed size
         .select("_id", "_positive", "text").mapInArrow(run, "id long, positive boolean, x array<double>").collect()
     )
     rows = sorted(rows, key=lambda r: (r.positive, r.id, r.x))

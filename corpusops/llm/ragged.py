@@ -31,11 +31,23 @@ def slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[pa.Array]:
         a = b
 
 
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session kept to BATCH_ROWS rows: a row is a whole text here."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, BATCH_ROWS)
+    return df
+
+
 def with_text(docs: DataFrame, carried: list[str], results: tuple[str, ...], *more: Column) -> tuple[DataFrame, list[str]]:
     """The text once, then ``more``, then the columns a result carries (the text among them under its name)."""
     wanted = ["doc_id", *[c for c in carried if c != "doc_id" and c not in results]]
     first = [F.col("text").alias("text" if "text" in wanted else "_text"), *[c.alias(f"_more{i}") for i, c in enumerate(more)]]
-    return docs.select(*first, *[c for c in wanted if c != "text"]), wanted
+    return small_batches(docs).select(*first, *[c for c in wanted if c != "text"]), wanted
 
 
 def with_results(batch: pa.RecordBatch, names: list[str], *results: pa.Array) -> pa.RecordBatch:
