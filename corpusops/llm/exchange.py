@@ -84,14 +84,16 @@ class Corpus:
         self.rows = rows.withColumn("slice", F.pmod(F.xxhash64(key, F.octet_length(content)), F.lit(self.slices)))
 
     @classmethod
-    def of_texts(cls, docs: DataFrame, **sizes: int) -> Corpus:
-        """Of doc_id and text, packed; ``documents`` unpacks a slice. No other column is read.
+    def of_texts(cls, docs: DataFrame, carried: list[str] = (), **sizes: int) -> Corpus:
+        """Of doc_id and text, packed; ``documents`` unpacks a slice, and ``others`` the columns ``carried`` along.
 
         Every batch of the scan sends one compressed row to each slice, so texts cross the network once at a
         fraction of their size, and a slice of many short texts is few rows.
         """
-        out = cls(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text", **sizes)
-        out.rows = out.rows.mapInArrow(_packed, "slice long, n int, size long, packed binary")
+        along = F.struct(*carried) if carried else F.lit(None).cast("struct<none: int>")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), along.alias("along"))
+        out = cls(rows, "doc_id", "text", **sizes)
+        out.rows = out.rows.mapInArrow(_packed, "slice long, n int, size long, packed binary, along binary")
         return out
 
     def ask(self, rows: DataFrame, keys_of: Callable, answers: DataFrame | None = None) -> DataFrame:
@@ -195,11 +197,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for a, b in zip(first, np.append(first[1:], len(ids))):
             content = ids[a:b].tobytes() + np.diff(offsets[a : b + 1]).tobytes() + data[offsets[a] : offsets[b]].tobytes()
-            out.append((b - a, len(content), pa.compress(content, "zstd", asbytes=True)))
-        n, size, packed = zip(*out)
+            sink = pa.BufferOutputStream()
+            along = rows.slice(a, b - a).select(["along"])
+            if along["along"].null_count < len(along):
+                with pa.ipc.new_stream(sink, along.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(along)
+            out.append((b - a, len(content), pa.compress(content, "zstd", asbytes=True), sink.getvalue().to_pybytes()))
+        n, size, packed, others = zip(*out)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(slices), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())],
-            names=["slice", "n", "size", "packed"],
+            [pa.array(slices), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(packed, pa.binary()), pa.array(others, pa.binary())],
+            names=["slice", "n", "size", "packed", "along"],
         )
 
 
@@ -219,6 +226,16 @@ def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A null id counts as the largest, a null text as empty.
     """
+    return _unpacked(table)[:3]
+
+
+def others(table: pa.Table) -> pa.Table:
+    """The columns carried along, in the order of ``documents``."""
+    parts = [pa.ipc.open_stream(x).read_all() for x in table["along"].to_pylist()]
+    return pa.Table.from_struct_array(pa.concat_tables(parts)["along"].combine_chunks()).take(_unpacked(table)[3])
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids, lengths, texts = [], [], []
     for n, size, packed in zip(*(table[c].to_pylist() for c in ("n", "size", "packed"))):
         content = np.frombuffer(pa.decompress(packed, size, "zstd"), np.uint8)
@@ -226,14 +243,14 @@ def documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths.append(content[8 * n : 16 * n].view(np.int64))
         texts.append(content[16 * n :])
     if not ids:
-        return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint8)
+        return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64)
     ids, lengths, data = (np.concatenate(x) for x in (ids, lengths, texts))
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(ids, kind="stable")
     if (np.diff(ids[order]) == 0).any():
         order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], data[starts[i] : starts[i] + lengths[i]].tobytes())))
     offsets = np.concatenate([[0], np.cumsum(lengths[order])])
-    return ids[order], offsets, np.concatenate([data[starts[i] : starts[i] + lengths[i]] for i in order.tolist()])
+    return ids[order], offsets, np.concatenate([data[starts[i] : starts[i] + lengths[i]] for i in order.tolist()]), order
 
 
 def id_array(ids: np.ndarray) -> pa.Array:

@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, StructField, StructType
 
 from corpusops.llm import exchange
 from corpusops.session import stored
@@ -187,15 +187,17 @@ class _Slice:
         return doc, a - doc, b - doc
 
 
-RESULT = "doc_id long, text_hash long, n_bytes long, kept binary, starts array<long>, ends array<long>"
+RESULT: dict[str, DataType] = {
+    "doc_id": LongType(), "n_bytes": LongType(), "kept": BinaryType(), "starts": ArrayType(LongType()), "ends": ArrayType(LongType()),
+}
 
 
-def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, text_hash, n_bytes, kept, starts, ends for every row of ``docs`` (doc_id, text; no other column is read).
+def remove_repeats(docs: DataFrame, width: int = 50, carried: list[str] = ()) -> DataFrame:
+    """The columns ``carried`` and doc_id, n_bytes, kept, starts, ends for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes. A byte goes if a string of ``width`` bytes that covers it also starts in a document with
     a smaller doc_id, judged on the input; starts and ends are the maximal removed runs, kept is the rest.
-    text_hash is Spark's xxhash64 of the text (null as empty), to find a row again among rows of one doc_id.
+    A carried column with the name of a result is left out.
     Strings never cross documents, and repeats inside one document stay. A null text counts as empty. A null
     doc_id counts as the largest; rows that repeat a doc_id are one document to each other.
 
@@ -203,8 +205,12 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     doc_id of the slice that holds it; the answer says whether another slice has a smaller one.
     """
     windows = Windows(width)
-    corpus = exchange.Corpus.of_texts(docs)
+    carried = [c for c in carried if c not in RESULT]
+    corpus = exchange.Corpus.of_texts(docs, carried)
     total = corpus.total
+    schema = StructType([StructField(f.name, f.dataType, True) for f in docs.select(*carried).schema.fields])
+    for name, kind in RESULT.items():
+        schema = schema.add(name, kind, True)
 
     def digits(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, offsets, data = exchange.documents(table)
@@ -249,11 +255,14 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         kept = [own.data[x:y][stay[x:y]].tobytes() for x, y in zip(own.offsets[:-1], own.offsets[1:])]
         bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(bounds, pa.array(x - own.offsets[doc])) for x in (a, b)]
-        hashes = [xxhash.xxh64_intdigest(own.data[x:y].tobytes(), seed=42) for x, y in zip(own.offsets[:-1], own.offsets[1:])]
-        return pa.table({
-            "doc_id": exchange.id_array(own.ids), "text_hash": np.array(hashes, np.uint64).view(np.int64), "n_bytes": np.diff(own.offsets), "kept": pa.array(kept, pa.binary()),
+        results = pa.table({
+            "doc_id": exchange.id_array(own.ids), "n_bytes": np.diff(own.offsets), "kept": pa.array(kept, pa.binary()),
             "starts": lists[0], "ends": lists[1],
         })
+        if not carried:
+            return results
+        along = exchange.others(table)
+        return pa.table([*along.columns, *results.columns], names=[*carried, *results.column_names])
 
     by_slice = corpus.rows.groupBy("slice")
     first = corpus.answer(corpus.ask(corpus.rows, first_keys), exchange.in_two, "?")
@@ -261,4 +270,4 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     second = corpus.answer(corpus.ask(corpus.rows, second_keys, places), _second, "<i8").withColumn("round", F.lit(2))
     known = places.unionByName(second)
     last = corpus.answer(corpus.ask(corpus.rows, last_keys, known), exchange.earlier, "<i8").withColumn("round", F.lit(3))
-    return by_slice.cogroup(known.unionByName(last).groupBy("slice")).applyInArrow(cut, RESULT)
+    return by_slice.cogroup(known.unionByName(last).groupBy("slice")).applyInArrow(cut, schema)
