@@ -8,7 +8,7 @@ know pass through. An empty table gives an empty table.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.llm import langid, ngram_join, packing, quality, suffix_dedup
@@ -54,15 +54,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     All rows stay, also those whose text gets empty; a null text becomes empty. Part of a character at a
     cut becomes U+FFFD.
     """
-    same = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
-    cut = suffix_dedup.remove_repeats(docs).select(
-        "doc_id", F.col("text_hash").alias("_hash"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_text")
-    ).withColumn("_n", F.row_number().over(same))
-    others = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text").withColumn("_n", F.row_number().over(same))
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_cut_hash"), F.col("_n").alias("_cut_n"), "_text")
-    joined = others.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_cut_hash")) & (F.col("_n") == F.col("_cut_n")))
-    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    names = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "n_chars")}
+    rows = docs.select(F.col("doc_id"), F.col("text"), *[F.col(c).alias(n) for c, n in names.items()])
+    cut = suffix_dedup.remove_repeats(rows, carried=list(names.values())).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*[changed.get(c, F.col(names.get(c, c))).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
