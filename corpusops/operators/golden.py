@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +17,17 @@ STOP_WORDS = [
     "pagina", "home", "index",
 ]
 
-# Letters with a mark and the letters they become.
-MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+def fold(c: Column) -> Column:
+    """Lower case without accents; everything but [a-z0-9_./-] becomes a blank.
+
+    Accents are the combining marks U+0300 to U+036F of the canonical decomposition.
+    """
 
+    @F.pandas_udf("string")
+    def without_marks(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFD").str.replace("[\u0300-\u036f]+", "", regex=True)
 
-def fold(c: Column) -> Column:
-    """Lower case without accents; everything but [a-z0-9_./-] becomes a blank."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), "[^a-z0-9_./-]+", " "))
+    return F.trim(F.regexp_replace(without_marks(F.lower(c)), "[^a-z0-9_./-]+", " "))
 
 
 def signal_tokens(c: Column) -> Column:

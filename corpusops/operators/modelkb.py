@@ -215,13 +215,14 @@ def patterns(refs: DataFrame) -> DataFrame:
 
 
 def parse_dump(lines: DataFrame, n_columns: int = 4, line: str = "value") -> DataFrame:
-    """Pipe-delimited dump lines as trimmed cells; rulers, row counts and short lines drop out."""
+    """Pipe-delimited dump lines as trimmed cells; rulers, row counts and short lines drop out. A position ``pos`` is kept."""
     text = F.trim(F.regexp_replace(line, r"[\r\t]", " "))
-    kept = lines.select(text.alias("t")).filter(
+    place = ["pos"] if "pos" in lines.columns else []
+    kept = lines.select(text.alias("t"), *place).filter(
         (F.col("t") != "") & ~F.startswith("t", F.lit("(")) & ~F.startswith("t", F.lit("---"))
     )
     cells = F.transform(F.split("t", r"\|", -1), lambda c: F.trim(c))
-    return kept.select(cells.alias("cells")).filter(F.size("cells") >= n_columns)
+    return kept.select(cells.alias("cells"), *place).filter(F.size("cells") >= n_columns)
 
 
 def field_dictionary(lines: DataFrame) -> DataFrame:
@@ -229,7 +230,10 @@ def field_dictionary(lines: DataFrame) -> DataFrame:
 
     Lines need a position column ``pos`` for that, else the order is that of the text itself.
     """
-    cells = parse_dump(lines).select(
+    parsed = parse_dump(lines)
+    by_place = "pos" in parsed.columns
+    cells = parsed.select(
+        (F.col("pos") if by_place else F.lit(0)).alias("pos"),
         F.upper(F.get("cells", F.lit(0))).alias("table"),
         F.get("cells", F.lit(1)).alias("field"),
         F.get("cells", F.lit(2)).alias("description"),
@@ -241,9 +245,9 @@ def field_dictionary(lines: DataFrame) -> DataFrame:
         F.nullif(F.col("code"), F.lit("")), F.lit("unknown"),
     )
     size = F.coalesce(F.regexp_extract("length", r"^([+-]?\d+)", 1).try_cast("int"), F.lit(0))
-    typed = cells.select("table", "field", kind.alias("type"), size.alias("size"), "description")
+    typed = cells.select("pos", "table", "field", kind.alias("type"), size.alias("size"), "description")
     rest = F.struct("type", "size", "description")
-    return typed.groupBy("table", "field").agg(F.max(rest).alias("r")).select("table", "field", "r.*")
+    return typed.groupBy("table", "field").agg((F.max_by(rest, F.struct("pos", rest)) if by_place else F.max(rest)).alias("r")).select("table", "field", "r.*")
 
 
 def assemble(refs: DataFrame, fields: DataFrame, descriptions: dict[str, str]) -> DataFrame:

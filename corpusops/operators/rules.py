@@ -24,31 +24,85 @@ NEIGHBOURS = ("p1", "p2", "n1", "n2")
 # tokens looked at after a loop word
 LOOKAHEAD = 9
 
-# Least and most arguments of each function.
-ARITY = {
-    0: ["fluxobasico_finalizar", "gersolexa_removerexamelista", "gersolexa_limparlistaexames"],
-    1: ["mensagemlog", "cancel", "datahoje", "fechar", "retornalistaobjetivos", "retornaperguntas",
-        "carregarrespostasporpergunta", "retornarespostasporpergunta", "sql_criar", "sql_abrircursor",
-        "sql_eof", "sql_proximo", "sql_fecharcursor", "sql_destruir"],
-    2: ["mensagem", "retornamesdata", "retornaanodata", "dataextenso", "intparaalfa", "alfaparaint",
-        "tamanhoalfa", "retornaascii", "formatar", "estanulo", "arredondarvalor", "abrir", "gravarnl",
-        "retornavalorcfg", "retornacodloc", "fluxobasico_criar", "fluxobasico_adicionarlegenda",
-        "sql_definircomando"],
-    3: ["busqtddiasmes", "lerposicaoalfa", "copiaralfa", "convertecodificacaostring",
-        "wcheckvalcheckbox", "getaccesstoken", "contador", "descitemlista", "listaquantidade",
-        "montaabrangencia", "fluxobasico_adicionarsecao", "sql_definirinteiro", "sql_definiralfa",
-        "sql_definirdata", "sql_retornarinteiro", "sql_retornaralfa", "sql_retornardata"],
-    4: ["desmontadata", "montadata", "trocastring", "convertemascara", "wcheckvaldata",
-        "retornanomecampofrmtevidencia", "retnivloc", "retcolabporcodusu", "listaitem",
-        "fluxobasico_adicionarcaixa", "fluxobasico_adicionarimagem"],
-    5: ["wcheckvalinteger", "wcheckvalstring", "wcheckvaldouble", "retnumlocniv",
-        "conferirquadroefetivo", "fluxobasico_adicionaritem", "gersolexa_consultarlistaexames"],
-    6: ["calculadatarev"],
-    7: ["carregarcsvplataforma"],
-    8: ["enviaemail"],
-    9: ["retornaconferenciaquaefe", "gersolexa_adicionarexamelista"],
-}
-VARIADIC = {"concatena": (3, 10)}
+# Each function with its least and most arguments.
+ARITY = [
+    ("abrir", 2, 2),
+    ("alfaparaint", 2, 2),
+    ("arredondarvalor", 2, 2),
+    ("busqtddiasmes", 3, 3),
+    ("calculadatarev", 6, 6),
+    ("cancel", 1, 1),
+    ("carregarcsvplataforma", 7, 7),
+    ("carregarrespostasporpergunta", 1, 1),
+    ("concatena", 3, 10),
+    ("conferirquadroefetivo", 5, 5),
+    ("contador", 3, 3),
+    ("convertecodificacaostring", 3, 3),
+    ("convertemascara", 4, 4),
+    ("copiaralfa", 3, 3),
+    ("dataextenso", 2, 2),
+    ("datahoje", 1, 1),
+    ("descitemlista", 3, 3),
+    ("desmontadata", 4, 4),
+    ("enviaemail", 8, 8),
+    ("estanulo", 2, 2),
+    ("fechar", 1, 1),
+    ("fluxobasico_adicionarcaixa", 4, 4),
+    ("fluxobasico_adicionarimagem", 4, 4),
+    ("fluxobasico_adicionaritem", 5, 5),
+    ("fluxobasico_adicionarlegenda", 2, 2),
+    ("fluxobasico_adicionarsecao", 3, 3),
+    ("fluxobasico_criar", 2, 2),
+    ("fluxobasico_finalizar", 0, 0),
+    ("formatar", 2, 2),
+    ("gersolexa_adicionarexamelista", 9, 9),
+    ("gersolexa_consultarlistaexames", 5, 5),
+    ("gersolexa_limparlistaexames", 0, 0),
+    ("gersolexa_removerexamelista", 0, 0),
+    ("getaccesstoken", 3, 3),
+    ("gravarnl", 2, 2),
+    ("intparaalfa", 2, 2),
+    ("lerposicaoalfa", 3, 3),
+    ("listaitem", 4, 4),
+    ("listaquantidade", 3, 3),
+    ("mensagem", 2, 2),
+    ("mensagemlog", 1, 1),
+    ("montaabrangencia", 3, 3),
+    ("montadata", 4, 4),
+    ("retcolabporcodusu", 4, 4),
+    ("retnivloc", 4, 4),
+    ("retnumlocniv", 5, 5),
+    ("retornaanodata", 2, 2),
+    ("retornaascii", 2, 2),
+    ("retornacodloc", 2, 2),
+    ("retornaconferenciaquaefe", 9, 9),
+    ("retornalistaobjetivos", 1, 1),
+    ("retornamesdata", 2, 2),
+    ("retornanomecampofrmtevidencia", 4, 4),
+    ("retornaperguntas", 1, 1),
+    ("retornarespostasporpergunta", 1, 1),
+    ("retornavalorcfg", 2, 2),
+    ("sql_abrircursor", 1, 1),
+    ("sql_criar", 1, 1),
+    ("sql_definiralfa", 3, 3),
+    ("sql_definircomando", 2, 2),
+    ("sql_definirdata", 3, 3),
+    ("sql_definirinteiro", 3, 3),
+    ("sql_destruir", 1, 1),
+    ("sql_eof", 1, 1),
+    ("sql_fecharcursor", 1, 1),
+    ("sql_proximo", 1, 1),
+    ("sql_retornaralfa", 3, 3),
+    ("sql_retornardata", 3, 3),
+    ("sql_retornarinteiro", 3, 3),
+    ("tamanhoalfa", 2, 2),
+    ("trocastring", 4, 4),
+    ("wcheckvalcheckbox", 3, 3),
+    ("wcheckvaldata", 4, 4),
+    ("wcheckvaldouble", 5, 5),
+    ("wcheckvalinteger", 5, 5),
+    ("wcheckvalstring", 5, 5),
+]
 
 # Words allowed without a declaration.
 FREE_WORDS = ["retorna", "erro", "alerta", "gravarnl", "lernl", "i", "p", "primeiro", "proximo", "libera"]
@@ -267,14 +321,9 @@ def calls(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _arity_table(df: DataFrame) -> DataFrame:
-    rows = [(f, n, n) for n, names in ARITY.items() for f in names] + [(f, lo, hi) for f, (lo, hi) in VARIADIC.items()]
-    return df.sparkSession.createDataFrame(rows, "k string, lo int, hi int")
-
-
 def arity(parsed: DataFrame) -> DataFrame:
     """Calls with too few or too many arguments, and calls of unknown functions."""
-    known = calls(parsed).withColumn("k", F.lower("value")).join(F.broadcast(_arity_table(parsed)), "k", "left")
+    known = calls(parsed).withColumn("k", F.lower("value")).join(F.broadcast(parsed.sparkSession.createDataFrame(ARITY, "k string, lo int, hi int")), "k", "left")
     expected = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
     got = F.col("args").cast("string")
     message = F.when(

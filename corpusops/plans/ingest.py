@@ -359,7 +359,7 @@ WITH k AS (SELECT sha1(text) AS content_hash, doc_id, lang, source FROM document
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id DESC) AS rn
       FROM k WHERE lang <> 'en') WHERE rn = 1),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id DESC) AS rn
-      FROM k WHERE source < 'src15') WHERE rn = 1)
+      FROM k WHERE source < 'src15' OR lang = 'en') WHERE rn = 1)
 SELECT 'docs' AS domain, coalesce(n.content_hash, o.content_hash) AS content_hash,
        coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang,
        coalesce(n.source, o.source) AS source,
@@ -367,13 +367,13 @@ SELECT 'docs' AS domain, coalesce(n.content_hash, o.content_hash) AS content_has
        CASE WHEN n.content_hash IS NULL THEN '{THEN}' ELSE '{NOW}' END AS updated_at
 FROM o FULL OUTER JOIN n ON o.content_hash = n.content_hash""")
 def ing_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents not in English are the table, those of the sources before src15 the batch."""
+    """Documents not in English are the table; the English ones and the sources before src15 are the batch."""
     rows = _hashed(spark, sf)
     then = F.lit(THEN)
     old = merge.keep_last(rows.filter(F.col("lang") != "en"), "doc_id").withColumns(
         {"created_at": then, "updated_at": then}
     )
-    batch = merge.keep_last(rows.filter(F.col("source") < "src15"), "doc_id")
+    batch = merge.keep_last(rows.filter((F.col("source") < "src15") | (F.col("lang") == "en")), "doc_id")
     return merge.upsert(old, batch, F.lit(NOW))
 
 

@@ -92,21 +92,21 @@ rnk AS (SELECT chunk_id, sum(0.1 / (1 + (pos - st) - (idx - xst))) AS text_score
         WHERE before IS NULL OR st <> before GROUP BY chunk_id)"""
 
 
-_RANK = f"""WITH {CHUNKS}, mine AS (SELECT * FROM chunks WHERE context = 'en'), {rank_sql(['the', 'that'], 'mine')},
+_RANK = f"""WITH {CHUNKS}, mine AS (SELECT * FROM chunks), {rank_sql(['the', 'that'], 'mine')},
 txt AS (SELECT mine.chunk_id, CAST(coalesce(text_score, 0) AS DOUBLE) AS text_score FROM mine LEFT JOIN rnk USING (chunk_id))"""
 
 
 @query("q_text_rank", f"""{_RANK}
 SELECT chunk_id, round(text_score, 6) AS text_score FROM txt""")
 def q_text_rank(spark: SparkSession, sf: str) -> DataFrame:
-    mine = chunk_view(spark, sf).filter(Filters(context="en").predicate("docs"))
+    mine = chunk_view(spark, sf).filter(Filters().predicate("docs"))
     return mine.select("chunk_id", F.round(lexical.text_score(F.col("text"), F.lit(TEXT)), 6).alias("text_score"))
 
 
 @query("q_text_topk", f"""{_RANK}
 SELECT chunk_id, round(text_score, 6) AS text_score FROM txt ORDER BY txt.text_score DESC, chunk_id LIMIT 80""")
 def q_text_topk(spark: SparkSession, sf: str) -> DataFrame:
-    mine = chunk_view(spark, sf).filter(Filters(context="en").predicate("docs"))
+    mine = chunk_view(spark, sf).filter(Filters().predicate("docs"))
     top = lexical.text_topk(mine, TEXT, hybrid.DEFAULT_POOL)
     return top.withColumn("text_score", F.round("text_score", 6))
 
@@ -120,8 +120,12 @@ cand AS (SELECT * FROM vp UNION ALL SELECT * FROM tp),
 mrg AS (SELECT chunk_id, max(vector_score) AS vector_score, max(text_score) AS text_score FROM cand GROUP BY chunk_id)"""
 
 
+# the same over the chunks that a filter on the context leaves
+_ENGLISH = _POOLS.replace("mine AS (SELECT * FROM chunks)", "mine AS (SELECT * FROM chunks WHERE context = 'en')")
+
+
 def _pools(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    mine = chunk_view(spark, sf).filter(Filters(context="en").predicate("docs"))
+    mine = chunk_view(spark, sf).filter(Filters().predicate("docs"))
     mine_vectors = chunk_vectors(spark, sf).join(mine.select("chunk_id"), "chunk_id", "left_semi")
     return (
         vector.vector_topk(mine_vectors, probe_vector(spark, sf), hybrid.DEFAULT_POOL),
@@ -147,7 +151,7 @@ def q_merge_max(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hybrid.merge_max(hybrid.candidates(*_pools(spark, sf)), "chunk_id"))
 
 
-@query("q_hybrid", f"""{_POOLS},
+@query("q_hybrid", f"""{_ENGLISH},
 top AS (SELECT *, 0.75 * vector_score + 0.25 * text_score AS score FROM mrg
         ORDER BY score DESC, vector_score DESC, text_score DESC, chunk_id LIMIT 8)
 SELECT chunk_id, context, product, sha1(text) AS text_sha1, round(score, 6) AS score,
@@ -168,7 +172,7 @@ def q_hybrid(spark: SparkSession, sf: str) -> DataFrame:
 SELECT chunk_id, round(text_score, 6) AS score, CAST(0 AS DOUBLE) AS vector_score, round(text_score, 6) AS text_score
 FROM txt ORDER BY txt.text_score DESC, chunk_id LIMIT 20""")
 def q_text_only(spark: SparkSession, sf: str) -> DataFrame:
-    found = hybrid.hybrid_search(chunk_view(spark, sf), TEXT, None, filters=Filters(context="en"), top_k=20)
+    found = hybrid.hybrid_search(chunk_view(spark, sf), TEXT, None, filters=Filters(), top_k=20)
     return _rounded(found).select("chunk_id", "score", "vector_score", "text_score")
 
 

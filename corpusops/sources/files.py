@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,20 @@ def read_doc_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(paths)
     )
-    return lines.withColumn("input_pos", F.monotonically_increasing_id())
+    return lines.withColumn("input_pos", _input_place(paths))
+
+
+def _input_place(paths: list[str]) -> Column:
+    """Grows along the input: place of the path given, file, block of the file, row of the block.
+
+    Spark reads large blocks first, so the id of a row alone says nothing about its file.
+    """
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    given = F.coalesce(*[F.when(F.startswith(path, F.lit(re.sub("^file:/*", "/", p))), i) for i, p in enumerate(paths)], F.lit(len(paths)))
+    return F.struct(
+        given.alias("path_no"), path.alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def read_tree(spark: SparkSession, roots: list[str], skipped: list[str] = SKIPPED_DIRS) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusops.operators import chunking, ingest, merge, tagging
-from corpusops.operators.chunking import _cut_points
+from corpusops.operators.chunking import overlap_pieces
 from corpusops.plans.ingest import doc_lines
 from corpusops.sources import files
 from corpusops.streaming.incremental import merge_batch, run_available
@@ -44,9 +44,9 @@ def test_json_lines(spark, tmp_path):
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc \n", max_size=900), st.integers(10, 120), st.integers(0, 40))
-def test_cut_points_cover_the_text(text, size, overlap):
+def testoverlap_pieces_cover_the_text(text, size, overlap):
     text = text.strip()
-    pieces = _cut_points(text, size, overlap)
+    pieces = overlap_pieces(text, size, overlap)
     assert all(0 < len(p) <= size for p in pieces)
     at = 0
     for p in pieces:
@@ -136,3 +136,12 @@ def test_stream_takes_new_files_and_replays(spark, sf, tmp_path):
     merge_batch(spark, doc_lines(docs.filter("doc_id >= 50")), root, 1, "2024-02-01 00:00:00")
     again = spark.read.parquet(merge.current_path(spark, root))
     assert again.count() == whole and again.filter("created_at = updated_at").count() == once
+
+
+def test_later_file_wins(spark, tmp_path):
+    text = "the same text in two files, long enough to be kept as a document chunk"
+    (tmp_path / "a.jsonl").write_text(json.dumps({"chunk_id": "a", "text": text}) + "\n")
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps({"chunk_id": f"b{i}", "text": f"{i} " + text * 50}) + "\n" for i in range(300)) + json.dumps({"chunk_id": "b", "text": text}) + "\n")
+    for first, last in (("a", "b"), ("b", "a")):
+        lines = files.read_doc_lines(spark, [str(tmp_path / f"{first}.jsonl"), str(tmp_path / f"{last}.jsonl")])
+        assert lines.filter(F.col("text") == text).orderBy(F.desc("input_pos")).first().chunk_id == last

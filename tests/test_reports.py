@@ -252,3 +252,20 @@ def test_source_side_helpers(spark, tmp_path):
     assert [r["cells"] for r in files.read_dump(spark, str(path)).collect()] == [["a", "b", "c", "d"]]
     parsed = spark.createDataFrame([((True,),), ((False,),), (None,)], "_stats struct<parseComplete:boolean>")
     assert tuple(models.parse_outcomes(parsed).first()) == (1, 1, 1)
+
+
+def test_running_total_keeps_null_keys(spark):
+    rows = [(None, 1, 1), ("a", None, 2), ("a", 1, 3), ("a", 1, 4)]
+    df = spark.createDataFrame(rows, "k string, b int, v int")
+    got = bands.running_total(df, ["k"], ["v"], F.col("v"), F.col("b")).collect()
+    assert sorted((r.k or "", r.v, r.running) for r in got) == [("", 1, 1), ("a", 2, 2), ("a", 3, 5), ("a", 4, 9)]
+
+
+def test_last_field_line_wins(spark):
+    df = spark.createDataFrame([(1, "R1|F|first|2|4"), (2, "R1|F|second|1|9")], "pos int, value string")
+    assert [(r["type"], r["size"], r["description"]) for r in modelkb.field_dictionary(df).collect()] == [("alpha", 9, "second")]
+
+
+def test_fold_takes_off_any_accent(spark):
+    df = spark.createDataFrame([("Škoda Função ÇÃO",)], "t string")
+    assert df.select(gold.fold(F.col("t"))).first()[0] == "skoda funcao cao"
