@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SHARED_BYTES = 64 << 20
 TILE_ROWS = 50_000
 TILE_QUERIES = 2_048
-TASKS_PER_CORE = 8
+#: Scores formed at a time inside a tile (32 MB of them).
+SCORE_BLOCK = 1 << 22
 
 
 def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
@@ -104,36 +102,10 @@ def _scores(m: np.ndarray, queries: np.ndarray) -> np.ndarray:
 OUT = "query_id string, chunk_id string, vector_score double"
 
 
-def _shared_queries(chunks: DataFrame, queries: DataFrame, pool: int, dim: int) -> DataFrame:
-    """Query vectors fit a fixed byte bound: ship them once, keep a top list per task."""
-    rows = queries.select("query_id", "embedding").collect()
-    ids = [str(r[0]) for r in rows]
-    shared = chunks.sparkSession.sparkContext.broadcast(
-        _unit(np.asarray([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim))
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = _Tops(len(ids), pool)
-        for b in batches:
-            m = _unit(_matrix(b.column(1), dim))
-            names = np.asarray(b.column(0).to_pylist(), dtype=object)
-            tops.add(names, _scores(m, shared.value))
-        frame = tops.frame(ids)
-        if len(frame):
-            yield pa.RecordBatch.from_pandas(
-                frame, schema=pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()),
-                                         ("vector_score", pa.float64())]), preserve_index=False
-            )
-
-    # every task hands on ``pool`` rows per query, so there should not be many more tasks than cores
-    tasks = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
-    return chunks.select("chunk_id", "embedding").coalesce(tasks).mapInArrow(run, OUT)
-
-
-def _tiled_queries(chunks: DataFrame, queries: DataFrame, pool: int, dim: int, n_queries: int,
-                   tile_rows: int, tile_queries: int) -> DataFrame:
-    """More queries than the bound: tiles of bounded size, one per (chunk slice, query block)."""
-    slices = max(1, -(-chunks.count() // tile_rows))
+def _tiled_queries(chunks: DataFrame, queries: DataFrame, pool: int, dim: int, tile_rows: int, tile_queries: int) -> DataFrame:
+    """Tiles of bounded size, one per (chunk slice, query block)."""
+    n_queries = queries.count()
+    slices = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() // tile_rows))
     blocks = max(1, -(-n_queries // tile_queries))
     left = chunks.select(
         "chunk_id", "embedding",
@@ -148,13 +120,17 @@ def _tiled_queries(chunks: DataFrame, queries: DataFrame, pool: int, dim: int, n
 
     def tile(c: pa.Table, q: pa.Table) -> pa.Table:
         ids = q.column("query_id").to_pylist()
-        tops = _Tops(len(ids), pool)
+        frames = [pd.DataFrame({"query_id": [], "chunk_id": [], "vector_score": []})]
         if c.num_rows and ids:
+            names = np.asarray(c.column("chunk_id").to_pylist(), dtype=object)
             m = _unit(_matrix(c.column("embedding").combine_chunks(), dim))
             qs = _unit(_matrix(q.column("embedding").combine_chunks(), dim))
-            tops.add(np.asarray(c.column("chunk_id").to_pylist(), dtype=object), _scores(m, qs))
-        frame = tops.frame(ids) if ids else pd.DataFrame(
-            {"query_id": [], "chunk_id": [], "vector_score": []})
+            step = max(1, SCORE_BLOCK // c.num_rows)
+            for at in range(0, len(ids), step):
+                tops = _Tops(len(ids[at : at + step]), pool)
+                tops.add(names, _scores(m, qs[at : at + step]))
+                frames.append(tops.frame(ids[at : at + step]))
+        frame = pd.concat(frames[1:] or frames, ignore_index=True)
         return pa.Table.from_pandas(
             frame, schema=pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()),
                                      ("vector_score", pa.float64())]), preserve_index=False)
@@ -167,19 +143,14 @@ def _tiled_queries(chunks: DataFrame, queries: DataFrame, pool: int, dim: int, n
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, pool: int, dim: int,
-                      shared_bytes: int = MAX_SHARED_BYTES, tile_rows: int = TILE_ROWS,
-                      tile_queries: int = TILE_QUERIES) -> DataFrame:
+                      tile_rows: int = TILE_ROWS, tile_queries: int = TILE_QUERIES) -> DataFrame:
     """The ``pool`` nearest chunks of every query (query_id, embedding); exact.
 
-    The size of the query side is checked first. Within the bound it is shared with all tasks;
-    beyond it both sides are cut into tiles, so neither the driver nor a task holds them all.
+    Both sides are cut into tiles, so neither the driver nor a task holds them all. A tile forms its
+    scores SCORE_BLOCK at a time and keeps only the best of each query.
     """
     chunks = chunks.filter(F.col("embedding").isNotNull())
     queries = queries.filter(F.col("embedding").isNotNull())
-    n = queries.count()
-    if n * dim * 8 <= shared_bytes:
-        partial = _shared_queries(chunks, queries, pool, dim)
-    else:
-        partial = _tiled_queries(chunks, queries, pool, dim, n, tile_rows, tile_queries)
+    partial = _tiled_queries(chunks, queries, pool, dim, tile_rows, tile_queries)
     w = Window.partitionBy("query_id").orderBy(F.desc("vector_score"), "chunk_id")
     return partial.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pool).drop("rn")

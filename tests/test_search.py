@@ -88,7 +88,7 @@ def test_vector_pools_are_exact(spark):
     asked = spark.createDataFrame([(f"q{i}", [float(x) for x in r]) for i, r in enumerate(q)], "query_id string, embedding array<double>")
     unit = m / np.linalg.norm(m, axis=1)[:, None]
     shared = vector.vector_topk_batch(chunks, asked, 7, 12)
-    tiled = vector.vector_topk_batch(chunks, asked, 7, 12, shared_bytes=0, tile_rows=20, tile_queries=6)
+    tiled = vector.vector_topk_batch(chunks, asked, 7, 12, tile_rows=20, tile_queries=6)
     for df in (shared, tiled):
         got = {}
         for r in df.collect():
