@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusops.llm.ragged import small_batches
 
 #: Bytes of text in a slice, and bytes of text behind the keys of one part.
-SLICE, PART = 4 << 20, 4 << 20
+SLICE, PART = 3 << 20, 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 ASK = "slice long, part int, keys binary, extra binary"
@@ -236,6 +236,7 @@ def others(table: pa.Table) -> pa.Table:
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    pa.default_memory_pool().release_unused()  # of the group before
     ids, lengths, texts = [], [], []
     for n, size, packed in zip(*(table[c].to_pylist() for c in ("n", "size", "packed"))):
         content = np.frombuffer(pa.decompress(packed, size, "zstd"), np.uint8)

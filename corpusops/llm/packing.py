@@ -20,7 +20,7 @@ from corpusops.session import stored
 #: Pieces packed by one task, pieces that a task with a gap gives away, and tasks that pool them.
 GROUP, RELEASED, POOL = 40_000, 4_096, 8
 #: Distinct runs whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
