@@ -21,6 +21,8 @@ from corpusops.llm.words import LOWER, word_hashes, word_spans
 
 #: Preceding bytes that a context holds at most.
 DEPTH = 6
+#: Bytes of text in a slice: larger ones repeat fewer strings.
+SLICE = 5 << 20
 #: Slices whose questions about one part of the contexts meet in one task.
 SALT = 256
 #: Stand before a text and end it; neither is a byte of UTF-8.
@@ -226,7 +228,7 @@ def score(docs: DataFrame, learn: Learn) -> DataFrame:
     steps, so no task reads more than SALT slices' strings or the distinct strings of one part, and the strings'
     counts of a part make its nodes and their weights. Nothing is broadcast but the nodes above TOP, at most 255 * 256 ** (TOP - 1) of them.
     """
-    corpus = exchange.Corpus.of_texts(docs)
+    corpus = exchange.Corpus.of_texts(docs, slice_bytes=SLICE)
     parts, salts = min(256, 1 << corpus.bits), -(-corpus.slices // SALT)
 
     def word_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
