@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.functions.text import collapse_whitespace, once, split_lines
-from corpusops.operators import chunking, ingest, merge, tagging
+from corpusops.operators import chunking, ingest, merge, reindex, tagging
+from corpusops.operators.lexical import BROADCAST_ROWS
 from corpusops.operators.tagging import TagRule
 from corpusops.plans.registry import query
 from corpusops.plans.sqltext import clean_sql, trim_sql
@@ -417,12 +419,29 @@ SELECT 'lsp', count(*), count(*) FILTER (WHERE length({clean_sql('html')}) >= 40
        count(*) FILTER (WHERE length({clean_sql('html')}) < 400), 0
 FROM pages""")
 def ing_reindex_all(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").select(
-        F.col("html").alias("text"), F.lit(None).cast("string").alias("_corrupt_record")
-    )
-    return ingest.run_stats(_doc_status(spark, sf), "docs").unionByName(
-        ingest.run_stats(ingest.doc_status(pages, 400), "lsp")
-    )
+    """Both index runs into a fresh chunk table; pages, named by url and page_id, stand for source files. A run that fails has no row but a warning."""
+    root = f"{scratch_dir(spark)}/reindex-{uuid.uuid4().hex}"
+
+    def docs() -> dict:
+        toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("input_pos"), F.lit("{").alias("bad"))
+        toxic = F.broadcast(toxic) if toxic.count() <= BROADCAST_ROWS else toxic
+        lines = doc_lines(documents(spark, sf)).join(toxic, "input_pos", "left").withColumn("_corrupt_record", F.col("bad"))
+        return reindex.index_documents(lines.drop("bad"), root, full=True, now=NOW, limit=400)
+
+    def lsp() -> dict:
+        site = F.regexp_extract("url", "^[a-z]+://[^/]+", 0)
+        files = table(spark, sf, "pages").select(
+            F.concat("url", F.lit("#"), "page_id").alias("path"), site.alias("base"), F.col("html").alias("text"), F.lit("ready").alias("status")
+        )
+        return reindex.index_sources(files, root, rules=RULES, full=True, now=NOW, limit=400)
+
+    outcome = reindex.reindex_all({"docs": docs, "lsp": lsp})
+    for e in outcome.errors:
+        warnings.warn(f"index run of {e['domain']} failed: {e['error']}", stacklevel=2)
+    if not outcome.runs:
+        raise RuntimeError("; ".join(f"{e['domain']}: {e['error']}" for e in outcome.errors))
+    counts = ", ".join(f"{c} bigint" for c in reindex.STATS[1:])
+    return spark.createDataFrame([tuple(r[c] for c in reindex.STATS) for r in outcome.runs], f"domain string, {counts}")
 
 
 @query("ing_incremental", f"""

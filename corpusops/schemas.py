@@ -1,4 +1,4 @@
-"""Fixed schemas of the file inputs."""
+"""Fixed schemas of the file inputs and of the chunk table."""
 
 from __future__ import annotations
 
@@ -17,6 +17,16 @@ DOC_LINE = T.StructType(
     )
 )
 
+CHUNK = T.StructType(
+    _strings(
+        "domain", "chunk_id", "content_hash", "text", "metadata", "context", "product", "version",
+        "source_url", "heading_path", "last_modified", "crawl_strategy", "module", "routine_name",
+        "file_path",
+    )
+    + [T.StructField("embedding", T.ArrayType(T.DoubleType())),
+       T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType())]
+)
+
 _LIST = T.ArrayType(T.StringType())
 
 GOLDEN_LINE = T.StructType(

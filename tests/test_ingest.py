@@ -1,13 +1,16 @@
 """Ingest: JSON lines, cleaning, cutting, tags, merging and the file stream."""
 
+import hashlib
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusops.operators import chunking, ingest, merge, tagging
+from corpusops.operators import chunking, ingest, merge, reindex, tagging
 from corpusops.operators.chunking import overlap_pieces
+from corpusops.plans import ingest as plans
 from corpusops.plans.ingest import doc_lines
 from corpusops.sources import files
 from corpusops.streaming.incremental import merge_batch, run_available
@@ -145,3 +148,72 @@ def test_later_file_wins(spark, tmp_path):
     for first, last in (("a", "b"), ("b", "a")):
         lines = files.read_doc_lines(spark, [str(tmp_path / f"{first}.jsonl"), str(tmp_path / f"{last}.jsonl")])
         assert lines.filter(F.col("text") == text).orderBy(F.desc("input_pos")).first().chunk_id == last
+
+
+def test_reindex_writes_both_domains_and_keeps_errors_apart(spark, tmp_path):
+    root, src, docs = str(tmp_path / "table"), tmp_path / "src", tmp_path / "a.jsonl"
+    texts = [LONG, LONG, "short", LONG + " Second."]
+    docs.write_text("\n".join([json.dumps({"text": t, "title": f"T{i}", "source_url": f"u{i}"}) for i, t in enumerate(texts)] + ["{bad"]))
+    (src / "hr").mkdir(parents=True)
+    code = "Function Pay(x)\n" + "line of the routine, with several words in it\n" * 60
+    for name, text in {"hr/pay.prg": code, "notes.txt": LONG, "tiny.txt": "x", "old/skip.bin": LONG}.items():
+        (src / name).parent.mkdir(exist_ok=True)
+        (src / name).write_text(text)
+    rules = [tagging.TagRule("hr/", product="payroll")]
+
+    def run(doc_file, folder, now):
+        return reindex.reindex_all({
+            "docs": lambda: reindex.index_documents(files.read_doc_lines(spark, [str(doc_file)]), root, True, now),
+            "lsp": lambda: reindex.index_sources(files.read_sources(spark, [str(folder)]), root, str(folder), rules, True, now),
+        })
+
+    first = run(docs, src, "2024-01-01 00:00:00")
+    read = lambda: [r.asDict() for d in ("docs", "lsp") for r in reindex.read_chunks(spark, root, d).collect()]
+    rows = read()
+    pieces = chunking.overlap_pieces(code.strip(), 1400, 220)
+    assert first.errors == [] and first.runs == [
+        {"domain": "docs", "scanned": 5, "indexed": 3, "skipped": 1, "errors": 1},
+        {"domain": "lsp", "scanned": 4, "indexed": len(pieces) + 1, "skipped": 2, "errors": 0}]
+    assert sorted(r["source_url"] for r in rows if r["domain"] == "docs") == ["u1", "u3"]
+    assert all(len(r["embedding"]) == 1024 and r["created_at"] == r["updated_at"] for r in rows)
+
+    sha1 = lambda s: hashlib.sha1(s.encode()).hexdigest()
+    pay = {json.loads(r["metadata"])["line_start"]: r for r in rows if r["file_path"] == "hr/pay.prg"}
+    key, at = f"hr/pay.prg::{src}/hr/pay.prg", 1
+    for i, piece in enumerate(pieces):
+        end = min(62, at + piece.count("\n"))
+        text = piece if "function pay(x)" in piece.lower() else f"Function Pay(x)\n{piece}"
+        hash_, r = sha1(f"{key}:{at}:{end}:{text}"), pay.pop(at)
+        assert (r["text"], r["content_hash"], r["chunk_id"]) == (text, hash_, sha1(f"lsp::{key}::{i}::{hash_}")[:32])
+        assert (r["module"], r["routine_name"], r["heading_path"], r["product"]) == ("hr", "Pay", "Pay", "payroll")
+        said = (f"domain: lsp\nmodule: hr\nroutine: Pay\nfile_path: hr/pay.prg\nline_start: {at}\nline_end: {end}\n"
+                f"routine_signature: Function Pay(x)\nproduct: payroll\ncontent:\n{text}")
+        digest = hashlib.sha256(said.encode()).digest()
+        assert r["embedding"][:32] == [(b - 128) / 128 for b in digest]
+        at = max(end - 6, at + 1)
+    assert not pay
+
+    # a missing document file is that run's error alone; the other run drops what it no longer sees
+    (src / "hr" / "pay.prg").write_text("no routine here, only a line that is long enough to be kept as a chunk")
+    second = run(tmp_path / "none.jsonl", src, "2024-02-01 00:00:00")
+    assert [r["domain"] for r in second.runs] == ["lsp"] and [e["domain"] for e in second.errors] == ["docs"]
+    assert "none.jsonl" in second.errors[0]["error"]
+    later = read()
+    assert sorted((r["domain"], r["source_url"] or r["file_path"], str(r["created_at"])[:7], str(r["updated_at"])[:7]) for r in later) == [
+        ("docs", "u1", "2024-01", "2024-01"), ("docs", "u3", "2024-01", "2024-01"),
+        ("lsp", "hr/pay.prg", "2024-02", "2024-02"), ("lsp", "notes.txt", "2024-01", "2024-02")]
+
+    # a run that is not full keeps what it has not seen
+    more = tmp_path / "b.jsonl"
+    more.write_text(json.dumps({"text": LONG, "source_url": "u9"}))
+    reindex.index_documents(files.read_doc_lines(spark, [str(more)]), root, False, "2024-03-01 00:00:00")
+    assert sorted((r["source_url"], str(r["created_at"])[:7], str(r["updated_at"])[:7]) for r in read() if r["domain"] == "docs") == [
+        ("u3", "2024-01", "2024-01"), ("u9", "2024-01", "2024-03")]
+
+
+def test_reindex_query_runs_both_and_survives_one(spark, sf, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    with pytest.warns(UserWarning, match="lsp failed"):
+        got = plans.ing_reindex_all(spark, str(tmp_path)).collect()
+    assert [r["domain"] for r in got] == ["docs"] and got[0]["indexed"] > 0
