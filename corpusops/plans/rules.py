@@ -64,11 +64,55 @@ n AS (SELECT file, 1 AS comment,
   CASE WHEN pr IN ('2', '3') THEN 1 ELSE 0 END AS builtinFunction FROM o)
 SELECT * FROM (UNPIVOT n ON comment, identifier, cursorMethod, string, tableReference, systemVariable, builtinFunction INTO NAME type VALUE n) WHERE n > 0""")
 def rul_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens per file and type, without the punctuation, keywords, numbers and operators."""
+    """Tokens per file and type, without the punctuation, keywords, numbers and operators; rul_token_rows has all of them."""
     kinds = ["comment", "identifier", "cursorMethod", "string", "tableReference", "systemVariable", "builtinFunction"]
     return _tokens(spark, sf).filter(F.col("type").isin(kinds)).groupBy("file", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The lines of ``sources`` cut by hand: line, condition, its tokens between middle dots, and their types by first letter
+# (m: cursorMethod, v: systemVariable).
+_KINDS = {"k": "keyword", "i": "identifier", "p": "punctuation", "s": "string", "m": "cursorMethod", "t": "tableReference",
+          "v": "systemVariable", "b": "builtinFunction", "n": "number", "o": "operator"}
+_CUT = [
+    (1, "true", "Definir· ·Cursor· ·cCur·;", "kkip"),
+    (2, "true", "Definir· ·Numero· ·nVal·;", "kkip"),
+    (3, "pr = '1'", "Definir· ·Numero· ·nVal·;", "kkip"),
+    (3, "pr <> '1'", "Definir· ·Alfa· ·aTxt·;", "kkip"),
+    (4, "st <> 'O'", 'cCur·.·SQL· ·"SELECT NUMCAD FROM R034FUN WHERE NUMEMP = 1"·;', "ipmsp"),
+    (5, "true", "cCur·.·AbrirCursor·(·)·;", "ipmppp"),
+    (6, "true", "Enquanto· ·(·cCur·.·Achou·)", "kpipmp"),
+    (7, "true", "Inicio", "k"),
+    (8, "pr = '5'", "  ·nOther· ·=· ·NumEmp·;", "iovp"),
+    (8, "pr <> '5'", "  ·nVal· ·=· ·nVal· ·+· ·R034FUN.NumCad·;", "ioiotp"),
+    (9, "even", "  ·cCur·.·Proximo·(·)·;", "ipmppp"),
+    (10, "true", "Fim·;", "kp"),
+    (11, "st = 'F'", "cCur·.·FecharCursor·(·)·;", "ipmppp"),
+    (12, "pr = '2'", "Mensagem·(·Erro·)·;", "bpkpp"),
+    (12, "pr = '3'", 'Mensagem·(·Erro·,· ·"x"·)·;', "bpkpspp"),
+    (12, "pr = '4'", "FooBar·(·1·,· ·(·2· ·+· ·3·)·)·;", "ipnppnonppp"),
+    (12, "pr NOT IN ('2', '3', '4')", "Definir· ·Funcao· ·FnX·(·x·)·;", "kkipipp"),
+    (13, "pr = '5'", 'aTxt· ·=· ·"abc;', "ios"),
+    (13, "pr = '4'", "Definir· ·Data· ·dDia", "kki"),
+    (13, "pr NOT IN ('4', '5')", "{· ·nVal· ·=· ·1·;· ·}", "pionpp"),
+]
+
+
+def _cut_sql(line: int, when: str, cut: str, kinds: str) -> str:
+    parts = cut.split("·")
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+    found = [(s, v) for s, v in zip(starts, parts) if v.strip()]
+    rows = ", ".join(f"({s}, '{_KINDS[k]}', '{v}')" for (s, v), k in zip(found, kinds, strict=True))
+    return f"SELECT file, {line}, t.* FROM o, (VALUES {rows}) t WHERE {when}"
+
+
+@query("rul_token_rows", f"""WITH {_F}
+SELECT file, 0 AS line, 0 AS start, 'comment' AS type, '@ Rule ' || k || ' @' AS value FROM o
+UNION ALL {" UNION ALL ".join(_cut_sql(*c) for c in _CUT)}""")
+def rul_token_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token of every file, of all types, with its place and value."""
+    return _tokens(spark, sf).select("file", "line", "start", "type", "value")
+
+
 @query("rul_structure", f"""WITH {_F}
 SELECT file, 'error' AS severity, 'String não fechada (Unclosed string literal)' AS message, 13 AS line, 7 AS start, 12 AS "end" FROM o WHERE pr = '5'
 UNION ALL SELECT file, 'warning', 'Falta ponto-e-vírgula após declaração Definir (Missing semicolon after Definir statement)', 13, 16, 17 FROM o WHERE pr = '4'""")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from corpusops.operators import rules
 from corpusops.operators import rules_text as rt
+from corpusops.plans import registry
+from corpusops.plans.rules import sources
 
 SAMPLE = """@ Sample rule @
 Definir Numero nCod;
@@ -137,3 +139,20 @@ def test_summary(spark):
     per_file = rules.summary(df, rules.structure(df))
     assert {r["file"]: r["status"] for r in per_file.collect()} == {"ok": "ok", "bad": "fail"}
     assert rules.batch_summary(per_file).first()["fail"] == 1
+
+
+def test_token_rows_give_back_every_source(spark, sf):
+    got = {}
+    for r in registry.QUERIES["rul_token_rows"](spark, sf).collect():
+        got.setdefault(r["file"], []).append(r)
+    files = {r["file"]: r["source"] for r in sources(spark, sf).collect()}
+    assert set(got) == set(files)
+    for file, source in files.items():
+        lines = [" " * len(line) for line in source.split("\n")]
+        for t in got[file]:
+            text, end = lines[t["line"]], t["start"] + len(t["value"])
+            assert text[t["start"] : end].strip() == ""  # no token lies over another
+            lines[t["line"]] = text[: t["start"]] + t["value"] + text[end:]
+        assert lines == source.split("\n")
+    kinds = {t["type"] for ts in got.values() for t in ts}
+    assert {"keyword", "number", "operator", "punctuation", "comment", "identifier", "cursorMethod", "string"} <= kinds
