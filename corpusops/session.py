@@ -24,22 +24,26 @@ def get_spark(app: str = "corpusops", cores: int | None = None, memory: str = "1
         .getOrCreate()
     )
 
+#: Folders made for local applications, by application id.
+_made: dict[str, str] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may go without: there a
-    fresh folder is made and set as the checkpoint folder. Anywhere else a machine-local folder
-    would be seen by one machine alone, so the call fails.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session may go without: there one
+    fresh folder is made per application. Anywhere else a machine-local folder would be seen by one
+    machine alone, so the call fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="corpusops-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="corpusops-")
+    return _made[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
