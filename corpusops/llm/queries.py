@@ -10,7 +10,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import bpe, embed_dedup, exchange, langid, lm_scoring, ngram_join, packing, quality, sharding, suffix_dedup, topk
+from corpusops.llm import (
+    bpe, embed_dedup, exchange, langid, lm_scoring, ngram_join, packing, periodic_runs, quality, resampling, sharding, substring_dedup,
+    suffix_dedup, topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,3 +141,84 @@ def learns(ids: np.ndarray) -> np.ndarray:
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_scoring.score(read(spark, sf_dir, "documents"), learns)
     return found.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_substring_dedup")
+def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), 20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP12 = """
+WITH RECURSIVE divided AS (SELECT CAST(range AS BIGINT) AS i, CAST(range AS BIGINT) AS c, 0 AS step FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM divided WHERE step < 8),
+bytewise AS (SELECT list(c ORDER BY i) AS t FROM divided WHERE step = 8),
+words AS (
+  SELECT 's' AS side, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 't', NULL, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+spelled AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM words),
+hashed AS (
+  SELECT w, xor(list_reduce(
+    list_transform(range(0, CAST(length(x) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+  FROM spelled, bytewise),
+counted AS (
+  SELECT bucket, CAST(count(*) FILTER (side = 's') AS BIGINT) AS s, CAST(count(*) FILTER (side = 't') AS BIGINT) AS t
+  FROM words JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT sum(s) AS sa, sum(t) AS ta FROM counted),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sa + 10000) AS DOUBLE) / CAST((s + 1) * (ta + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM counted, totals),
+weights AS (
+  SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+  FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 's' GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5)
+      / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, CAST(n_features AS BIGINT) AS n_features, s.weight, s.score,
+  CAST(CASE WHEN r <= 10 * n // 100 THEN r END AS BIGINT) AS rank
+FROM scored s LEFT JOIN placed p USING (doc_id)
+"""
+
+
+@query("op12_resampling", _OP12)
+def target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 1, 10_000, 10, 20, 2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def with_planted_tails(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the periodic tails that the contract of op13 plants; a null doc_id gets none."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words))  # of a tenth of the rows
+    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10)
+    begin = g % n
+    period = 1 + F.floor((n - begin) / (3 + g % 8))
+    planted = F.array_join(periodic_runs.repeated_tail(F.col("words"), F.col("begin"), F.col("period")), " ")
+    return rows.withColumn("begin", begin).withColumn("period", period).select(
+        "doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text")
+    )
+
+
+@query("op13_periodic_runs")
+def periodic_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_tails(read(spark, sf_dir, "documents")), 24, 3)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("strongest.start").alias("start"),
+        F.col("strongest.length").alias("length"),
+        F.col("strongest.period").alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from corpusops.llm.exchange import mix
+from corpusops.llm.ragged import gather
 
 #: Words up to this many bytes are hashed together, byte by byte; longer ones one by one.
 TOGETHER = 48
@@ -79,3 +80,35 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
         out.append(own)
         bounds[d + 1] = bounds[d] + len(own)
     return np.concatenate(out) if out else rolled[:0], bounds
+
+
+def rolled(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """64-bit fingerprints of all runs of ``width`` words, from those of the powers of two it is made of."""
+    powers, factor = [words], [mix(np.uint64([base])) | np.uint64(1)]
+    while 2 << (len(powers) - 1) <= width:
+        half, shift = powers[-1], 1 << (len(powers) - 1)
+        powers.append(half[: max(len(half) - shift, 0)] * factor[-1] + half[shift:])
+        factor.append(factor[-1] * factor[-1])
+    value, at = np.zeros(max(len(words) - width + 1, 0), np.uint64), 0
+    for k, (power, f) in enumerate(zip(powers, factor)):
+        if width >> k & 1:
+            value = value * f + power[at : at + len(value)]
+            at += 1 << k
+    return mix(value)
+
+
+def joined(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of texts made of their kept words with one blank between them."""
+    sizes = (ends - begins + 1)[keep]
+    out = np.full(int(sizes.sum()), 0x20, np.uint8)
+    stops = np.cumsum(sizes) - 1  # the blank behind each word
+    words = np.ones(len(out), bool)
+    words[stops] = False
+    out[words] = gather(data, begins[keep], sizes - 1)
+    per_text = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts))
+    upto = np.concatenate([[0], np.cumsum(per_text)])
+    last = upto[1:][per_text > 0] - 1  # no blank behind the last word
+    stay = np.ones(len(out), bool)
+    stay[stops[last]] = False
+    bounds = np.concatenate([[0], np.cumsum(sizes)])[upto]
+    return bounds - np.concatenate([[0], np.cumsum(per_text > 0)]), out[stay]

@@ -136,5 +136,5 @@ def test_first_stages_reject_by_score_alone(spark, sf, texts):
 def test_every_query_without_sql_is_known():
     """op2 and op7 are checked by held-out accuracy, ing_line_spans by a plain loop, the others here or in the pipeline's test."""
     assert sorted(set(queries()) - set(oracle_sql())) == [
-        "ing_line_spans", "op10_embedding_dedup", "op1_suffix_dedup", "op2_language_id", "op4_ngram_join", "op5_sharding",
+        "ing_line_spans", "op10_embedding_dedup", "op11_substring_dedup", "op13_periodic_runs", "op1_suffix_dedup", "op2_language_id", "op4_ngram_join", "op5_sharding",
         "op6_packing", "op7_quality", "op8_bpe", "op9_lm_scoring", "pipeline"]
