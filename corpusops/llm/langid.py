@@ -100,7 +100,10 @@ def has_letter(text: Column) -> Column:
 
 
 def train(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
-    """Languages and weights, from at most FITTED documents per language for which ``training`` holds."""
+    """Languages and weights, from at most FITTED documents per language for which ``training`` holds.
+
+    One task fits them from those rows and sends nothing else.
+    """
     usable = small_batches(docs).where(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
     chosen = sampled(usable, "lang", FITTED).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
 
@@ -109,14 +112,19 @@ def train(docs: DataFrame, training: Column) -> tuple[list[str], np.ndarray]:
             bits = [np.packbits(row).tobytes() for texts in slices(batch.column("text")) for block in presence(texts) for row in block]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_lang"), pa.array(bits, pa.binary())], names=["id", "lang", "bits"])
 
-    rows = (
+    def fitted(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("lang", "id", "bits"))))
+        langs, weights = fit([bits for _, _, bits in rows], [lang for lang, _, _ in rows])
+        return pa.table({"langs": pa.array([langs], pa.list_(pa.string())), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    found = (
         usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-        .select("_id", "_lang", "text").mapInArrow(packed, "id long, lang string, bits binary").collect()
+        .select("_id", "_lang", "text").mapInArrow(packed, "id long, lang string, bits binary")
+        .groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "langs array<string>, weights binary").collect()
     )
-    if not rows:
+    if not found:
         return [], np.zeros((FEATURES + 1, 0), np.float32)
-    rows = sorted(rows, key=lambda r: (r.lang, r.id, r.bits))
-    return fit([r.bits for r in rows], [r.lang for r in rows])
+    return list(found[0].langs), np.frombuffer(found[0].weights, np.float32).reshape(FEATURES + 1, -1)
 
 
 def predict(

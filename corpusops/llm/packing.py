@@ -14,17 +14,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusops.llm.ragged import Memo, slices, small_batches
+from corpusops.llm.ragged import gather, slices, small_batches
 from corpusops.session import stored
 
 #: Pieces packed by one task, pieces that a task with a gap gives away, and tasks that pool them.
 GROUP, RELEASED, POOL = 40_000, 4_096, 8
 #: Distinct runs whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
+class Known:
+    """Ids by run, in Arrow and numpy arrays: a run costs its bytes, its ids and 24 bytes."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.runs: list[pa.Array] = []
+        self.lengths: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def make_room(self) -> None:
+        if self.size > REMEMBERED:
+            self.clear()
+
+    def add(self, runs: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        self.runs.append(runs)
+        self.lengths.append(lengths)
+        self.ids.append(ids)
+        self.size += len(runs)
+        return np.arange(self.size - len(runs), self.size)
+
+    def places(self, runs: pa.Array) -> np.ndarray:
+        """The place of each run among the known ones, -1 for unknown ones."""
+        if len(self.runs) != 1:
+            self.runs = [pa.concat_arrays(self.runs) if self.runs else pa.array([], pa.large_string())]
+        return pc.fill_null(pc.index_in(runs, value_set=self.runs[0]), -1).to_numpy().astype(np.int64)
+
+    def rows(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of the runs at ``places`` and their ids, one run after the other."""
+        if len(self.ids) > 1:
+            self.lengths, self.ids = [np.concatenate(self.lengths)], [np.concatenate(self.ids)]
+        starts = np.cumsum(self.lengths[0]) - self.lengths[0]
+        lengths = self.lengths[0][places]
+        return lengths, gather(self.ids[0], starts[places], lengths)
+
+
 class ChunkEncoder:
     """Ids of whole texts for a tokenizer that drops white space and never joins across it.
 
@@ -50,24 +88,30 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.runs = Memo(REMEMBERED, "<u4")
+        self.runs = Known()
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: list[str]) -> None:
-        words = [r for r in runs if r[-1] == " " and r.isascii() and r[:-1].isalpha()]
-        rest = [r for r in runs if not (r[-1] == " " and r.isascii() and r[:-1].isalpha())]
-        groups = [words[a : a + 500] for a in range(0, len(words), 500)]
-        for group, ids in zip(groups, self._library(["".join(g) for g in groups])):
-            ids = np.array(ids, "<u4")
+    def _learn(self, runs: pa.Array) -> np.ndarray:
+        """Adds the ids of ``runs``, none of which is known, and gives their places among the known ones."""
+        places = np.empty(len(runs), np.int64)
+        plain = pc.match_substring_regex(runs, "^[A-Za-z]+ $").to_numpy(zero_copy_only=False)
+        words, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        spelled = runs.take(pa.array(words)).to_pylist()
+        groups = range(0, len(words), 500)
+        for a, ids in zip(groups, self._library(["".join(spelled[a : a + 500]) for a in groups])):
+            ids, own = np.array(ids, "<u4"), words[a : a + 500]
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(group):
-                self.runs.add(group, np.diff(stops, prepend=0), ids)
+            if len(stops) == len(own):
+                places[own] = self.runs.add(runs.take(pa.array(own)), np.diff(stops, prepend=0), ids)
             else:  # a tokenizer without this property
-                rest.extend(group)
-        found = self._library(rest)
-        self.runs.add(rest, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], "<u4"))
+                rest.append(own)
+        rest = np.concatenate(rest)
+        others = runs.take(pa.array(rest))
+        found = self._library(others.to_pylist())
+        places[rest] = self.runs.add(others, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], "<u4"))
+        return places
 
     def _cut(self, data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
         """Where the runs begin; every text begins one."""
@@ -95,10 +139,11 @@ class ChunkEncoder:
         begins = self._cut(data, offsets[:-1][np.diff(offsets) > 0])
         bounds = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
         coded = pa.LargeStringArray.from_buffers(len(begins), bounds, pa.py_buffer(data)).dictionary_encode()
-        runs = coded.dictionary.to_pylist()
         self.runs.make_room()
-        self._learn(self.runs.unknown(runs))
-        lengths, ids = self.runs.rows(self.runs.slots_of(runs)[coded.indices.to_numpy()])
+        places = self.runs.places(coded.dictionary)
+        new = places < 0
+        places[new] = self._learn(coded.dictionary.filter(pa.array(new)))
+        lengths, ids = self.runs.rows(places[coded.indices.to_numpy()])
         upto = np.concatenate([[0], np.cumsum(lengths)])
         return np.diff(upto[np.searchsorted(begins, offsets)]), ids
 

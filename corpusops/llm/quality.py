@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,9 +15,11 @@ from corpusops.llm.ragged import result_schema, slices, small_batches, with_resu
 
 #: Trusted positives and unlabelled documents that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4000, 12000
-BINS, STEPS, RATE, RIDGE = 10, 600, 0.05, 1e-4
+BINS, STEPS, RATE, RIDGE = 10, 400, 0.05, 1e-2
 #: Smallest share of the positives in the region that the class prior is read from.
-REGION = 0.1
+REGION = 0.5
+#: The class prior where there is too little to read it from, and how far off it may well be.
+EXPECTED, EXPECTED_ERROR = 0.8, 0.1
 
 #: Bytes of text worked on at a time.
 SLICE = 2 << 20
@@ -115,64 +117,107 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def _descend(size: int, gradient) -> np.ndarray:
-    """Adam from zero."""
+def _descend(size: int, gradient: Callable, risk: Callable) -> np.ndarray:
+    """Adam from zero with steps that fade out; of every tenth iterate the one of lowest ``risk``."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    best, lowest = w, np.inf
     for t in range(1, STEPS + 1):
         g = gradient(w) + RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+        rate = RATE * (1 + np.cos(np.pi * t / STEPS)) / 2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if t % 10 == 0 and (now := risk(w)) < lowest:
+            best, lowest = w, now
+    return best
 
 
 def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives among the unlabelled, from scores that rank positives high.
 
     In any region the unlabelled hold at least prior times the positives' share, and just that where no
-    negative scores. So it is the smallest ratio of the two shares over the regions above a threshold, with
-    the sampling error of the ratio added.
+    negative scores. So it is the smallest ratio of the two shares over the regions above a threshold that hold
+    REGION of the positives or more. It is weighed against EXPECTED by the sampling error of the ratio and by
+    EXPECTED_ERROR: below some 100 positives the expectation counts most.
     """
     cuts = np.quantile(p, np.linspace(0, 1 - REGION, 50))
     in_p = np.maximum((p[:, None] >= cuts).mean(axis=0), 1e-9)
     in_u = (u[:, None] >= cuts).mean(axis=0)
-    error = np.sqrt(in_u * (1 - in_u) / len(u) + (in_u / in_p) ** 2 * in_p * (1 - in_p) / len(p)) / in_p
-    return float(np.clip((in_u / in_p + error).min(), 0.05, 0.99))
+    ratio = in_u / in_p
+    error = np.sqrt(in_u * (1 - in_u) / len(u) + ratio**2 * in_p * (1 - in_p) / len(p)) / in_p
+    at = np.argmin(ratio + error)
+    weight = np.array([max(error[at], 1e-6), EXPECTED_ERROR]) ** -2.0
+    return float(np.clip(weight @ [ratio[at], EXPECTED] / weight.sum(), 0.05, 0.99))
+
+
+def _risks(prior: float, fp: np.ndarray, fu: np.ndarray) -> tuple[float, float]:
+    """Both parts of the unbiased risk with the logistic loss: as positive, as negative."""
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+
+def _clamped(prior: float, fp: np.ndarray, fu: np.ndarray) -> float:
+    as_positive, as_negative = _risks(prior, fp, fu)
+    return as_positive + max(0.0, as_negative)
+
+
+def _scale(prior: float, fp: np.ndarray, fu: np.ndarray) -> tuple[float, float]:
+    """Factor and zero point of a score: of those of about the lowest clamped risk, the one whose mean
+    probability over the unlabelled comes closest to the prior."""
+    tried = []
+    for factor in np.geomspace(1, 16, 9) / (fu.std() + 1e-9):
+        for zero in np.quantile(fu, np.linspace(0, 0.5, 51)):
+            x, y = factor * (fp - zero), factor * (fu - zero)
+            tried.append((_clamped(prior, x, y), abs(_sigmoid(y).mean() - prior), factor, zero))
+    lowest = min(t[0] for t in tried)
+    return min((t for t in tried if t[0] <= lowest + max(0.003, 0.05 * lowest)), key=lambda t: t[1])[2:]
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     """Minimises the non-negative unbiased risk with the logistic loss.
 
-    A first classifier tells positives from unlabelled on one half of the rows, and the class prior is
-    estimated on the other half. Then the risk is prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]):
-    where its second part would fall below zero, the step goes the other way.
+    The rows are cut into two halves, and each half is learnt from while the other judges. A first classifier
+    tells positives from unlabelled, and the class prior is the mean of what its scores give on the judging
+    halves. Then the risk is prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]): where its second part
+    would fall below zero, the step goes the other way. Such a descent swings, so of its iterates the one of
+    lowest risk on the judging half is taken, and that half also sets its scale and zero point. The model is the mean
+    of the two.
     """
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(both, np.linspace(0, 1, BINS + 1), axis=0).T
     model = Model(edges, np.zeros(edges.shape[0] * BINS + 1), 0.5)
     p, u = model.design(positive), model.design(unlabelled)
-
-    def apart(w: np.ndarray) -> np.ndarray:
-        return -p[::2].T @ _sigmoid(-(p[::2] @ w)) / len(p[::2]) + u[::2].T @ _sigmoid(u[::2] @ w) / len(u[::2])
-
-    first = _descend(p.shape[1], apart)
-    model.prior = class_prior(p[1::2] @ first, u[1::2] @ first)
-
-    def risk(w: np.ndarray) -> np.ndarray:
-        fp, fu = p @ w, u @ w
-        as_positive = -model.prior * p.T @ _sigmoid(-fp) / len(p)
-        negative = np.logaddexp(0, fu).mean() - model.prior * np.logaddexp(0, fp).mean()
-        as_negative = u.T @ _sigmoid(fu) / len(u) - model.prior * p.T @ _sigmoid(fp) / len(p)
-        return as_positive + as_negative if negative >= 0 else -as_negative
-
-    model.weights = _descend(p.shape[1], risk)
+    halves = [(p[k::2], u[k::2]) for k in range(2)]
+    size = p.shape[1]
+
+    priors = []
+    for (own_p, own_u), (p2, u2) in (halves, halves[::-1]):
+        apart = lambda w: -own_p.T @ _sigmoid(-(own_p @ w)) / len(own_p) + own_u.T @ _sigmoid(own_u @ w) / len(own_u)  # noqa: B023, E731
+        judged = lambda w: np.logaddexp(0, -(p2 @ w)).mean() + np.logaddexp(0, u2 @ w).mean()  # noqa: B023, E731
+        first = _descend(size, apart, judged)
+        priors.append(class_prior(p2 @ first, u2 @ first))
+    model.prior = prior = float(np.mean(priors))
+
+    for (own_p, own_u), (p2, u2) in (halves, halves[::-1]):
+
+        def step(w: np.ndarray) -> np.ndarray:
+            fp, fu = own_p @ w, own_u @ w  # noqa: B023
+            as_negative = own_u.T @ _sigmoid(fu) / len(fu) - prior * own_p.T @ _sigmoid(fp) / len(fp)  # noqa: B023
+            if _risks(prior, fp, fu)[1] < 0:
+                return -as_negative
+            return as_negative - prior * own_p.T @ _sigmoid(-fp) / len(fp)  # noqa: B023
+
+        own = _descend(size, step, lambda w: _clamped(prior, p2 @ w, u2 @ w))  # noqa: B023
+        factor, zero = _scale(prior, p2 @ own, u2 @ own)
+        model.weights += factor * own / 2
+        model.weights[-1] -= factor * zero / 2
     return model
 
 
 def train(docs: DataFrame, positives: DataFrame, training: Column) -> Model | None:
     """The model, from at most POSITIVES rows of ``positives`` (doc_id) and UNLABELLED documents.
 
-    Both are the lowest by a hash of doc_id among the rows for which ``training`` holds. None without a
-    positive or a document.
+    Both are the lowest by a hash of doc_id among the rows for which ``training`` holds. None with fewer than
+    two positives or two documents to a half. Below some 100 positives the class prior is mostly EXPECTED. The rows
+    are of bounded number, so one task fits the model and sends nothing else.
     """
     ids = F.xxhash64("doc_id")
     lowest = lambda df, n: df.where(training & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(ids, "doc_id").limit(n)
@@ -185,13 +230,20 @@ def train(docs: DataFrame, positives: DataFrame, training: Column) -> Model | No
             rows = pa.array(list(np.concatenate(x)) if x else [], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_positive"), rows], names=["id", "positive", "x"])
 
-    rows = (
+    def fitted(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["positive"], r["id"], r["x"]))
+        p, u = (np.array([r["x"] for r in rows if r["positive"] is side]) for side in (True, False))
+        if min(len(p), len(u)) < 4:
+            return pa.table({"edges": pa.array([], pa.list_(pa.float64())), "weights": pa.array([], pa.list_(pa.float64())), "prior": pa.array([], pa.float64())})
+        model = fit(p, u)
+        return pa.table({"edges": pa.array([model.edges.ravel()], pa.list_(pa.float64())), "weights": pa.array([model.weights], pa.list_(pa.float64())), "prior": [model.prior]})
+
+    found = (
         small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # of a fixed size
-        .select("_id", "_positive", "text").mapInArrow(run, "id long, positive boolean, x array<double>").collect()
+        .select("_id", "_positive", "text").mapInArrow(run, "id long, positive boolean, x array<double>")
+        .groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "edges array<double>, weights array<double>, prior double").collect()
     )
-    rows = sorted(rows, key=lambda r: (r.positive, r.id, r.x))
-    p, u = (np.array([r.x for r in rows if r.positive is side]) for side in (True, False))
-    return fit(p, u) if len(p) > 1 and len(u) > 1 else None
+    return Model(np.array(found[0].edges).reshape(-1, BINS + 1), np.array(found[0].weights), found[0].prior) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, carried: list[str] = (), name: str = "score") -> DataFrame:

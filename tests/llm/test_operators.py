@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from corpusops.llm import bpe, embed_dedup, langid, lm_scoring, ngram_join, packing, quality, sharding, suffix_dedup, topk
 from corpusops.llm.components import components
-from corpusops.llm.queries import QUERIES
+from corpusops.llm.queries import QUERIES, fold
+from corpusops.llm.ragged import slices
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slice long, score double"
@@ -363,3 +364,81 @@ def test_pipeline_against_plain_version(spark, sf):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def plain_features(text):
+    """The features of quality.features by plain counting, in its order."""
+    raw, size = text.encode(), len(text.encode())
+    if not size:
+        return [0.0] * 24
+    split = text.split()
+    lines = text.split("\n")
+    kinds = Counter("upper" if 65 <= b <= 90 else "lower" if 97 <= b <= 122 else "digit" if 48 <= b <= 57 else "blank" if b in b" \t\v\f\r\n" else "beyond" if b > 127 else "sign" for b in raw)
+    bare = [w.rstrip("!?.,;:*#$%&|-_=+~^@<>/\\\"'()[]{}") for w in split]
+    pairs = Counter(zip(split, split[1:]))
+    letters, w = max(kinds["upper"] + kinds["lower"] + kinds["beyond"], 1), max(len(split), 1)
+    distinct = len(set(split)) / w
+    return [
+        math.log1p(size), math.log1p(len(split)), math.log1p(len(lines)), kinds["upper"] / letters, kinds["beyond"] / letters, letters / size,
+        kinds["digit"] / size, kinds["sign"] / size, kinds["sign"] / w, kinds["blank"] / size, sum(map(len, split)) / w,
+        sum(not b for b in bare) / w, sum(len(x) - len(b) >= 2 for x, b in zip(split, bare)) / w, sum(len(x) > len(b) for x, b in zip(split, bare)) / w,
+        sum(len(x) > 20 for x in split) / w, distinct, distinct * math.log1p(len(split)), max(Counter(split).values(), default=0) / w,
+        sum(a == b for a, b in zip(split, split[1:])) / w, len(pairs) / max(w - 1, 1), max(pairs.values(), default=0) / w,
+        len(set(lines)) / len(lines), max(Counter(lines).values()) / len(lines), len(split) / len(lines) / 100,
+    ]
+
+
+def test_quality_scores_against_plain_counting(spark, sf):
+    """Every score of the query from plainly counted features and the model's bins, one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), fold(5) != 0)
+    want = {}
+    for d, t in texts_of(docs):
+        f = model.weights[-1]
+        for j, x in enumerate(plain_features(t)):
+            for k in range(quality.BINS):
+                a, b = model.edges[j][k : k + 2]
+                f += model.weights[j * quality.BINS + k] * min(max((x - a) / max(b - a, 1e-9), 0), 1)
+        want[d] = 1 / (1 + math.exp(-min(max(f, -30), 30)))
+    got = {r.doc_id: r for r in QUERIES["op7_quality"](spark, sf).collect()}
+    assert len(got) == len(want) and all(abs(got[d].score - s) < 1e-6 for d, s in want.items())
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for d, r in got.items())
+    assert 0 < sum(r.predicted for r in got.values()) < len(got)  # also the smallest table rejects something
+
+
+def test_quality_settles(spark, sf):
+    """Draws with replacement, from which a descent that swings ends anywhere."""
+    larger = sf.replace("sf0.001", "sf0.1")
+    labels = dict(spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "quality").collect())
+    table = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text").toArrow()
+    x = np.concatenate([quality.features(t) for t in slices(table["text"].combine_chunks(), quality.SLICE)])
+    y = np.array([labels.get(i, -1) for i in table["doc_id"].to_pylist()])
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in table["doc_id"].to_pylist()])
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        s = quality.fit(x[rng.choice(np.flatnonzero(~held & (y == 1)), 4000)], x[rng.choice(np.flatnonzero(~held), 12000)]).score(x)
+        assert (s[held & (y == 1)] >= 0.3).mean() >= 0.95 and (s[held & (y == 0)] < 0.3).mean() >= 0.85
+
+
+def test_languages_against_plain_kernel(spark, sf):
+    """Every score of the query from sets of n-grams and their weights, one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, weights = langid.train(docs, fold(4) != 2)
+
+    def plain(text):
+        data = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in text.lower().encode())
+        held = set()
+        for n in langid.LENGTHS:
+            for i in range(len(data) - n + 1):
+                h = (int.from_bytes(data[i : i + n], "big") + n * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0xC2B2AE35 & 0xFFFFFFFF
+                held.add(h >> 16)
+        s = weights[sorted(held)].astype(np.float64).sum(axis=0) / math.sqrt(max(len(held), 1)) + weights[-1]
+        return langs[int(s.argmax())], float(np.clip((s.max() + 1) / 2, 0, 1))
+
+    got = {r.doc_id: r for r in QUERIES["op2_language_id"](spark, sf).collect()}
+    rows = texts_of(docs)
+    assert len(got) == len(rows)
+    for d, t in rows:
+        lang, score = plain(t) if re.search(r"[^\W\d_]", t) else ("und", 0.0)
+        assert got[d].lang_pred == lang and abs(got[d].score - score) < 1e-4
