@@ -8,7 +8,7 @@ know pass through. An empty table gives an empty table.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusops.llm import langid, ngram_join, packing, quality, suffix_dedup
@@ -36,16 +36,34 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(F.col("_quality_score") >= QUALITY_SCORE).select(*docs.columns)
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_name``: its doc_id, but of the texts that share a doc_id only one (the least by hash) keeps it.
+
+    Every other gets a number from 2^62 up, made of doc_id and text, so that it is a document of its own.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.groupBy("doc_id").agg(F.min(text).alias("_least"), F.max(text).alias("_most")).where("doc_id is not null and _least < _most")
+    rows = docs.join(stored(several.select(F.col("doc_id").alias("_id"), "_least"), "several"), F.col("doc_id") == F.col("_id"), "left")
+    other = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    name = F.when(F.col("_least").isNull() | (F.col("_least") == text), F.col("doc_id").cast("long")).otherwise(other)
+    return rows.select(*docs.columns, name.alias("_name"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays. Texts without words link with nothing and stay; so do rows without
-    doc_id, which nobody could name as kept.
+    Rows that share doc_id and text are one document, of which the row with the least hash over its columns stays;
+    rows that share only the doc_id are documents of their own, all but one behind the others in the order of a
+    group. Texts without words link with nothing and stay; so do rows without doc_id, which nobody could name
+    as kept.
     """
-    groups = ngram_join.jaccard_components(docs, 5, 80)
+    named = named_texts(docs)
+    groups = ngram_join.jaccard_components(named.select(F.col("_name").alias("doc_id"), "text"), 5, 80)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    first = F.row_number().over(Window.partitionBy("_name").orderBy(F.xxhash64(*plain)))
+    rows = named.join(kept, F.col("_name") == F.col("_kept"), "left_semi").withColumn("_first", first).where("_first = 1")
+    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -339,6 +339,29 @@ def test_stages_keep_columns_and_rows(odd, none, spark, sf):
     assert corpus_pipeline.packed(spark, odd, sf).count() >= len(ODD)
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, sf):
+    other = "another text of more than five words under the same number"
+    rows = [(1, PASSAGE, "a"), (1, other, "b"), (1, other, "c"), (2, other, "d"), (3, PASSAGE, "e"), (4, "own words of a fourth text that links with nothing", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for _ in range(2):
+        kept = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+        texts = Counter(r.text for r in kept)
+        assert texts == {PASSAGE: 1, other: 1, rows[-1][1]: 1}  # one of each group, and no text is lost
+        assert {r.doc_id for r in kept if r.text == PASSAGE} <= {1, 3} and {r.doc_id for r in kept if r.text == other} <= {1, 2}
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(5, "source"), sf).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, kept))
+
+
+def test_pipeline_keeps_clean_documents(spark, sf):
+    larger = sf.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{larger}/{n}.parquet") for n in ("documents", "labels"))
+    kept = corpus_pipeline.quality_filter(spark, corpus_pipeline.language_id(spark, docs, larger), larger).select("doc_id")
+    held = labels.where(fold(5) == 0).join(docs.select("doc_id"), "doc_id")
+    of = lambda quality: held.where(f"quality = {quality}")
+    assert of(1).join(kept, "doc_id").count() >= 0.95 * of(1).count()
+    assert of(0).join(kept, "doc_id").count() <= 0.2 * of(0).count()
+
+
 def test_pipeline_against_plain_version(spark, sf):
     """The rows of run() from the stages' decisions taken over by plain code where it can express them."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
