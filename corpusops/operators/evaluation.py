@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Values that cut a distribution in a round of the selection, and values that one task may sort.
+SPLITTERS, SORTED_AT_ONCE = 63, 100_000
 DOMAINS = ["docs", "lsp"]
 RESULT_FIELDS = [
     "chunk_id", "source_url", "file_path", "module", "routine_name", "heading_path", "context",
@@ -116,41 +120,40 @@ def misses(hits: DataFrame, depth: int = 5) -> DataFrame:
 
 
 def percentiles(values: DataFrame, value: str, points: list[int]) -> DataFrame:
-    """Element floor(p/100 * n) of the sorted values, capped at the last one; exact.
+    """Element floor(p/100 * n) of the sorted values, capped at the last one; exact. Nulls do not count; without values 0.
 
-    The distribution is first reduced to (value, count), so the running count that finds the
-    elements walks over distinct values cut into equal bins and never over one sorted list.
+    Selection by splitters: a sketch of the values gives SPLITTERS of them that stand at about equal ranks, one
+    scan counts how many values lie between and at them, and only the stretch that holds a wanted rank is
+    looked at again, until it has few values left, which one task sorts. So rounds grow with the logarithm of the
+    number of values, and neither their spread nor repeats matter.
     """
-    counted = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    whole = counted.agg(
-        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")).alias("b")
-    )
-    bins = 1000
-    lo, hi = F.col("b.lo"), F.col("b.hi")
-    width = F.greatest((hi - lo) / bins, F.lit(1e-300))
-    binned = counted.withColumn("b", whole.scalar()).withColumns(
-        {"bin": F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)), "total": F.col("b.total")}
-    )
-    per_bin = binned.groupBy("bin").agg(F.sum("n").alias("bin_n"))
-    before = per_bin.withColumn(
-        "before", F.sum("bin_n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    ).select("bin", F.coalesce("before", F.lit(0)).alias("before"))
-    w = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    running = binned.join(F.broadcast(before), "bin").withColumn(
-        "upto", F.col("before") + F.sum("n").over(w)
-    )
-    at = [
-        F.min(
-            F.when(
-                F.col("upto") > F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(p) / 100)),
-                F.col("v"),
-            )
-        ).alias(f"p{p}")
-        for p in points
-    ]
-    return running.agg(*[F.coalesce(c, F.lit(0.0)).alias(f"p{p}") for c, p in zip(at, points)])
+    rows = values.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
+    total = rows.count()
+    found = [_element(rows, min(total - 1, p * total // 100), total) if total else None for p in points]
+    one = values.sparkSession.range(1)
+    return one.select(*[F.coalesce(F.lit(v), F.lit(0.0)).alias(f"p{p}") for v, p in zip(found, points)])
+
+
+def _element(rows: DataFrame, rank: int, n: int):
+    """The value of ``rank`` (from 0) among ``n`` values ``v``."""
+    while n > SORTED_AT_ONCE:
+        shares = [k / (SPLITTERS + 1) for k in range(1, SPLITTERS + 1)]
+        splitters = rows.agg(F.array_distinct(F.percentile_approx("v", shares, 10 * SPLITTERS)).alias("s")).first()["s"]
+        # stretch 2k lies below splitter k, stretch 2k + 1 is the splitter itself
+        above = [(F.col("v") > s).cast("int") + (F.col("v") >= s).cast("int") for s in map(F.lit, splitters)]
+        counted = {r.stretch: r.n for r in rows.groupBy(reduce(lambda a, b: a + b, above).alias("stretch")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for stretch in sorted(counted):
+            if rank < counted[stretch]:
+                break
+            rank -= counted[stretch]
+        k, n = stretch // 2, counted[stretch]
+        if stretch % 2:
+            return splitters[k]
+        if k:
+            rows = rows.where(F.col("v") > F.lit(splitters[k - 1]))
+        if k < len(splitters):
+            rows = rows.where(F.col("v") < F.lit(splitters[k]))
+    return rows.agg(F.get(F.array_sort(F.collect_list("v")), F.lit(rank)).alias("v")).first()["v"]
 
 
 def top_results(ranked: DataFrame, depth: int = 5) -> DataFrame:

@@ -5,9 +5,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusops.session import stored
+
 TOP_TABLES = 50
 OFTEN = 5
 TOP_PAIRS = 200
@@ -16,10 +20,10 @@ MAX_PATTERN_TABLES = 15
 MAX_EXAMPLES = 8
 MAX_REPORTS_LISTED = 20
 
-# Reports are paired up table by table unless they are among the WIDE_REPORTS largest and
-# larger than WIDE_AT tables; those few are counted by membership instead.
-WIDE_REPORTS = 8
+#: Reports with more tables than this are counted by tiles of tables, all others pair by pair.
 WIDE_AT = 256
+#: Tables of a block, mentions by wide reports in it, and reports in one matrix product.
+BLOCK_TABLES, BLOCK_MENTIONS, REPORTS_AT_ONCE = 2048, 1 << 22, 2048
 
 # Dominant tables with a name of their own.
 PATTERN_NAMES = {
@@ -78,21 +82,11 @@ def usage_ranked(refs: DataFrame) -> DataFrame:
     )
 
 
-def _membership(refs: DataFrame, wide_at: int) -> tuple[DataFrame, DataFrame]:
-    """(refs of ordinary reports, table -> bit set of the wide reports it occurs in)."""
-    sizes = refs.groupBy("report").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.filter(F.col("n") > wide_at).orderBy(F.desc("n"), "report").limit(WIDE_REPORTS)
-    # at most WIDE_REPORTS rows, numbered by one small aggregate
-    numbered = largest.agg(F.array_sort(F.collect_list("report")).alias("ids")).select(
-        F.posexplode("ids").alias("bit", "report")
-    )
-    narrow = refs.join(F.broadcast(numbered), "report", "left_anti")
-    member = (
-        refs.join(F.broadcast(numbered), "report")
-        .groupBy("table")
-        .agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("wide"))
-    )
-    return narrow, member
+def _split(refs: DataFrame, wide_at: int) -> tuple[DataFrame, DataFrame]:
+    """Refs of the reports with up to ``wide_at`` tables, and those of the wider ones."""
+    wide = refs.groupBy("report").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > wide_at).select("report")
+    wide = stored(wide, "wide")
+    return refs.join(wide, "report", "left_anti").select("report", "table"), refs.join(wide, "report", "left_semi").select("report", "table")
 
 
 def _narrow_pairs(narrow: DataFrame) -> DataFrame:
@@ -104,78 +98,112 @@ def _narrow_pairs(narrow: DataFrame) -> DataFrame:
     )
 
 
-def _with_wide(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """Add the wide reports both tables of a pair occur in."""
-    ma = member.select(F.col("table").alias("a"), F.col("wide").alias("wa"))
-    mb = member.select(F.col("table").alias("b"), F.col("wide").alias("wb"))
-    both = F.bit_count(F.coalesce("wa", F.lit(0)).bitwiseAND(F.coalesce("wb", F.lit(0))))
-    return pairs.join(ma, "a", "left").join(mb, "b", "left").select(
-        "a", "b", (F.col("n") + both).alias("reports")
+def _best_pairs(names: tuple[np.ndarray, np.ndarray], counts: np.ndarray, same: bool, limit: int) -> list[np.ndarray]:
+    """Rows, columns and counts of the first ``limit`` pairs by count, then by the smaller and the larger name."""
+    if same:
+        counts = np.triu(counts, 1)
+    flat = counts.ravel()
+    least = max(1, np.partition(flat, -limit)[-limit]) if len(flat) > limit else 1
+    found = np.flatnonzero(flat >= least)
+    row, column = np.divmod(found, max(1, counts.shape[1]))
+    place = np.unique(np.concatenate(names), return_inverse=True)[1]
+    x, y = place[row], place[len(names[0]) + column]
+    first = np.lexsort((np.maximum(x, y), np.minimum(x, y), -flat[found]))[:limit]
+    return [row[first], column[first], flat[found][first]]
+
+
+def _best_partners(names: tuple[np.ndarray, np.ndarray], counts: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Per row the first ``limit`` columns by count, then by name (columns stand in the order of their names)."""
+    n = counts.shape[1]
+    keys = counts * n + np.arange(n - 1, -1, -1)
+    best = np.argpartition(-keys, min(limit, n) - 1, axis=1)[:, :limit] if n else np.empty((len(counts), 0), np.int64)
+    row, column = np.repeat(np.arange(len(counts)), best.shape[1]), best.ravel()
+    held = counts[row, column] > 0
+    return [row[held], column[held], counts[row, column][held]]
+
+
+def _wide_tiles(wide: DataFrame, pairs: DataFrame, limit: int, per_table: bool) -> DataFrame:
+    """The pairs of tables that wide reports name, best first: a, b, n, at most ``limit`` per tile (or per table and tile).
+
+    Tables are dealt into blocks, small enough for the mentions of two of them, and two blocks meet in a tile. There the
+    common reports of each two tables are counted by matrix products over some reports at a time, summed
+    up inside the tile, and what ordinary reports add (``pairs``: a, b, n) is added; only the best leave it. So no
+    pair of a wide report is ever a row.
+    """
+    tables = wide.select("table").distinct().count()
+    blocks = max(1, -(-tables // BLOCK_TABLES), -(-wide.count() // BLOCK_MENTIONS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    mentions = wide.select("report", "table", block("table").alias("own"), other.alias("other")).select(
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "report", "table"
     )
-
-
-def _class_heads(member: DataFrame, n: int) -> DataFrame:
-    """First ``n`` tables by name of each membership class (at most 2^WIDE_REPORTS classes)."""
-    w = Window.partitionBy("wide").orderBy("table")
-    return member.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    added = pairs.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b", "n")
+
+    def tile(key: tuple, mentions: pa.Table, added: pa.Table) -> pa.Table:
+        same = key[0].as_py() == key[1].as_py()
+        right = mentions["right"].to_numpy()
+        names = mentions["table"].to_numpy()
+        report = mentions["report"].combine_chunks().dictionary_encode().indices.to_numpy()
+        sides = [(names[~right], report[~right]), (names[~right], report[~right]) if same else (names[right], report[right])]
+        (rows, at_row), (columns, at_column) = (np.unique(n, return_inverse=True) for n, _ in sides)
+        counts = np.zeros((len(rows), len(columns)), np.int64)
+        for low in range(0, int(report.max()) + 1 if len(report) else 0, REPORTS_AT_ONCE):
+            dense = []
+            for at, (_, r), n in zip((at_row, at_column), sides, counts.shape):
+                here = (r >= low) & (r < low + REPORTS_AT_ONCE)
+                block = np.zeros((n, REPORTS_AT_ONCE), np.float32)
+                block[at[here], r[here] - low] = 1
+                dense.append(block)
+            counts += (dense[0] @ dense[1].T).astype(np.int64)
+        if len(rows) and len(columns):
+            a, b, n = (added[c].to_numpy() for c in ("a", "b", "n"))
+            for x, y in ((a, b), (b, a)):
+                i, j = np.searchsorted(rows, x), np.searchsorted(columns, y)
+                i, j = np.minimum(i, len(rows) - 1), np.minimum(j, len(columns) - 1)
+                inside = (rows[i] == x) & (columns[j] == y)
+                np.add.at(counts, (i[inside], j[inside]), n[inside])
+        if same:
+            np.fill_diagonal(counts, 0)
+        if per_table:
+            parts = [(rows, columns, *_best_partners((rows, columns), counts, limit))]
+            parts += [] if same else [(columns, rows, *_best_partners((columns, rows), counts.T, limit))]
+        else:
+            parts = [(rows, columns, *_best_pairs((rows, columns), counts, same, limit))]
+        a = np.concatenate([x[i] for x, _, i, _, _ in parts])
+        b = np.concatenate([y[j] for _, y, _, j, _ in parts])
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "n": np.concatenate([n for *_, n in parts])})
+
+    return mentions.groupBy("i", "j").cogroup(added.groupBy("i", "j")).applyInArrow(tile, "a string, b string, n long")
+
+
+def _counted(refs: DataFrame, limit: int, wide_at: int, per_table: bool) -> DataFrame:
+    """Pairs of tables (a, b) with the number of reports that name both; of those between two tables of wide
+    reports only the best of every tile, each both ways if ``per_table``."""
+    narrow, wide = _split(refs, wide_at)
+    pairs, wide = _narrow_pairs(narrow), stored(wide, "wide_refs")
+    in_wide = wide.select("table").distinct()
+    a, b = (in_wide.select(F.col("table").alias(c), F.lit(True).alias(f"{c}_wide")) for c in "ab")
+    marked = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("both", F.coalesce(F.col("a_wide") & F.col("b_wide"), F.lit(False)))
+    marked = stored(marked.select("a", "b", "n", "both"), "pairs")
+    plain = marked.where(~F.col("both")).select("a", "b", "n")
+    if per_table:
+        plain = plain.unionByName(plain.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    return plain.unionByName(_wide_tiles(wide, marked.where("both"), limit, per_table))
 
 
 def top_pairs(refs: DataFrame, limit: int = TOP_PAIRS, wide_at: int = WIDE_AT) -> DataFrame:
     """The pairs of tables named together by most reports, ties by name; exact.
 
-    Ordinary reports give their pairs. The few very wide ones never do: tables fall into classes
-    by which of them they occur in, all pairs of two classes share the same wide count, and of
-    pairs known from wide reports only, the first ``limit`` by name of two classes suffice. A
-    pair at ranks i and j has i*j - 1 pairs of its classes before it, which bounds the ranks.
+    Reports of up to ``wide_at`` tables give their pairs, summed up before the shuffle; all wider ones, however
+    many, are counted by tiles of tables.
     """
-    narrow, member = _membership(refs, wide_at)
-    counted = _narrow_pairs(narrow)
-    heads = _class_heads(member, limit + 1)
-    x = heads.select(F.col("table").alias("x"), F.col("wide").alias("wx"), F.col("rn").alias("rx"))
-    y = heads.select(F.col("table").alias("y"), F.col("wide").alias("wy"), F.col("rn").alias("ry"))
-    bit = F.explode(F.sequence(F.lit(0), F.lit(WIDE_REPORTS - 1)))
-    shared = (
-        x.withColumn("bit", bit).filter(F.getbit("wx", F.col("bit")) == 1)
-        .join(y.withColumn("bit", bit).filter(F.getbit("wy", F.col("bit")) == 1), "bit")
-        .filter((F.col("x") < F.col("y")) & (F.col("rx") * F.col("ry") <= 2 * limit))
-        .select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("n"))
-        .distinct()
-    )
-    merged = counted.unionByName(shared).groupBy("a", "b").agg(F.max("n").alias("n"))
-    return _with_wide(merged, member).orderBy(F.desc("reports"), "a", "b").limit(limit)
+    both = _counted(refs, limit, wide_at, False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("n").alias("reports"))
+    return both.orderBy(F.desc("reports"), "a", "b").limit(limit)
 
 
 def common_joins(refs: DataFrame, limit: int = COMMON_JOINS, wide_at: int = WIDE_AT) -> DataFrame:
-    """Per table the tables most often named with it: table, rank, other, reports."""
-    narrow, member = _membership(refs, wide_at)
-    counted = _narrow_pairs(narrow)
-    heads = _class_heads(member, limit + 1)
-    bit = F.explode(F.sequence(F.lit(0), F.lit(WIDE_REPORTS - 1)))
-    shared = (
-        member.withColumn("bit", bit).filter(F.getbit("wide", F.col("bit")) == 1)
-        .select("bit", F.col("table").alias("x"))
-        .join(
-            F.broadcast(
-                heads.withColumn("bit", bit).filter(F.getbit("wide", F.col("bit")) == 1)
-                .select("bit", F.col("table").alias("y"))
-            ),
-            "bit",
-        )
-        .filter(F.col("x") != F.col("y"))
-        .select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).cast("long").alias("n")
-        )
-    )
-    merged = counted.unionByName(shared).groupBy("a", "b").agg(F.max("n").alias("n"))
-    pairs = _with_wide(merged, member)
-    both_ways = pairs.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("a").alias("table"), F.col("b").alias("other"), "reports"),
-                F.struct(F.col("b").alias("table"), F.col("a").alias("other"), "reports"),
-            )
-        ).alias("p")
-    ).select("p.*")
+    """Per table the tables most often named with it: table, rank, other, reports. Exact, as ``top_pairs``."""
+    both_ways = _counted(refs, limit, wide_at, True).select(F.col("a").alias("table"), F.col("b").alias("other"), F.col("n").alias("reports"))
     w = Window.partitionBy("table").orderBy(F.desc("reports"), "other")
     return both_ways.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.operators.vector import _Tops
+from corpusops.operators.substrings import containing
+from corpusops.session import stored
 
 TABLE_NAME = r"(?i)\b[RE]\d{3}\w+"
 SQL_FRAGMENT = r"(?is)(?:SELECT|INSERT|UPDATE|DELETE|FROM|JOIN|WHERE).*?;"
 MAX_KEYWORD_EXAMPLES = 5
 SHOWN_CHARS = 3000
-MAX_SHARED_BYTES = 64 << 20
-BROADCAST_ROWS = 100_000
+SPACES = r"\s+"
+#: (file, word) and (request, word) rows that meet in one task.
+TILE_ROWS = 1 << 20
 
 # Scalar fields and child fields compared between two versions.
 DIFF_SCALARS = ["caption", "version", "orientation", "reportType", "formatReport"]
@@ -102,50 +101,38 @@ def get_model(files: DataFrame, name: str) -> DataFrame:
     return files.filter(F.col("name") == name).limit(1)
 
 
-SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
-
-
-def _word_finder(at: dict[str, int]):
-    """Words (by number) inside a text. A word holds no white space, so it stands inside one of
-    the text's tokens; the words inside a token are looked up by the token's own pieces."""
-    longest = max(map(len, at), default=0)
-
-    @lru_cache(maxsize=200_000)
-    def inside(token: str) -> tuple[int, ...]:
-        n = len(token)
-        pieces = {token[i : i + k] for i in range(n) for k in range(1, min(longest, n - i) + 1)}
-        return tuple(at[p] for p in pieces & at.keys())
-
-    def find(text: str) -> list[int]:
-        found = {w for token in set(SPACES.split(text)) for w in inside(token)}
-        if "" in at:
-            found.add(at[""])
-        return sorted(found)
-
-    return find
-
-
 def keyword_topk(files: DataFrame, requests: DataFrame, limit: int = MAX_KEYWORD_EXAMPLES) -> DataFrame:
     """Per request the files holding most of its words, ties by name; content cut for display.
 
-    requests: request_id, text. Their words, a repeated word counting again, are checked to fit
-    a fixed byte bound and shared; each task keeps its best ``limit`` files per request, so no
-    (request, file) pairs travel. Beyond the bound the requests run as several shares.
+    requests: request_id, text. Their words are split at white space, a repeated word counting again; a
+    file holds a word where it stands in its name or content, in lower case. A word holds no white space, so it
+    stands inside one of the file's tokens: words meet the distinct tokens by an index of pieces
+    (``substrings``), tokens meet the files by a join, and what is left is which file holds which word.
+
+    Requests and files then meet in tiles of bounded size, which keep their best ``limit`` files per request, so
+    no (request, file) pairs travel. Files without a word are no result; of a request that starts or ends with
+    white space the empty word is in every file. A null text asks for nothing.
     """
     limit = min(MAX_KEYWORD_EXAMPLES, limit)
-    sizes = requests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    shares = 1 + sizes["b"] // MAX_SHARED_BYTES
-    part = F.pmod(F.xxhash64(F.col("request_id").cast("string")), F.lit(shares))
-    found = None
-    for share in range(shares):
-        mine = _keyword_share(files, requests.filter(part == share), limit)
-        found = mine if found is None else found.unionByName(mine)
+    asked = stored(
+        requests.select(F.col("request_id").cast("string").alias("request_id"), F.explode(F.split(F.lower("text"), SPACES, -1)).alias("word"))
+        .groupBy("request_id", "word").agg(F.count(F.lit(1)).alias("n")), "asked"
+    )
+    text = F.lower(F.concat_ws("\n", "name", "content"))
+    tokens = files.select("name", F.explode(F.array_distinct(F.split(text, SPACES, -1))).alias("token"))
+    words = stored(asked.select("word").where("word <> ''").distinct().withColumn("number", F.monotonically_increasing_id()), "words")
+    inside = stored(containing(stored(tokens.select("token").distinct(), "tokens"), words).select("token", "number"), "inside")
+    held = stored(tokens.join(inside.hint("shuffle_hash"), "token").select("name", "number").distinct(), "held")
+    scored = _scored_tiles(held, asked.join(words, "word").select("request_id", "number", "n"), limit)
+    empty = asked.where("word = ''").select("request_id", F.col("n").alias("always"))
+    first = files.select("name").distinct().orderBy("name").limit(limit)  # stand in where no more files hold a word
+    fillers = empty.crossJoin(F.broadcast(first)).select("request_id", "name", F.lit(0).cast("long").alias("score"))
+    both = scored.unionByName(fillers).groupBy("request_id", "name").agg(F.max("score").alias("score"))
+    both = both.join(empty, "request_id", "left").withColumn("score", F.col("score") + F.coalesce("always", F.lit(0)))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "name")
-    top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    # known to be at most ``limit`` rows per request
-    top = F.broadcast(top) if sizes["n"] * limit <= BROADCAST_ROWS else top
+    top = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return files.select("name", "content").join(top, "name").select(
-        "request_id", "rank", "name", F.col("score").cast("long").alias("score"),
+        "request_id", "rank", "name", "score",
         F.when(
             F.length("content") > SHOWN_CHARS,
             F.concat(F.substring("content", 1, SHOWN_CHARS), F.lit("...(truncated)")),
@@ -153,30 +140,41 @@ def keyword_topk(files: DataFrame, requests: DataFrame, limit: int = MAX_KEYWORD
     )
 
 
-def _keyword_share(files: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
-    rows = requests.select(F.col("request_id").cast("string"), F.split(F.lower("text"), r"\s+", -1)).collect()
-    ids = [r[0] for r in rows]
-    words = sorted({w for r in rows for w in r[1]})
-    at = {w: i for i, w in enumerate(words)}
-    weight = np.zeros((len(words), len(ids)), dtype=np.int32)
-    for q, r in enumerate(rows):
-        for word in r[1]:
-            weight[at[word], q] += 1
-    shared = files.sparkSession.sparkContext.broadcast((ids, words, weight))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, words, weight = shared.value
-        tops = _Tops(len(ids), limit)
-        find = _word_finder({w: i for i, w in enumerate(words)})
-        for frame in frames:
-            names = frame["name"].tolist()
-            texts = [f"{n}\n{c or ''}".lower() for n, c in zip(names, frame["content"])]
-            scores = np.array([weight[find(t)].sum(axis=0) for t in texts])
-            tops.add(np.asarray(names, dtype=object), scores)
-        if ids:
-            yield tops.frame(ids).set_axis(["request_id", "name", "score"], axis=1)
-
-    return files.select("name", "content").mapInPandas(run, "request_id string, name string, score double")
+def _scored_tiles(held: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """request_id, name, score: the best ``limit`` files per request and tile of about TILE_ROWS rows of either side."""
+    blocks, shares = (max(1, -(-rows.count() // TILE_ROWS)) for rows in (held, asked))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    cores = held.sparkSession.sparkContext.defaultParallelism
+    blocks = max(blocks, -(-cores // shares))
+    left = held.select("name", "number", dealt("name", blocks).alias("block"), every(shares).alias("share"))
+    right = asked.select("request_id", "number", "n", dealt("request_id", shares).alias("share"), every(blocks).alias("block"))
+
+    def tile(files: pa.Table, requests: pa.Table) -> pa.Table:
+        requests = requests.sort_by("request_id")
+        names, ids, words = (t[c].combine_chunks().dictionary_encode() for t, c in ((files, "name"), (requests, "request_id"), (requests, "number")))
+        order = pc.sort_indices(names.dictionary)  # files in the order of their names
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        word = pc.index_in(files["number"], value_set=words.dictionary).combine_chunks()
+        known = word.is_valid().to_numpy(zero_copy_only=False)
+        word, file = pc.fill_null(word, 0).to_numpy()[known], place[names.indices.to_numpy()][known]
+        by_word = np.argsort(word, kind="stable")
+        file, starts = file[by_word], np.searchsorted(word[by_word], np.arange(len(words.dictionary) + 1))
+        codes, times = words.indices.to_numpy(), requests["n"].to_numpy()
+        bounds = np.searchsorted(ids.indices.to_numpy(), np.arange(len(ids.dictionary) + 1))
+        out: list[tuple[int, int, int]] = []
+        for q in range(len(ids.dictionary)):
+            own, n = codes[bounds[q] : bounds[q + 1]], times[bounds[q] : bounds[q + 1]]
+            holders = np.concatenate([file[starts[c] : starts[c + 1]] for c in own.tolist()])
+            score = np.bincount(holders, np.repeat(n, starts[own + 1] - starts[own]), len(order)).astype(np.int64)
+            best = np.argsort(-score, kind="stable")[:limit]
+            out += [(q, f, s) for f, s in zip(best.tolist(), score[best].tolist()) if s]
+        q, f, s = (pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [])))
+        return pa.table({"request_id": ids.dictionary.take(q), "name": names.dictionary.take(order).take(f), "score": s})
+
+    keys = ["block", "share"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "request_id string, name string, score long")
 
 
 def pick_examples(files: DataFrame, categories: list[str], defaults: list[str], limit: int) -> DataFrame:

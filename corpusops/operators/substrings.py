@@ -1,0 +1,41 @@
+"""Which words stand inside which tokens, by an index of short pieces instead of a pass over all pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusops.session import stored
+
+#: Characters of the longest indexed piece.
+PIECE = 3
+
+
+def pieces(text: Column, sizes: list[int]) -> Column:
+    """The distinct substrings of ``text`` of the given sizes."""
+
+    def of(letters: Column, n: int) -> Column:
+        last = F.size(letters) - (n - 1)
+        at = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(letters, i, F.lit(n)), ""))
+        return F.when(last >= 1, at).otherwise(F.array().cast("array<string>"))
+
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    # an array of one, so that the text is taken apart once
+    return F.transform(F.array(letters), lambda own: F.array_distinct(F.concat(*[of(own, n) for n in sizes])))[0]
+
+
+def containing(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """token and the columns of ``words`` for all ``tokens`` (token, distinct) that contain one of ``words`` (word, distinct, not empty).
+
+    A word up to PIECE characters is looked up as a piece of the tokens, a longer one by that piece of its own which
+    the fewest tokens hold, and what this finds is compared in full. Null tokens and words match nothing.
+    """
+    pieces_of = lambda sizes: tokens.select("token", F.explode(pieces(F.col("token"), sizes)).alias("piece"))
+    short = F.char_length("word") <= PIECE
+    own = words.where(~short).select("word", F.explode(pieces(F.col("word"), [PIECE])).alias("piece"))
+    often = pieces_of([PIECE]).join(own.select("piece").distinct(), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(often, "piece", "left").groupBy("word").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    looked_up = rarest.unionByName(words.where(short).select("word", F.col("word").alias("piece")))
+    keys = stored(looked_up.join(words, "word"), "keys")
+    found = pieces_of(list(range(1, PIECE + 1))).join(keys, "piece")
+    return found.where(F.contains("token", "word")).select("token", *words.columns)

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -99,6 +100,75 @@ def test_pairs_with_wide_reports(spark, wide_at):
     assert got == {a: v[:8] for a, v in best.items()}
 
 
+def test_pairs_of_many_wide_reports(spark, monkeypatch):
+    """Twenty wide reports, one of them holding every table, over blocks of a few tables."""
+    rnd = random.Random(8)
+    names = [f"R{i:03d}" for i in range(90)]
+    reports = {f"w{i:02d}": set(names if i == 0 else rnd.sample(names, rnd.randint(12, 70))) for i in range(20)}
+    reports |= {f"n{i:02d}": set(rnd.sample(names, rnd.randint(1, 5))) for i in range(60)}
+    reports["x"] = {"R000", "S1", "S2"}  # tables that no wide report names
+    refs = spark.createDataFrame([(r, t, i) for r, ts in reports.items() for i, t in enumerate(sorted(ts))], "report string, table string, pos int")
+    counts = brute_pairs(reports)
+    ranked = sorted(counts, key=lambda p: (-counts[p], p))
+    both = Counter({**counts, **{(b, a): n for (a, b), n in counts.items()}})
+    best = {}
+    for a, b in sorted(both, key=lambda p: (p[0], -both[p], p[1])):
+        best.setdefault(a, []).append((b, both[a, b]))
+    for tables in (2048, 17):
+        monkeypatch.setattr(modelkb, "BLOCK_TABLES", tables)
+        got = [(r["a"], r["b"], r["reports"]) for r in modelkb.top_pairs(refs, 300, 10).collect()]
+        assert got == [(*p, counts[p]) for p in ranked[:300]]
+        got = {}
+        for r in modelkb.common_joins(refs, 8, 10).orderBy("table", "rank").collect():
+            got.setdefault(r["table"], []).append((r["other"], r["reports"]))
+        assert got == {a: v[:8] for a, v in best.items()}
+
+
+def test_keyword_topk(spark, monkeypatch):
+    rnd = random.Random(21)
+    syllables = ["ba", "lo", "ri", "é", "x", "Tu", "nda", "q"]
+    word = lambda n: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, n)))
+    files = [(f"{i:03d}-{word(3)}.json", " ".join(word(5) for _ in range(rnd.randint(0, 40)))) for i in range(80)]
+    files += [("empty", ""), ("none", None), ("long", "ba" * 5000 + " " + "lo " * 2000), ("same-1", files[3][1]), ("same-2", files[3][1])]
+    asked = [(f"q{i}", " ".join(word(3) for _ in range(rnd.randint(1, 12)))) for i in range(30)]
+    asked += [("spaces", "  ba  ba\tlo "), ("blank", ""), ("nothing", "zzz zzzz"), ("null", None), ("name", "same-1 .json"), ("UPPER", "BA É TU")]
+
+    def want(text):
+        words = re.split(r"[ \t\n\x0b\f\r]+", text.lower())
+        scores = [(sum(w in f"{n}\n{c or ''}".lower() for w in words), n) for n, c in files]
+        best = sorted(((-s, n) for s, n in scores if s))[:5]
+        return [(k + 1, n, -s) for k, (s, n) in enumerate(best)]
+
+    f = spark.createDataFrame(files, "name string, content string").repartition(3)
+    q = spark.createDataFrame(asked, "request_id string, text string").repartition(2)
+    for rows in (1 << 20, 50):
+        monkeypatch.setattr(models, "TILE_ROWS", rows)
+        found = models.keyword_topk(f, q).orderBy("request_id", "rank").collect()
+        got = {}
+        for r in found:
+            got.setdefault(r.request_id, []).append((r["rank"], r.name, r.score))
+        assert got == {i: want(t) for i, t in asked if t is not None and want(t)}
+    assert {r.shown[-14:] for r in found if r.name == "long"} <= {"...(truncated)"}
+    assert models.keyword_topk(f.limit(0), q).count() == 0 and models.keyword_topk(f, q.limit(0)).count() == 0
+
+
+def test_scopes_of_any_length(spark):
+    rnd = random.Random(3)
+    ranges = {"short": [(1, 5), (8, 8)], "long": [(0, 10**12)], "low": [(-70, -3), (-1, 0)], "ends": [(-(2**61), -(2**40)), (2**40, 2**61)], "none": [(5, 4)], "null": [(None, 9)]}
+    for i in range(20):
+        a = rnd.randint(-300, 300)
+        ranges[f"r{i}"] = [(a, a + rnd.randint(0, 200))]
+    values = [*range(-310, 520), 10**12, 10**12 + 1, 2**40, 2**40 - 1, -(2**61), 2**61, 2**61 + 1, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+    bounds = spark.createDataFrame([(k, lo, hi) for k, own in ranges.items() for lo, hi in own], "scope_id string, lo long, hi long")
+    got = sorted((r.scope_id, r.v) for r in bands.scopes_join(rows, "v", bounds).collect())
+    assert got == sorted((k, v) for k, own in ranges.items() for v in values for lo, hi in own if v is not None and lo is not None and lo <= v <= hi)
+    halves = rows.select((F.col("v") + 0.5).alias("v")).where("v between 0 and 10")
+    got = sorted(r.v for r in bands.scopes_join(halves, "v", bounds.where("scope_id = 'short'")).collect())
+    assert got == [1.5, 2.5, 3.5, 4.5]
+    assert bands.scopes_join(rows, "v", bounds.limit(0)).count() == 0
+
+
 def test_field_dictionary(spark):
     lines = ["R034FUN|NUMEMP|Empresa|2|4,0", "--------|---", "(12 rows affected)", "R034FUN|NOMFUN| Nome |1|", "x|y|z|1|2", "R1|F|t|77|abc", "R2|only|three", "R3||none|1|2"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
@@ -200,6 +270,20 @@ def test_percentiles(spark):
     assert tuple(ev.percentiles(df.limit(0), "v", [50]).first()) == (0.0,)
 
 
+def test_percentiles_with_an_outlier(spark, monkeypatch):
+    """One value of 1e9 among 0 to 1, a value that half of the rows hold, NaN and infinite ones; sorted a few at a time."""
+    rnd = random.Random(4)
+    values = [rnd.random() for _ in range(3000)] + [0.25] * 3000 + [1e9, -1e300, float("inf"), float("inf")] + [None] * 50
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    s = sorted(v for v in values if v is not None)
+    points = [0, 1, 25, 50, 75, 90, 99, 100]
+    for most in (100_000, 40, 1):
+        monkeypatch.setattr(ev, "SORTED_AT_ONCE", most)
+        assert tuple(ev.percentiles(df, "v", points).first()) == tuple(s[min(len(s) - 1, p * len(s) // 100)] for p in points)
+    whole = spark.range(5000).select((F.col("id") % 7).alias("v"))
+    assert tuple(ev.percentiles(whole, "v", [0, 50, 100]).first()) == (0, 3, 6)
+
+
 def test_golden_synthesis(spark):
     rows = [("docs", f"c{i}", "ctx" if i % 2 else None, "Prod", f"u{i // 3}", f"Título {i}", "A > Tópico Final", "configuração detalhada " * 20) for i in range(30)]
     df = spark.createDataFrame(rows, "domain string, chunk_id string, context string, product string, source_url string, title string, heading_path string, text string")
