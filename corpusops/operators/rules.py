@@ -24,84 +24,47 @@ NEIGHBOURS = ("p1", "p2", "n1", "n2")
 # tokens looked at after a loop word
 LOOKAHEAD = 9
 
-# Each function with its least and most arguments.
+# What each finding says.
+MESSAGES = {
+    "twice": "Variável '%s' declarada mais de uma vez (Duplicate variable declaration '%s')",
+    "undeclared": "Variável '%s' não declarada (Undeclared variable '%s')",
+    "arity": "Função '%s': esperados %s argumento(s), recebidos %s (Function '%s': expected %s args, got %s)",
+    "unknown": "Função '%s' desconhecida (Unknown function '%s')",
+    "open": "Cursor '%s' aberto sem SQL definida (Cursor '%s' opened without SQL set)",
+    "close": "Cursor '%s' fechado sem estar aberto (Cursor '%s' closed without being open)",
+    "test": "Cursor '%s' testado sem estar aberto (Cursor '%s' tested without being open)",
+    "next": "Cursor '%s': Proximo() sem cursor aberto (Cursor '%s': Proximo() without open cursor)",
+    "left": "Cursor '%s' não foi fechado (Cursor '%s' was never closed)",
+    "stuck": "Loop Enquanto com '%s.Achou' sem '%s.Proximo()' — possível loop infinito (While loop with '%s.Achou' without '%s.Proximo()' — possible infinite loop)",
+}
+
+# Each function with its least and most arguments, in the order of the language's catalogue.
 ARITY = [
-    ("abrir", 2, 2),
-    ("alfaparaint", 2, 2),
-    ("arredondarvalor", 2, 2),
-    ("busqtddiasmes", 3, 3),
-    ("calculadatarev", 6, 6),
-    ("cancel", 1, 1),
-    ("carregarcsvplataforma", 7, 7),
-    ("carregarrespostasporpergunta", 1, 1),
-    ("concatena", 3, 10),
-    ("conferirquadroefetivo", 5, 5),
-    ("contador", 3, 3),
-    ("convertecodificacaostring", 3, 3),
-    ("convertemascara", 4, 4),
-    ("copiaralfa", 3, 3),
-    ("dataextenso", 2, 2),
-    ("datahoje", 1, 1),
-    ("descitemlista", 3, 3),
-    ("desmontadata", 4, 4),
+    ("mensagem", 2, 2), ("mensagemlog", 1, 1), ("cancel", 1, 1),
+    ("datahoje", 1, 1), ("desmontadata", 4, 4), ("montadata", 4, 4), ("busqtddiasmes", 3, 3), ("retornamesdata", 2, 2),
+    ("retornaanodata", 2, 2), ("dataextenso", 2, 2),
+    ("intparaalfa", 2, 2), ("alfaparaint", 2, 2), ("trocastring", 4, 4), ("tamanhoalfa", 2, 2), ("lerposicaoalfa", 3, 3),
+    ("copiaralfa", 3, 3), ("convertecodificacaostring", 3, 3), ("retornaascii", 2, 2), ("formatar", 2, 2),
+    ("convertemascara", 4, 4), ("concatena", 3, 10), ("estanulo", 2, 2), ("arredondarvalor", 2, 2),
+    ("abrir", 2, 2), ("fechar", 1, 1), ("gravarnl", 2, 2), ("retornavalorcfg", 2, 2),
+    ("wcheckvalinteger", 5, 5), ("wcheckvalstring", 5, 5), ("wcheckvaldata", 4, 4), ("wcheckvaldouble", 5, 5),
+    ("wcheckvalcheckbox", 3, 3), ("retornanomecampofrmtevidencia", 4, 4),
+    ("getaccesstoken", 3, 3), ("carregarcsvplataforma", 7, 7),
+    ("retnivloc", 4, 4), ("retnumlocniv", 5, 5), ("retornacodloc", 2, 2), ("retcolabporcodusu", 4, 4),
+    ("conferirquadroefetivo", 5, 5), ("retornaconferenciaquaefe", 9, 9), ("calculadatarev", 6, 6),
+    ("retornalistaobjetivos", 1, 1), ("retornaperguntas", 1, 1), ("carregarrespostasporpergunta", 1, 1),
+    ("retornarespostasporpergunta", 1, 1),
+    ("descitemlista", 3, 3), ("listaquantidade", 3, 3), ("listaitem", 4, 4), ("montaabrangencia", 3, 3), ("contador", 3, 3),
     ("enviaemail", 8, 8),
-    ("estanulo", 2, 2),
-    ("fechar", 1, 1),
-    ("fluxobasico_adicionarcaixa", 4, 4),
-    ("fluxobasico_adicionarimagem", 4, 4),
-    ("fluxobasico_adicionaritem", 5, 5),
-    ("fluxobasico_adicionarlegenda", 2, 2),
-    ("fluxobasico_adicionarsecao", 3, 3),
-    ("fluxobasico_criar", 2, 2),
+    ("fluxobasico_criar", 2, 2), ("fluxobasico_adicionarsecao", 3, 3), ("fluxobasico_adicionarcaixa", 4, 4),
+    ("fluxobasico_adicionaritem", 5, 5), ("fluxobasico_adicionarimagem", 4, 4), ("fluxobasico_adicionarlegenda", 2, 2),
     ("fluxobasico_finalizar", 0, 0),
-    ("formatar", 2, 2),
-    ("gersolexa_adicionarexamelista", 9, 9),
-    ("gersolexa_consultarlistaexames", 5, 5),
+    ("gersolexa_consultarlistaexames", 5, 5), ("gersolexa_adicionarexamelista", 9, 9), ("gersolexa_removerexamelista", 0, 0),
     ("gersolexa_limparlistaexames", 0, 0),
-    ("gersolexa_removerexamelista", 0, 0),
-    ("getaccesstoken", 3, 3),
-    ("gravarnl", 2, 2),
-    ("intparaalfa", 2, 2),
-    ("lerposicaoalfa", 3, 3),
-    ("listaitem", 4, 4),
-    ("listaquantidade", 3, 3),
-    ("mensagem", 2, 2),
-    ("mensagemlog", 1, 1),
-    ("montaabrangencia", 3, 3),
-    ("montadata", 4, 4),
-    ("retcolabporcodusu", 4, 4),
-    ("retnivloc", 4, 4),
-    ("retnumlocniv", 5, 5),
-    ("retornaanodata", 2, 2),
-    ("retornaascii", 2, 2),
-    ("retornacodloc", 2, 2),
-    ("retornaconferenciaquaefe", 9, 9),
-    ("retornalistaobjetivos", 1, 1),
-    ("retornamesdata", 2, 2),
-    ("retornanomecampofrmtevidencia", 4, 4),
-    ("retornaperguntas", 1, 1),
-    ("retornarespostasporpergunta", 1, 1),
-    ("retornavalorcfg", 2, 2),
-    ("sql_abrircursor", 1, 1),
-    ("sql_criar", 1, 1),
-    ("sql_definiralfa", 3, 3),
-    ("sql_definircomando", 2, 2),
-    ("sql_definirdata", 3, 3),
-    ("sql_definirinteiro", 3, 3),
+    ("sql_criar", 1, 1), ("sql_definircomando", 2, 2), ("sql_definirinteiro", 3, 3), ("sql_definiralfa", 3, 3),
+    ("sql_definirdata", 3, 3), ("sql_abrircursor", 1, 1), ("sql_eof", 1, 1), ("sql_retornarinteiro", 3, 3),
+    ("sql_retornaralfa", 3, 3), ("sql_retornardata", 3, 3), ("sql_proximo", 1, 1), ("sql_fecharcursor", 1, 1),
     ("sql_destruir", 1, 1),
-    ("sql_eof", 1, 1),
-    ("sql_fecharcursor", 1, 1),
-    ("sql_proximo", 1, 1),
-    ("sql_retornaralfa", 3, 3),
-    ("sql_retornardata", 3, 3),
-    ("sql_retornarinteiro", 3, 3),
-    ("tamanhoalfa", 2, 2),
-    ("trocastring", 4, 4),
-    ("wcheckvalcheckbox", 3, 3),
-    ("wcheckvaldata", 4, 4),
-    ("wcheckvaldouble", 5, 5),
-    ("wcheckvalinteger", 5, 5),
-    ("wcheckvalstring", 5, 5),
 ]
 
 # Words allowed without a declaration.
@@ -266,7 +229,7 @@ def duplicate_declarations(parsed: DataFrame) -> DataFrame:
     later = named.withColumn("nth", F.row_number().over(_order("file", "k"))).filter("nth > 1")
     return _report(
         later,
-        F.format_string("Variável '%s' declarada mais de uma vez (Duplicate variable declaration '%s')", "name", "name"),
+        F.format_string(MESSAGES["twice"], "name", "name"),
     )
 
 
@@ -287,7 +250,7 @@ def undeclared(parsed: DataFrame) -> DataFrame:
 
     return _report(
         _picked(parsed, unknown),
-        F.format_string("Variável '%s' não declarada (Undeclared variable '%s')", "value", "value"),
+        F.format_string(MESSAGES["undeclared"], "value", "value"),
     )
 
 
@@ -329,12 +292,12 @@ def arity(parsed: DataFrame) -> DataFrame:
     message = F.when(
         ~F.col("args").between(F.col("lo"), F.col("hi")),
         F.format_string(
-            "Função '%s': esperados %s argumento(s), recebidos %s (Function '%s': expected %s args, got %s)",
+            MESSAGES["arity"],
             "value", expected, got, "value", expected, got,
         ),
     ).when(
         F.col("lo").isNull() & ~F.col("k").isin(UNCHECKED_CALLS) & ~F.array_contains("functions", F.col("k")),
-        F.format_string("Função '%s' desconhecida (Unknown function '%s')", "value", "value"),
+        F.format_string(MESSAGES["unknown"], "value", "value"),
     )
     return _report(known.withColumn("m", message).filter(F.col("m").isNotNull()), F.col("m"))
 
@@ -380,16 +343,9 @@ def cursor_lifecycle(parsed: DataFrame) -> DataFrame:
     ).filter("final = 'OPENED'").select(
         "file", "k", F.lit("left").alias("wrong"), *[F.lit(0).alias(c) for c in ("line", "start", "end")]
     )
-    texts = {
-        "open": "Cursor '%s' aberto sem SQL definida (Cursor '%s' opened without SQL set)",
-        "close": "Cursor '%s' fechado sem estar aberto (Cursor '%s' closed without being open)",
-        "test": "Cursor '%s' testado sem estar aberto (Cursor '%s' tested without being open)",
-        "next": "Cursor '%s': Proximo() sem cursor aberto (Cursor '%s': Proximo() without open cursor)",
-        "left": "Cursor '%s' não foi fechado (Cursor '%s' was never closed)",
-    }
     message = F
-    for key, text in texts.items():
-        message = message.when(F.col("wrong") == key, F.format_string(text, "cursor", "cursor"))
+    for key in ("open", "close", "test", "next", "left"):
+        message = message.when(F.col("wrong") == key, F.format_string(MESSAGES[key], "cursor", "cursor"))
     return _report(misuse.unionByName(final).join(_cursor_names(parsed), ["file", "k"]), message)
 
 
@@ -442,7 +398,7 @@ def loops_without_next(parsed: DataFrame) -> DataFrame:
     return _report(
         stuck,
         F.format_string(
-            "Loop Enquanto com '%s.Achou' sem '%s.Proximo()' — possível loop infinito (While loop with '%s.Achou' without '%s.Proximo()' — possible infinite loop)",
+            MESSAGES["stuck"],
             "name", "name", "name", "name",
         ),
     )

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.operators import rule_corpus as corpus
-from corpusops.operators import rules
+from corpusops.operators import rule_findings, rules
 from corpusops.plans.registry import query
-from corpusops.session import stored
 from corpusops.tables import documents, spread, table
 
 
@@ -210,9 +209,7 @@ _WARNINGS = """CASE pr WHEN '1' THEN 2 WHEN '2' THEN 1 WHEN '3' THEN 0 WHEN '4'
 SELECT count(*) AS files, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(warnings) AS BIGINT) AS warnings,
   count(*) FILTER (WHERE errors = 0) AS ok, count(*) FILTER (WHERE errors > 0) AS fail FROM p""")
 def rul_summary(spark: SparkSession, sf: str) -> DataFrame:
-    src = sources(spark, sf)
-    issues = rules.structure(src).unionByName(rules.semantic(rules.parse(stored(rules.scan(src), "tokens"))))
-    return rules.batch_summary(rules.summary(src, issues))
+    return rules.batch_summary(rule_findings.summary(rule_findings.findings(sources(spark, sf))))
 
 
 # tags of the same two forms, with words that occur in the given texts

@@ -1,9 +1,13 @@
 """Rule-source cases: what each source must and must not report."""
 
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpusops.operators import rules
+from corpusops.operators import rule_findings, rules
 from corpusops.operators import rules_text as rt
 from corpusops.plans import registry
 from corpusops.plans.rules import sources
@@ -156,3 +160,30 @@ def test_token_rows_give_back_every_source(spark, sf):
         assert lines == source.split("\n")
     kinds = {t["type"] for ts in got.values() for t in ts}
     assert {"keyword", "number", "operator", "punctuation", "comment", "identifier", "cursorMethod", "string"} <= kinds
+
+
+def relational(df):
+    return rules.structure(df).unionByName(rules.semantic(rules.parse(rules.scan(df))))
+
+
+def test_findings_of_one_pass_are_those_of_the_checks(spark):
+    """Sources thrown together from the words the checks look at, so that blocks, calls and cursors are broken in all ways."""
+    rnd = random.Random(17)
+    words = ["Definir Cursor cA;", "Definir Cursor CA;", "Definir cursor cB;", "Definir Numero nX;", "Definir Alfa", "Definir Funcao FnY(x);", "Funcao FnZ();", "Inicio", "Fim;", "Se (nX = 1)",
+             "Senao", "Enquanto (cA.Achou)", "Enquanto (cb.Achou)", "Enquanto (nX < 3 e 1 = 1 e 2 = 2 e cA.Achou)", "Enquanto", "cA.Achou", "cA.Proximo();", "cB.Proximo()",
+             'cA.SQL "SELECT 1";', "CA.AbrirCursor();", "cA.FecharCursor();", "cB.NaoAchou", "cC.AbrirCursor();", "Mensagem(Erro);", "Mensagem(Erro, (1, 2), nX);", "FnY(1", ")", "(", ",", "DataHoje();",
+             "nUnknown = 1;", "R034FUN.NumCad", "gersolexa_x", "\n", "\n", "@ note @", '"text"', "{", "}"]
+    rows = [(f"f{i:03d}", " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 45)))) for i in range(400)]
+    rows += [("sample", SAMPLE), ("empty", ""), ("null", None)]
+    df = spark.createDataFrame(rows, "file string, source string").repartition(4).cache()
+    got = rule_findings.findings(df).select("file", F.explode("findings").alias("f")).select("file", "f.*")
+    want = Counter(map(tuple, relational(df).collect()))
+    assert Counter(map(tuple, got.collect())) == want
+    assert len({re.sub("'[^']*'|[0-9-]+", "", w[2]) for w in want if w[1] == "warning"}) >= len(rules.MESSAGES)
+    per_file = {r.file: tuple(r)[1:] for r in rule_findings.summary(rule_findings.findings(df)).collect()}
+    assert per_file == {r.file: tuple(r)[1:] for r in rules.summary(df, relational(df)).collect()}
+
+
+def test_summary_reads_its_sources_once(spark, sf):
+    plan = registry.QUERIES["rul_summary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("LogicalRelation") <= 1
