@@ -50,20 +50,28 @@ def read_chunks(spark: SparkSession, root: str, domain: str) -> DataFrame | None
     return None if path is None else spark.read.schema(schemas.CHUNK).parquet(path)
 
 
+def embedded_last(chunks: DataFrame, order: str, embed_input: Column, provider: Provider | None) -> DataFrame:
+    """Last chunk of each key by ``order``, with its embedding; without a provider the deterministic one.
+
+    Equal keys are reduced first, so a text that repeats is embedded once.
+    """
+    last = merge.keep_last(chunks, order).withColumn("_input", embed_input)
+    if provider is None:
+        found = last.withColumn("embedding", embeddings.hash_embedding(F.col("_input")))
+    else:
+        found = embeddings.embed_rows(last, "_input", provider)
+    return found.drop("_input")
+
+
 def _merge(chunks: DataFrame, order: str, embed_input: Column, root: str, domain: str, full: bool, now: str,
            provider: Provider | None) -> None:
     """Last chunk of each key embedded and merged into the domain's next version.
 
     A full run leaves out the rows it has not seen, as ``drop_stale`` after ``upsert`` would, but needs the
-    batch once. Equal keys are reduced first, so a text that repeats is embedded once.
+    batch once.
     """
     spark = chunks.sparkSession
-    last = merge.keep_last(chunks, order).withColumn("_input", embed_input)
-    if provider is None:
-        embedded = last.withColumn("embedding", embeddings.hash_embedding(F.col("_input")))
-    else:
-        embedded = embeddings.embed_rows(last, "_input", provider)
-    batch = embedded.select(*[c for c in schemas.CHUNK.names if c not in ("created_at", "updated_at")])
+    batch = embedded_last(chunks, order, embed_input, provider).select(*[c for c in schemas.CHUNK.names if c not in ("created_at", "updated_at")])
     stamp = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     before = read_chunks(spark, root, domain)
     if before is None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.operators import evaluation as ev
-from corpusops.operators import ingest, merge
+from corpusops.operators import buckets, ingest, merge
 from corpusops.plans.evaluation import HITS, _METRICS, _hits, _round
 from corpusops.plans.ingest import doc_lines
 from corpusops.plans.models import as_models
@@ -135,8 +135,8 @@ def snk_chunks(spark: SparkSession, sf: str) -> DataFrame:
     root = _fresh(spark, "chunks")
     status = ingest.doc_status(doc_lines(documents(spark, sf)))
     batch = merge.keep_last(ingest.doc_chunks(status), "input_pos")
-    merge.write_version(spark, batch, root)
-    return spark.read.parquet(merge.current_path(spark, root)).select("domain", "content_hash", "chunk_id", "context")
+    buckets.merge_into(batch, root, F.current_timestamp())
+    return buckets.read(spark, root).select("domain", "content_hash", "chunk_id", "context")
 
 
 @query("snk_json_report", f"""{HITS}

@@ -2,14 +2,16 @@
 
 import hashlib
 import json
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusops.operators import chunking, ingest, merge, reindex, tagging
+from corpusops.operators import buckets, chunking, embeddings, ingest, merge, reindex, tagging
 from corpusops.operators.chunking import overlap_pieces
+from corpusops.operators.hybrid import Filters, hybrid_search
 from corpusops.plans import ingest as plans
 from corpusops.plans.ingest import doc_lines
 from corpusops.sources import files
@@ -136,11 +138,48 @@ def test_stream_takes_new_files_and_replays(spark, sf, tmp_path):
         ("2024-01-01", "2024-01-01"), ("2024-01-01", "2024-02-01"), ("2024-02-01", "2024-02-01")}
     once = second.filter("created_at = updated_at").count()
     # the same batch once more leaves the same table
-    merge_batch(spark, doc_lines(docs.filter("doc_id >= 50")), root, 1, "2024-02-01 00:00:00")
-    again = spark.read.parquet(merge.current_path(spark, root))
+    merge_batch(spark, doc_lines(docs.filter("doc_id >= 50")), root, "2024-02-01 00:00:00")
+    again = buckets.read(spark, root)
     assert again.count() == whole and again.filter("created_at = updated_at").count() == once
 
 
+def test_small_batch_leaves_other_buckets_alone(spark, sf, tmp_path):
+    docs, root = spark.read.parquet(f"{sf}/documents.parquet"), str(tmp_path / "table")
+    files_of = lambda: {str(p): p.stat().st_mtime_ns for p in Path(root).rglob("*.parquet")}
+    assert merge_batch(spark, doc_lines(docs.limit(0)), root, "2024-01-01 00:00:00") == [] and buckets.read(spark, root) is None
+    merge_batch(spark, doc_lines(docs), root, "2024-01-01 00:00:00", n_buckets=16)
+    before, rows = files_of(), {r.content_hash: r for r in buckets.read(spark, root).collect()}
+    one = doc_lines(docs.filter("length(text) > 300").orderBy("doc_id").limit(1))
+    (written,) = merge_batch(spark, one, root, "2024-03-01 00:00:00", n_buckets=99)  # a table keeps its number of buckets
+    after = files_of()
+    part = f"domain={written[0]}/bucket={written[1]}/"
+    assert {f for f in before if after.get(f) != before[f]} == {f for f in before if part in f} and len(before) > 4
+    assert {f for f in after if f not in before} == {f for f in after if part in f}
+    now = {r.content_hash: r for r in buckets.read(spark, root).collect()}
+    changed = [h for h in now if now[h].updated_at != rows[h].updated_at]
+    assert now.keys() == rows.keys() and len(changed) == 1 and str(now[changed[0]].updated_at)[:10] == "2024-03-01"
+    assert all(now[h].created_at == rows[h].created_at for h in now)
+
+
+def test_search_over_the_streamed_table(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    inbox, root = str(tmp_path / "in"), str(tmp_path / "table")
+    docs.write.parquet(inbox)
+    table = run_available(spark, doc_lines(spark.readStream.schema(docs.schema).parquet(inbox)), root, str(tmp_path / "progress"), "2024-01-01 00:00:00")
+    wanted = table.orderBy("chunk_id").first()
+    assert table.filter("embedding is null").count() == 0
+    found = hybrid_search(table, " ".join(wanted.text.split()[:3]), list(wanted.embedding), "docs", Filters(), 5).collect()
+    assert len(found) == 5 and found[0].chunk_id == wanted.chunk_id and found[0].vector_score == pytest.approx(1.0)
+
+
+def test_provider_embeds_a_batch(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    merge_batch(spark, doc_lines(docs), str(tmp_path / "a"), "2024-01-01 00:00:00")
+    merge_batch(spark, doc_lines(docs), str(tmp_path / "b"), "2024-01-01 00:00:00", embeddings.hash_provider())
+    a, b = ({r.chunk_id: r.embedding for r in buckets.read(spark, str(tmp_path / d)).collect()} for d in "ab")
+    assert a == b and len(a) > 10
+
+
 def test_later_file_wins(spark, tmp_path):
     text = "the same text in two files, long enough to be kept as a document chunk"
     (tmp_path / "a.jsonl").write_text(json.dumps({"chunk_id": "a", "text": text}) + "\n")
