@@ -55,46 +55,47 @@ def file_stem(path: Column) -> Column:
 
 
 def eligible_docs(chunks: DataFrame, min_text: int = 220) -> DataFrame:
-    """Rows a question can be made of, in reading order."""
-    rows = chunks.filter(
+    """Rows a question can be made of; ``docs_order`` is their reading order."""
+    return chunks.filter(
         (F.col("domain") == "docs")
         & (F.coalesce(F.col("source_url"), F.lit("")) != "")
         & (F.coalesce(F.col("title"), F.lit("")) != "")
         & (F.length("text") >= min_text)
     )
-    return rows.orderBy(
-        F.asc_nulls_last("context"), F.asc_nulls_last("product"), "source_url",
-        F.desc(F.length("text")), "chunk_id",
-    )
+
+
+def docs_order() -> list[Column]:
+    return [F.asc_nulls_last("context"), F.asc_nulls_last("product"), F.col("source_url"), F.desc(F.length("text")), F.col("chunk_id")]
 
 
 def eligible_sources(chunks: DataFrame, min_text: int = 180) -> DataFrame:
-    rows = chunks.filter(
+    return chunks.filter(
         (F.col("domain") == "lsp") & (F.coalesce(F.col("file_path"), F.lit("")) != "")
         & (F.length("text") >= min_text)
     )
-    return rows.orderBy(F.asc_nulls_last("module"), "file_path", F.desc(F.length("text")), "chunk_id")
 
 
-def round_robin(rows: DataFrame, group: Column, source: str, wanted: int, order: list[Column]) -> DataFrame:
-    """Up to ``wanted`` rows, one per group in turn, no source twice.
+def round_robin(rows: DataFrame, group: Column, source: str, wanted: int, order: list[Column], key: str = "chunk_id") -> DataFrame:
+    """Up to ``wanted`` rows, one per group in turn, no source twice. ``key`` names a row.
 
-    Sources are reduced by an aggregate; in a group only its first ``wanted`` rows can be
-    taken, so the rank window keeps that many per task before anything is shuffled.
+    Only keys and what they are ordered by are ranked; texts are fetched for the rows that are taken. Sources are
+    reduced by an aggregate; in a group only its first ``wanted`` rows can be taken, so the rank window
+    keeps that many per task before anything is shuffled.
     """
     wanted = min(MAX_QUERIES, wanted)
-    rest = [c for c in rows.columns if c != source]
-    first = rows.groupBy(source).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    one = first.select(source, "r.*").withColumn("grp", group)
-    turn = Window.partitionBy("grp").orderBy(*order, source)
+    by = [f"_by{i}" for i in range(len(order))]
+    keys = rows.select(source, key, group.alias("grp"), *[c.alias(n) for c, n in zip(order, by)])
+    first = keys.groupBy(source).agg(F.min_by(F.struct(key, "grp", *by), F.struct(*by, key)).alias("r")).select(source, "r.*")
+    turn = Window.partitionBy("grp").orderBy(*by, source)
     taken = (
-        one.withColumn("round", F.row_number().over(turn))
+        first.withColumn("round", F.row_number().over(turn))
         .filter(F.col("round") <= wanted)
         .orderBy("round", "grp")
         .limit(wanted)
     )
-    # at most MAX_QUERIES rows are left, so one task may number them
-    return taken.withColumn("n", F.row_number().over(Window.orderBy("round", "grp")))
+    # at most MAX_QUERIES rows are left, so one task may number them and every task may hold them
+    numbered = taken.withColumn("n", F.row_number().over(Window.orderBy("round", "grp"))).select(key, "grp", "round", "n")
+    return rows.join(F.broadcast(numbered), key)
 
 
 def priority(n: Column, wanted: int) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,40 +18,42 @@ def tree_paths(nodes: DataFrame, links: DataFrame, node: str, name: str, child:
     A node below several parents appears once per path; nodes on a cycle, below a missing
     parent or deeper than ``max_level`` do not appear.
 
-    Level by level: each level is written once and joined to the links for the next one, so the
-    plan does not grow with depth and the work ends at the deepest level there is. Parents with
-    very many children make the link side of a join skewed, never the level side, which is what
+    By pointer doubling: a walk is kept with its top, and a round hangs every open walk (one whose top is no root)
+    on the walks of its top, so the length of open walks doubles and a tree of depth d takes about log2(d) rounds.
+    Each round is written once, so the plan does not grow; an open walk longer than ``max_level`` is
+    dropped, which ends cycles. Parents with very many children make one side of a join skewed, which
     adaptive execution splits.
     """
     named = nodes.select(F.col(node).alias("node"), F.col(name).alias("name"))
     up = links.filter(F.col(child).isNotNull()).select(
         F.col(child).alias("node"), F.col(parent).alias("parent")
     )
-    edges = stored(up.filter(F.col("parent").isNotNull()).join(named, "node"), "edges")
-    roots = named.join(up.select("node"), "node", "left_anti")
-    level = stored(
-        roots.select(
-            "node", "name", F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"),
-            F.lit(0).alias("level"), F.col("name").alias("path"),
-            F.array(F.col("node").cast("string")).alias("chain"),
-        ),
-        "level",
+    edges = up.filter(F.col("parent").isNotNull()).join(named, "node")
+    roots = named.join(up.select("node"), "node", "left_anti").withColumn("parent", F.lit(None).cast(up.schema["parent"].dataType))
+    ids, names = F.array(F.col("node").cast("string")).alias("chain"), F.array("name").alias("names")
+    own = ["node", "name", "parent"]
+    walks = stored(
+        roots.select(*own, F.lit(0).alias("level"), F.col("parent").alias("top"), F.lit(False).alias("open"), ids, names)
+        .unionByName(edges.select(*own, F.lit(1).alias("level"), F.col("parent").alias("top"), F.lit(True).alias("open"), ids, names)),
+        "walks",
     )
-    levels = [level]
-    for depth in range(1, max_level + 1):
-        above = level.select(F.col("node").alias("parent"), F.col("path").alias("up_path"), F.col("chain").alias("up_chain"))
-        level = stored(
-            edges.join(above, "parent").select(
-                "node", "name", "parent", F.lit(depth).alias("level"),
-                F.concat_ws(" > ", "up_path", "name").alias("path"),
-                F.concat("up_chain", F.array(F.col("node").cast("string"))).alias("chain"),
-            ),
-            "level",
+    reach = 1
+    while reach <= max_level:
+        above = walks.select(
+            F.col("node").alias("_node"), F.col("level").alias("_level"), F.col("top").alias("_top"), F.col("open").alias("_open"),
+            F.col("chain").alias("_chain"), F.col("names").alias("_names"),
+        )
+        longer = walks.filter("open").join(above, F.col("top") == F.col("_node")).filter(F.col("level") + F.col("_level") <= max_level)
+        longer = longer.select(
+            *own, (F.col("level") + F.col("_level")).alias("level"), F.col("_top").alias("top"), F.col("_open").alias("open"),
+            F.concat("_chain", "chain").alias("chain"), F.concat("_names", "names").alias("names"),
         )
-        if level.isEmpty():
+        walks = stored(walks.filter(~F.col("open")).unionByName(longer), "walks")
+        reach *= 2
+        if walks.filter("open").isEmpty():
             break
-        levels.append(level)
-    return reduce(lambda a, b: a.unionByName(b), levels)
+    path = F.when(F.col("level") == 0, F.col("name")).otherwise(F.concat_ws(" > ", "names"))
+    return walks.filter(~F.col("open")).select(*own, "level", path.alias("path"), "chain")
 
 
 def ancestor_at(chain: Column, level: Column | int) -> Column:

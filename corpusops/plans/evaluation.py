@@ -137,7 +137,7 @@ def tokens_sql(x: str) -> str:
 SELECT CAST(doc_id AS VARCHAR) AS chunk_id, lang AS context, source AS product, CAST(length(text) AS BIGINT) AS n
 FROM documents WHERE length(text) >= 220""")
 def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return gold.eligible_docs(titled(spark, sf)).select(
+    return gold.eligible_docs(titled(spark, sf)).orderBy(*gold.docs_order()).select(
         "chunk_id", "context", "product", F.length("text").cast("long").alias("n")
     )
 

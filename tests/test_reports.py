@@ -10,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusops.functions import scalar as fn
-from corpusops.operators import bands, history, layout, modelkb, models, templates
+from corpusops.operators import bands, hierarchy, history, layout, modelkb, models, templates
 from corpusops.operators import evaluation as ev
 from corpusops.operators import golden as gold
 from corpusops.operators import requests as req
 from corpusops.operators import rule_corpus as corpus
 from corpusops.operators.hierarchy import tree_paths
+from corpusops.session import stored
 from corpusops.sources import files, sinks
 
 
@@ -152,6 +153,37 @@ def test_keyword_topk(spark, monkeypatch):
     assert models.keyword_topk(f.limit(0), q).count() == 0 and models.keyword_topk(f, q.limit(0)).count() == 0
 
 
+def test_deep_tree_in_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 nodes, a cycle, and a node on a cycle that also hangs on a root."""
+    rounds = []
+    monkeypatch.setattr(hierarchy, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    nodes = spark.createDataFrame([(i, f"n{i}") for i in range(1100)], "id int, name string")
+    links = [(i, i - 1) for i in range(1, 1000)] + [(1001, 1002), (1002, 1001), (1003, 1004), (1004, 1003), (1003, 0), (1005, None), (1006, 5000)]
+    links = spark.createDataFrame(links, "c int, p int")
+    got = {r.node: r for r in tree_paths(nodes, links, "id", "name", "c", "p", 999).filter("node < 1000").collect()}
+    assert len(rounds) == 11 and len(got) == 1000  # the first table and ten rounds
+    for i in (0, 1, 2, 511, 512, 999):
+        assert got[i].level == i and got[i].chain == [str(k) for k in range(i + 1)] and got[i].path == " > ".join(f"n{k}" for k in range(i + 1))
+    few = sorted((r.node, r.level, r.parent) for r in tree_paths(nodes, links, "id", "name", "c", "p", 5).filter("node < 10 or node > 1000 and node < 1007").collect())
+    assert few == [(0, 0, None), (1, 1, 0), (2, 2, 1), (3, 3, 2), (4, 4, 3), (5, 5, 4), (1003, 1, 0), (1003, 3, 1004), (1003, 5, 1004), (1004, 2, 1003), (1004, 4, 1003)]
+
+
+def test_picked_texts_are_not_aggregated(spark):
+    rows = spark.createDataFrame([(f"u{i // 3}", f"g{i % 4}", "t" * (i % 7 + 1), f"c{i:02d}") for i in range(60)], "url string, g string, text string, chunk_id string")
+    picked = gold.round_robin(rows, F.col("g"), "url", 10, [F.length("text") * -1, F.col("chunk_id")])
+    best = {}
+    for r in rows.collect():
+        best[r.url] = min(best.get(r.url, r), r, key=lambda x: (-len(x.text), x.chunk_id))
+    turns, want = {}, []
+    for r in sorted(best.values(), key=lambda x: (-len(x.text), x.chunk_id)):
+        turns[r.g] = turns.get(r.g, 0) + 1
+        want.append((turns[r.g], r.g, r.url, r.chunk_id))
+    assert [(r["round"], r.grp, r.url, r.chunk_id) for r in sorted(picked.collect(), key=lambda r: r.n)] == sorted(want)[:10]
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "text#" not in aggregate and "RangePartitioning" not in plan
+
+
 def test_scopes_of_any_length(spark):
     rnd = random.Random(3)
     ranges = {"short": [(1, 5), (8, 8)], "long": [(0, 10**12)], "low": [(-70, -3), (-1, 0)], "ends": [(-(2**61), -(2**40)), (2**40, 2**61)], "none": [(5, 4)], "null": [(None, 9)]}
