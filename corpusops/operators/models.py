@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.operators.substrings import containing
 from corpusops.session import stored
 
 TABLE_NAME = r"(?i)\b[RE]\d{3}\w+"
@@ -16,8 +17,11 @@ SQL_FRAGMENT = r"(?is)(?:SELECT|INSERT|UPDATE|DELETE|FROM|JOIN|WHERE).*?;"
 MAX_KEYWORD_EXAMPLES = 5
 SHOWN_CHARS = 3000
 SPACES = r"\s+"
-#: (file, word) and (request, word) rows that meet in one task.
-TILE_ROWS = 1 << 20
+SPACES_HERE = r"[ \t\n\x0b\f\r]+"  # the same, as Arrow writes it
+#: Bytes of text and (request, word) rows that meet in one task.
+TILE_BYTES, TILE_WORDS = 8 << 20, 1 << 20
+#: Entries of a table of words by files, and tokens written to it at once.
+TILE_ENTRIES, TOKENS_AT_ONCE = 1 << 24, 1 << 18
 
 # Scalar fields and child fields compared between two versions.
 DIFF_SCALARS = ["caption", "version", "orientation", "reportType", "formatReport"]
@@ -105,32 +109,27 @@ def keyword_topk(files: DataFrame, requests: DataFrame, limit: int = MAX_KEYWORD
     """Per request the files holding most of its words, ties by name; content cut for display.
 
     requests: request_id, text. Their words are split at white space, a repeated word counting again; a
-    file holds a word where it stands in its name or content, in lower case. A word holds no white space, so it
-    stands inside one of the file's tokens: words meet the distinct tokens by an index of pieces
-    (``substrings``), tokens meet the files by a join, and what is left is which file holds which word.
+    file holds a word where it stands in its name or content, in lower case.
 
-    Requests and files then meet in tiles of bounded size, which keep their best ``limit`` files per request, so
-    no (request, file) pairs travel. Files without a word are no result; of a request that starts or ends with
-    white space the empty word is in every file. A null text asks for nothing.
+    Files are dealt into blocks of bounded size and meet the requests there, so each text moves once and neither
+    (request, file) pairs nor (file, word) ones are rows; a tile keeps its best ``limit`` files per request.
+    Files without a word are no result; of a request that starts or ends with white space the empty word is in
+    every file. A null text asks for nothing.
     """
     limit = min(MAX_KEYWORD_EXAMPLES, limit)
     asked = stored(
         requests.select(F.col("request_id").cast("string").alias("request_id"), F.explode(F.split(F.lower("text"), SPACES, -1)).alias("word"))
         .groupBy("request_id", "word").agg(F.count(F.lit(1)).alias("n")), "asked"
     )
-    text = F.lower(F.concat_ws("\n", "name", "content"))
-    tokens = files.select("name", F.explode(F.array_distinct(F.split(text, SPACES, -1))).alias("token"))
-    words = stored(asked.select("word").where("word <> ''").distinct().withColumn("number", F.monotonically_increasing_id()), "words")
-    inside = stored(containing(stored(tokens.select("token").distinct(), "tokens"), words).select("token", "number"), "inside")
-    held = stored(tokens.join(inside.hint("shuffle_hash"), "token").select("name", "number").distinct(), "held")
-    scored = _scored_tiles(held, asked.join(words, "word").select("request_id", "number", "n"), limit)
+    texts = files.select("name", F.lower(F.concat_ws("\n", "name", "content")).alias("text"))
+    scored = _scored_tiles(texts, asked.where("word <> ''"), limit)
     empty = asked.where("word = ''").select("request_id", F.col("n").alias("always"))
     first = files.select("name").distinct().orderBy("name").limit(limit)  # stand in where no more files hold a word
     fillers = empty.crossJoin(F.broadcast(first)).select("request_id", "name", F.lit(0).cast("long").alias("score"))
     both = scored.unionByName(fillers).groupBy("request_id", "name").agg(F.max("score").alias("score"))
     both = both.join(empty, "request_id", "left").withColumn("score", F.col("score") + F.coalesce("always", F.lit(0)))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "name")
-    top = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    top = stored(both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit), "top")
     return files.select("name", "content").join(top, "name").select(
         "request_id", "rank", "name", "score",
         F.when(
@@ -140,43 +139,64 @@ def keyword_topk(files: DataFrame, requests: DataFrame, limit: int = MAX_KEYWORD
     )
 
 
-def _scored_tiles(held: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
-    """request_id, name, score: the best ``limit`` files per request and tile of about TILE_ROWS rows of either side."""
-    blocks, shares = (max(1, -(-rows.count() // TILE_ROWS)) for rows in (held, asked))
+def _scored_tiles(texts: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """request_id, name, score: the best ``limit`` files (name, text) per request (request_id, word, n), block and share."""
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    shares = max(1, -(-asked.count() // TILE_WORDS))
+    blocks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // TILE_BYTES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    cores = held.sparkSession.sparkContext.defaultParallelism
-    blocks = max(blocks, -(-cores // shares))
-    left = held.select("name", "number", dealt("name", blocks).alias("block"), every(shares).alias("share"))
-    right = asked.select("request_id", "number", "n", dealt("request_id", shares).alias("share"), every(blocks).alias("block"))
+    left = texts.select("name", "text", dealt("name", blocks).alias("block"), every(shares).alias("share"))
+    right = asked.select("request_id", "word", "n", dealt("request_id", shares).alias("share"), every(blocks).alias("block"))
 
     def tile(files: pa.Table, requests: pa.Table) -> pa.Table:
-        requests = requests.sort_by("request_id")
-        names, ids, words = (t[c].combine_chunks().dictionary_encode() for t, c in ((files, "name"), (requests, "request_id"), (requests, "number")))
-        order = pc.sort_indices(names.dictionary)  # files in the order of their names
-        place = np.empty(len(order), np.int64)
-        place[order.to_numpy()] = np.arange(len(order))
-        word = pc.index_in(files["number"], value_set=words.dictionary).combine_chunks()
-        known = word.is_valid().to_numpy(zero_copy_only=False)
-        word, file = pc.fill_null(word, 0).to_numpy()[known], place[names.indices.to_numpy()][known]
-        by_word = np.argsort(word, kind="stable")
-        file, starts = file[by_word], np.searchsorted(word[by_word], np.arange(len(words.dictionary) + 1))
-        codes, times = words.indices.to_numpy(), requests["n"].to_numpy()
-        bounds = np.searchsorted(ids.indices.to_numpy(), np.arange(len(ids.dictionary) + 1))
+        requests, files = requests.sort_by("request_id"), files.sort_by("name")  # ties go to the first name
+        ids, words = (requests[c].combine_chunks().dictionary_encode() for c in ("request_id", "word"))
+        asks = np.split(words.indices.to_numpy(), np.flatnonzero(np.diff(ids.indices.to_numpy())) + 1)
+        times = np.split(requests["n"].to_numpy(), np.cumsum([len(x) for x in asks])[:-1])
+        inside = _words_inside(words.dictionary.to_pylist())
+        step = max(1, TILE_ENTRIES // max(1, len(words.dictionary)))
         out: list[tuple[int, int, int]] = []
-        for q in range(len(ids.dictionary)):
-            own, n = codes[bounds[q] : bounds[q + 1]], times[bounds[q] : bounds[q + 1]]
-            holders = np.concatenate([file[starts[c] : starts[c + 1]] for c in own.tolist()])
-            score = np.bincount(holders, np.repeat(n, starts[own + 1] - starts[own]), len(order)).astype(np.int64)
-            best = np.argsort(-score, kind="stable")[:limit]
-            out += [(q, f, s) for f, s in zip(best.tolist(), score[best].tolist()) if s]
+        for at in range(0, len(files) if len(requests) else 0, step):
+            parts = pc.split_pattern_regex(files["text"].slice(at, step).combine_chunks(), SPACES_HERE)
+            tokens = pc.list_flatten(parts).dictionary_encode()
+            held = inside(tokens.dictionary.to_pylist())
+            lengths = np.array([len(x) for x in held], np.int64)
+            flat, first = np.array([w for x in held for w in x], np.int64), np.cumsum(lengths) - lengths
+            token, file = tokens.indices.to_numpy(), pc.list_parent_indices(parts).to_numpy()
+            has = np.zeros((len(words.dictionary), len(parts)), np.float32)
+            for a in range(0, len(token), TOKENS_AT_ONCE):
+                t, f = token[a : a + TOKENS_AT_ONCE], file[a : a + TOKENS_AT_ONCE]
+                n = lengths[t]
+                has[flat[np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(f, n)] = 1
+            for q, (own, n) in enumerate(zip(asks, times)):
+                score = (n.astype(np.float32) @ has[own]).astype(np.int64)
+                best = np.argsort(-score, kind="stable")[:limit]
+                out += [(q, at + f, s) for f, s in zip(best.tolist(), score[best].tolist()) if s]
         q, f, s = (pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [])))
-        return pa.table({"request_id": ids.dictionary.take(q), "name": names.dictionary.take(order).take(f), "score": s})
+        return pa.table({"request_id": ids.dictionary.take(q), "name": files["name"].take(f), "score": s})
 
     keys = ["block", "share"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "request_id string, name string, score long")
 
 
+def _words_inside(words: list[str]) -> Callable[[list[str]], list[list[int]]]:
+    """Finds the words (by number) inside tokens. A word holds no white space, so it stands inside one token, and the
+    words of a size are met by looking up the token's own pieces of that size."""
+    at = {w: i for i, w in enumerate(words)}
+    sizes: dict[int, set[str]] = {}
+    for w in words:
+        sizes.setdefault(len(w), set()).add(w)
+
+    def inside(tokens: list[str]) -> list[list[int]]:
+        return [
+            [at[p] for k, own in sizes.items() if k <= len(t) for p in own.intersection(t[i : i + k] for i in range(len(t) - k + 1))]
+            for t in tokens
+        ]
+
+    return inside
+
+
 def pick_examples(files: DataFrame, categories: list[str], defaults: list[str], limit: int) -> DataFrame:
     """The first file of each wanted category, then default files up to ``limit``."""
     wanted = F.filter(

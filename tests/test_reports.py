@@ -143,7 +143,7 @@ def test_keyword_topk(spark, monkeypatch):
     f = spark.createDataFrame(files, "name string, content string").repartition(3)
     q = spark.createDataFrame(asked, "request_id string, text string").repartition(2)
     for rows in (1 << 20, 50):
-        monkeypatch.setattr(models, "TILE_ROWS", rows)
+        monkeypatch.setattr(models, "TILE_WORDS", rows)
         found = models.keyword_topk(f, q).orderBy("request_id", "rank").collect()
         got = {}
         for r in found:
