@@ -1,12 +1,11 @@
-"""Removal of byte strings that an earlier document holds, by depth-limited radix passes over suffixes.
-
-The suffixes of all texts are ordered only as deep as the threshold, most significant digit first, and after each
-digit only suffixes in a group with more than one document go on. A digit is a fingerprint of some bytes: the
-exchange deals it by its leading bits and sorts it inside a part. The first digit is taken of few suffixes:
-of every window the one with the lowest fingerprint of DIGIT bytes, so equal windows agree on it. The second
-adds all the bytes that any window around that suffix can hold: where an earlier document has them too, all these
-windows repeat; where a digit has but one such surrounding, its first document holds no repeat there. The last
-one is the window itself, for the suffixes in between. Groups equal in it are the repeated windows.
+"""Removal of byte strings that an earlier document holds, by winnowed fingerprints in three rounds.
+
+Digits are fingerprints of some bytes, dealt by their leading bits and grouped inside a part; no suffix is ordered.
+Only what more than one document holds goes on to the next digit. The first digit is taken of few places: of every
+window the one with the lowest fingerprint of DIGIT bytes, so equal windows agree on it. The second adds all the
+bytes that any window around that place can hold: where an earlier document has them too, all these windows
+repeat; where a digit has but one such surrounding, its first document holds no repeat there. The last one is
+the window itself, for the places in between. Groups equal in it are the repeated windows.
 """
 
 from __future__ import annotations
