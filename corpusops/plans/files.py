@@ -79,12 +79,13 @@ SELECT '01-' || source || '_' || lang || doc_id || '.json' AS filename, CAST(len
   CAST(list_sum(list_transform(string_split(text, chr(10)), lambda l: len(list_filter(string_split(l, ' '), lambda w: w <> '')))) AS BIGINT) AS n_children
 FROM documents""")
 def src_models(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as models, some fifty to a file as one JSON array, read back file by file."""
     path = _fresh(spark, "models")
-    sinks.write_jsonl(as_models(documents(spark, sf)), path)
-    # written as one document per line, which the multi-line reader would take for one document
-    from corpusops import schemas
-
-    models = spark.read.schema(schemas.REPORT_MODEL).json(path)
+    models = as_models(documents(spark, sf))
+    per_file = F.pmod(F.xxhash64("filename"), F.lit(max(1, models.count() // 50)))
+    together = models.groupBy(per_file.alias("file")).agg(F.collect_list(F.struct(*models.columns)).alias("models"))
+    together.select(F.to_json("models").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    models = files.read_models(spark, path)
     children = F.aggregate("bands", F.lit(0), lambda a, b: a + F.size(b["children"]))
     return models.select(
         "filename", F.size("bands").cast("long").alias("n_bands"), children.cast("long").alias("n_children")

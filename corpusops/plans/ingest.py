@@ -100,8 +100,8 @@ def ing_metadata(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("ing_split_overlap", f"""
-WITH RECURSIVE t AS (SELECT doc_id, {CLEAN} AS t FROM documents),
+# pieces of every document, cut one after the other
+PIECES = f"""WITH RECURSIVE t AS (SELECT doc_id, {CLEAN} AS t FROM documents),
 src AS (SELECT doc_id, t, length(t) AS n FROM t WHERE length(t) > 0),
 cuts AS (
   SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS st, CAST(-1 AS BIGINT) AS en, CAST(0 AS BIGINT) AS nxt, t, n FROM src
@@ -119,7 +119,11 @@ cuts AS (
         nxt + length(regexp_extract(substring(t, nxt + 1, 1401), '^(?s:(.*)) ', 1)) AS sp
       FROM cuts WHERE nxt < n))
 ),
-pieces AS (SELECT doc_id, k, {trim_sql('substring(t, st + 1, en - st)')} AS piece FROM cuts WHERE k > 0)
+pieces AS (SELECT doc_id, k, {trim_sql('substring(t, st + 1, en - st)')} AS piece FROM cuts WHERE k > 0)"""
+
+
+@query("ing_split_overlap", f"""
+{PIECES}
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS piece_no,
        sha1(piece) AS piece_sha1, CAST(length(piece) AS BIGINT) AS n
 FROM pieces WHERE piece <> ''""")
@@ -180,7 +184,18 @@ def ing_signature_prefix(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("ing_line_spans")
+@query("ing_line_spans", f"""
+{PIECES},
+num AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS piece_no, len(string_split(piece, chr(10))) AS n FROM pieces WHERE piece <> ''),
+tot AS (SELECT doc_id, len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS total FROM documents),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS piece_no, CAST(0 AS BIGINT) AS line_start, CAST(0 AS BIGINT) AS line_end, CAST(1 AS BIGINT) AS nxt, total FROM tot
+  UNION ALL
+  SELECT doc_id, no, st, en, greatest(en - 6, st + 1), total
+  FROM (SELECT doc_id, num.piece_no AS no, nxt AS st, least(total, nxt + n - 1) AS en, total
+        FROM walk JOIN num USING (doc_id) WHERE num.piece_no = walk.piece_no + 1)
+)
+SELECT doc_id, CAST(piece_no AS INT) AS piece_no, CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end FROM walk WHERE piece_no > 0""")
 def ing_line_spans(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select(
         "doc_id", chunking.split_overlap(F.col("text")).alias("pieces"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.operators import modelkb as kb
 from corpusops.plans.registry import query
-from corpusops.session import stored
+from corpusops.session import scratch_dir, stored
+from corpusops.sources import files
 from corpusops.tables import spread, table
 
 
@@ -114,7 +117,10 @@ def kb_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src_dump", f"WITH {FIELDS} SELECT lower(tab) AS name, field, description FROM fields")
 def src_dump(spark: SparkSession, sf: str) -> DataFrame:
-    cells = kb.parse_dump(dump_lines(spark, sf))
+    """The dump is written as a text file and read back."""
+    path = f"{scratch_dir(spark)}/dump-{uuid.uuid4().hex}"
+    dump_lines(spark, sf).write.text(path)
+    cells = files.read_dump(spark, path)
     return cells.select(
         F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("field"),
         F.get("cells", F.lit(2)).alias("description"),

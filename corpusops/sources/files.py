@@ -132,10 +132,15 @@ def golden_queries(lines: DataFrame, domain: str = "all") -> DataFrame:
     Blank lines and ``#`` comments are passed over; so are lines without a query or with a
     domain that does not exist. A line that is not JSON fails the job. Queries without an id are
     called q1, q2, ... by their place among the queries kept.
+
+    The place is the column ``place`` (file, block, row) where lines have one, see ``read_golden``; other
+    lines are taken in the order of their frame.
     """
     text = trim_space(F.col("value"))
     is_query = (F.col("line") != "") & ~F.startswith("line", F.lit("#"))
-    said = lines.select(text.alias("line"), F.monotonically_increasing_id().alias("pos"))
+    row = F.monotonically_increasing_id()
+    own = F.struct(F.lit("").alias("file"), F.shiftrightunsigned(row, 33).alias("block"), row.alias("row"))
+    said = lines.select(text.alias("line"), (F.col("place") if "place" in lines.columns else own).alias("pos"))
     # the condition guards the parser itself: filters alone may be evaluated in any order
     as_row = F.from_json(F.when(is_query, F.col("line")), schemas.GOLDEN_LINE, {"mode": "FAILFAST"})
     parsed = said.filter(is_query).withColumn("q", as_row).select("pos", "q.*")
@@ -150,15 +155,14 @@ def golden_queries(lines: DataFrame, domain: str = "all") -> DataFrame:
     )
     if domain != "all":
         kept = kept.filter(F.col("domain") == domain)
-    # numbering: rows before the row's input partition, plus its place inside it
-    part = F.shiftrightunsigned("pos", 33)
-    counts = kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(
-        "part",
-        F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("pos"))
-    numbered = kept.withColumn("part", part).join(F.broadcast(before), "part").withColumn("no", F.col("before") + inside)
+    # numbering: rows in the blocks before the row's block, plus its place inside it; a block is read by one task
+    block = ["file", "block"]
+    placed = kept.withColumns({"file": F.col("pos.file"), "block": F.col("pos.block")})
+    counts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
+    running = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*block, F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("pos.row"))
+    numbered = placed.join(before, block).withColumn("no", F.col("before") + inside)
     top_k = F.least(F.lit(MAX_TOP_K), F.greatest(F.lit(1), F.coalesce(F.nullif("top_k", F.lit(0)), F.lit(GOLDEN_TOP_K))))
     return numbered.select(
         F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("q"), "no")).alias("query_id"),
@@ -173,8 +177,14 @@ def golden_queries(lines: DataFrame, domain: str = "all") -> DataFrame:
     )
 
 
-def read_golden(spark: SparkSession, path: str, domain: str = "all") -> DataFrame:
-    return golden_queries(spark.read.text(path), domain)
+def read_golden(spark: SparkSession, path: str | list[str], domain: str = "all") -> DataFrame:
+    """Golden queries of one or more files, numbered in path order whatever order Spark reads them in."""
+    lines = spark.read.text(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return golden_queries(lines.select("value", place.alias("place")), domain)
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None,

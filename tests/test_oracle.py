@@ -10,7 +10,7 @@ NAMES = sorted(queries())
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert sorted(set(registry.QUERIES) - set(registry.ORACLES)) == ["ing_line_spans"]
+    assert not set(registry.QUERIES) - set(registry.ORACLES)
 
 
 @pytest.mark.parametrize("name", NAMES)

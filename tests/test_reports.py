@@ -293,6 +293,24 @@ def test_golden_and_metrics(spark, tmp_path):
     assert "| overall | 4 | 3 |" in sinks.eval_markdown(ev.metrics_by_domain(hits))
 
 
+def test_golden_queries_of_several_files(spark, tmp_path):
+    """Numbered in path order, though Spark reads the larger file, named last, before the other; and across blocks."""
+    small = [json.dumps({"query": f"a{i}"}) for i in range(5)]
+    large = [json.dumps({"query": f"b{i}", "expected_signals": ["x" * 200]}) for i in range(400)]
+    for name, lines in (("1.jsonl", small), ("2.jsonl", large)):
+        (tmp_path / name).write_text("# head\n\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    want = [f"a{i}" for i in range(5)] + [f"b{i}" for i in range(400)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in (before, "16384"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            for path in (str(tmp_path), [str(tmp_path / "2.jsonl"), str(tmp_path / "1.jsonl")]):
+                got = {int(r["query_id"][1:]): r["query"] for r in files.read_golden(spark, path).collect()}
+                assert [got[i] for i in sorted(got)] == want and sorted(got) == list(range(1, 406))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_percentiles(spark):
     values = [5.0] * 30 + [float(i) for i in range(70)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
