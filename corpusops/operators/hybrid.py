@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusops.operators.lexical import BROADCAST_ROWS, text_topk, text_topk_batch
+from corpusops.operators.postings import WordIndex, index_matches
 from corpusops.operators.vector import vector_topk, vector_topk_batch
 
 DEFAULT_TOP_K = 8
@@ -140,19 +141,20 @@ def hybrid_search(chunks: DataFrame, query: str, query_vector: list[float] | Non
 def hybrid_search_batch(chunks: DataFrame, queries: DataFrame, dim: int, domain: str = "docs",
                         filters: Filters = Filters(), top_k: int | None = None, pool: int | None = None,
                         weight: tuple[float, float] | None = None,
-                        vectors: DataFrame | None = None) -> DataFrame:
+                        vectors: DataFrame | None = None, index: WordIndex | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, scores) for a table of queries (query_id, text, embedding).
 
-    ``chunks`` needs chunk_id and text, and embedding unless ``vectors`` are given. Texts and payloads are joined by the caller
-    once the ranking is down to top_k rows per query.
+    ``chunks`` needs chunk_id and text, and embedding unless ``vectors`` are given. With a stored word ``index`` of the
+    chunks no text is read. Texts and payloads are joined by the caller once the ranking is down to top_k rows per query.
     """
     k = clamp_top_k(top_k)
     size = pool_size(k, pool)
     wv, wt = weight or weights(domain)
     mine = chunks.filter(filters.predicate(domain))
     asked = queries.filter(F.trim("text") != "")
+    matched = None if index is None else index_matches(index, asked, mine)
     both = candidates(
-        vector_topk_batch(_vectors_of(mine, vectors), asked, size, dim), text_topk_batch(mine, asked, size)
+        vector_topk_batch(_vectors_of(mine, vectors), asked, size, dim), text_topk_batch(mine, asked, size, matched)
     )
     scored = merge_max(both, "query_id", "chunk_id").withColumn("score", _weighted(wv, wt))
     w = Window.partitionBy("query_id").orderBy(*_ranking())

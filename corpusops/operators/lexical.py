@@ -104,7 +104,7 @@ def _starts(tokens: Column, hits: Column, item: Column) -> Column:
     return F.transform(at, lambda h: h["p"])
 
 
-def _covers(occurrences: Column, n_items: Column) -> Column:
+def covers(occurrences: Column, n_items: Column) -> Column:
     """Sum over minimal covers; ``occurrences`` is sorted by position."""
     none = F.struct(F.lit(-1).alias("p"), F.lit(-1).alias("i"))
     start = F.struct(
@@ -155,7 +155,7 @@ def clause_score(tokens: Column, items: Column, forbidden: Column) -> Column:
             )
         )
         banned = F.exists(forbidden, lambda it: F.size(_starts(tokens, hits, it)) > 0)
-        return F.when(banned, 0.0).otherwise(_covers(occurrences, F.size(items)))
+        return F.when(banned, 0.0).otherwise(covers(occurrences, F.size(items)))
 
     return bind(
         F.concat(F.flatten(items), F.flatten(forbidden)),
@@ -257,13 +257,14 @@ def text_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def text_topk_batch(chunks: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
+def text_topk_batch(chunks: DataFrame, queries: DataFrame, pool: int, matched: DataFrame | None = None) -> DataFrame:
     """Best ``pool`` chunks of every query, zero scores filling up in chunk_id order.
 
-    At most ``pool`` fillers per query are ever needed and they are among the ``pool`` smallest
+    ``matched`` are the scores above zero where a stored word index has given them already. At most ``pool`` fillers per query are ever needed and they are among the ``pool`` smallest
     ids plus the matches, so they come from one list of ``pool`` ids, not from the corpus.
     """
-    matched = text_matches(chunks, queries)
+    if matched is None:
+        matched = text_matches(chunks, queries)
     first_ids = chunks.select("chunk_id").orderBy("chunk_id").limit(pool)
     listed = first_ids.agg(F.collect_list("chunk_id").alias("ids"))
     fillers = queries.select(

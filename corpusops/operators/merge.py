@@ -66,6 +66,12 @@ def _versions(spark: SparkSession, root: str) -> list[str]:
     )
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether the folder was written to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def _name(version: int) -> str:
     return f"v{version:012d}"
 

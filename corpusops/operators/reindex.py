@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusops import schemas
 from corpusops.functions.text import collapse_whitespace, once
-from corpusops.operators import chunking, embeddings, ingest, merge, tagging
+from corpusops.operators import chunking, embeddings, ingest, merge, postings, tagging
 from corpusops.operators.embeddings import Provider
 from corpusops.operators.tagging import TagRule
 from corpusops.session import stored
@@ -50,6 +50,25 @@ def read_chunks(spark: SparkSession, root: str, domain: str) -> DataFrame | None
     return None if path is None else spark.read.schema(schemas.CHUNK).parquet(path)
 
 
+def write_words(spark: SparkSession, root: str, domain: str) -> postings.WordIndex | None:
+    """Word index of the domain's newest version, beside it below ``root``; none where there is no version yet.
+
+    It is named after the version, so a search never meets the index of other rows: until this has run for a
+    new version, ``read_words`` gives none and the search reads the texts.
+    """
+    path = merge.current_path(spark, f"{root}/{domain}")
+    if path is None:
+        return None
+    return postings.write_index(read_chunks(spark, root, domain), f"{root}/{domain}-words/{path.rsplit('/', 1)[1]}")
+
+
+def read_words(spark: SparkSession, root: str, domain: str) -> postings.WordIndex | None:
+    """The word index of the domain's newest version, or none while it is not complete."""
+    path = merge.current_path(spark, f"{root}/{domain}")
+    place = None if path is None else f"{root}/{domain}-words/{path.rsplit('/', 1)[1]}"
+    return postings.read_index(spark, place) if place and merge.complete(spark, f"{place}/counts") else None
+
+
 def embedded_last(chunks: DataFrame, order: str, embed_input: Column, provider: Provider | None) -> DataFrame:
     """Last chunk of each key by ``order``, with its embedding; without a provider the deterministic one.
 

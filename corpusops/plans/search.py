@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.operators import catalog as cat
-from corpusops.operators import hybrid, lexical, vector
+from corpusops.operators import hybrid, lexical, postings, vector
 from corpusops.operators.embeddings import hash_embedding
 from corpusops.operators.hybrid import Filters
 from corpusops.plans.embeddings import hash_sql
 from corpusops.plans.registry import query
 from corpusops.plans.sqltext import CHUNKS, words_sql
+from corpusops.session import scratch_dir
 from corpusops.tables import chunk_vectors, chunk_view, table
 
 TEXT = "the that"
@@ -180,13 +183,25 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
 
 
+def _index(spark: SparkSession, sf: str) -> postings.WordIndex:
+    return postings.write_index(chunk_view(spark, sf), f"{scratch_dir(spark)}/words-{uuid.uuid4().hex}")
+
+
+@query("q_word_index", f"""
+WITH {CHUNKS}, w AS (SELECT chunk_id, unnest({words_sql('text')}) AS word FROM chunks)
+SELECT word, count(DISTINCT chunk_id) AS chunks, count(*) AS places FROM w GROUP BY word""")
+def q_word_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored word index of all chunks, as its words with their chunks and places."""
+    return postings.index_words(_index(spark, sf))
+
+
 def batch(spark: SparkSession, sf: str, top_k: int,
-          weight: tuple[float, float] | None = None) -> DataFrame:
+          weight: tuple[float, float] | None = None, index: postings.WordIndex | None = None) -> DataFrame:
     """All ``benchmark`` texts as queries, embedded with the default embedding."""
     asked = _asked(spark, sf).withColumn("embedding", hash_embedding(F.col("text"), DIM))
     return hybrid.hybrid_search_batch(
         chunk_view(spark, sf), asked, DIM, top_k=top_k, vectors=chunk_vectors(spark, sf),
-        weight=weight,
+        weight=weight, index=index,
     )
 
 
@@ -235,6 +250,16 @@ def q_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("q_batch_indexed", f"""{batch_sql(10)}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score, round(vector_score, 6) AS vector_score,
+       round(text_score, 6) AS text_score FROM res""")
+def q_batch_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """``q_batch`` with the text scores from a stored word index, which this query writes first."""
+    return _rounded(batch(spark, sf, 10, index=_index(spark, sf))).select(
+        "query_id", "rank", "chunk_id", "score", "vector_score", "text_score"
+    )
+
+
 @query("q_get_chunk", f"""WITH {CHUNKS} SELECT chunk_id, context, product, sha1(text) AS text_sha1 FROM chunks WHERE chunk_id = '17'""")
 def q_get_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return cat.get_chunk(chunk_view(spark, sf), "17").select(

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusops.operators import buckets, chunking, embeddings, ingest, merge, reindex, tagging
+from corpusops.operators import buckets, chunking, embeddings, ingest, lexical, merge, postings, reindex, tagging
 from corpusops.operators.chunking import overlap_pieces
 from corpusops.operators.hybrid import Filters, hybrid_search
 from corpusops.plans import ingest as plans
@@ -250,6 +250,22 @@ def test_reindex_writes_both_domains_and_keeps_errors_apart(spark, tmp_path):
         ("u3", "2024-01", "2024-01"), ("u9", "2024-01", "2024-03")]
 
 
+def test_word_index_follows_the_version(spark, tmp_path):
+    """The index of a version is not used for the next one; text search through it equals that over the texts."""
+    root, path = str(tmp_path / "kb"), tmp_path / "d.jsonl"
+    asked = spark.createDataFrame([("a", "text number"), ("b", '"number 7"')], "query_id string, text string")
+    assert reindex.write_words(spark, root, "docs") is None and reindex.read_words(spark, root, "docs") is None
+    for n in (5, 9):
+        path.write_text("\n".join(json.dumps({"source_url": f"u{i}", "text": f"text number {i} " + "x" * 80}) for i in range(n)), encoding="utf-8")
+        reindex.index_documents(files.read_doc_lines(spark, [str(path)]), root, True, "2024-01-01 00:00:00")
+        assert reindex.read_words(spark, root, "docs") is None
+        reindex.write_words(spark, root, "docs")
+        chunks = reindex.read_chunks(spark, root, "docs")
+        got = {tuple(r) for r in postings.index_matches(reindex.read_words(spark, root, "docs"), asked).collect()}
+        assert got == {tuple(r) for r in lexical.text_matches(chunks, asked).collect()}
+        assert len(got) == n + (n > 7)
+
+
 def test_reindex_query_runs_both_and_survives_one(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))

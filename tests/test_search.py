@@ -2,11 +2,13 @@
 
 import random
 import re
+from unittest import mock
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from corpusops.operators import hybrid, lexical, vector
+from corpusops.operators import hybrid, lexical, postings, vector
 from corpusops.operators.embeddings import hash_provider
 
 
@@ -56,6 +58,48 @@ def test_text_score_matches_brute_force(spark):
             assert abs(batch.get((q, c), 0.0) - want) < 1e-9, (q, c)
 
 
+def test_word_index_matches_brute_force(spark, tmp_path):
+    """Places of every word, and the same scores from the index as from the texts; null, empty and wordless texts too."""
+    docs = corpus()
+    texts = [(k, " ".join(v).title() + "!") for k, v in docs.items()] + [("n", None), ("e", ""), ("p", "... !"), ("u", "École 42 école")]
+    chunks = spark.createDataFrame(texts, "chunk_id string, text string").repartition(3)
+    index = postings.write_index(chunks, str(tmp_path / "index"))
+    got = {(r["word"], r["chunk_id"]): list(r["places"]) for r in index.words.collect()}
+    want = {}
+    for k, v in [*docs.items(), ("u", ["école", "42", "école"])]:
+        for i, w in enumerate(v):
+            want.setdefault((w, k), []).append(i)
+    assert got == want
+    counted = {r["word"]: r["chunks"] for r in index.counts.collect()}
+    assert counted == {w: sum(1 for x, _ in want if x == w) for w, _ in want}
+    extra = {"q6": ('"fox red fox" or -sun "moon moon"', [([["fox", "red", "fox"]], []), ([["moon", "moon"]], [["sun"]])]),
+             "q7": ("nosuchword fox", [([["nosuchword"], ["fox"]], [])]), "q8": ('fox -"red fox"', [([["fox"]], [["red", "fox"]])]),
+             "q9": ("-fox", [])}
+    every = {**QUERIES, **extra}
+    asked = spark.createDataFrame([(k, t) for k, (t, _) in every.items()], "query_id string, text string")
+    for named in (postings.NAMED_WORDS, 2):
+        with mock.patch.object(postings, "NAMED_WORDS", named):
+            found = {(r[0], r[1]): r[2] for r in postings.index_matches(index, asked).collect()}
+        scores = {(q, c): sum(brute_clause(t, i, f) for i, f in parsed) for q, (_, parsed) in every.items() for c, t in docs.items()}
+        assert found == pytest.approx({k: v for k, v in scores.items() if v > 0})
+    some = spark.createDataFrame([(f"c{i:03d}",) for i in range(0, 120, 3)], "chunk_id string")
+    fewer = {(r[0], r[1]) for r in postings.index_matches(index, asked, some).collect()}
+    assert fewer == {(q, c) for q, c in found if int(c[1:]) % 3 == 0}
+
+
+def test_word_index_opens_only_the_words_of_the_search(spark, tmp_path):
+    chunks = spark.range(2000).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("all w"), F.col("id")).alias("text"))
+    index = postings.write_index(chunks, str(tmp_path / "index"))
+    asked = spark.createDataFrame([("a", "w17"), ("b", "w17 all")], "query_id string, text string")
+    rows = postings._reader(spark.createDataFrame([("w17",)], "word string").withColumn("bucket", postings._bucket(F.col("word"))))(index.words)
+    assert len({r[0] for r in rows.select(F.input_file_name()).collect()}) == 1
+    plan = rows._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    assert [(r[0], r[1]) for r in postings.index_matches(index, asked).orderBy("query_id").collect()] == [("a", "17"), ("b", "17")]
+    none = postings.write_index(chunks.limit(0), str(tmp_path / "none"))
+    assert postings.index_matches(none, asked).count() == 0
+
+
 def test_query_terms(spark):
     asked = spark.createDataFrame([("a", 'Big "Red Fox" or -cat dog')], "query_id string, text string")
     got = {tuple(r)[1:] for r in lexical.query_terms(asked).collect()}
