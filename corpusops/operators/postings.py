@@ -1,9 +1,9 @@
 """A stored word index: where each word stands in each chunk, and the text search that reads it instead of the texts.
 
-The index is two Parquet tables below one folder. ``words`` holds one row per word and chunk with the word's
-places, ``counts`` one row per word with the number of chunks that hold it. Both are split into hash buckets
-of the word by folder, and their files into ranges of (word, chunk), so a search opens the buckets of its own words
-and skips the files' other ranges. A word that every chunk holds is many rows in many files, never one.
+The index is two Parquet tables below one folder. ``words`` holds, per word and stretch of chunks, the ids of the chunks that
+hold the word and its places in each; ``counts`` has one row per word with the number of chunks that hold it. Both are
+split by folder into hash buckets of the word, and sorted by word inside, so a search opens the buckets of its own words and
+skips the files' other ranges. A word that every chunk holds is many rows in many files, never one.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from corpusops.session import stored
 
 #: Folders the words are dealt into.
 BUCKETS = 64
+#: Words of text that are put together, and tasks whose rows of a bucket go to one file.
+STRETCH, TOGETHER = 1_000_000, 32
 #: Words of a search up to which they are also named to the reader, so that it skips row groups; beyond it the join alone selects.
 NAMED_WORDS = 1000
 #: Rarest words of a clause that a chunk must hold before its other words are looked at.
@@ -31,7 +34,7 @@ ANCHORS = 3
 
 @dataclass(frozen=True)
 class WordIndex:
-    words: DataFrame  # bucket, word, chunk_id, places
+    words: DataFrame  # bucket, word, stretch, chunks, ids, times, places
     counts: DataFrame  # bucket, word, chunks
 
 
@@ -39,58 +42,91 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk_id, word, places) from (chunk_id, words in order): words numbered by Arrow, a stable sort by (row, word)."""
-    for whole in batches:
-        found = whole.column("found")
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
-        # as many rows at a time as hold a million words, one at least
-        at = 0
-        while at < whole.num_rows:
-            seen = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, seen + 1_000_000, side="right")))
-            batch, at = whole.slice(at, to - at), to
-            lists = batch.column("found")
-            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-            if not len(row):
-                continue
-            flat = pc.list_flatten(lists).dictionary_encode()
-            code = flat.indices.to_numpy().astype(np.int64)
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-            key = row * len(flat.dictionary) + code
-            order = np.argsort(key, kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            places = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(order)].astype(np.int32)), pa.array(place[order].astype(np.int32)))
-            one = order[heads]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk_id").take(pa.array(row[one])), flat.dictionary.take(pa.array(code[one])), places],
-                names=["chunk_id", "word", "places"],
-            )
-
-
-def write_index(chunks: DataFrame, root: str) -> WordIndex:
+def _packed(most: int, together: int):
+    """Per word of at most ``most`` words of text: the chunks that hold it, how often each does, and the places.
+
+    Words are numbered by Arrow; a stable sort by (word, row) puts a word's chunks and places in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch = TaskContext.get().partitionId() // together
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column("found")), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                seen = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, seen + most, side="right")))
+                batch, at = whole.slice(at, to - at), to
+                lists = batch.column("found")
+                row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+                if not len(row):
+                    continue
+                flat = pc.list_flatten(lists).dictionary_encode()
+                code = flat.indices.to_numpy().astype(np.int64)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+                key = code * batch.num_rows + row
+                order = np.argsort(key, kind="stable")
+                heads = np.flatnonzero(np.diff(key[order], prepend=-1))  # of a word in a chunk
+                word = code[order[heads]]
+                begins = np.flatnonzero(np.diff(word, prepend=-1))  # of a word
+                bounds = np.append(begins, len(heads)).astype(np.int32)
+                ids = batch.column("chunk_id").take(pa.array(row[order[heads]]))
+                times = pa.array(np.diff(np.append(heads, len(order))).astype(np.int32))
+                in_places = np.append(heads[begins], len(order)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        flat.dictionary.take(pa.array(word[begins])), pa.array(np.full(len(begins), stretch, np.int32)),
+                        pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), ids),
+                        pa.ListArray.from_arrays(pa.array(bounds), times),
+                        pa.ListArray.from_arrays(pa.array(in_places), pa.array(place[order].astype(np.int32))),
+                    ],
+                    names=["word", "stretch", "chunks", "ids", "times", "places"],
+                )
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, chunk_id, places), one row per word and chunk, from the stored rows."""
+    for batch in batches:
+        ids, times, places = (batch.column(c) for c in ("ids", "times", "places"))
+        word = batch.column("word").take(pc.list_parent_indices(ids))
+        bounds = np.append(0, np.cumsum(pc.list_flatten(times).to_numpy())).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [word, pc.list_flatten(ids), pa.ListArray.from_arrays(pa.array(bounds), pc.list_flatten(places))],
+            names=["word", "chunk_id", "places"],
+        )
+
+
+def write_index(chunks: DataFrame, root: str, most: int = STRETCH, together: int = TOGETHER) -> WordIndex:
     """Index of ``chunks`` (chunk_id, text) below ``root``; chunk ids must not repeat. A null or empty text has no rows.
 
-    The words of a chunk are grouped inside its row. Rows are sorted into ranges of (bucket, word, chunk), which
-    cuts a frequent word between tasks. ``counts`` is made last, so an index with counts is complete.
+    The words of up to ``most`` words of text are put together inside a batch, so that a frequent word costs little more
+    than its places. Rows go to files by bucket and by the group of ``together`` tasks that made them: a frequent
+    word is cut between tasks, and a task that is run again gives each file the same rows. ``counts`` is written last,
+    so an index with counts is complete.
     """
     spark = chunks.sparkSession
     key = chunks.schema["chunk_id"].dataType.simpleString()
     cut = chunks.select("chunk_id", words(F.col("text")).alias("found"))
-    placed = cut.mapInArrow(_places, f"chunk_id {key}, word string, places array<int>")
-    rows = placed.select(_bucket(F.col("word")).alias("bucket"), "word", "chunk_id", "places")
-    ordered = rows.repartitionByRange("bucket", "word", "chunk_id").sortWithinPartitions("bucket", "word", "chunk_id")
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/words")
-    counted = spark.read.schema(ordered.schema).parquet(f"{root}/words").groupBy("bucket", "word").agg(F.count(F.lit(1)).alias("chunks"))
+    packed = cut.mapInArrow(_packed(most, together), f"word string, stretch int, chunks int, ids array<{key}>, times array<int>, places array<int>")
+    rows = packed.withColumn("bucket", _bucket(F.col("word"))).repartition("bucket", "stretch")
+    rows.sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/words")
+    counted = _stored_words(spark, root, key).groupBy("bucket", "word").agg(F.sum("chunks").alias("chunks"))
     counted.repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/counts")
     return read_index(spark, root, key)
 
 
+def _stored_words(spark: SparkSession, root: str, key: str) -> DataFrame:
+    layout = f"word string, stretch int, chunks int, ids array<{key}>, times array<int>, places array<int>, bucket int"
+    return spark.read.schema(layout).parquet(f"{root}/words")
+
+
 def read_index(spark: SparkSession, root: str, key: str = "string") -> WordIndex:
     """The index below ``root``; ``key`` is the type of its chunk ids."""
     return WordIndex(
-        spark.read.schema(f"word string, chunk_id {key}, places array<int>, bucket int").parquet(f"{root}/words"),
+        _stored_words(spark, root, key),
         spark.read.schema("word string, chunks bigint, bucket int").parquet(f"{root}/counts"),
     )
 
@@ -109,6 +145,12 @@ def _reader(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return pick
 
 
+def postings(rows: DataFrame) -> DataFrame:
+    """word, chunk_id and places of stored rows of an index, one row per word and chunk."""
+    key = rows.schema["ids"].dataType.elementType.simpleString()
+    return rows.select("word", "ids", "times", "places").mapInArrow(_unpacked, f"word string, chunk_id {key}, places array<int>")
+
+
 def _starts(places: Column, item: Column) -> Column:
     """Places where the item's words stand next to each other, from the places of each word."""
     def of(word: Column, back: Column) -> Column:
@@ -158,7 +200,7 @@ def index_matches(index: WordIndex, queries: DataFrame, among: DataFrame | None
     anchors = rarest.where(F.get("rarest", F.lit(0))["chunks"] > 0).select(
         "query_id", "clause", F.explode("rarest.word").alias("word"), F.size("rarest").alias("n_anchors"), "n_words"
     )
-    rows = pick(index.words).select("word", "chunk_id", "places")
+    rows = postings(pick(index.words))
     found = (
         rows.select("word", "chunk_id").join(anchors, "word")
         .groupBy("query_id", "clause", "chunk_id").agg(F.count(F.lit(1)).alias("got"), F.first("n_anchors").alias("n_anchors"), F.first("n_words").alias("n_words"))
@@ -181,5 +223,5 @@ def index_matches(index: WordIndex, queries: DataFrame, among: DataFrame | None
 def index_words(index: WordIndex) -> DataFrame:
     """word, chunks, places: in how many chunks a word stands and how often in all."""
     return index.words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.size("places").cast("long")).alias("places")
+        F.sum("chunks").alias("chunks"), F.sum(F.size("places").cast("long")).alias("places")
     )

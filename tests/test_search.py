@@ -59,17 +59,20 @@ def test_text_score_matches_brute_force(spark):
 
 
 def test_word_index_matches_brute_force(spark, tmp_path):
-    """Places of every word, and the same scores from the index as from the texts; null, empty and wordless texts too."""
+    """Places of every word, and the same scores from the index as from the texts; null, empty and wordless texts too.
+
+    A stretch of 40 words and one task a file, so that words stand in many rows and files."""
     docs = corpus()
     texts = [(k, " ".join(v).title() + "!") for k, v in docs.items()] + [("n", None), ("e", ""), ("p", "... !"), ("u", "École 42 école")]
     chunks = spark.createDataFrame(texts, "chunk_id string, text string").repartition(3)
-    index = postings.write_index(chunks, str(tmp_path / "index"))
-    got = {(r["word"], r["chunk_id"]): list(r["places"]) for r in index.words.collect()}
+    index = postings.write_index(chunks, str(tmp_path / "index"), 40, 1)
+    got = {(r["word"], r["chunk_id"]): list(r["places"]) for r in postings.postings(index.words).collect()}
     want = {}
     for k, v in [*docs.items(), ("u", ["école", "42", "école"])]:
         for i, w in enumerate(v):
             want.setdefault((w, k), []).append(i)
     assert got == want
+    assert index.words.where("word = 'fox'").count() > 3
     counted = {r["word"]: r["chunks"] for r in index.counts.collect()}
     assert counted == {w: sum(1 for x, _ in want if x == w) for w, _ in want}
     extra = {"q6": ('"fox red fox" or -sun "moon moon"', [([["fox", "red", "fox"]], []), ([["moon", "moon"]], [["sun"]])]),
