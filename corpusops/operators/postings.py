@@ -1,20 +1,19 @@
 """A stored word index: where each word stands in each chunk, and the text search that reads it instead of the texts.
 
 The index is two Parquet tables below one folder. ``words`` holds, per word and stretch of chunks, the ids of the chunks that
-hold the word and its places in each; ``counts`` has one row per word with the number of chunks that hold it. Both are
-split by folder into hash buckets of the word, and sorted by word inside, so a search opens the buckets of its own words and
-skips the files' other ranges. A word that every chunk holds is many rows in many files, never one.
+hold the word and its places in each; each task writes the words of its own chunks into one file, sorted, and nothing
+is shuffled. ``counts`` has one row per word with the number of chunks that hold it. A search skips, by the files' own
+ranges, all that lies between its words. A word that every chunk holds is in every file, so it is spread like the chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +21,8 @@ from corpusops.functions.text import bind, words
 from corpusops.operators.lexical import BROADCAST_ROWS, clauses, covers
 from corpusops.session import stored
 
-#: Folders the words are dealt into.
-BUCKETS = 64
-#: Words of text that are put together, and tasks whose rows of a bucket go to one file.
-STRETCH, TOGETHER = 1_000_000, 32
+#: Words of text that are put together.
+STRETCH = 1_000_000
 #: Words of a search up to which they are also named to the reader, so that it skips row groups; beyond it the join alone selects.
 NAMED_WORDS = 1000
 #: Rarest words of a clause that a chunk must hold before its other words are looked at.
@@ -34,22 +31,17 @@ ANCHORS = 3
 
 @dataclass(frozen=True)
 class WordIndex:
-    words: DataFrame  # bucket, word, stretch, chunks, ids, times, places
-    counts: DataFrame  # bucket, word, chunks
+    words: DataFrame  # word, chunks, ids, times, places
+    counts: DataFrame  # word, chunks
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
-def _packed(most: int, together: int):
+def _packed(most: int):
     """Per word of at most ``most`` words of text: the chunks that hold it, how often each does, and the places.
 
     Words are numbered by Arrow; a stable sort by (word, row) puts a word's chunks and places in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch = TaskContext.get().partitionId() // together
         for whole in batches:
             ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column("found")), 0).to_numpy(zero_copy_only=False))
             at = 0
@@ -76,12 +68,12 @@ def _packed(most: int, together: int):
                 in_places = np.append(heads[begins], len(order)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        flat.dictionary.take(pa.array(word[begins])), pa.array(np.full(len(begins), stretch, np.int32)),
+                        flat.dictionary.take(pa.array(word[begins])),
                         pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), ids),
                         pa.ListArray.from_arrays(pa.array(bounds), times),
                         pa.ListArray.from_arrays(pa.array(in_places), pa.array(place[order].astype(np.int32))),
                     ],
-                    names=["word", "stretch", "chunks", "ids", "times", "places"],
+                    names=["word", "chunks", "ids", "times", "places"],
                 )
 
     return run
@@ -99,27 +91,25 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def write_index(chunks: DataFrame, root: str, most: int = STRETCH, together: int = TOGETHER) -> WordIndex:
+def write_index(chunks: DataFrame, root: str, most: int = STRETCH) -> WordIndex:
     """Index of ``chunks`` (chunk_id, text) below ``root``; chunk ids must not repeat. A null or empty text has no rows.
 
     The words of up to ``most`` words of text are put together inside a batch, so that a frequent word costs little more
-    than its places. Rows go to files by bucket and by the group of ``together`` tasks that made them: a frequent
-    word is cut between tasks, and a task that is run again gives each file the same rows. ``counts`` is written last,
-    so an index with counts is complete.
+    than its places. A task's file depends on its own chunks only, so a task that is run again replaces what it wrote.
+    ``counts`` is written last, so an index with counts is complete.
     """
     spark = chunks.sparkSession
     key = chunks.schema["chunk_id"].dataType.simpleString()
     cut = chunks.select("chunk_id", words(F.col("text")).alias("found"))
-    packed = cut.mapInArrow(_packed(most, together), f"word string, stretch int, chunks int, ids array<{key}>, times array<int>, places array<int>")
-    rows = packed.withColumn("bucket", _bucket(F.col("word"))).repartition("bucket", "stretch")
-    rows.sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/words")
-    counted = _stored_words(spark, root, key).groupBy("bucket", "word").agg(F.sum("chunks").alias("chunks"))
-    counted.repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/counts")
+    packed = cut.mapInArrow(_packed(most), f"word string, chunks int, ids array<{key}>, times array<int>, places array<int>")
+    packed.sortWithinPartitions("word").write.mode("overwrite").parquet(f"{root}/words")
+    counted = _stored_words(spark, root, key).groupBy("word").agg(F.sum("chunks").alias("chunks"))
+    counted.sortWithinPartitions("word").write.mode("overwrite").parquet(f"{root}/counts")
     return read_index(spark, root, key)
 
 
 def _stored_words(spark: SparkSession, root: str, key: str) -> DataFrame:
-    layout = f"word string, stretch int, chunks int, ids array<{key}>, times array<int>, places array<int>, bucket int"
+    layout = f"word string, chunks int, ids array<{key}>, times array<int>, places array<int>"
     return spark.read.schema(layout).parquet(f"{root}/words")
 
 
@@ -127,22 +117,16 @@ def read_index(spark: SparkSession, root: str, key: str = "string") -> WordIndex
     """The index below ``root``; ``key`` is the type of its chunk ids."""
     return WordIndex(
         _stored_words(spark, root, key),
-        spark.read.schema("word string, chunks bigint, bucket int").parquet(f"{root}/counts"),
+        spark.read.schema("word string, chunks bigint").parquet(f"{root}/counts"),
     )
 
 
-def _reader(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Picks the rows of the asked words (bucket, word) from a table of the index; only their buckets are opened."""
+def _of(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the asked words (word) in a table of the index."""
     few = [r[0] for r in asked.select("word").distinct().limit(NAMED_WORDS + 1).collect()]
-    buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
-
-    def pick(table: DataFrame) -> DataFrame:
-        here = table.where(F.col("bucket").isin(buckets))
-        if len(few) <= NAMED_WORDS:
-            return here.where(F.col("word").isin(few))
-        return here.join(asked.select("bucket", "word").distinct(), ["bucket", "word"], "left_semi")
-
-    return pick
+    if len(few) <= NAMED_WORDS:
+        return table.where(F.col("word").isin(few))
+    return table.join(asked.select("word").distinct(), "word", "left_semi")
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -190,25 +174,27 @@ def index_matches(index: WordIndex, queries: DataFrame, among: DataFrame | None
         "query_id", "clause",
         F.explode(F.concat(F.transform(needed, lambda w: F.struct(w.alias("word"), F.lit(True).alias("need"))),
                            F.transform(banned, lambda w: F.struct(w.alias("word"), F.lit(False).alias("need"))))).alias("t"),
-    ).select("query_id", "clause", "t.word", "t.need", _bucket(F.col("t.word")).alias("bucket"))
-    pick = _reader(asked)
-    known = asked.join(pick(index.counts).select("word", "chunks"), "word", "left")
+    ).select("query_id", "clause", "t.word", "t.need")
+    known = asked.join(_of(index.counts, asked), "word", "left")
     by_count = F.struct(F.coalesce("chunks", F.lit(0)).alias("chunks"), "word")
     rarest = known.where("need").groupBy("query_id", "clause").agg(
         F.slice(F.sort_array(F.collect_list(by_count)), 1, ANCHORS).alias("rarest"), F.count(F.lit(1)).alias("n_words")
     )
-    anchors = rarest.where(F.get("rarest", F.lit(0))["chunks"] > 0).select(
-        "query_id", "clause", F.explode("rarest.word").alias("word"), F.size("rarest").alias("n_anchors"), "n_words"
+    anchors = stored(
+        rarest.where(F.get("rarest", F.lit(0))["chunks"] > 0).select(
+            "query_id", "clause", F.explode("rarest.word").alias("word"), F.size("rarest").alias("n_anchors"), "n_words"
+        ),
+        "anchors",
     )
-    rows = postings(pick(index.words))
     found = (
-        rows.select("word", "chunk_id").join(anchors, "word")
+        postings(_of(index.words, anchors)).select("word", "chunk_id").join(anchors, "word")
         .groupBy("query_id", "clause", "chunk_id").agg(F.count(F.lit(1)).alias("got"), F.first("n_anchors").alias("n_anchors"), F.first("n_words").alias("n_words"))
         .where("got = n_anchors").drop("got", "n_anchors")
     )
     if among is not None:
         found = found.join(among.select("chunk_id"), "chunk_id", "left_semi")
     wants = stored(found.join(asked.select("query_id", "clause", "word", "need"), ["query_id", "clause"]), "wants")
+    rows = postings(_of(index.words, wants))
     meeting = rows.join(F.broadcast(wants) if wants.count() <= BROADCAST_ROWS else wants, ["word", "chunk_id"])
     together = meeting.groupBy("query_id", "clause", "chunk_id").agg(
         F.count_if("need").alias("got"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("word", "places")).alias("found")

@@ -61,11 +61,11 @@ def test_text_score_matches_brute_force(spark):
 def test_word_index_matches_brute_force(spark, tmp_path):
     """Places of every word, and the same scores from the index as from the texts; null, empty and wordless texts too.
 
-    A stretch of 40 words and one task a file, so that words stand in many rows and files."""
+    A stretch of 40 words, so that words stand in many rows."""
     docs = corpus()
     texts = [(k, " ".join(v).title() + "!") for k, v in docs.items()] + [("n", None), ("e", ""), ("p", "... !"), ("u", "École 42 école")]
     chunks = spark.createDataFrame(texts, "chunk_id string, text string").repartition(3)
-    index = postings.write_index(chunks, str(tmp_path / "index"), 40, 1)
+    index = postings.write_index(chunks, str(tmp_path / "index"), 40)
     got = {(r["word"], r["chunk_id"]): list(r["places"]) for r in postings.postings(index.words).collect()}
     want = {}
     for k, v in [*docs.items(), ("u", ["école", "42", "école"])]:
@@ -94,10 +94,8 @@ def test_word_index_opens_only_the_words_of_the_search(spark, tmp_path):
     chunks = spark.range(2000).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("all w"), F.col("id")).alias("text"))
     index = postings.write_index(chunks, str(tmp_path / "index"))
     asked = spark.createDataFrame([("a", "w17"), ("b", "w17 all")], "query_id string, text string")
-    rows = postings._reader(spark.createDataFrame([("w17",)], "word string").withColumn("bucket", postings._bucket(F.col("word"))))(index.words)
-    assert len({r[0] for r in rows.select(F.input_file_name()).collect()}) == 1
-    plan = rows._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    rows = postings._of(index.words, spark.createDataFrame([("w17",)], "word string"))
+    assert "PushedFilters: [IsNotNull(word), EqualTo(word,w17)]" in rows._jdf.queryExecution().toString()
     assert [(r[0], r[1]) for r in postings.index_matches(index, asked).orderBy("query_id").collect()] == [("a", "17"), ("b", "17")]
     none = postings.write_index(chunks.limit(0), str(tmp_path / "none"))
     assert postings.index_matches(none, asked).count() == 0
