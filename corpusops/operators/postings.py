@@ -122,11 +122,12 @@ def read_index(spark: SparkSession, root: str, key: str = "string") -> WordIndex
 
 
 def _of(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows of the asked words (word) in a table of the index."""
-    few = [r[0] for r in asked.select("word").distinct().limit(NAMED_WORDS + 1).collect()]
+    """Rows of the asked words (word) in a table of the index, which is not shuffled while the words are few."""
+    distinct = asked.select("word").distinct()
+    few = [r[0] for r in distinct.limit(NAMED_WORDS + 1).collect()]
     if len(few) <= NAMED_WORDS:
         return table.where(F.col("word").isin(few))
-    return table.join(asked.select("word").distinct(), "word", "left_semi")
+    return table.join(F.broadcast(distinct) if distinct.count() <= BROADCAST_ROWS else distinct, "word", "left_semi")
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -159,9 +160,9 @@ def index_matches(index: WordIndex, queries: DataFrame, among: DataFrame | None
     """(query_id, chunk_id, text_score) of every chunk that scores above zero, as ``text_matches`` gives, without any text.
 
     A clause is looked up by its rarest words, ANCHORS at most. The chunks that hold these, and that ``among`` (chunk_id)
-    holds if given, are written down and met with the rows of all the clause's words by (word, chunk): by broadcast while
-    they are few, else by a join in which a frequent word is spread over all tasks. What is put together in one place is one
-    chunk's places of one clause's words.
+    holds if given, are written down and met with the rows of all the clause's words by (word, chunk), so a frequent word is
+    spread over all tasks; while the chunks are few, rows of others go before that. What is put together in one place is
+    one chunk's places of one clause's words.
     """
     wanted = stored(
         queries.select(F.col("query_id").cast("string").alias("query_id"), F.explode(clauses(F.col("text"))).alias("c"))
@@ -193,9 +194,12 @@ def index_matches(index: WordIndex, queries: DataFrame, among: DataFrame | None
     )
     if among is not None:
         found = found.join(among.select("chunk_id"), "chunk_id", "left_semi")
-    wants = stored(found.join(asked.select("query_id", "clause", "word", "need"), ["query_id", "clause"]), "wants")
-    rows = postings(_of(index.words, wants))
-    meeting = rows.join(F.broadcast(wants) if wants.count() <= BROADCAST_ROWS else wants, ["word", "chunk_id"])
+    candidates = stored(found, "candidates")
+    rows = postings(_of(index.words, asked))
+    if candidates.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(candidates.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    wants = candidates.join(asked.select("query_id", "clause", "word", "need"), ["query_id", "clause"])
+    meeting = rows.join(wants, ["word", "chunk_id"])
     together = meeting.groupBy("query_id", "clause", "chunk_id").agg(
         F.count_if("need").alias("got"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("word", "places")).alias("found")
     ).where("got = n_words")

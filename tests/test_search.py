@@ -80,8 +80,8 @@ def test_word_index_matches_brute_force(spark, tmp_path):
              "q9": ("-fox", [])}
     every = {**QUERIES, **extra}
     asked = spark.createDataFrame([(k, t) for k, (t, _) in every.items()], "query_id string, text string")
-    for named in (postings.NAMED_WORDS, 2):
-        with mock.patch.object(postings, "NAMED_WORDS", named):
+    for named, few in ((postings.NAMED_WORDS, postings.BROADCAST_ROWS), (2, 3)):
+        with mock.patch.multiple(postings, NAMED_WORDS=named, BROADCAST_ROWS=few):
             found = {(r[0], r[1]): r[2] for r in postings.index_matches(index, asked).collect()}
         scores = {(q, c): sum(brute_clause(t, i, f) for i, f in parsed) for q, (_, parsed) in every.items() for c, t in docs.items()}
         assert found == pytest.approx({k: v for k, v in scores.items() if v > 0})
