@@ -403,3 +403,15 @@ def test_last_field_line_wins(spark):
 def test_fold_takes_off_any_accent(spark):
     df = spark.createDataFrame([("Škoda Função ÇÃO",)], "t string")
     assert df.select(gold.fold(F.col("t"))).first()[0] == "skoda funcao cao"
+
+
+def test_details_of_another_key_are_met_through_links(spark):
+    """The rows are those of the join by the master's own key, repeated and null keys among them; they are not shuffled."""
+    master = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b2"), (3, "c"), (None, "n")], "k int, name string")
+    links = spark.createDataFrame([(1, 10), (2, 10), (2, 20), (3, None), (None, 10)], "k int, area int")
+    detail = spark.createDataFrame([(10, "x"), (10, "y"), (20, "z"), (None, "w")], "area int, item string")
+    plain = bands.multi_detail(master, "k", {"items": links.join(detail, "area").drop("area")})
+    linked = bands.multi_detail(master, "k", {"items": F.broadcast(detail)}, {"items": (links, "area")})
+    assert sorted(map(str, linked.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) and plain.count() == 8
+    tree = linked._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM" in tree and "area" in tree.split("REPARTITION_BY_NUM")[0]  # the detail is met after the last shuffle
