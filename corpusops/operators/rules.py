@@ -87,8 +87,13 @@ _PLACE = {"line": pa.int32(), "start": pa.int32(), "end": pa.int32()}
 def _scan(source: str) -> Column:
     @F.arrow_udf(TOKEN)
     def scan(texts: pa.Array) -> pa.Array:
-        found = [[(n, *x) for n, x in enumerate(rt.tokens(t or ""))] for t in texts.to_pylist()]
-        return _arrays(found, {"n": pa.int32(), "type": pa.string(), "value": pa.string(), **_PLACE})
+        found = rt.Columns()
+        offsets = np.array([0, *[found.add(t or "") for t in texts.to_pylist()]], np.int32)
+        n = np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets))
+        words = [pa.array(c, pa.string()) for c in (found.types, found.values)]
+        places = [pa.array(np.array(c, np.int32)) for c in (found.lines, found.starts, found.ends)]
+        parts = pa.StructArray.from_arrays([pa.array(n), *words, *places], names=["n", "type", "value", "line", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(offsets), parts)
 
     return scan(source)
 
@@ -99,8 +104,12 @@ def scan(sources: DataFrame) -> DataFrame:
 
 
 def tokenize(scanned: DataFrame) -> DataFrame:
-    """file, n, type, value, line, start, end."""
-    return scanned.select("file", F.explode("ts").alias("t")).select("file", "t.*")
+    """file, n, type, value, line, start, end.
+
+    Of an explode Spark asks first for the rows whose list holds something, and reads every source a second time for
+    it, before the rows are dealt to the cores; of an outer one it does not.
+    """
+    return scanned.select("file", F.explode_outer("ts").alias("t")).filter(F.col("t").isNotNull()).select("file", "t.*")
 
 
 def structure(sources: DataFrame) -> DataFrame:
@@ -200,21 +209,21 @@ def _order(*keys: str) -> Window:
 
 def declarations(parsed: DataFrame) -> DataFrame:
     """file, kind (variable, cursor, function), name, declared type, line; last type wins."""
-    defined = _picked(parsed, lambda t: _defines_variable(t) & _on_line(t)).select(
-        "file", "n", F.col("n2.value").alias("name"), F.lower("n1.value").alias("declared"), "line"
+    said = F.when(F.lower("value") == "funcao", F.col("n1.value")).otherwise(F.col("n2.value"))
+    is_function = (F.lower("value") == "funcao") | (F.lower("n1.value") == "funcao")
+    named = _picked(parsed, lambda t: (_defines_variable(t) & _on_line(t)) | _names_function(t)).select(
+        "file", "n", "line", is_function.alias("function"), F.lower("n1.value").alias("declared"),
+        F.when(is_function, F.regexp_replace(said, r"\(.*\)", "")).otherwise(F.col("n2.value")).alias("name"),
     )
-    latest = defined.groupBy("file", "name").agg(
-        F.max_by(F.struct("declared", "line"), "n").alias("v"), F.max(F.col("declared") == "cursor").alias("cursor")
+    latest = named.groupBy("file", "function", "name").agg(
+        F.max_by(F.struct("declared", "line"), "n").alias("v"), F.max(F.col("declared") == "cursor").alias("cursor"), F.min("line").alias("first")
     )
-    kinds = F.when(F.col("cursor"), F.array(F.lit("variable"), F.lit("cursor"))).otherwise(F.array(F.lit("variable")))
-    rows = latest.select("file", F.explode(kinds).alias("kind"), "name", "v.declared", "v.line")
-    named = _picked(parsed, _names_function)
-    said = F.when(F.lower("value") == "funcao", F.col("n1.value")).otherwise(F.col("n2.value"))
-    functions = (
-        named.groupBy("file", F.regexp_replace(said, r"\(.*\)", "").alias("name")).agg(F.min("line").alias("line"))
-        .select("file", F.lit("function").alias("kind"), "name", F.lit(None).cast("string").alias("declared"), "line")
+    variable, cursor, function = (F.lit(k) for k in ("variable", "cursor", "function"))
+    kinds = F.when(F.col("function"), F.array(function)).when(F.col("cursor"), F.array(variable, cursor)).otherwise(F.array(variable))
+    return latest.select(
+        "file", F.explode(kinds).alias("kind"), "name", F.when(~F.col("function"), F.col("v.declared")).alias("declared"),
+        F.when(F.col("function"), F.col("first")).otherwise(F.col("v.line")).alias("line"),
     )
-    return rows.unionByName(functions)
 
 
 def _report(df: DataFrame, message: Column, severity: str = "warning") -> DataFrame:
@@ -260,27 +269,27 @@ def calls(parsed: DataFrame) -> DataFrame:
     Only parentheses and commas take part, each knowing whether anything else follows it. A mark
     inside L open parentheses belongs to the latest '(' that raised the depth to L.
     """
-    marks = _picked(parsed, lambda t: _mark(t, "(", ")", ",")).select(
-        "file", "n", "value",
-        (F.col("n1").isNotNull() & ~_mark(F.col("n1"), "(", ")", ",")).alias("content"),
+    def is_call(t) -> Column:
+        return t["type"].isin("identifier", "builtinFunction") & _mark(t["n1"], "(")
+
+    call = F.col("type").isin("identifier", "builtinFunction")
+    rows = _picked(parsed, lambda t: _mark(t, "(", ")", ",") | is_call(t), "functions").select(
+        "file", "n", "value", "line", "start", "end", call.alias("call"), F.when(call, F.col("functions")).alias("functions"),
+        (~call & F.col("n1").isNotNull() & ~_mark(F.col("n1"), "(", ")", ",")).alias("content"),
     )
     is_open = F.col("value") == "("
     step = F.when(is_open, 1).when(F.col("value") == ")", -1).otherwise(0)
     upto = Window.unboundedPreceding
-    deep = marks.withColumn("depth", F.sum(step).over(_order("file").rowsBetween(upto, 0)))
-    owned = deep.withColumn(
-        "paren",
-        F.last(F.when(is_open, F.col("n")), ignorenulls=True).over(_order("file", "depth").rowsBetween(upto, 0)),
-    ).filter(F.col("paren").isNotNull())
-    inside = owned.groupBy("file", "paren").agg(
-        F.count_if(F.col("value") == ",").alias("commas"), F.max("content").alias("content")
-    )
-    called = _picked(
-        parsed, lambda t: t["type"].isin("identifier", "builtinFunction") & _mark(t["n1"], "("), "functions"
-    ).withColumn("paren", F.col("n") + 1)
-    return called.join(inside, ["file", "paren"], "left").select(
+    deep = rows.withColumn("depth", F.sum(step).over(_order("file").rowsBetween(upto, 0)))
+    latest = F.last(F.when(is_open, F.col("n")), ignorenulls=True).over(_order("file", "depth").rowsBetween(upto, 0))
+    owned = deep.withColumn("paren", F.when(F.col("call"), F.col("n") + 1).otherwise(latest)).filter(F.col("paren").isNotNull())
+    # the calls of a parenthesis stand in one window with the marks that belong to it
+    inside = Window.partitionBy("file", "paren")
+    return owned.withColumns(
+        {"commas": F.count_if(F.col("value") == ",").over(inside), "filled": F.max("content").over(inside)}
+    ).filter("call").select(
         "file", "value", "line", "start", "end", "functions",
-        F.when(F.col("content"), F.col("commas") + 1).otherwise(0).alias("args"),
+        F.when(F.col("filled"), F.col("commas") + 1).otherwise(0).alias("args"),
     )
 
 
@@ -302,34 +311,41 @@ def arity(parsed: DataFrame) -> DataFrame:
     return _report(known.withColumn("m", message).filter(F.col("m").isNotNull()), F.col("m"))
 
 
-def _cursor_names(parsed: DataFrame) -> DataFrame:
-    """The spelling a cursor is reported under: that of its last declaration."""
-    defined = _picked(parsed, _defines_cursor)
-    return defined.groupBy("file", F.lower("n2.value").alias("k")).agg(F.max_by("n2.value", "n").alias("cursor"))
+def cursor_events(parsed: DataFrame) -> DataFrame:
+    """Declarations of cursors and method calls on them, with the state each call meets and the cursor's last state.
 
+    ``cursor`` is the spelling a cursor is reported under, that of its last declaration.
+    """
+    def used(t) -> Column:
+        return (
+            t["type"].isin("identifier", "tableReference") & _mark(t["n1"], ".")
+            & (t["n2"]["type"] == "cursorMethod") & F.array_contains("cursors", F.lower(t["value"]))
+        )
 
-def cursor_events(parsed: DataFrame) -> DataFrame:
-    """Method calls on declared cursors, with the state each one meets."""
-    used = _picked(
-        parsed,
-        lambda t: t["type"].isin("identifier", "tableReference") & _mark(t["n1"], ".")
-        & (t["n2"]["type"] == "cursorMethod") & F.array_contains("cursors", F.lower(t["value"])),
-    ).select(
-        "file", "n", F.lower("value").alias("k"), F.lower("n2.value").alias("method"), "n2.line", "n2.start", "n2.end"
+    defined = F.col("type") == "keyword"
+    rows = _picked(parsed, lambda t: used(t) | _defines_cursor(t)).select(
+        "file", "n", F.lower(F.when(defined, F.col("n2.value")).otherwise(F.col("value"))).alias("k"),
+        F.when(~defined, F.lower("n2.value")).alias("method"), F.when(defined, F.col("n2.value")).alias("spelled"),
+        "n2.line", "n2.start", "n2.end",
     )
     leads_to = (
         F.when(F.col("method") == "sql", "SQL_SET").when(F.col("method") == "abrircursor", "OPENED")
         .when(F.col("method") == "fecharcursor", "CLOSED")
     )
+    whole = _order("file", "k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = _order("file", "k").rowsBetween(Window.unboundedPreceding, -1)
-    return used.withColumn("leads_to", leads_to).withColumn(
-        "state", F.coalesce(F.last("leads_to", ignorenulls=True).over(before), F.lit("DECLARED"))
+    return rows.filter(F.col("file").isNotNull()).withColumn("leads_to", leads_to).withColumns(
+        {
+            "state": F.coalesce(F.last("leads_to", ignorenulls=True).over(before), F.lit("DECLARED")),
+            "final": F.last("leads_to", ignorenulls=True).over(whole),
+            "cursor": F.last("spelled", ignorenulls=True).over(whole),
+            "is_last": F.lead("n").over(_order("file", "k")).isNull(),
+        }
     )
 
 
 def cursor_lifecycle(parsed: DataFrame) -> DataFrame:
     """Methods met in the wrong state, and cursors left open."""
-    events = cursor_events(parsed)
     opened = F.col("state") == "OPENED"
     wrong = (
         F.when((F.col("method") == "abrircursor") & (F.col("state") != "SQL_SET"), "open")
@@ -337,34 +353,36 @@ def cursor_lifecycle(parsed: DataFrame) -> DataFrame:
         .when(F.col("method").isin("achou", "naoachou") & ~opened, "test")
         .when((F.col("method") == "proximo") & ~opened, "next")
     )
-    misuse = events.withColumn("wrong", wrong).filter(F.col("wrong").isNotNull()).select("file", "k", "wrong", "line", "start", "end")
-    final = events.groupBy("file", "k").agg(
-        F.max_by("leads_to", F.when(F.col("leads_to").isNotNull(), F.col("n"))).alias("final")
-    ).filter("final = 'OPENED'").select(
-        "file", "k", F.lit("left").alias("wrong"), *[F.lit(0).alias(c) for c in ("line", "start", "end")]
-    )
+    place = ("line", "start", "end")
+    own = F.struct(wrong.alias("wrong"), *place)
+    left = F.struct(F.when(F.col("is_last") & (F.col("final") == "OPENED"), "left").alias("wrong"), *[F.lit(0).alias(c) for c in place])
+    found = cursor_events(parsed).select("file", "cursor", F.explode(F.array(own, left)).alias("f")).select("file", "cursor", "f.*")
     message = F
     for key in ("open", "close", "test", "next", "left"):
         message = message.when(F.col("wrong") == key, F.format_string(MESSAGES[key], "cursor", "cursor"))
-    return _report(misuse.unionByName(final).join(_cursor_names(parsed), ["file", "k"]), message)
+    return _report(found.filter(F.col("wrong").isNotNull()), message)
 
 
 def loops_without_next(parsed: DataFrame) -> DataFrame:
     """While-loops that test a cursor but never move it on inside their block."""
     blocks = ("inicio", "fim", "enquanto", "se", "senao")
-    seen = _picked(parsed, lambda t: _is(t, "keyword", *blocks) | _is(t, "cursorMethod", "achou"), "cursors").select(
+    moves = lambda t: _is(t, "cursorMethod", "proximo") & (t["p1"]["value"] == ".")
+    seen = _picked(parsed, lambda t: _is(t, "keyword", *blocks) | _is(t, "cursorMethod", "achou") | moves(t), "cursors").select(
         "file", "n", F.lower("value").alias("word"), "line", "start", "end", "cursors",
         F.when(F.col("p1.value") == ".", F.col("p2.value")).alias("name"),
     )
     # the cursor tested right after the loop word, before any block or branch word
     w = _order("file").rowsBetween(1, Window.unboundedFollowing)
-    stop = F.when(F.col("word") != "enquanto", F.struct("n", "word", "name"))
+    is_move = F.col("word") == "proximo"
+    stop = F.when(~is_move & (F.col("word") != "enquanto"), F.struct("n", "word", "name"))
     following = F.first(stop, ignorenulls=True).over(w)
     marks = (
         seen.withColumn("f", following)
-        .filter(F.col("word").isin("inicio", "fim", "enquanto"))
+        .filter(F.col("word").isin("inicio", "fim", "enquanto", "proximo"))
         .withColumn(
-            "name", F.when((F.col("f.word") == "achou") & (F.col("f.n") <= F.col("n") + LOOKAHEAD), F.col("f.name"))
+            "name",
+            F.when(is_move, F.col("name"))
+            .when((F.col("f.word") == "achou") & (F.col("f.n") <= F.col("n") + LOOKAHEAD), F.col("f.name")),
         )
     )
     step = F.when(F.col("word") == "inicio", 1).when(F.col("word") == "fim", -1).otherwise(0)
@@ -381,20 +399,15 @@ def loops_without_next(parsed: DataFrame) -> DataFrame:
             }
         )
         .filter(
-            (F.col("word") == "enquanto") & F.array_contains("cursors", F.lower("name"))
+            is_move | (F.col("word") == "enquanto") & F.array_contains("cursors", F.lower("name"))
             & (F.col("block_inicio") < F.col("block_fim"))
         )
-        .withColumn("k", F.lower("name"))
-    )
-    moves = _picked(parsed, lambda t: _is(t, "cursorMethod", "proximo") & (t["p1"]["value"] == ".")).select(
-        F.col("file").alias("m_file"), F.lower("p2.value").alias("m_k"), F.col("n").alias("m")
-    )
-    stuck = loops.join(
-        moves,
-        (F.col("file") == F.col("m_file")) & (F.col("k") == F.col("m_k"))
-        & F.col("m").between(F.col("block_inicio"), F.col("block_fim")),
-        "left_anti",
+        .withColumns({"k": F.lower("name"), "at": F.when(is_move, F.col("n")).otherwise(F.col("block_inicio"))})
     )
+    # the first move of the loop's cursor from the begin of its block on
+    onward = Window.partitionBy("file", "k").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    moved = loops.withColumn("moved", F.min(F.when(is_move, F.col("n"))).over(onward))
+    stuck = moved.filter(~is_move & (F.col("moved").isNull() | (F.col("moved") > F.col("block_fim"))))
     return _report(
         stuck,
         F.format_string(
