@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +19,34 @@ STOP_WORDS = [
     "pagina", "home", "index",
 ]
 
+MARKS = range(0x300, 0x370)
+KEPT = set("abcdefghijklmnopqrstuvwxyz0123456789_./-")
+
+
+@functools.cache
+def _unaccented() -> tuple[str, str]:
+    """Letters whose canonical decomposition is a kept character and marks, then all that is nothing but marks; the
+    characters the former become."""
+    letters, gone = {}, []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if ord(x) not in MARKS)
+        if plain in KEPT:
+            letters[c] = plain
+        elif not plain:
+            gone.append(c)
+    return "".join([*letters, *gone]), "".join(letters.values())
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents; everything but [a-z0-9_./-] becomes a blank.
 
-    Accents are the combining marks U+0300 to U+036F of the canonical decomposition.
+    Accents are the combining marks U+0300 to U+036F of the canonical decomposition. All other characters of a
+    decomposition become blanks just like the character itself, so a table of single characters says all of it.
     """
-
-    @F.pandas_udf("string")
-    def without_marks(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFD").str.replace("[\u0300-\u036f]+", "", regex=True)
-
-    return F.trim(F.regexp_replace(without_marks(F.lower(c)), "[^a-z0-9_./-]+", " "))
+    letters, plain = _unaccented()
+    low = F.lower(c)
+    ascii_only = F.octet_length(low) == F.length(low)
+    return F.trim(F.regexp_replace(F.when(ascii_only, low).otherwise(F.translate(low, letters, plain)), "[^a-z0-9_./-]+", " "))
 
 
 def signal_tokens(c: Column) -> Column:
