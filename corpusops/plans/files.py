@@ -11,7 +11,7 @@ from corpusops.operators import evaluation as ev
 from corpusops.operators import buckets, ingest, merge
 from corpusops.plans.evaluation import HITS, _METRICS, _hits, _round
 from corpusops.plans.ingest import doc_lines
-from corpusops.plans.models import as_models
+from corpusops.plans.models import model_columns
 from corpusops.plans.registry import query
 from corpusops.plans.sqltext import clean_sql
 from corpusops.session import scratch_dir
@@ -79,12 +79,18 @@ SELECT '01-' || source || '_' || lang || doc_id || '.json' AS filename, CAST(len
   CAST(list_sum(list_transform(string_split(text, chr(10)), lambda l: len(list_filter(string_split(l, ' '), lambda w: w <> '')))) AS BIGINT) AS n_children
 FROM documents""")
 def src_models(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents as models, some fifty to a file as one JSON array, read back file by file."""
+    """All documents as models, some fifty to a file as one JSON array, read back file by file.
+
+    What is shuffled is the documents; they become models, many times their size, beside the file that is written.
+    """
     path = _fresh(spark, "models")
-    models = as_models(documents(spark, sf))
-    per_file = F.pmod(F.xxhash64("filename"), F.lit(max(1, models.count() // 50)))
-    together = models.groupBy(per_file.alias("file")).agg(F.collect_list(F.struct(*models.columns)).alias("models"))
-    together.select(F.to_json("models").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    docs = documents(spark, sf).select("doc_id", "source", "lang", "text")
+    filename = model_columns(F.col)[0]
+    per_file = F.pmod(F.xxhash64(filename), F.lit(max(1, docs.count() // 50)))
+    together = docs.groupBy(per_file.alias("file")).agg(F.collect_list(F.struct(*docs.columns)).alias("docs"))
+    models = F.transform("docs", lambda d: F.struct(*model_columns(lambda name: d[name])))
+    written = together.select(F.to_json(models).alias("value")).write
+    written.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     models = files.read_models(spark, path)
     children = F.aggregate("bands", F.lit(0), lambda a, b: a + F.size(b["children"]))
     return models.select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.operators import bands, layout
@@ -12,9 +14,12 @@ from corpusops.plans.registry import query
 from corpusops.tables import documents, table
 
 
-def as_models(docs: DataFrame) -> DataFrame:
-    """Line i is a band with tag 100 * (i mod 7), word j a child; every third word is bound to
-    a table named by its length."""
+def model_columns(doc: Callable[[str], Column]) -> list[Column]:
+    """The columns of a document's model; ``doc`` gives a document's column by name.
+
+    Line i is a band with tag 100 * (i mod 7), word j a child; every third word is bound to
+    a table named by its length.
+    """
     def child(w, j):
         bound = j % 3 == 0
         return F.struct(
@@ -36,14 +41,18 @@ def as_models(docs: DataFrame) -> DataFrame:
             F.transform(F.filter(F.split(line, " "), lambda w: w != ""), child).alias("children"),
         )
 
-    source = F.regexp_replace("text", "th", "R123")
-    return docs.select(
-        F.concat(F.lit("01-"), "source", F.lit("_"), "lang", "doc_id", F.lit(".json")).alias("filename"),
-        F.col("source").alias("caption"), F.lit("1").alias("version"), F.col("lang").alias("orientation"),
+    source = F.regexp_replace(doc("text"), "th", "R123")
+    return [
+        F.concat(F.lit("01-"), doc("source"), F.lit("_"), doc("lang"), doc("doc_id"), F.lit(".json")).alias("filename"),
+        doc("source").alias("caption"), F.lit("1").alias("version"), doc("lang").alias("orientation"),
         F.lit(None).cast("string").alias("reportType"), F.lit(None).cast("string").alias("formatReport"),
         F.create_map(F.lit("selection"), source).alias("sections"),
-        F.transform(F.split("text", "\n", -1), band).alias("bands"),
-    )
+        F.transform(F.split(doc("text"), "\n", -1), band).alias("bands"),
+    ]
+
+
+def as_models(docs: DataFrame) -> DataFrame:
+    return docs.select(*model_columns(F.col))
 
 
 _FILE = "'01-' || source || '_' || lang || doc_id || '.json'"
