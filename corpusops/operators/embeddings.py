@@ -15,6 +15,8 @@ from corpusops.functions.text import bind
 
 DIM = 1024
 BATCH = 32
+#: Batches whose vectors a task holds before it hands them on.
+BATCHES_HELD = 8
 LOW_RATIO = 0.1
 
 Provider = Callable[[list[str]], list[list[float]]]
@@ -64,18 +66,21 @@ def embed_rows(rows: DataFrame, text: str, provider: Provider, dim: int = DIM, b
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame[text].tolist()
-            vectors: list[list[float] | None] = [None] * len(texts)
-            wanted = [i for i, t in enumerate(texts) if t and t.strip()]
-            for at in range(0, len(wanted), batch):
-                part = wanted[at : at + batch]
-                got = provider([texts[i] for i in part])
-                if len(got) != len(part):
-                    raise ValueError(f"provider returned {len(got)} vectors for {len(part)} texts")
-                for i, v in zip(part, got):
-                    vectors[i] = (list(v) + [0.0] * dim)[:dim]
-            yield frame.assign(**{out: vectors})
+        for whole in frames:
+            # a frame may hold 10,000 rows; only the vectors of some batches are held at once
+            for low in range(0, len(whole), batch * BATCHES_HELD):
+                frame = whole.iloc[low : low + batch * BATCHES_HELD]
+                texts = frame[text].tolist()
+                vectors: list[np.ndarray | None] = [None] * len(texts)
+                wanted = [i for i, t in enumerate(texts) if t and t.strip()]
+                for at in range(0, len(wanted), batch):
+                    part = wanted[at : at + batch]
+                    got = provider([texts[i] for i in part])
+                    if len(got) != len(part):
+                        raise ValueError(f"provider returned {len(got)} vectors for {len(part)} texts")
+                    for i, v in zip(part, got):
+                        vectors[i] = np.array((list(v) + [0.0] * dim)[:dim], np.float64)
+                yield frame.assign(**{out: pd.Series(vectors, index=frame.index, dtype=object)})
 
     return rows.mapInPandas(run, schema)
 
