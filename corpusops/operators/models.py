@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusops.functions.text import bind
 from corpusops.session import stored
 
 TABLE_NAME = r"(?i)\b[RE]\d{3}\w+"
@@ -263,15 +264,36 @@ def _entry(when: Column, path: Column, a: Column, b: Column) -> Column:
     )
 
 
+CHILDREN = f"array<struct<{', '.join(f'{k}:string' for k in DIFF_CHILD)}>>"
+
+
+def _section(text: Column) -> Column:
+    said = F.trim(F.coalesce(text, F.lit("")))
+    return F.struct(F.sha2(said, 256).alias("sha256"), F.length(said).alias("length"))
+
+
+def _compared(models: DataFrame, name: str) -> DataFrame:
+    """filename and, as ``name``, what ``diff`` looks at, written small."""
+    def band(b: Column) -> Column:
+        children = F.transform(b["children"], lambda c: F.when(c.isNotNull(), F.struct(*[c[k].cast("string").alias(k) for k in DIFF_CHILD])))
+        n = F.greatest(F.coalesce(F.size(b["children"]), F.lit(0)), F.lit(0))
+        return F.when(b.isNotNull(), F.struct(b["name"].alias("name"), b["tag"].alias("tag"), b["bandType"].alias("bandType"), n.alias("n"), F.to_json(children).alias("children")))
+
+    kept = [c for c in DIFF_SCALARS if c in models.columns]
+    if "sections" in models.columns:
+        kept.append(F.transform_values("sections", lambda _, text: _section(text)).alias("sections"))
+    return models.select("filename", F.struct(*kept, F.transform("bands", band).alias("bands")).alias(name))
+
+
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Differences (filename, path, before, after) of models that exist in both versions.
 
     Bands and children are compared by position as far as both versions reach. The two versions
-    meet in one row, so each model costs one join on its name and no exploding of equal parts.
+    meet in one row, so each model costs one join on its name and no exploding of equal parts. What is shuffled
+    is what is compared: of a section its hash and length, of a band its children as one JSON text, which is read
+    again only where the two texts are not the same.
     """
-    a = before.select("filename", F.struct(*before.columns).alias("a"))
-    b = after.select("filename", F.struct(*after.columns).alias("b"))
-    pair = a.join(b, "filename")
+    pair = _compared(before, "a").join(_compared(after, "b"), "filename")
     ca, cb = F.col("a"), F.col("b")
 
     nothing = F.lit(None).cast("struct<path:string,before:string,after:string>")
@@ -284,18 +306,15 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     ]
     parts = [F.array(*scalars)]
     if "sections" in before.columns:
-        keys = F.map_keys(ca["sections"])
+        def section(side: Column, k: Column) -> Column:
+            return F.coalesce(F.try_element_at(side["sections"], k), _section(F.lit("")))
+
         parts.append(
             F.transform(
-                keys,
+                F.map_keys(ca["sections"]),
                 lambda k: _entry(
-                    _unequal(
-                        F.trim(F.coalesce(F.try_element_at(ca["sections"], k), F.lit(""))),
-                        F.trim(F.coalesce(F.try_element_at(cb["sections"], k), F.lit(""))),
-                    ),
-                    F.concat(F.lit("sections."), k, F.lit(".length")),
-                    F.length(F.trim(F.coalesce(F.try_element_at(ca["sections"], k), F.lit("")))),
-                    F.length(F.trim(F.coalesce(F.try_element_at(cb["sections"], k), F.lit("")))),
+                    _unequal(section(ca, k), section(cb, k)), F.concat(F.lit("sections."), k, F.lit(".length")),
+                    section(ca, k)["length"], section(cb, k)["length"],
                 ),
             )
         )
@@ -309,19 +328,23 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
         x, y = F.get(ca["bands"], i), F.get(cb["bands"], i)
         at = F.concat(F.lit("bands["), i, F.lit("]."))
         own = [_entry(_unequal(x[k], y[k]), F.concat(at, F.lit(k)), x[k], y[k]) for k in ("name", "tag", "bandType")]
-        mx, my = size(x["children"]), size(y["children"])
+        mx, my = (F.coalesce(v["n"], F.lit(0)) for v in (x, y))
         own.append(_entry(mx != my, F.concat(at, F.lit("children.length")), mx, my))
 
-        def child_entries(j: Column) -> Column:
-            p, q = F.get(x["children"], j), F.get(y["children"], j)
+        def child_entries(j: Column, xs: Column, ys: Column) -> Column:
+            p, q = F.get(xs, j), F.get(ys, j)
             where = F.concat(at, F.lit("children["), j, F.lit("]."))
             entries = F.array(
                 *[_entry(_unequal(p[k], q[k]), F.concat(where, F.lit(k)), p[k], q[k]) for k in DIFF_CHILD]
             )
             return F.when(_unequal(p, q), entries).otherwise(F.array(nothing))
 
-        every = F.concat(F.array(*own), F.flatten(F.transform(positions(F.least(mx, my)), child_entries)))
-        return F.when(_unequal(x, y), every).otherwise(F.array(nothing))
+        def children(of: Column) -> Column:
+            listed = F.flatten(F.transform(positions(F.least(mx, my)), lambda j: child_entries(j, of["x"], of["y"])))
+            return F.when(_unequal(x["children"], y["children"]), listed).otherwise(F.array(nothing))
+
+        read = F.struct(F.from_json(x["children"], CHILDREN).alias("x"), F.from_json(y["children"], CHILDREN).alias("y"))
+        return F.when(_unequal(x, y), F.concat(F.array(*own), bind(read, children))).otherwise(F.array(nothing))
 
     parts.append(F.flatten(F.transform(positions(F.least(na, nb)), band_entries)))
     found = F.filter(F.concat(*parts), lambda e: e.isNotNull())
