@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -415,3 +416,33 @@ def test_details_of_another_key_are_met_through_links(spark):
     assert sorted(map(str, linked.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) and plain.count() == 8
     tree = linked._jdf.queryExecution().sparkPlan().toString()
     assert "REPARTITION_BY_NUM" in tree and "area" in tree.split("REPARTITION_BY_NUM")[0]  # the detail is met after the last shuffle
+
+
+def test_fold_is_the_canonical_decomposition_without_python(spark):
+    """Every character alone, and marks in a row behind a letter, as the decomposition says."""
+    def plain(t: str) -> str:
+        low = "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) < 0x370)
+        return re.sub("[^a-z0-9_./-]+", " ", low).strip(" ")
+
+    texts = ["ạ́b", "é֑x", "ệ ǖ", "ä́b", None, "", "plain.text/9"]
+    texts += [f"x{chr(c)}y" for c in [*range(0x20, 0xD800), *range(0xE000, 0x11000), *range(0x1D100, 0x1D800), *range(0x2F800, 0x2FA20)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", F.lower("t").alias("low"), gold.fold(F.col("t")).alias("got"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r for r in df.collect() if r["got"] != (None if r["t"] is None else plain(r["low"]))] == []
+
+
+def test_diff_ships_what_it_compares(spark):
+    """Null bands and children, children of another length, and a field that is not compared."""
+    child = "struct<type:string,name:string,caption:string,table:string,field:string,tableField:string>"
+    schema = f"filename string, caption string, sections map<string,string>, bands array<struct<name:string,bandType:string,tag:int,tableList:array<string>,children:array<{child}>>>"
+    c = lambda name, other=None: ("T", name, None, None, None, other)
+    band = lambda *children: ("b", "D", 1, ["t"], list(children))
+    old = [("m", "x", {"s": " long "}, [band(c("a"), None, c("z", "1")), None, band(c("q"))])]
+    new = [("m", "y", {"s": "long", "t": "new"}, [band(c("b\n\"é"), c("n"), c("z", "2"), c("more")), band(c("k")), None])]
+    found = models.diff(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+    assert "tableField" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert sorted(tuple(r) for r in found.collect() if r["path"].startswith(("caption", "sections", "bands[0]"))) == [
+        ("m", "bands[0].children.length", "3", "4"), ("m", "bands[0].children[0].name", "a", "b\n\"é"),
+        ("m", "bands[0].children[1].name", None, "n"), ("m", "bands[0].children[1].type", None, "T"), ("m", "caption", "x", "y")]
+    rest = sorted(r["path"] for r in found.collect() if r["path"].startswith(("bands[1]", "bands[2]")))
+    assert rest == [f"bands[{i}].{k}" for i in (1, 2) for k in ("bandType", "children.length", "name", "tag")]

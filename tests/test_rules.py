@@ -187,3 +187,28 @@ def test_findings_of_one_pass_are_those_of_the_checks(spark):
 def test_summary_reads_its_sources_once(spark, sf):
     plan = registry.QUERIES["rul_summary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") + plan.count("LogicalRelation") <= 1
+
+
+def test_every_check_reads_a_source_once(spark):
+    """The scan stands once in a plan, above the exchange that deals the sources over the cores."""
+    df = spark.createDataFrame([("a", "Definir Cursor c;\nc.Proximo();\nMensagem(NumEmp);")], "file string, source string").repartition(2, "file")
+    parsed, tokens = rules.parse(rules.scan(df)), rules.tokenize(rules.scan(df))
+    found = [rules.used_words(tokens, "systemVariable"), tokens, rules.declarations(parsed), *[check(parsed) for check in rules.CHECKS]]
+    for frame in found:
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan.split("ArrowEvalPython")[1]
+
+
+def test_loops_and_cursors_of_one_scan(spark):
+    """A move before the block or of another cursor is none; a cursor left open is told once, under its last spelling."""
+    loop = "Definir Cursor cA;\nDefinir Cursor cB;\nca.SQL \"x\";\nca.AbrirCursor();\ncA.Proximo();\nEnquanto (cA.Achou)\nInicio\n  %s.Proximo();\nFim;\n"
+    df = spark.createDataFrame([("other", loop % "cB"), ("own", loop % "CA"), ("late", loop % "cB" + "cA.Proximo();")], "file string, source string")
+    parsed = rules.parse(rules.scan(df))
+    assert sorted(r["file"] for r in rules.loops_without_next(parsed).collect()) == ["late", "other"]
+    left = [(r["file"], r["message"]) for r in rules.cursor_lifecycle(parsed).collect() if r["line"] == 0]
+    assert sorted(left) == [(f, rules.MESSAGES["left"] % ("cA", "cA")) for f in ("late", "other", "own")]
+
+
+def test_no_words_and_null_sources_have_no_tokens(spark):
+    df = spark.createDataFrame([("a", ""), ("b", None), ("c", "x")], "file string, source string")
+    assert [(r["file"], r["n"], r["value"]) for r in rules.tokenize(rules.scan(df)).collect()] == [("c", 0, "x")]

@@ -5,10 +5,13 @@ import re
 from unittest import mock
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusops.operators import hybrid, lexical, postings, vector
+from corpusops.operators import embeddings as emb
 from corpusops.operators.embeddings import hash_provider
 
 
@@ -182,3 +185,25 @@ def test_provider_matches_expression(spark):
     assert out["b"] is None and out["c"] is None
     assert out["a"] == df.filter("id = 'a'").select(hash_embedding(F.col("t"), 70)).first()[0]
     assert re.match(r"^-?\d", str(out["a"][0]))
+
+
+def test_embedding_holds_few_vectors_at_once():
+    """A frame of many rows leaves in slices of some batches, blank texts without a vector, order and calls as before."""
+    calls, made = [], []
+
+    class Rows:
+        schema = T.StructType([T.StructField("text", T.StringType())])
+
+        def mapInPandas(self, run, schema):
+            made.append(run)
+
+    def provider(texts):
+        calls.append(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    emb.embed_rows(Rows(), "text", provider, dim=2, batch=4)
+    frame = pd.DataFrame({"text": [" " if i % 10 == 0 else "x" * i for i in range(100)]})
+    out = list(made[0](iter([frame])))
+    assert max(map(len, out)) == 4 * emb.BATCHES_HELD and max(calls) == 4
+    got = [None if v is None else list(v) for part in out for v in part["embedding"]]
+    assert got == [None if i % 10 == 0 else [float(i), 0.0] for i in range(100)]
