@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusops.llm import exchange
-from corpusops.llm.words import LOWER, word_hashes, word_spans
+from corpusops.llm.words import BLANK, LOWER, word_hashes, word_spans
 
 #: Preceding bytes that a context holds at most.
 DEPTH = 6
@@ -30,6 +30,8 @@ BEFORE, END = 0xFE, 0xFF
 #: Preceding bytes that contexts are dealt by; nodes above are weighted by the driver (at most 255 * 256 ** (TOP - 1)).
 TOP = 2
 HALF = math.log(0.5)
+#: Odd; the leading bits of a product with it depend on all bits of the other number.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Key of the end token among the words' fingerprints.
 END_TOKEN = np.uint64(0xE0D0E0D0E0D0E0D1)
 
@@ -54,6 +56,36 @@ def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - math.log(math.pi)
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and each code's place among them.
+
+    One sort of numbers that hold the leading bits of a code's product and its place; codes that share those bits
+    are told apart by themselves.
+    """
+    if not len(codes):
+        return codes, np.empty(0, np.int64)
+    low = np.uint64((1 << len(codes).bit_length()) - 1)
+    at = codes.view(np.uint64) * SPREAD
+    at &= ~low
+    at |= np.arange(len(codes), dtype=np.uint64)
+    at.sort()
+    at &= low
+    at = at.view(np.int64)
+    by_print = codes[at]
+    new = np.ones(len(codes), bool)
+    np.not_equal(by_print[1:], by_print[:-1], out=new[1:])
+    values, group = by_print[new], np.cumsum(new, dtype=np.int32)
+    del by_print, new
+    order = np.argsort(values)
+    values = values[order]
+    first = np.concatenate([[True], values[1:] != values[:-1]])  # a code stands twice where another shares its bits
+    rank = np.empty(len(order) + 1, np.int64)
+    rank[order + 1] = np.cumsum(first) - 1
+    place = np.empty(len(codes), np.int64)
+    place[at] = rank[group]
+    return values[first], place
+
+
 def grams(low: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of DEPTH + 1 bytes, one per byte of each text, and the number of them per text.
 
@@ -64,19 +96,23 @@ def grams(low: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndar
     sizes = np.concatenate([[0], np.cumsum(lengths + 1)])
     per_text = sizes[first[1:]] - sizes[first[:-1]] + (counts == 0)  # the last blank becomes END
     starts = np.cumsum(per_text + DEPTH) - per_text
-    out = np.full(int((per_text + DEPTH).sum()), BEFORE, np.uint8)
+    length = int((per_text + DEPTH).sum())
+    out, inside, letter = np.full(length, BEFORE, np.uint8), np.ones(length, bool), np.ones(length, bool)
     owner = np.repeat(np.arange(len(counts)), counts)
-    at = starts[owner] + sizes[:-1] - sizes[first[owner]]
-    ranges = lambda a, n: np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    out[ranges(at, lengths)] = low[ranges(begins, lengths)]
-    out[at + lengths] = 0x20
+    blanks = starts[owner] + sizes[:-1] - sizes[first[owner]] + lengths
+    inside[(starts[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
+    out[blanks] = 0x20
     out[starts + per_text - 1] = END
-    code = np.zeros(len(out) - DEPTH if len(out) else 0, np.int64)
+    letter &= inside
+    letter[blanks] = letter[starts + per_text - 1] = False
+    out[letter] = low[~BLANK[low]]  # what stands between blanks is words
+    head, tail = np.zeros((2, max(length - DEPTH, 0)), np.uint32)  # a code's last four bytes and those before
     for k in range(DEPTH + 1):
-        code = code << 8 | out[k : k + len(code)]
-    inside = np.ones(len(out), bool)
-    inside[(starts[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
-    return code[inside[DEPTH:]], per_text
+        half = head if k < DEPTH - 3 else tail
+        half <<= 8
+        half |= out[k : k + len(half)]
+    inside = inside[DEPTH:]
+    return head[inside].astype(np.int64) << 32 | tail[inside], per_text
 
 
 class _Slice:
@@ -97,8 +133,18 @@ class _Slice:
 
     def read_grams(self) -> None:
         codes, self.sizes = grams(self.low, self.begins, self.ends, self.counts)
-        self.grams, self.gram = exchange.distinct(codes)
-        self.gram_train = self._trained(self.gram, self.sizes, len(self.grams))
+        self.grams, self.gram = distinct(codes)
+
+    def count_grams(self) -> None:
+        codes, sizes = grams(self.low, self.begins, self.ends, self.counts)
+        codes <<= 1
+        codes |= np.repeat(self.learn, sizes)
+        codes.sort()
+        trained = (codes & 1).astype(np.uint8)
+        codes >>= 1
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.grams = codes[first]
+        self.gram_train = np.add.reduceat(trained, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
 
     def _trained(self, place: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(place[np.repeat(self.learn, sizes)], minlength=n).astype(np.int64)
@@ -129,7 +175,7 @@ def _bit_nodes(code: np.ndarray, depth: int):
 def _counted(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes of one depth with their numbers of zeros and ones."""
     nodes, bits = zip(*_bit_nodes(code, depth))
-    values, place = exchange.distinct(np.concatenate(nodes))
+    values, place = distinct(np.concatenate(nodes))
     bits, counts = np.concatenate(bits), np.tile(count, 8)
     ones = np.bincount(place, weights=counts * bits, minlength=len(values))
     return values, np.bincount(place, weights=counts, minlength=len(values)) - ones, ones
@@ -193,7 +239,7 @@ def _entries(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, place = exchange.distinct(codes)
+    values, place = distinct(codes) if codes.dtype == np.int64 else exchange.distinct(codes)
     return values, np.bincount(place, weights=counts, minlength=len(values)).astype(np.int64)
 
 
@@ -244,7 +290,7 @@ def score(docs: DataFrame, learn: Learn) -> DataFrame:
 
     def gram_keys(key: tuple, table: pa.Table) -> pa.Table:
         own = _Slice(table, learn)
-        own.read_grams()
+        own.count_grams()
         part, order = own.parts(parts)
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         cuts = [order[bounds[p] : bounds[p + 1]] for p in range(parts)]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -251,6 +252,27 @@ def test_word_scores(source, request):
         assert any((r.n_tokens, r.n_known) == w[:2] and r.base_score == pytest.approx(w[2]) for w in want[r.doc_id])
 
 
+def test_distinct_strings():
+    """Places and counts against numpy's, also where codes share the leading bits that are sorted by."""
+    near = (np.arange(4, dtype=np.uint64) * np.uint64(pow(int(lm_scoring.SPREAD), -1, 1 << 64))).view(np.int64) + 7
+    rng = np.random.default_rng(9)
+    for codes in (near[rng.integers(0, 4, 500)], rng.integers(0, 1 << 56, 3000)[rng.integers(0, 3000, 9000)], near[:1], near[:0]):
+        values, place = lm_scoring.distinct(codes)
+        want = np.unique(codes, return_inverse=True)
+        assert (values == want[0]).all() and (place == want[1]).all()
+    texts = [b"a b  abra", b"", " \tÄrger x".encode(), b"abra A", b"\n"]
+    content = b"".join([np.arange(5).tobytes(), np.array([len(t) for t in texts]).tobytes(), *texts])
+    table = pa.table({"n": [5], "size": [len(content)], "packed": [pa.compress(content, "zstd", asbytes=True)]})
+    counted, placed = (lm_scoring._Slice(table, lambda ids: ids != 3) for _ in range(2))
+    counted.count_grams()
+    placed.read_grams()
+    code = lambda b: [int.from_bytes(b[i : i + 7], "big") for i in range(len(b) - 6)]
+    plain = [code(bytes([lm_scoring.BEFORE]) * 6 + b" ".join(t.lower().split()) + b"\xff") for t in texts]
+    train = Counter(c for i, own in enumerate(plain) if i != 3 for c in own)
+    assert placed.grams[placed.gram].tolist() == [c for own in plain for c in own] and placed.sizes.tolist() == [len(x) for x in plain]
+    assert counted.grams.tolist() == placed.grams.tolist() and counted.gram_train.tolist() == [train[c] for c in counted.grams.tolist()]
+
+
 def test_context_tree(spark):
     """Probabilities against the recursion over the whole tree."""
     train, held = b"abracadabra abra", b"abra cab\xff"
