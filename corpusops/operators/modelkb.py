@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusops.session import stored
@@ -22,6 +22,8 @@ MAX_REPORTS_LISTED = 20
 
 #: Reports with more tables than this are counted by tiles of tables, all others pair by pair.
 WIDE_AT = 256
+#: Pairs of tables that a task forms from ordinary reports, and groups of reports it does so for.
+PAIRS_AT_ONCE, DEALS = 1 << 19, 8
 #: Tables of a block, mentions by wide reports in it, and reports in one matrix product.
 BLOCK_TABLES, BLOCK_MENTIONS, REPORTS_AT_ONCE = 2048, 1 << 22, 2048
 
@@ -82,20 +84,29 @@ def usage_ranked(refs: DataFrame) -> DataFrame:
     )
 
 
-def _split(refs: DataFrame, wide_at: int) -> tuple[DataFrame, DataFrame]:
-    """Refs of the reports with up to ``wide_at`` tables, and those of the wider ones."""
-    wide = refs.groupBy("report").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > wide_at).select("report")
-    wide = stored(wide, "wide")
-    return refs.join(wide, "report", "left_anti").select("report", "table"), refs.join(wide, "report", "left_semi").select("report", "table")
+def _split(refs: DataFrame, wide_at: int) -> tuple[DataFrame, DataFrame, int]:
+    """Refs of the reports with up to ``wide_at`` tables, those of the wider ones, and the number of pairs the former give."""
+    n, seen = F.col("n"), Observation()
+    sizes = refs.groupBy("report").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum(F.when(n <= wide_at, n * (n - 1) / 2)).alias("pairs"))
+    wide = stored(sizes.filter(n > wide_at).select("report"), "wide")
+    narrow = refs.join(wide, "report", "left_anti").select("report", "table")
+    return narrow, refs.join(wide, "report", "left_semi").select("report", "table"), int(seen.get["pairs"] or 0)
 
 
-def _narrow_pairs(narrow: DataFrame) -> DataFrame:
-    left = narrow.select("report", F.col("table").alias("a"))
-    right = narrow.select("report", F.col("table").alias("b"))
-    return (
-        left.join(right, "report").filter(F.col("a") < F.col("b"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def _narrow_pairs(narrow: DataFrame, pairs: int) -> DataFrame:
+    """Pairs of tables with their reports. A task forms about PAIRS_AT_ONCE of the ``pairs`` and sums those up before
+    they are shuffled, and gets as many sums."""
+    tasks = max(narrow.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS_AT_ONCE))
+    deal = F.pmod(F.xxhash64("report"), F.lit(DEALS * tasks))
+    lists = (
+        narrow.where(F.col("report").isNotNull()).withColumn("deal", deal).repartition(tasks, "deal")
+        .groupBy("deal", "report").agg(F.sort_array(F.collect_list("table")).alias("tables"))
+    )
+    formed = lists.select("deal", "tables", F.posexplode("tables").alias("at", "a")).select(
+        "deal", "a", F.explode(F.slice("tables", F.col("at") + 2, F.size("tables"))).alias("b")
     )
+    summed = formed.where(F.col("a") < F.col("b")).groupBy("deal", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return summed.select("a", "b", "n").repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _best_pairs(names: tuple[np.ndarray, np.ndarray], counts: np.ndarray, same: bool, limit: int) -> list[np.ndarray]:
@@ -179,8 +190,8 @@ def _wide_tiles(wide: DataFrame, pairs: DataFrame, limit: int, per_table: bool)
 def _counted(refs: DataFrame, limit: int, wide_at: int, per_table: bool) -> DataFrame:
     """Pairs of tables (a, b) with the number of reports that name both; of those between two tables of wide
     reports only the best of every tile, each both ways if ``per_table``."""
-    narrow, wide = _split(refs, wide_at)
-    pairs, wide = _narrow_pairs(narrow), stored(wide, "wide_refs")
+    narrow, wide, n = _split(refs, wide_at)
+    pairs, wide = _narrow_pairs(narrow, n), stored(wide, "wide_refs")
     in_wide = wide.select("table").distinct()
     a, b = (in_wide.select(F.col("table").alias(c), F.lit(True).alias(f"{c}_wide")) for c in "ab")
     marked = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("both", F.coalesce(F.col("a_wide") & F.col("b_wide"), F.lit(False)))
