@@ -23,6 +23,9 @@ SPACES_HERE = r"[ \t\n\x0b\f\r]+"  # the same, as Arrow writes it
 TILE_BYTES, TILE_WORDS = 8 << 20, 1 << 20
 #: Entries of a table of words by files, and tokens written to it at once.
 TILE_ENTRIES, TOKENS_AT_ONCE = 1 << 24, 1 << 18
+#: Fingerprints of runs of bytes are polynomials in this.
+RUN_BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
+RUN_BYTES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
 
 # Scalar fields and child fields compared between two versions.
 DIFF_SCALARS = ["caption", "version", "orientation", "reportType", "formatReport"]
@@ -161,9 +164,9 @@ def _scored_tiles(texts: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
         for at in range(0, len(files) if len(requests) else 0, step):
             parts = pc.split_pattern_regex(files["text"].slice(at, step).combine_chunks(), SPACES_HERE)
             tokens = pc.list_flatten(parts).dictionary_encode()
-            held = inside(tokens.dictionary.to_pylist())
-            lengths = np.array([len(x) for x in held], np.int64)
-            flat, first = np.array([w for x in held for w in x], np.int64), np.cumsum(lengths) - lengths
+            holder, flat = inside(tokens.dictionary)
+            lengths = np.bincount(holder, minlength=len(tokens.dictionary))
+            first = np.cumsum(lengths) - lengths
             token, file = tokens.indices.to_numpy(), pc.list_parent_indices(parts).to_numpy()
             has = np.zeros((len(words.dictionary), len(parts)), np.float32)
             for a in range(0, len(token), TOKENS_AT_ONCE):
@@ -172,7 +175,8 @@ def _scored_tiles(texts: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
                 has[flat[np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())], np.repeat(f, n)] = 1
             for q, (own, n) in enumerate(zip(asks, times)):
                 score = (n.astype(np.float32) @ has[own]).astype(np.int64)
-                best = np.argsort(-score, kind="stable")[:limit]
+                best = np.flatnonzero(score >= np.partition(score, -limit)[-limit]) if len(score) > limit else np.arange(len(score))
+                best = best[np.argsort(-score[best], kind="stable")[:limit]]
                 out += [(q, at + f, s) for f, s in zip(best.tolist(), score[best].tolist()) if s]
         q, f, s = (pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [])))
         return pa.table({"request_id": ids.dictionary.take(q), "name": files["name"].take(f), "score": s})
@@ -181,19 +185,57 @@ def _scored_tiles(texts: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "request_id string, name string, score long")
 
 
-def _words_inside(words: list[str]) -> Callable[[list[str]], list[list[int]]]:
-    """Finds the words (by number) inside tokens. A word holds no white space, so it stands inside one token, and the
-    words of a size are met by looking up the token's own pieces of that size."""
-    at = {w: i for i, w in enumerate(words)}
-    sizes: dict[int, set[str]] = {}
-    for w in words:
-        sizes.setdefault(len(w), set()).add(w)
-
-    def inside(tokens: list[str]) -> list[list[int]]:
-        return [
-            [at[p] for k, own in sizes.items() if k <= len(t) for p in own.intersection(t[i : i + k] for i in range(len(t) - k + 1))]
-            for t in tokens
-        ]
+def _runs(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit fingerprints of all runs of ``width`` bytes, from those of the powers of two it is made of."""
+    power, factor, at = RUN_BYTES[data], RUN_BASE.copy(), 0
+    value = np.zeros(len(data) - width + 1, np.uint64)
+    for k in range(width.bit_length()):
+        if width >> k & 1:
+            value = value * factor + power[at : at + len(value)]
+            at += 1 << k
+        if width >> k > 1:
+            power = power[: -(1 << k)] * factor + power[1 << k :]
+            factor = factor * factor
+    return value
+
+
+def _words_inside(words: list[str]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Finds the words (by number) inside tokens: pairs of a token's and a word's number, by token. A word holds no white
+    space, so it stands inside one token. The words of a size are met by the fingerprints of all runs of that many
+    bytes in the tokens that are long enough, and what meets is compared byte by byte."""
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    sizes: dict[int, list[int]] = {}
+    for i, w in enumerate(raw):
+        sizes.setdefault(len(w), []).append(i)
+    layers = []  # (size, leading bits and sorted values of fingerprints, numbers and bytes of their words), no fingerprint twice
+    for k, own in sorted(sizes.items()):
+        prints, own = np.array([_runs(raw[i], k)[0] for i in own], np.uint64), np.array(own)
+        while len(own):
+            values, first = np.unique(prints, return_index=True)
+            marked = np.zeros(1 << 16, bool)
+            marked[values >> np.uint64(48)] = True
+            layers.append((k, marked, values, own[first], np.stack([raw[i] for i in own[first]])))
+            prints, own = np.delete(prints, first), np.delete(own, first)
+
+    def inside(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lengths = pc.binary_length(tokens).to_numpy().astype(np.int64)
+        data = np.frombuffer("".join(tokens.to_pylist()).encode(), np.uint8)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        left = np.cumsum(lengths)[owner] - np.arange(len(data))
+        found, size = [], 0
+        for k, marked, values, numbers, content in layers:
+            if k > len(data):
+                break
+            if k != size:
+                size, prints = k, _runs(data, k)
+            start = np.flatnonzero(marked[prints >> np.uint64(48)] & (left[: len(prints)] >= k))
+            at = np.minimum(np.searchsorted(values, prints[start]), len(values) - 1)
+            start, at = (x[values[at] == prints[start]] for x in (start, at))
+            same = (data[start[:, None] + np.arange(k)] == content[at]).all(axis=1)
+            found.append(owner[start[same]] * len(words) + numbers[at[same]])
+        pairs = np.sort(np.concatenate([np.empty(0, np.int64), *found]))
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        return pairs // max(1, len(words)), pairs % max(1, len(words))
 
     return inside
 

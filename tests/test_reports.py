@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,35 @@ def test_pairs_of_many_wide_reports(spark, monkeypatch):
         assert got == {a: v[:8] for a, v in best.items()}
 
 
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """Tasks follow the number of pairs; references that repeat count again, null ones never."""
+    rnd = random.Random(12)
+    rows = [(rnd.randint(1, 150), f"R{rnd.randint(0, 60):03d}") for _ in range(900)] + [(None, "R001"), (None, "R002"), (3, None)]
+    want = Counter((x, y) for i, x in rows for j, y in rows if i is not None and i == j and x and y and x < y)
+    monkeypatch.setattr(modelkb, "PAIRS_AT_ONCE", 100)
+    refs = spark.createDataFrame(rows, "report int, table string")
+    narrow, wide, n = modelkb._split(refs, 256)
+    found = modelkb._narrow_pairs(narrow, n).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.a, r.b): r.n for r in found} == want and wide.count() == 0
+    assert sum(want.values()) <= n < 1.2 * sum(want.values())
+    assert max(Counter(r.task for r in found).values()) < 300
+
+
+def test_words_inside_tokens(monkeypatch):
+    """Pairs of tokens and the words in them against a plain search, with good fingerprints and with bad ones."""
+    rnd = random.Random(4)
+    some = lambda n: "".join(rnd.choice("abcé漢") for _ in range(rnd.randint(0, n)))
+    words = sorted({some(9) for _ in range(150)} - {""} | {"a" * 40, "ab" * 300})
+    tokens = sorted({some(14) for _ in range(200)} | {"", "a" * 50, "ab" * 301})
+    want = [(i, j) for i, t in enumerate(tokens) for j, w in enumerate(words) if w in t]
+    for base in (models.RUN_BASE, models.RUN_BASE * 0):
+        monkeypatch.setattr(models, "RUN_BASE", base)
+        for own in (tokens, [], [""]):
+            got = [*zip(*(x.tolist() for x in models._words_inside(words)(pa.array(own, pa.string()))))]
+            assert got == [(i, j) for i, t in enumerate(own) for j, w in enumerate(words) if w in t]
+    assert len(want) > 300 and not len(models._words_inside([])(pa.array(tokens))[0])
+
+
 def test_keyword_topk(spark, monkeypatch):
     rnd = random.Random(21)
     syllables = ["ba", "lo", "ri", "é", "x", "Tu", "nda", "q"]
