@@ -10,6 +10,8 @@ the window itself, for the places in between. Groups equal in it are the repeate
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,29 +25,31 @@ from corpusops.session import stored
 DIGIT = 0.72
 #: Bits of the first digit's fingerprint above those of the corpus's size in bytes; agreement by chance only costs time.
 SPARE_BITS = 10
-#: Bytes of a text worked on at a time.
-CHUNK = 1 << 20
+#: Bytes worked on at a time: what is formed of them stays in a core's cache.
+CHUNK = 1 << 15
+#: Bytes of text in a slice and behind the keys of a part, and those that a task packs at a time. Messages are slices times
+#: parts, so these are as large as a worker's memory allows.
+SLICE, PART, TOGETHER = 8 << 20, 12 << 20, 16 << 20
 
 SYMBOL = exchange.mix(np.arange(1, 257, dtype=np.uint64))
-FACTORS = exchange.mix(np.arange(1000, 1064, dtype=np.uint64)) | np.uint64(1)
-
-
-def rolling(data: np.ndarray, *widths: int) -> list[np.ndarray]:
-    """Fingerprints of all strings of each width, from those of the powers of two it is made of."""
-    powers = [SYMBOL[data]]
-    while 2 << (len(powers) - 1) <= max(widths):
-        half, k = powers[-1], len(powers) - 1
-        shift = 1 << k
-        powers.append(half[: max(len(half) - shift, 0)] * FACTORS[k] + half[shift:])
-    out = []
-    for width in widths:
-        n = max(len(data) - width + 1, 0)
-        value, at = np.zeros(n, np.uint64), 0
-        for k in range(len(powers)):
-            if width >> k & 1:
-                value = value * FACTORS[32 + k] + powers[k][at : at + n]
-                at += 1 << k
-        out.append(exchange.mix(value))
+FACTOR = int(exchange.mix(np.array([1062], np.uint64))[0]) | 1
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """FACTOR to the powers 0 to n - 1, and its inverse to these."""
+    out = np.empty((2, n), np.uint64)
+    out[:], out[:, 0] = np.array([[FACTOR], [pow(FACTOR, -1, 1 << 64)]], np.uint64), 1
+    return tuple(np.multiply.accumulate(out, axis=1))
+
+
+def sums(data: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Of the symbols before each place, times falling powers. A difference of two, times the power of the last place
+    in between, is the polynomial of what lies in between, wherever it stands."""
+    symbols = np.take(SYMBOL, data, mode="clip")
+    symbols *= down[: len(data)]
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.add.accumulate(symbols, out=out[1:])
     return out
 
 
@@ -67,25 +71,38 @@ class Windows:
         self.digit = max(1, round(width * DIGIT))
         self.spread = width - self.digit + 1  # places of the digit in a window
 
-    def anchors(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and fingerprints of the digits that are the lowest of some window."""
-        places, prints = [], []
-        for a in range(0, max(len(data) - self.width + 1, 0), CHUNK):
+    def anchors(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and fingerprints of the digits that are the lowest of some window, in the texts of a slice."""
+        n = max(len(data) - self.width + 1, 0)
+        across = covered(np.maximum(offsets[:-1], offsets[1:] - self.width + 1), offsets[1:], len(data))  # starts of no window
+        up, down = powers(CHUNK + 4 * self.width)
+        edge = np.zeros(self.spread - 1, np.uint32)
+        places, prints = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for a in range(0, n, CHUNK):
             low = max(0, a - self.spread + 1)
-            (h,) = rolling(data[low : a + CHUNK + 2 * self.spread + self.digit], self.digit)
-            lowest = _sliding(h, self.spread, True)
-            edge = np.zeros(self.spread - 1, np.uint64)
+            end = a + CHUNK if a + CHUNK < n else len(data)
+            total = sums(data[low : a + CHUNK + 2 * self.spread + self.digit], down)
+            h = total[self.digit :] - total[: -self.digit]
+            h *= up[self.digit - 1 : self.digit - 1 + len(h)]
+            order = (h >> np.uint64(32)).astype(np.uint32)
+            lowest = _sliding(order, self.spread, True)
+            lowest *= ~across[low : low + len(lowest)]
             highest = _sliding(np.concatenate([edge, lowest, edge]), self.spread, False)
-            end = len(data) if a + CHUNK >= len(data) - self.width + 1 else a + CHUNK
-            at = np.flatnonzero(h == highest)
-            at = at[(at >= a - low) & (at < end - low)]
+            at = np.flatnonzero(order == highest)
+            at = at[(at >= a - low) & (at < end - low) & (highest[at] > 0)]
             places.append(at + low)
-            prints.append(exchange.mix(h[at]))  # the lowest of many are small numbers; keys must be even
-        if not places:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            prints.append(exchange.mix(h[at]))
         return np.concatenate(places), np.concatenate(prints)
 
 
+def covered(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in the ranges a to b - 1, of which no two overlap."""
+    edges = np.zeros(n + 1, np.int8)
+    np.add.at(edges, a, 1)
+    np.add.at(edges, b, -1)
+    return np.add.accumulate(edges, dtype=np.int8)[:n].view(bool)
+
+
 def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a[0] to b[0] - 1, then the next range."""
     size = b - a
@@ -102,17 +119,23 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of data[a:b], for many ranges of about one length."""
-    h = (b - a).astype(np.uint64)
-    for j in range(int((b - a).max()) if len(a) else 0):
-        at = a + j
-        h = np.where(at < b, h * FACTORS[62] + SYMBOL[data[np.minimum(at, len(data) - 1)]], h)
-    return exchange.mix(h)
+    """Of data[a:b], for many short ranges, none of which starts before the one ahead of it."""
+    out = np.empty(len(a), np.uint64)
+    if not len(a):
+        return out
+    up, down = powers(CHUNK + (1 << int((b - a).max()).bit_length()))
+    bounds = np.searchsorted(a, np.arange(0, len(data) + CHUNK, CHUNK))
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        mine = slice(bounds[i], bounds[i + 1])
+        low, high = a[mine] - i * CHUNK, b[mine] - i * CHUNK
+        total = sums(data[i * CHUNK : i * CHUNK + high.max()], down)
+        out[mine] = (total[high] - total[low]) * up[high - 1] + (high - low).astype(np.uint64) * up[high - low]
+    return exchange.mix(out)
 
 
 def _with_first(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, each entry's place among them, and the smallest id that holds each."""
-    values, place = exchange.distinct(keys)
+    values, place = exchange.ranked(keys)
     first = np.full(len(values), exchange.LAST_ID)
     np.minimum.at(first, place, ids)
     return values, place, first
@@ -205,7 +228,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, carried: list[str] = ()) ->
     """
     windows = Windows(width)
     carried = [c for c in carried if c not in RESULT]
-    corpus = exchange.Corpus.of_texts(docs, carried)
+    corpus = exchange.Corpus.of_texts(docs, carried, TOGETHER, slice_bytes=SLICE, part_bytes=PART)
     total = corpus.total
     schema = StructType([StructField(f.name, f.dataType, True) for f in docs.select(*carried).schema.fields])
     for name, kind in RESULT.items():
@@ -213,12 +236,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, carried: list[str] = ()) ->
 
     def digits(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, offsets, data = exchange.documents(table)
-        found = [windows.anchors(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        sizes = [len(p) for p, _ in found]
-        places = np.concatenate([p for p, _ in found]) if found else np.empty(0, np.int64)
-        prints = np.concatenate([h for _, h in found]) if found else np.empty(0, np.uint64)
-        keys, place = exchange.distinct(exchange.leading(prints, total, SPARE_BITS))
-        return places + np.repeat(offsets[:-1], sizes), np.repeat(ids, sizes), keys, place
+        places, prints = windows.anchors(offsets, data)
+        owner = np.repeat(ids, np.diff(np.searchsorted(places, offsets)))
+        keys, place = exchange.ranked(exchange.leading(prints, total, SPARE_BITS))
+        return places, owner, keys, place
 
     def first_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, owner, keys, place = digits(table)
@@ -248,14 +269,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, carried: list[str] = ()) ->
         own = _Slice(table, known, windows)
         own.settle()
         doc, a, b = own.removed()
-        stay = np.ones(len(own.data), bool)
-        stay[ranges(a, b)] = False
         n = len(own.ids)
-        kept = [own.data[x:y][stay[x:y]].tobytes() for x, y in zip(own.offsets[:-1], own.offsets[1:])]
+        ends = np.cumsum(np.diff(own.offsets) - np.bincount(doc, b - a, n).astype(np.int64))
+        left = [pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(own.data[~covered(a, b, len(own.data))])]
+        kept = pa.Array.from_buffers(pa.binary(), n, [None, *left])
         bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(bounds, pa.array(x - own.offsets[doc])) for x in (a, b)]
         results = pa.table({
-            "doc_id": exchange.id_array(own.ids), "n_bytes": np.diff(own.offsets), "kept": pa.array(kept, pa.binary()),
+            "doc_id": exchange.id_array(own.ids), "n_bytes": np.diff(own.offsets), "kept": kept,
             "starts": lists[0], "ends": lists[1],
         })
         if not carried:
@@ -264,9 +285,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, carried: list[str] = ()) ->
         return pa.table([*along.columns, *results.columns], names=[*carried, *results.column_names])
 
     by_slice = corpus.rows.groupBy("slice")
-    first = corpus.answer(corpus.ask(corpus.rows, first_keys), exchange.in_two, "?")
+    first = corpus.answer(corpus.ask(corpus.rows, first_keys), exchange.in_two, "?", exchange.ranked)
     places = stored(by_slice.cogroup(first.groupBy("slice")).applyInArrow(first_back, exchange.ANSWER), "places").withColumn("round", F.lit(1))
-    second = corpus.answer(corpus.ask(corpus.rows, second_keys, places), _second, "<i8").withColumn("round", F.lit(2))
+    second = corpus.answer(corpus.ask(corpus.rows, second_keys, places), _second, "<i8", exchange.ranked).withColumn("round", F.lit(2))
     known = places.unionByName(second)
-    last = corpus.answer(corpus.ask(corpus.rows, last_keys, known), exchange.earlier, "<i8").withColumn("round", F.lit(3))
+    last = corpus.answer(corpus.ask(corpus.rows, last_keys, known), exchange.earlier, "<i8", exchange.ranked).withColumn("round", F.lit(3))
     return by_slice.cogroup(known.unionByName(last).groupBy("slice")).applyInArrow(cut, schema)

@@ -10,12 +10,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpusops.llm import bpe, embed_dedup, langid, lm_scoring, ngram_join, packing, quality, sharding, suffix_dedup, topk
+from corpusops.llm import bpe, embed_dedup, exchange, langid, lm_scoring, ngram_join, packing, quality, sharding, suffix_dedup, topk
 from corpusops.llm.components import components
 from corpusops.llm.queries import QUERIES, fold
 from corpusops.llm.ragged import slices
@@ -110,6 +111,53 @@ def test_suffix_dedup_carries_columns(odd, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_digits_of_a_whole_slice(monkeypatch):
+    """Every window has one, equal windows the same ones, none reaches into the next text, and the cut into chunks changes nothing."""
+    rng = np.random.default_rng(8)
+    windows = suffix_dedup.Windows(50)
+    texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 26)), int(n)).astype(np.uint8)) for n in rng.integers(0, 300, 40)]
+    texts += [texts[3][:20] + texts[5] + texts[7], b"", b"x" * 49, b"y" * 400, texts[5]]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    whole = windows.anchors(offsets, data)
+    a = np.sort(rng.integers(0, len(data) - 64, 500))
+    b = a + rng.integers(50, 64, 500)
+    prints = suffix_dedup.fingerprints(data, a, b)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, windows.anchors(offsets, data)))
+    assert np.array_equal(prints, suffix_dedup.fingerprints(data, a, b))
+    of = {}
+    assert all(of.setdefault(bytes(data[x:y]), p) == p for x, y, p in zip(a, b, prints.tolist())) and len(set(prints.tolist())) == len(of)
+    seen = {}
+    for low, high in zip(offsets[:-1], offsets[1:]):
+        mine = whole[0][(whole[0] >= low) & (whole[0] < high)]
+        assert (mine + windows.digit <= high).all()
+        for at in range(low, high - 49):
+            digits = (mine[(mine >= at) & (mine < at + windows.spread)] - at).tolist()
+            assert digits
+            seen.setdefault(bytes(data[at : at + 50]), []).append(digits)
+    # a digit that is the lowest of another window may stand in one copy only; some digit stands in all of them
+    assert all(set.intersection(*map(set, d)) for d in seen.values()) and any(len(d) > 1 for d in seen.values())
+
+
+def test_batches_of_a_task_are_packed_together():
+    rows = pa.table({"slice": pa.array([0, 1, 2, 3] * 50, pa.int64()), "doc_id": pa.array(range(200), pa.int64()), "text": [f"text {i}" for i in range(200)],
+                     "along": pa.nulls(200, pa.struct([("none", pa.int32())]))})
+    batches = rows.to_batches(max_chunksize=10)
+    alone, together, some = (pa.Table.from_batches(exchange._packed(iter(batches), n)) for n in (0, 1 << 20, 3 * batches[0].nbytes))
+    assert (len(alone), len(together)) == (80, 4) and 4 < len(some) < 80
+    for slice_ in range(4):
+        one, other, third = (exchange.documents(t.filter(pc.equal(t["slice"], slice_))) for t in (alone, together, some))
+        assert all(np.array_equal(x, y) and np.array_equal(x, z) for x, y, z in zip(one, other, third)) and len(one[0]) == 50
+
+
+def test_keys_are_ranked_as_by_distinct():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 5000):
+        keys = rng.integers(0, max(1, n // 2), n).astype(np.uint64) << np.uint64(40)
+        assert all(np.array_equal(x, y) for x, y in zip(exchange.ranked(keys), exchange.distinct(keys)))
+
+
 @pytest.mark.parametrize("source", ["odd", "docs"])
 def test_jaccard(source, request):
     df = request.getfixturevalue(source)
