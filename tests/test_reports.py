@@ -448,6 +448,22 @@ def test_details_of_another_key_are_met_through_links(spark):
     assert "REPARTITION_BY_NUM" in tree and "area" in tree.split("REPARTITION_BY_NUM")[0]  # the detail is met after the last shuffle
 
 
+def test_details_of_groups_of_masters(spark, monkeypatch, tmp_path):
+    """Groups lose and repeat no row, and a detail row is written beside the same masters in turn, in under a byte a row."""
+    master = spark.range(4000).selectExpr("id AS k", "concat('Customer#', lpad(id, 9, '0')) AS name")
+    links = spark.range(4000).selectExpr("id AS k", "CAST(id % 25 AS INT) AS area")
+    detail = spark.range(10000).selectExpr("CAST(id % 25 AS INT) AS area", "concat('Supplier#', lpad(id, 9, '0')) AS item")
+    linked = bands.multi_detail(master, "k", {"items": detail}, {"items": (links, "area")})
+    linked.write.parquet(f"{tmp_path}/linked")
+    assert linked.count() == linked.distinct().count() == 1600000
+    assert sum(f.stat().st_size for f in (tmp_path / "linked").glob("*.parquet")) < 1600000
+    monkeypatch.setattr(bands, "GROUP", 3)
+    some, twice = master.where("k < 20"), links.where("k < 20").unionAll(links.where("k < 4"))
+    few = bands.multi_detail(some, "k", {"items": detail.where("item < 'Supplier#000000040'")}, {"items": (twice, "area")})
+    want = [(k, i) for k in [*range(20), *range(4)] for i in range(40) if i % 25 == k % 25]
+    assert sorted((r.k, int(r.item[-9:])) for r in few.collect()) == sorted(want) and few.columns == ["k", "name", "item", "band"]
+
+
 def test_fold_is_the_canonical_decomposition_without_python(spark):
     """Every character alone, and marks in a row behind a letter, as the decomposition says."""
     def plain(t: str) -> str:
